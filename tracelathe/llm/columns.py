@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
     """Slices of a batch with about `limit` bytes of text each, one row at least."""
     rows = batch.num_rows
     texts = batch.column(batch.schema.get_field_index(column))
-    sizes = pa.compute.binary_length(texts.cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(texts.cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
