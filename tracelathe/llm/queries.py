@@ -14,5 +14,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelathe.llm.decontaminate import find_contamination
+
+    return find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op2_decontamination": op2_decontamination, "op4_byte_bpe": op4_byte_bpe}
 ORACLES: dict[str, str] = {}
