@@ -13,7 +13,7 @@ gathered per document, and only the texts of those items travel to it. Results a
 
 Defined cases: null or empty texts and texts without words have no words, no hits and are not contaminated;
 null items and items without words have no windows; items that repeat count as often as they have ids; an empty
-benchmark contaminates nothing. Other columns of the tables are ignored.
+benchmark contaminates nothing; documents without id are judged in the first way only. Other columns of the tables are ignored.
 """
 
 from __future__ import annotations
@@ -178,7 +178,7 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
         ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))[words.text[at]]
         return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids, pa.int64())], names=["print", "doc_id"])
 
-    doc_fp = docs.mapInArrow(by_batch(doc_prints), "print bigint, doc_id bigint")
+    doc_fp = docs.filter("doc_id is not null").mapInArrow(by_batch(doc_prints), "print bigint, doc_id bigint")
     pairs = doc_fp.join(item_fp.select("print", "item_id"), "print").select("doc_id", "item_id").distinct()
     near = pairs.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "text")).alias("near"))
 

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelathe.llm.columns import read
+from tracelathe.llm.line_dedup import ORACLE as line_oracle
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +21,29 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op4_byte_bpe": op4_byte_bpe}
-ORACLES: dict[str, str] = {}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelathe.llm.toxicity import rate_toxicity
+
+    return rate_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelathe.llm.line_dedup import line_report
+
+    return line_report(read(spark, sf_dir, "documents"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelathe.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op3_toxicity": op3_toxicity,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_near_dedup": op8_near_dedup,
+}
+ORACLES = {"op7_line_dedup": line_oracle}
