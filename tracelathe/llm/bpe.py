@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelathe.llm.columns import U64, by_batch, mix, run_hashes
-from tracelathe.llm.pretokens import split_pattern
+from tracelathe.llm.pretokens import split_pattern, tiktoken_classes
 
 #: Resolved pre-tokens that a worker keeps at most.
 KEPT = 700_000
@@ -130,10 +130,11 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Encodes lists of texts; ids come as packed little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, table: PerfectHash | None = None):
+    def __init__(self, path: str, table: PerfectHash | None = None, classes: np.ndarray | None = None):
         self.ranks = read_ranks(path)
         self.words = {i: b for b, i in self.ranks.items()}
         self.table = table or PerfectHash(list(self.ranks), list(self.ranks.values()))
+        self.classes = tiktoken_classes() if classes is None else classes
         self.known: dict[str, bytes] = {}
 
     def learn(self, new: list[str]) -> None:
@@ -143,7 +144,7 @@ class Encoder:
             self.known[text] = pack("<%dI" % len(ids), *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        tokens, at = split_pattern(texts)
+        tokens, at = split_pattern(texts, self.classes)
         if len(self.known) > KEPT:
             self.known.clear()
         new = list(set(tokens).difference(self.known))
@@ -159,13 +160,19 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str, table: PerfectHash | None = None) -> Encoder:
-    """This process's encoder for a rank file; `table`: the file's hash if it has been built elsewhere."""
+def encoder(path: str, built: tuple[PerfectHash, np.ndarray] = (None, None)) -> Encoder:
+    """This process's encoder for a rank file; `built`: its hash and its character classes if they exist already."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, table)
+        _ENCODERS[path] = Encoder(path, *built)
     return _ENCODERS[path]
 
 
+def _built(spark, path: str):
+    """What all tasks' encoders share: as large as the vocabulary and the code points, whatever the input's size."""
+    own = encoder(path)
+    return spark.sparkContext.broadcast((own.table, own.classes))
+
+
 def _append(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     kept = [x for x in batch.schema.names if x not in columns]
     return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(x)) for x in kept] + list(columns.values()), names=[*kept, *columns])
@@ -180,11 +187,11 @@ def _schema(docs: DataFrame, new: dict[str, str]) -> str:
 def encode_documents(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
     """Adds `ids` (binary: packed little-endian unsigned 32-bit integers) and `n_tokens` to every row."""
 
-    table = docs.sparkSession.sparkContext.broadcast(encoder(ranks_path).table)  # as large as the vocabulary
+    built = _built(docs.sparkSession, ranks_path)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        ids = encoder(ranks_path, table.value).encode(texts)
+        ids = encoder(ranks_path, built.value).encode(texts)
         return _append(batch, ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()))
 
     return docs.mapInArrow(by_batch(work, text), _schema(docs, {"ids": "binary", "n_tokens": "bigint"}))
@@ -193,11 +200,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, text: str = "text") -> Da
 def decode_documents(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """Adds `decoded`, the bytes that the packed ids stand for (null ids: no bytes)."""
 
-    table = encoded.sparkSession.sparkContext.broadcast(encoder(ranks_path).table)
+    built = _built(encoded.sparkSession, ranks_path)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-        return _append(batch, decoded=pa.array([encoder(ranks_path, table.value).decode(x or b"") for x in packed], pa.binary()))
+        return _append(batch, decoded=pa.array([encoder(ranks_path, built.value).decode(x or b"") for x in packed], pa.binary()))
 
     def run(batches):
         for batch in batches:
