@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracelathe.llm.columns import read
 from tracelathe.llm.line_dedup import ORACLE as line_oracle
+from tracelathe.llm.topk import ORACLE as topk_oracle
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,11 +40,40 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelathe.llm.license_scan import scan_licenses
+
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelathe.llm.token_files import token_file_report
+
+    return token_file_report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelathe.llm.topk import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelathe.llm.token_counts import count_tokens
+
+    return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_token_files": op6_token_files,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op9_topk": op9_topk,
+    "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op7_line_dedup": line_oracle}
+#: Ranks, learned weights and alignments are beyond SQL; the tests hold those queries against brute force or the libraries.
+ORACLES = {"op7_line_dedup": line_oracle, "op9_topk": topk_oracle}
