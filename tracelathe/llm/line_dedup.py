@@ -9,7 +9,7 @@ and blank lines, always stay.
 1. Lines are reduced to two 64-bit hashes of their words, and equal ones to their earliest place.
 2. One edit leaves the first or the second half of a line as it is. Lines of which neither half (cut as for its
    own length and as for one word less) occurs in another line can't have a neighbour. This loses nothing.
-3. Only the others emit their variants: for every word the hash of the line without it, a sum over hashes of
+3. Only the others emit their variants: for every word outside the shared half the hash of the line without it, a sum over hashes of
    (word, place), so that one running sum each from the left and the right gives all of a line's variants.
    Equal keys join: two lines of equal length that miss the same place differ by a replaced word; a line's
    variant that is another whole line differs by an inserted one. Every key keeps only its earliest line, so
@@ -31,8 +31,8 @@ from tracelathe.llm.graph import shared_checkpoints
 
 LEAST_WORDS = 5
 NEAR_WORDS = 10
-#: Ids of documents that are sent to every task at most; more are joined by shuffling.
-HELD_IDS = 2_000_000
+#: Rows of intermediate tables that are sent to every task at most; larger ones are joined by shuffling.
+HELD_ROWS = 1_000_000
 #: Sums of up to 2**23 of these hashes fit in 64 bits.
 _MASK = (1 << 40) - 1
 
@@ -62,39 +62,52 @@ def first_lines(docs: DataFrame, least_words: int, near_words: int) -> DataFrame
 
 
 def _candidates(firsts: DataFrame, near_words: int) -> DataFrame:
-    """(doc_id, pos) of the distinct lines that share a half with another line."""
+    """(doc_id, pos, head, tail) of the distinct lines that share their first or second half with another line."""
     near = firsts.filter(f"n >= {near_words}")
-    keys = near.select("doc_id", "pos", F.explode(F.array_distinct(F.array("h0", "h1", "h2", "h3"))).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select(F.col("key").alias("of")).checkpoint()
-    return keys.join(shared, F.col("key") == F.col("of"), "left_semi").select("doc_id", "pos").distinct()
+    keys = near.select("doc_id", "pos", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("half", "key"))
+    # A line can have a key twice (both cuts may give the same words), so the key's lines are told apart by their places.
+    ends = [f(c).alias(f"{name}_{c}") for name, f in (("low", F.min), ("high", F.max)) for c in ("doc_id", "pos")]
+    shared = keys.groupBy("key").agg(*ends).filter("low_doc_id < high_doc_id or low_pos < high_pos").select(F.col("key").alias("of")).checkpoint()
+    found = keys.join(shared, F.col("key") == F.col("of"), "left_semi")
+    return found.groupBy("doc_id", "pos").agg(F.max(F.col("half") % 2 == 0).alias("head"), F.max(F.col("half") % 2 == 1).alias("tail"))
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """A checkpointed table, to be broadcast if it has at most HELD_ROWS rows."""
+    return F.broadcast(rows) if rows.count() <= HELD_ROWS else rows
 
 
 def near_repeats(docs: DataFrame, firsts: DataFrame, near_words: int) -> DataFrame:
     """(doc_id, pos) of distinct lines with an earlier line at one word's distance; docs: doc_id, text."""
-    found = _candidates(firsts, near_words).groupBy("doc_id").agg(F.collect_set("pos").alias("wanted")).checkpoint()
-    wanted = F.broadcast(found) if found.count() <= HELD_IDS else found
-    lines = _lines(docs.join(wanted, "doc_id").select("doc_id", "text")).join(wanted, "doc_id").filter("array_contains(wanted, pos)")
-    lines = lines.select("doc_id", "pos", F.size("words").alias("n"), "words").checkpoint()
+    found = _candidates(firsts, near_words).checkpoint()
+    of_docs = _held(found.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "head", "tail")).alias("wanted")).checkpoint())
+    chosen = docs.join(of_docs, "doc_id").select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
+    words = "filter(split(lower(element_at(lines, x.pos + 1)), '[\\t-\\r ]+'), x -> x <> '')"
+    lines = chosen.select("doc_id", "x.pos", "x.head", "x.tail", F.expr(words).alias("words")).withColumn("n", F.size("words"))
+    total = f"aggregate(transform(words, (w, i) -> xxhash64(w, i) & {_MASK}L), 0L, (a, b) -> a + b)"
+    lines = lines.withColumn("all", F.expr(total)).repartition("doc_id", "pos").checkpoint()
     place = F.struct("doc_id", "pos")
-    words = lines.select("doc_id", "pos", "n", F.posexplode("words").alias("i", "word"))
+    # Dealt by line first: the running sums over a line's words then need no exchange of their own.
+    spelled = lines.select("doc_id", "pos", "n", "head", "tail", "words").repartition("doc_id", "pos").select("doc_id", "pos", "n", "head", "tail", F.posexplode("words").alias("i", "word"))
     own = Window.partitionBy("doc_id", "pos").orderBy("i")
     here, moved = (f"(xxhash64(word, i - {d}) & {_MASK}L)" for d in (0, 1))
     left = F.coalesce(F.sum(F.expr(here)).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     right = F.coalesce(F.sum(F.expr(moved)).over(own.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-    variants = words.select("doc_id", "pos", "n", "i", (left + right).alias("sum"), (left + F.expr(here)).alias("all")).checkpoint()
+    # An edit in the first half leaves the second one shared, and the other way round.
+    variants = spelled.withColumn("sum", left + right).filter("head and i >= (n - 1) div 2 or tail and i <= n div 2").select("doc_id", "pos", "n", "i", "sum").checkpoint()
     # The same place missing in lines of one length: a replaced word.
     cut = variants.select(place.alias("place"), "n", "i", "sum")
-    first_cut = cut.groupBy("n", "i", "sum").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").checkpoint()
+    first_cut = _held(cut.groupBy("n", "i", "sum").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").drop("last").checkpoint())
     replaced = cut.join(first_cut, ["n", "i", "sum"]).filter("place > first").select("place", "first")
     # A line's variant that is another line as a whole: an inserted word.
-    whole = variants.filter("i = n - 1").groupBy(F.col("n").alias("m"), F.col("all").alias("sum")).agg(F.min(place).alias("whole"))
-    longer = variants.groupBy((F.col("n") - 1).alias("m"), "sum").agg(F.min(place).alias("first"))
-    shorter_goes = whole.join(longer, ["m", "sum"]).filter("first < whole").select(F.col("whole").alias("place"), "first")
-    heads = whole.select("m", "sum", "whole").checkpoint()
-    longer_goes = variants.select((F.col("n") - 1).alias("m"), "sum", place.alias("place")).join(heads, ["m", "sum"]).filter("place > whole").select("place", F.col("whole").alias("first"))
+    heads = lines.groupBy(F.col("n").alias("m"), F.col("all").alias("sum")).agg(F.min(place).alias("whole")).checkpoint()
+    inserted = variants.select((F.col("n") - 1).alias("m"), "sum", place.alias("place")).join(_held(heads), ["m", "sum"]).select("place", "whole").checkpoint()
+    longer_goes = inserted.filter("place > whole").select("place", F.col("whole").alias("first"))
+    shorter_goes = inserted.filter("place < whole").groupBy("whole").agg(F.min("place").alias("first")).select(F.col("whole").alias("place"), "first")
     pairs = replaced.union(shorter_goes).union(longer_goes).distinct().select("place.*", F.col("first.doc_id").alias("d"), F.col("first.pos").alias("p"))
+    mine = lines.select("doc_id", "pos", "words")
     other = lines.select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), F.col("words").alias("other"))
-    compared = pairs.join(lines, ["doc_id", "pos"]).join(other, ["d", "p"])
+    compared = pairs.join(mine, ["doc_id", "pos"]).join(other, ["d", "p"])
     return compared.filter(one_word_apart("words", "other")).select("doc_id", "pos").distinct()
 
 
