@@ -146,10 +146,12 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 #: The same result in DuckDB: pairs of neighbours come from all variants, spelled out.
 ORACLE = f"""
-WITH lines AS (
-  SELECT doc_id, u.pos - 1 AS pos, u.line, list_filter(regexp_split_to_array(lower(u.line), '[\\t-\\r ]+'), x -> x <> '') AS words
-  FROM (SELECT doc_id, unnest(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1)), recursive := false) AS z FROM documents WHERE text IS NOT NULL) s,
-  LATERAL (SELECT z[2] AS pos, z[1] AS line) u
+WITH parted AS (
+  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
+), placed AS (
+  SELECT doc_id, i - 1 AS pos, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM parted) x
+), lines AS (
+  SELECT doc_id, pos, line, list_filter(regexp_split_to_array(lower(line), '[\\t-\\r ]+'), lambda x: x <> '') AS words FROM placed
 ), firsts AS (
   SELECT words, min(row(doc_id, pos)) AS place FROM lines WHERE len(words) >= {LEAST_WORDS} GROUP BY words
 ), variants AS (
