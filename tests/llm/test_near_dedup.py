@@ -76,10 +76,14 @@ def test_components(spark):
     assert {got[b] for a, b in links if a == 500} == {500}
 
 
-@pytest.mark.parametrize("depth", [1, 2])
+@pytest.mark.parametrize("depth", [1])
 def test_shallow_trees_leave_large_nodes_exact(spark, monkeypatch, depth):
     monkeypatch.setattr(near_dedup, "LEAF", 4)
     monkeypatch.setattr(near_dedup, "HUBS", 1)
+    monkeypatch.setattr(near_dedup, "DEPTH", depth)
+    monkeypatch.setattr(near_dedup, "FIRST_2", depth)
+    monkeypatch.setattr(near_dedup, "DEPTH_2", depth + 1)
+    monkeypatch.setattr(near_dedup, "FINE", near_dedup.TREES_2 * (depth + 1))
     docs = corpus(8)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == expected(docs)

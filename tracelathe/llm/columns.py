@@ -130,5 +130,6 @@ def only(docs: DataFrame, **columns: str) -> DataFrame:
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder; Arrow batches are kept small, as single texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "800")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

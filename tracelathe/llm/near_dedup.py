@@ -8,13 +8,15 @@ s**d, so nodes of at most LEAF documents are compared exhaustively as soon as th
 branched up to DEPTH levels, and TREES trees make the chance of missing a pair at the threshold less than 0.003.
 
 What is still large after all levels is mostly one group of near copies. There every document is first compared
-with a few hubs per tree; after the components of those links are known, documents that are not in the same
-component as the node's first hub are compared with all of the node's documents of other components. So pairs
-inside a component that is already connected are never made, and none between components is left out.
+with a few hubs per tree. After the components of the links found so far are known, the documents of large nodes
+with several components are branched again, by more and deeper trees, in which nodes of one component end at once
+and only pairs of different components are compared. What is still large then is compared in full: documents outside
+the node's main component with the node's documents of other components. So pairs inside a connected component
+aren't made, and none between components is left out for a group's size.
 
-Sketches (the same smallest shingles) only decide which pairs of a node are worth a look: a pair goes on unless
-its estimated similarity is more than about three standard deviations below the threshold. Links are confirmed
-on full sets.
+Sketches (one byte each of FINE further smallest shingles) only decide which pairs of a node are worth a look: a pair
+goes on unless its estimated similarity is more than three standard deviations below the threshold. Links are
+confirmed on full sets.
 
 Defined cases: null and empty texts and texts without words have empty sets and are linked with nothing; equal
 texts are one class; the result has one row per input row, with ids as given (a doc_id that repeats is compared
@@ -40,6 +42,11 @@ DEPTH = 4
 LEAF = 48
 HUBS = 2
 PARTS = 32
+#: The second branching: its trees, the levels that its first nodes have, and its last level.
+TREES_2 = 16
+FIRST_2 = 6
+DEPTH_2 = 12
+FINE = TREES_2 * DEPTH_2
 #: Ids of documents that are sent to every task at most; more are joined by shuffling.
 HELD_IDS = 2_000_000
 
@@ -76,25 +83,25 @@ def smallest(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, shingle: int, coordinates: int) -> DataFrame:
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1), shingle)
-        low = smallest(sets, coordinates)
+        low = smallest(sets, TREES * DEPTH + FINE)
+        path, fine = low[:, : TREES * DEPTH], low[:, TREES * DEPTH :].astype(np.uint8)
         marks = np.array([np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64) for x in sets]).reshape(-1, 2)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([x.tobytes() for x in low], pa.binary())],
-            names=["doc_id", "n_shingles", "high", "low", "sketch"],
+            [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([x.tobytes() for x in path], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())],
+            names=["doc_id", "n_shingles", "high", "low", "path", "fine"],
         )
 
-    return docs.mapInArrow(by_batch(work), "doc_id bigint, n_shingles bigint, high bigint, low bigint, sketch binary")
-
-
-def _close(one: np.ndarray, other: np.ndarray, least: float) -> np.ndarray:
-    return (one == other).mean(axis=1) >= least
+    return docs.mapInArrow(by_batch(work), "doc_id bigint, n_shingles bigint, high bigint, low bigint, path binary, fine binary")
 
 
 def _leaf_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of each node of at most LEAF documents whose sketches agree enough; rows: node, doc_id, sketch."""
+    """Pairs of each node of at most LEAF documents that lie in different components and whose sketches agree enough.
+
+    rows: node, doc_id, component, fine.
+    """
 
     def run(batches):
         held = None
@@ -109,18 +116,19 @@ def _leaf_pairs(rows: DataFrame, least: float) -> DataFrame:
             yield from pairs(held)
 
     def pairs(table):
-        node, doc = table.column(0).to_numpy(), table.column(1).to_numpy()
-        low = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint32).reshape(len(node), -1)
+        node, doc, component = (table.column(c).to_numpy() for c in range(3))
+        fine = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(len(node), -1)
         for d in range(1, LEAF):
-            i = np.flatnonzero(node[:-d] == node[d:])
-            if not len(i):
+            same = node[:-d] == node[d:]
+            if not same.any():
                 break
-            i = i[_close(low[i], low[i + d], least)]
+            i = np.flatnonzero(same & (component[:-d] != component[d:]))
+            i = i[(fine[i] == fine[i + d]).mean(axis=1) >= least]
             if len(i):
                 a, b = np.minimum(doc[i], doc[i + d]), np.maximum(doc[i], doc[i + d])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return rows.select("node", "doc_id", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("node", "doc_id", "component", "fine").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
 
 
 def _agree(one: str, other: str, coordinates: int, least: float):
@@ -129,21 +137,28 @@ def _agree(one: str, other: str, coordinates: int, least: float):
     return sum(places[1:], places[0]) >= int(np.ceil(least * coordinates))
 
 
-def _branch(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes of at most LEAF documents, nodes that stay large): node, tree, doc_id."""
-    path = F.expr(f"transform(sequence(0, {TREES - 1}), t -> named_struct('tree', t, 'path', substring(sketch, t * {4 * DEPTH} + 1, {4 * DEPTH})))")
-    rows = classes.select("doc_id", F.explode(path).alias("x")).select("doc_id", "x.tree", "x.path")
-    rows = rows.withColumn("node", F.xxhash64("tree", F.expr("substring(path, 1, 4)")))
+def _branch(docs: DataFrame, path: str, trees: int, first: int, depth: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes of at most LEAF documents, nodes that stay large): node, tree, doc_id, component.
+
+    docs: doc_id, component, and the column `path` with `width` bytes per level of each tree. The first nodes are those
+    of level `first`; nodes of one component end.
+    """
+    each = F.expr(f"transform(sequence(0, {trees - 1}), t -> named_struct('tree', t, 'path', substring({path}, t * {width * depth} + 1, {width * depth})))")
+    rows = docs.select("doc_id", "component", F.explode(each).alias("x")).select("doc_id", "component", "x.tree", "x.path")
+    rows = rows.withColumn("node", F.xxhash64("tree", F.expr(f"substring(path, 1, {width * first})")))
     leaves = None
-    for level in range(1, DEPTH + 1):
-        sizes = rows.groupBy("node").count().filter("count > 1").withColumnRenamed("node", "of").checkpoint()
+    for level in range(first, depth + 1):
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.min("component").alias("low"), F.max("component").alias("high"))
+        sizes = sizes.filter("low < high").select(F.col("node").alias("of"), "count").checkpoint()
         rows = rows.join(sizes, F.col("node") == F.col("of")).drop("of").checkpoint()
-        small = rows.filter(f"count <= {LEAF}").select("node", "tree", "doc_id")
+        small = rows.filter(f"count <= {LEAF}").select("node", "tree", "doc_id", "component")
         leaves = small if leaves is None else leaves.union(small)
         rows = rows.filter(f"count > {LEAF}").drop("count")
-        if level < DEPTH:
-            rows = rows.withColumn("node", F.xxhash64("node", F.expr(f"substring(path, {4 * level + 1}, 4)")))
-    return leaves, rows.select("node", "tree", "doc_id")
+        if level < depth:
+            rows = rows.withColumn("node", F.xxhash64("node", F.expr(f"substring(path, {width * level + 1}, {width})")))
+            if not rows.limit(1).count():
+                break
+    return leaves, rows.select("node", "tree", "doc_id", "component")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -178,12 +193,12 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", num: int = 85
     """One row per document: doc_id, n_shingles, component_id and kept, for den * intersection >= num * union."""
     shared_checkpoints(docs.sparkSession)
     docs = only(docs, doc_id=doc_id, text=text)
-    least = max(0.0, num / den - 3.2 * (num / den * (1 - num / den) / (TREES * DEPTH)) ** 0.5)
-    marked = sketches(docs, shingle, TREES * DEPTH).checkpoint()
+    marked = sketches(docs, shingle).checkpoint()
     heads = marked.filter("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("head")).checkpoint()
-    classes = marked.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sketch")
-    leaves, large = _branch(classes)
-    close = _leaf_pairs(leaves.join(classes, "doc_id"), least)
+    classes = marked.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "path", "fine")
+    fine = classes.select("doc_id", "fine")
+    leaves, large = _branch(classes.withColumn("component", F.col("doc_id")), "path", TREES, 1, DEPTH, 4)
+    close = _leaf_pairs(leaves.join(fine, "doc_id"), _least(num / den, FINE))
     large = large.checkpoint()
     hubs = None
     for k in range(HUBS):
@@ -194,7 +209,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", num: int = 85
     pairs = close.distinct().withColumn("part", F.lit(0)).union(stars.select("hub", "doc_id", F.expr(f"int(pmod(xxhash64(doc_id), {PARTS}))"))).checkpoint()
     links = _confirm(pairs, docs, shingle, num, den).checkpoint()
     labels = components(links)
-    rest = _left_over(large, labels, classes, least)
+    rest = _between(large, labels, classes, num / den)
     if rest is not None:
         links = links.union(_confirm(rest, docs, shingle, num, den)).checkpoint()
         labels = components(links)
@@ -204,15 +219,24 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", num: int = 85
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"))
 
 
-def _left_over(large: DataFrame, labels: DataFrame, classes: DataFrame, least: float) -> DataFrame | None:
-    """Pairs of large nodes that lie in different components, other than those already compared; None: there are none."""
-    named = large.join(labels, F.col("doc_id") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    counts = named.groupBy("node", "component").count()
-    main = counts.groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("node").alias("of"), "main").checkpoint()
-    open_nodes = named.join(main, F.col("node") == F.col("of")).select("node", "doc_id", "component", "main").join(classes, "doc_id").checkpoint()
-    few = open_nodes.filter("component <> main").select(F.col("node").alias("of"), F.col("doc_id").alias("a"), F.col("component").alias("other"), F.col("sketch").alias("mark"))
-    if not few.limit(1).count():
+def _least(similarity: float, coordinates: int) -> float:
+    return max(0.0, similarity - 3.2 * (similarity * (1 - similarity) / coordinates) ** 0.5)
+
+
+def _between(large: DataFrame, labels: DataFrame, classes: DataFrame, similarity: float) -> DataFrame | None:
+    """Pairs (a, b, part) of different components in large nodes that may be links; None: there are none."""
+    named = large.drop("component").join(labels, F.col("doc_id") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = named.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(F.col("node").alias("of")).checkpoint()
+    hot = named.join(mixed, F.col("node") == F.col("of"), "left_semi").select("doc_id", "component").distinct().join(classes, "doc_id").checkpoint()
+    if not hot.limit(1).count():
         return None
+    leaves, rest = _branch(hot, "fine", TREES_2, FIRST_2, DEPTH_2, 1)
+    close = _leaf_pairs(leaves.join(hot.select("doc_id", "fine"), "doc_id"), _least(similarity, FINE)).withColumn("part", F.lit(0))
+    counts = rest.groupBy("node", "component").count()
+    main = counts.groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main")).withColumnRenamed("node", "of").checkpoint()
+    open_nodes = rest.join(main, F.col("node") == F.col("of")).select("node", "doc_id", "component", "main").join(hot.select("doc_id", "path"), "doc_id").checkpoint()
+    few = open_nodes.filter("component <> main").select(F.col("node").alias("of"), F.col("doc_id").alias("a"), F.col("component").alias("other"), F.col("path").alias("mark"))
     met = few.join(open_nodes, F.col("node") == F.col("of")).filter("component <> other and (component = main or a < doc_id)")
-    agreed = met.filter(_agree("sketch", "mark", TREES * DEPTH, least))
-    return agreed.select(F.col("a"), F.col("doc_id").alias("b"), F.expr(f"int(pmod(xxhash64(doc_id), {PARTS}))").alias("part")).distinct().checkpoint()
+    agreed = met.filter(_agree("path", "mark", TREES * DEPTH, _least(similarity, TREES * DEPTH)))
+    full = agreed.select("a", F.col("doc_id").alias("b"), F.expr(f"int(pmod(xxhash64(doc_id), {PARTS}))").alias("part"))
+    return close.union(full).distinct().checkpoint()

@@ -136,7 +136,7 @@ def unpack_ids(data: bytes, begin: int = 0, end: int | None = None) -> np.ndarra
 class LibraryEncoder:
     """Ids as the tokenizers library gives them, each different pre-token being encoded by it once."""
 
-    KEPT = 500_000
+    KEPT = 350_000
 
     def __init__(self, path: str, classes: np.ndarray | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -212,7 +212,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id="doc_id
             return pa.RecordBatch.from_pydict(row, schema=schema)
 
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 1 << 20):
                 texts = [x or "" for x in piece.column(1).to_pylist()]
                 for d, x in zip(piece.column(0).to_pylist(), library_encoder(tokenizer, classes.value).encode(texts), strict=True):
                     docs_.append(d)
