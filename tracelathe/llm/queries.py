@@ -46,6 +46,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelathe.llm.lm_score import score_texts
+
+    return score_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelathe.llm.token_files import token_file_report
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_lm_score": op5_lm_score,
     "op6_token_files": op6_token_files,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
