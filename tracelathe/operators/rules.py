@@ -55,40 +55,48 @@ def like(column: Column, pattern: str) -> Column:
     return column.endswith(body) if start else column.startswith(body) if end else column == body
 
 
-def compare(column: Column, kind: str, op: str, value: object, value_kind: str) -> Column:
+def compare(column: Column, kind: str, op: str, value: object, value_kind: str, guard: bool = True) -> Column:
     if kind != value_kind or kind == "text" and op not in ("==", "!="):
         return F.lit(False)
     made = {"==": column == value, "!=": column != value, ">=": column >= value, "<=": column <= value, ">": column > value, "<": column < value}[op] if kind != "text" else {"==": column == value, "!=": column != value}[op]
-    return F.coalesce(made, F.lit(False))
+    return _no_null(made, guard)
 
 
-def rule(text: str, fields: Mapping[str, tuple[Column, str]], mode: str = "compat") -> Column:
-    """One rule as a column."""
+def _no_null(made: Column, guard: bool) -> Column:
+    return F.coalesce(made, F.lit(False)) if guard else made
+
+
+def rule(text: str, fields: Mapping[str, tuple[Column, str]], mode: str = "compat", guard: bool = True) -> Column:
+    """One rule as a column.
+
+    A missing field makes a comparison false, before any NOT. As a filter drops nulls anyway, `guard=False` leaves them
+    outside of NOT, so that the scan can take over the comparisons.
+    """
     if mode == "sql":
         ready = re.sub(r"\{([^}]*)\}", r"(\1)", text).replace("==", "=")
         ready = re.sub(r"(?<=LIKE )'([^']*)'", lambda m: f"'{m[1].replace('*', '%')}'", ready)
-        return F.coalesce(F.expr(ready), F.lit(False))
+        return _no_null(F.expr(ready), guard)
     text = text.strip()
     if text.startswith("NOT "):
         return ~rule(text[4:], fields)
     for word, join in ((" AND ", lambda a, b: a & b), (" OR ", lambda a, b: a | b)):
         if word in text:
             left, right = text.split(word, 1)
-            return join(rule(left, fields), rule(right, fields))
+            return join(rule(left, fields, mode, guard), rule(right, fields, mode, guard))
     if " IN " in text and "{" in text and "}" in text:
         name, rest = text.split(" IN ", 1)
         column, kind = resolve(name.strip(), fields)
         members = [x.strip("'\"") for x in rest[rest.index("{") + 1 : rest.index("}")].split(",")]
-        return F.coalesce(column.isin(*members), F.lit(False)) if kind == "text" else F.lit(False)
+        return _no_null(column.isin(*members), guard) if kind == "text" else F.lit(False)
     if " LIKE " in text:
         name, pattern = text.split(" LIKE ", 1)
         column, kind = resolve(name.strip(), fields)
-        return F.coalesce(like(column, pattern.strip()[1:-1]), F.lit(False)) if kind == "text" else F.lit(False)
+        return _no_null(like(column, pattern.strip()[1:-1]), guard) if kind == "text" else F.lit(False)
     for op in OPERATORS:
         if op in text:
             name, value = text.split(op, 1)
             column, kind = resolve(name.strip(), fields)
-            return compare(column, kind, op, *constant(value))
+            return compare(column, kind, op, *constant(value), guard)
     return F.lit(True)
 
 
