@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from tracelathe.llm.columns import by_batch, only
 from tracelathe.llm.pretokens import split_pattern, tokenizers_classes
 
-KEPT = 400_000
+KEPT = 800_000
 END = "</w>"
 
 
@@ -58,9 +58,11 @@ class PrefixCounter:
             if i == len(self.halves):
                 self.halves.append((age[a], age[b]))
                 self.made[age[a], age[b]] = i
-        self.inner = {x: i for x, i in age.items() if not x.endswith(END)}
-        self.final = {x[: -len(END)]: i for x, i in age.items() if x.endswith(END)}
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        inner = {x: i for x, i in age.items() if not x.endswith(END)}
+        final = {x[: -len(END)]: i for x, i in age.items() if x.endswith(END)}
+        #: For a spelling its token inside a word and its token at a word's end (-1: none).
+        self.tokens = {x: (inner.get(x, -1), final.get(x, -1)) for x in inner | final}
+        self.longest = max(map(len, self.tokens))
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
@@ -84,23 +86,25 @@ class PrefixCounter:
         raw = word.encode()
         text = raw.decode("latin-1").translate(self.spell)
         n, longest = len(text), self.longest
-        inner, final, fits = self.inner.get, self.final.get, self.fits
+        token, fits, fit = self.tokens.get, self.fits, self._fit
         last, count = [-1] * (n + 1), [0] * (n + 1)
         out = []
         for j in range(1, n + 1):
-            low = j - longest if j > longest else 0
-            if j < n:
-                for i in range(low, j):
-                    t = inner(text[i:j])
-                    if t is not None and (not i or self._fit(last[i], t, fits)):
-                        last[j], count[j] = t, count[i] + 1
-                        break
-            if j == n or raw[j] & 0xC0 != 0x80:  # a character ends here
-                for i in range(low, j):
-                    t = final(text[i:j])
-                    if t is not None and (not i or self._fit(last[i], t, fits)):
-                        out.append(count[i] + 1)
-                        break
+            inside = j < n
+            ending = not inside or raw[j] & 0xC0 != 0x80  # a character ends here
+            for i in range(j - longest if j > longest else 0, j):
+                found = token(text[i:j])
+                if found is None:
+                    continue
+                t, f = found
+                if inside and t >= 0 and (not i or fits.get(last[i] << 20 | t) or fit(last[i], t, fits)):
+                    last[j], count[j] = t, count[i] + 1
+                    inside = False
+                if ending and f >= 0 and (not i or fits.get(last[i] << 20 | f) or fit(last[i], f, fits)):
+                    out.append(count[i] + 1)
+                    ending = False
+                if not inside and not ending:
+                    break
         if word[0] == "'" and word in ("'re", "'ve", "'ll"):  # a shorter prefix of these is two words
             out[1] = out[0] + self.total(word[1])
         return np.array(out, "<u4").tobytes()
@@ -109,7 +113,7 @@ class PrefixCounter:
         key = a << 20 | b
         known = fits.get(key)
         if known is None:
-            if len(fits) > 2 * KEPT:
+            if len(fits) > KEPT:
                 fits.clear()
             known = fits[key] = self.apart(a, b)
         return known
