@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,21 +17,33 @@ def shared_checkpoints(spark) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read again: its plan ends there, and its size is known.
+
+    Checkpoints keep the size that was estimated before; in loops of joins these estimates multiply into numbers so long
+    that planning stalls.
+    """
+    spark = rows.sparkSession
+    shared_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that can be reached over links (a, b); ids without links don't appear.
 
     Labels go along the links and then jump to their label's label, so rounds grow with the logarithm of the
-    longest path. Labels are checkpointed each round: both sides of each join then come straight from an
+    longest path. Labels are written each round: both sides of each join then come straight from an
     exchange, and adaptive execution can split a hub's rows.
     """
-    shared_checkpoints(links.sparkSession)
-    both = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")).filter("src <> dst").distinct().checkpoint()
-    labels = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("component")).checkpoint()
+    both = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")).filter("src <> dst").distinct().transform(cut)
+    labels = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("component")).transform(cut)
     while True:
         sent = both.join(labels, both.src == labels.id).select(F.col("dst").alias("id"), "component")
-        low = labels.union(sent).groupBy("id").agg(F.min("component").alias("component")).checkpoint()
+        low = labels.union(sent).groupBy("id").agg(F.min("component").alias("component")).transform(cut)
         of = low.select(F.col("id").alias("component"), F.col("component").alias("better"))
-        jumped = low.join(of, "component").select("id", F.col("better").alias("component")).checkpoint()
+        jumped = low.join(of, "component").select("id", F.col("better").alias("component")).transform(cut)
         moved = jumped.join(labels.withColumnRenamed("component", "was"), "id").filter("component <> was").limit(1).count()
         labels = jumped
         if not moved:

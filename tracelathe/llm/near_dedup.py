@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelathe.llm.columns import LOWER, SOLID, U64, by_batch, gram_hashes, mix, only, run_hashes, text_bytes, word_runs
-from tracelathe.llm.graph import components, shared_checkpoints
+from tracelathe.llm.graph import components, cut
 
 SHINGLE = 5
 TREES = 8
@@ -131,10 +131,16 @@ def _leaf_pairs(rows: DataFrame, least: float) -> DataFrame:
     return rows.select("node", "doc_id", "component", "fine").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
 
 
-def _agree(one: str, other: str, coordinates: int, least: float):
-    """Whether two sketch columns agree in enough places, without Python."""
-    places = [F.expr(f"int(substring({one}, {4 * j + 1}, 4) = substring({other}, {4 * j + 1}, 4))") for j in range(coordinates)]
-    return sum(places[1:], places[0]) >= int(np.ceil(least * coordinates))
+def _agreeing(met: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of rows (a, b, mark, fine) whose sketches agree enough."""
+
+    def run(batches):
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
+            kept = pa.array((one == other).mean(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+
+    return met.mapInArrow(run, "a bigint, b bigint")
 
 
 def _branch(docs: DataFrame, path: str, trees: int, first: int, depth: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -149,8 +155,8 @@ def _branch(docs: DataFrame, path: str, trees: int, first: int, depth: int, widt
     leaves = None
     for level in range(first, depth + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.min("component").alias("low"), F.max("component").alias("high"))
-        sizes = sizes.filter("low < high").select(F.col("node").alias("of"), "count").checkpoint()
-        rows = rows.join(sizes, F.col("node") == F.col("of")).drop("of").checkpoint()
+        sizes = sizes.filter("low < high").select(F.col("node").alias("of"), "count").transform(cut)
+        rows = rows.join(sizes, F.col("node") == F.col("of")).drop("of").transform(cut)
         small = rows.filter(f"count <= {LEAF}").select("node", "tree", "doc_id", "component")
         leaves = small if leaves is None else leaves.union(small)
         rows = rows.filter(f"count > {LEAF}").drop("count")
@@ -163,13 +169,13 @@ def _branch(docs: DataFrame, path: str, trees: int, first: int, depth: int, widt
 
 def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b, part) whose full sets have den * intersection >= num * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().checkpoint()
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().transform(cut)
     wanted = F.broadcast(ids) if ids.count() <= HELD_IDS else ids
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1), shingle)], pa.binary())], names=["id", "members"])
 
-    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(by_batch(work), "id bigint, members binary").checkpoint()
+    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(by_batch(work), "id bigint, members binary").transform(cut)
     left = pairs.select("a", "part").distinct().join(sets, F.col("a") == F.col("id")).select("a", "part", F.col("members").alias("left"))
     with_left = pairs.join(left, ["a", "part"])
     both = with_left.join(sets, F.col("b") == F.col("id")).select("a", "b", "left", F.col("members").alias("right"))
@@ -191,29 +197,28 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", num: int = 85, den: int = 100, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept, for den * intersection >= num * union."""
-    shared_checkpoints(docs.sparkSession)
     docs = only(docs, doc_id=doc_id, text=text)
-    marked = sketches(docs, shingle).checkpoint()
-    heads = marked.filter("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("head")).checkpoint()
+    marked = sketches(docs, shingle).transform(cut)
+    heads = marked.filter("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("head")).transform(cut)
     classes = marked.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "path", "fine")
     fine = classes.select("doc_id", "fine")
     leaves, large = _branch(classes.withColumn("component", F.col("doc_id")), "path", TREES, 1, DEPTH, 4)
     close = _leaf_pairs(leaves.join(fine, "doc_id"), _least(num / den, FINE))
-    large = large.checkpoint()
+    large = large.transform(cut)
     hubs = None
     for k in range(HUBS):
         top = large.groupBy("node", "tree").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.col("tree") * HUBS + k)).alias("hub"))
         hubs = top if hubs is None else hubs.union(top)
-    hubs = hubs.select(F.col("node").alias("of"), "hub").distinct().checkpoint()
+    hubs = hubs.select(F.col("node").alias("of"), "hub").distinct().transform(cut)
     stars = large.join(hubs, F.col("node") == F.col("of")).filter("hub <> doc_id").select("hub", "doc_id").distinct()
-    pairs = close.distinct().withColumn("part", F.lit(0)).union(stars.select("hub", "doc_id", F.expr(f"int(pmod(xxhash64(doc_id), {PARTS}))"))).checkpoint()
-    links = _confirm(pairs, docs, shingle, num, den).checkpoint()
+    pairs = close.distinct().withColumn("part", F.lit(0)).union(stars.select("hub", "doc_id", F.expr(f"int(pmod(xxhash64(doc_id), {PARTS}))"))).transform(cut)
+    links = _confirm(pairs, docs, shingle, num, den).transform(cut)
     labels = components(links)
     rest = _between(large, labels, classes, num / den)
     if rest is not None:
-        links = links.union(_confirm(rest, docs, shingle, num, den)).checkpoint()
+        links = links.union(_confirm(rest, docs, shingle, num, den).transform(cut))
         labels = components(links)
-    named = heads.join(labels, F.col("head") == F.col("id"), "left").select(F.col("high").alias("h"), F.col("low").alias("l"), F.coalesce("component", "head").alias("component")).checkpoint()
+    named = heads.join(labels, F.col("head") == F.col("id"), "left").select(F.col("high").alias("h"), F.col("low").alias("l"), F.coalesce("component", "head").alias("component")).transform(cut)
     out = marked.select("doc_id", "n_shingles", "high", "low").join(named, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"))
@@ -226,17 +231,19 @@ def _least(similarity: float, coordinates: int) -> float:
 def _between(large: DataFrame, labels: DataFrame, classes: DataFrame, similarity: float) -> DataFrame | None:
     """Pairs (a, b, part) of different components in large nodes that may be links; None: there are none."""
     named = large.drop("component").join(labels, F.col("doc_id") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(F.col("node").alias("of")).checkpoint()
-    hot = named.join(mixed, F.col("node") == F.col("of"), "left_semi").select("doc_id", "component").distinct().join(classes, "doc_id").checkpoint()
+    mixed = named.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(F.col("node").alias("of")).transform(cut)
+    hot = named.join(mixed, F.col("node") == F.col("of"), "left_semi").select("doc_id", "component").distinct().join(classes.select("doc_id", "fine"), "doc_id").transform(cut)
     if not hot.limit(1).count():
         return None
     leaves, rest = _branch(hot, "fine", TREES_2, FIRST_2, DEPTH_2, 1)
     close = _leaf_pairs(leaves.join(hot.select("doc_id", "fine"), "doc_id"), _least(similarity, FINE)).withColumn("part", F.lit(0))
     counts = rest.groupBy("node", "component").count()
-    main = counts.groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main")).withColumnRenamed("node", "of").checkpoint()
-    open_nodes = rest.join(main, F.col("node") == F.col("of")).select("node", "doc_id", "component", "main").join(hot.select("doc_id", "path"), "doc_id").checkpoint()
-    few = open_nodes.filter("component <> main").select(F.col("node").alias("of"), F.col("doc_id").alias("a"), F.col("component").alias("other"), F.col("path").alias("mark"))
-    met = few.join(open_nodes, F.col("node") == F.col("of")).filter("component <> other and (component = main or a < doc_id)")
-    agreed = met.filter(_agree("path", "mark", TREES * DEPTH, _least(similarity, TREES * DEPTH)))
-    full = agreed.select("a", F.col("doc_id").alias("b"), F.expr(f"int(pmod(xxhash64(doc_id), {PARTS}))").alias("part"))
-    return close.union(full).distinct().checkpoint()
+    main = counts.groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main")).withColumnRenamed("node", "of").transform(cut)
+    open_nodes = rest.join(main, F.col("node") == F.col("of")).select("node", "doc_id", "component", "main").transform(cut)
+    few = open_nodes.filter("component <> main").select(F.col("node").alias("of"), F.col("doc_id").alias("a"), F.col("component").alias("other")).transform(cut)
+    met = few.join(open_nodes, F.col("node") == F.col("of")).filter("component <> other and (component = main or a < doc_id)").select("a", F.col("doc_id").alias("b")).distinct().transform(cut)
+    marks = hot.select("doc_id", "fine")
+    marked = met.join(marks.select(F.col("doc_id").alias("a"), F.col("fine").alias("mark")), "a").join(marks.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "mark", "fine")
+    agreed = _agreeing(marked, _least(similarity, FINE))
+    full = agreed.select("a", "b", F.expr(f"int(pmod(xxhash64(b), {PARTS}))").alias("part"))
+    return close.union(full).distinct().transform(cut)
