@@ -17,7 +17,7 @@ def folder(spark, tmp_path_factory):
     some = lambda n: " ".join(rng.choice("abcdefghijkl") + rng.choice("mnopqrstuv") + rng.choice("aeiou") for _ in range(n))
     docs = [(d, some(rng.randint(30, 90))) for d in range(120)]
     docs += [(d, f"{some(20)} vile awful {some(20)} vile") for d in range(200, 240)]
-    docs += [(300, docs[5][1]), (301, docs[6][1] + " one"), (302, some(40) + "\n" + docs[7][1])]
+    docs += [(300, docs[5][1]), (301, docs[6][1] + " one two"), (302, some(40) + "\n" + docs[7][1])]
     passage = some(30)
     docs += [(400, passage + " " + some(10)), (500, None), (501, "")]
     docs = [(d, t, "en", "s", len(t) if t is not None else None) for d, t in docs]

@@ -2,7 +2,8 @@
 
 Features are the distinct words of a text (runs of letters, digits and signs outside ASCII, A-Z lower-cased), by
 64-bit hash. One weight per word is shared by all thresholds: P(grade >= k) = 1 / (1 + exp(theta_k - w.x)), with
-theta_1 < theta_2 < ... over the grades that occur. Weights have an L1 penalty, so that few words count; words
+theta_1 < theta_2 < ... over the grades that occur. Weights have an L1 penalty that falls with the sample's root, so that few words count, and are
+fitted again with little of it on the words that it has left; words
 that fewer than `least_docs` training texts hold have none. A text's severity is its expected grade, the sum of
 P(grade >= k) times the steps between grades; a severity of half the first grade step or more is a rejection.
 
@@ -26,7 +27,7 @@ from tracelathe.llm.columns import ALNUM, LOWER, U64, by_batch, only, run_hashes
 
 SAMPLE_ROWS = 20_000
 LEAST_DOCS = 4
-PENALTY = 3e-4
+PENALTY = 0.09
 ROUNDS = 150
 
 
@@ -85,12 +86,18 @@ def fit(grades: np.ndarray, rows: list[np.ndarray], penalty: float = PENALTY, le
     share = np.bincount(y) / len(y)
     importance = (1 / (len(levels) * share))[y] ** 0.5
     importance /= importance.sum()
+    penalty = penalty / len(y) ** 0.5  # as the noise of mean gradients
     # theta = theta_1, then positive steps; they start where the grades' shares put them.
     above = 1 - np.cumsum(share)[:-1]
     theta = np.log((1 - above) / above)
     free = np.concatenate(([theta[0]], np.log(np.maximum(np.diff(theta), 1e-3))))
     w, g2, f2 = np.zeros(len(words)), np.full(len(words), 1e-12), np.full(len(free), 1e-12)
-    for _ in range(rounds):
+    for step in range(2 * rounds):
+        if step == rounds:  # the words are chosen; their weights are now fitted with little shrinkage
+            chosen = w != 0
+            kept, number = chosen[column], np.cumsum(chosen) - 1
+            row, column, words, w, g2 = row[kept], number[column[kept]], words[chosen], w[chosen], g2[chosen]
+            penalty *= 0.05
         theta = np.cumsum(np.concatenate(([free[0]], np.exp(free[1:]))))
         s = np.bincount(row, w[column], len(y))
         upper = np.where(y > 0, _sigmoid(s - theta[np.maximum(y - 1, 0)]), 1.0)
