@@ -28,7 +28,7 @@ from tracelathe.llm.columns import ALNUM, LOWER, U64, by_batch, only, run_hashes
 SAMPLE_ROWS = 20_000
 LEAST_DOCS = 4
 PENALTY = 0.09
-ROUNDS = 150
+ROUNDS = 400
 
 
 def text_features(texts, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
