@@ -87,3 +87,30 @@ def test_shallow_trees_leave_large_nodes_exact(spark, monkeypatch, depth):
     docs = corpus(8)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == expected(docs)
+
+
+def test_recall_of_the_branchings():
+    for similarity in (0.7, 0.8, 0.85, 0.95):
+        trees, depth = near_dedup.second_branching(similarity)
+        assert (1 - similarity**depth) ** trees <= 0.003
+        assert (1 - similarity**near_dedup.DEPTH) ** near_dedup.trees_for(similarity, near_dedup.DEPTH) <= 0.003
+
+
+def test_pairs_in_a_crowd_below_the_threshold(spark):
+    """All texts have a similarity of 0.79 or so, and every two in a row one just above the threshold."""
+    rng = random.Random(6)
+    own = lambda n: [f"{rng.randrange(10**9):x}" for _ in range(n)]
+    shared = own(164)
+    docs = []
+    for _ in range(300):
+        pair = own(7)
+        docs += [" ".join(shared + pair + own(14)) for _ in range(2)]
+    docs = list(enumerate(docs))
+    sets = {d: shingles(t) for d, t in docs}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(0, 2) < 0.82 and 0.85 <= alike(0, 1) < 0.86
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame).collect()}
+    assert all(got[d] in (d, d - d % 2) for d, _ in docs)
+    missed = sum(got[d] == d for d, _ in docs if d % 2)
+    assert missed <= 4

@@ -5,14 +5,16 @@ words make one shingle). Documents with equal sets are one class, which its smal
 classes are then branched by independent trees: at each level a node's documents part by their smallest shingle
 under one of the tree's hash functions. Two sets of similarity s stay together through d levels with probability
 s**d, so nodes of at most LEAF documents are compared exhaustively as soon as they appear, larger ones are
-branched up to DEPTH levels, and TREES trees make the chance of missing a pair at the threshold less than 0.003.
+branched up to DEPTH levels, and there are as many trees as make the chance of missing a pair at the threshold at
+most MISSED.
 
 What is still large after all levels is mostly one group of near copies. There every document is first compared
 with a few hubs per tree. After the components of the links found so far are known, the documents of large nodes
 with several components are branched again, by more and deeper trees, in which nodes of one component end at once
-and only pairs of different components are compared. What is still large then is compared in full: documents outside
-the node's main component with the node's documents of other components. So pairs inside a connected component
-aren't made, and none between components is left out for a group's size.
+and only pairs of different components are compared; its trees, too, miss a pair at the threshold with at most MISSED
+at their last level, which is nearer for lower thresholds. What is still large then is compared in full: documents
+outside the node's main component with the node's documents of other components. So pairs inside a connected component
+aren't made, and of those between components the two branchings miss at most 2 * MISSED at the threshold.
 
 Sketches (one byte each of FINE further smallest shingles) only decide which pairs of a node are worth a look: a pair
 goes on unless its estimated similarity is more than three standard deviations below the threshold. Links are
@@ -27,6 +29,7 @@ component, kept); an empty table gives an empty result; other columns are ignore
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +40,17 @@ from tracelathe.llm.columns import LOWER, SOLID, U64, by_batch, gram_hashes, mix
 from tracelathe.llm.graph import components, cut
 
 SHINGLE = 5
-TREES = 8
+MISSED = 0.003
 DEPTH = 4
 LEAF = 48
 HUBS = 2
 PARTS = 32
-#: The second branching: its trees, the levels that its first nodes have, and its last level.
-TREES_2 = 16
+#: The second branching: its trees, the levels that its first nodes have, and its last level, at most each.
+TREES_2 = 42
 FIRST_2 = 6
 DEPTH_2 = 12
-FINE = TREES_2 * DEPTH_2
+#: Bytes of a sketch at least.
+FINE = 192
 #: Ids of documents that are sent to every task at most; more are joined by shuffling.
 HELD_IDS = 2_000_000
 
@@ -83,11 +87,23 @@ def smallest(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+def trees_for(similarity: float, depth: int) -> int:
+    """Trees of so many levels that miss a pair of this similarity with at most MISSED."""
+    apart = 1 - similarity**depth
+    return max(1, math.ceil(math.log(MISSED) / math.log(apart))) if apart > 0 else 1
+
+
+def second_branching(similarity: float) -> tuple[int, int]:
+    """Trees and last level: the deepest for which TREES_2 trees suffice."""
+    depth = max((d for d in range(1, DEPTH_2 + 1) if trees_for(similarity, d) <= TREES_2), default=1)
+    return trees_for(similarity, depth), depth
+
+
+def sketches(docs: DataFrame, shingle: int, coarse: int, fine_size: int) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1), shingle)
-        low = smallest(sets, TREES * DEPTH + FINE)
-        path, fine = low[:, : TREES * DEPTH], low[:, TREES * DEPTH :].astype(np.uint8)
+        low = smallest(sets, coarse + fine_size)
+        path, fine = low[:, :coarse], low[:, coarse:].astype(np.uint8)
         marks = np.array([np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64) for x in sets]).reshape(-1, 2)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([x.tobytes() for x in path], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())],
@@ -198,12 +214,14 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", num: int = 85, den: int = 100, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept, for den * intersection >= num * union."""
     docs = only(docs, doc_id=doc_id, text=text)
-    marked = sketches(docs, shingle).transform(cut)
+    trees, (trees_2, depth_2) = trees_for(num / den, DEPTH), second_branching(num / den)
+    fine_size = max(FINE, trees_2 * depth_2)
+    marked = sketches(docs, shingle, trees * DEPTH, fine_size).transform(cut)
     heads = marked.filter("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("head")).transform(cut)
     classes = marked.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "path", "fine")
     fine = classes.select("doc_id", "fine")
-    leaves, large = _branch(classes.withColumn("component", F.col("doc_id")), "path", TREES, 1, DEPTH, 4)
-    close = _leaf_pairs(leaves.join(fine, "doc_id"), _least(num / den, FINE))
+    leaves, large = _branch(classes.withColumn("component", F.col("doc_id")), "path", trees, 1, DEPTH, 4)
+    close = _leaf_pairs(leaves.join(fine, "doc_id"), _least(num / den, fine_size))
     large = large.transform(cut)
     hubs = None
     for k in range(HUBS):
@@ -214,7 +232,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", num: int = 85
     pairs = close.distinct().withColumn("part", F.lit(0)).union(stars.select("hub", "doc_id", F.expr(f"int(pmod(xxhash64(doc_id), {PARTS}))"))).transform(cut)
     links = _confirm(pairs, docs, shingle, num, den).transform(cut)
     labels = components(links)
-    rest = _between(large, labels, classes, num / den)
+    rest = _between(large, labels, classes, num / den, trees_2, depth_2, fine_size)
     if rest is not None:
         links = links.union(_confirm(rest, docs, shingle, num, den).transform(cut))
         labels = components(links)
@@ -228,15 +246,15 @@ def _least(similarity: float, coordinates: int) -> float:
     return max(0.0, similarity - 3.2 * (similarity * (1 - similarity) / coordinates) ** 0.5)
 
 
-def _between(large: DataFrame, labels: DataFrame, classes: DataFrame, similarity: float) -> DataFrame | None:
+def _between(large: DataFrame, labels: DataFrame, classes: DataFrame, similarity: float, trees: int, depth: int, fine_size: int) -> DataFrame | None:
     """Pairs (a, b, part) of different components in large nodes that may be links; None: there are none."""
     named = large.drop("component").join(labels, F.col("doc_id") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(F.col("node").alias("of")).transform(cut)
     hot = named.join(mixed, F.col("node") == F.col("of"), "left_semi").select("doc_id", "component").distinct().join(classes.select("doc_id", "fine"), "doc_id").transform(cut)
     if not hot.limit(1).count():
         return None
-    leaves, rest = _branch(hot, "fine", TREES_2, FIRST_2, DEPTH_2, 1)
-    close = _leaf_pairs(leaves.join(hot.select("doc_id", "fine"), "doc_id"), _least(similarity, FINE)).withColumn("part", F.lit(0))
+    leaves, rest = _branch(hot, "fine", trees, min(FIRST_2, depth), depth, 1)
+    close = _leaf_pairs(leaves.join(hot.select("doc_id", "fine"), "doc_id"), _least(similarity, fine_size)).withColumn("part", F.lit(0))
     counts = rest.groupBy("node", "component").count()
     main = counts.groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main")).withColumnRenamed("node", "of").transform(cut)
     open_nodes = rest.join(main, F.col("node") == F.col("of")).select("node", "doc_id", "component", "main").transform(cut)
@@ -244,6 +262,6 @@ def _between(large: DataFrame, labels: DataFrame, classes: DataFrame, similarity
     met = few.join(open_nodes, F.col("node") == F.col("of")).filter("component <> other and (component = main or a < doc_id)").select("a", F.col("doc_id").alias("b")).distinct().transform(cut)
     marks = hot.select("doc_id", "fine")
     marked = met.join(marks.select(F.col("doc_id").alias("a"), F.col("fine").alias("mark")), "a").join(marks.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "mark", "fine")
-    agreed = _agreeing(marked, _least(similarity, FINE))
+    agreed = _agreeing(marked, _least(similarity, fine_size))
     full = agreed.select("a", "b", F.expr(f"int(pmod(xxhash64(b), {PARTS}))").alias("part"))
     return close.union(full).distinct().transform(cut)
