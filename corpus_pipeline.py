@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages, each reading what the one before has written as Parquet.
 
-A document goes if it is toxic, if line dedup leaves it no line, if it is a near duplicate of a smaller doc_id, or
+A document goes if it is toxic, if line dedup leaves it no line, if it is a near duplicate (similarity 0.8) of a smaller doc_id, or
 if it is contaminated with benchmark passages. Line dedup changes `text` and `n_chars` of the others. The last
 stage returns the packed token ids. Null and empty texts pass all stages.
 """
@@ -27,7 +27,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id")
+    gone = near_dedup.near_duplicates(docs, num=80).filter("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

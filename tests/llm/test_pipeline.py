@@ -63,3 +63,16 @@ def test_empty_table(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_takes_a_similarity_of_08(spark):
+    rng = random.Random(3)
+    own = lambda n: " ".join(f"{rng.randrange(10**9):x}" for _ in range(n))
+    docs, far = [], []
+    for k in range(60):
+        base = own(100)
+        docs += [(10 * k, f"{base} {own(11)}"), (10 * k + 1, f"{base} {own(11)}")]  # 96 of 118 shingles: 0.814
+        far += [(10 * k + 2, f"{base.split(' ', 20)[-1]} {own(25)}")]  # further than 0.8 from both
+    frame = spark.createDataFrame(docs + far, "doc_id bigint, text string").repartition(4)
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()}
+    assert left == {d for d, _ in docs if d % 10 == 0} | {d for d, _ in far}
