@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each reading what the one before has written as Parquet.
 
-A document goes if it is toxic, if line dedup leaves it no line, if it is a near duplicate (similarity 0.8) of a smaller doc_id, or
-if it is contaminated with benchmark passages. Line dedup changes `text` and `n_chars` of the others. The last
+A document goes if it is toxic, if line dedup takes all of its lines but short ones (documents that only have short
+lines stay), if it is a near duplicate (similarity 0.8) of a smaller doc_id, or if it is contaminated with benchmark passages. Line dedup changes `text` and `n_chars` of the others. The last
 stage returns the packed token ids. Null and empty texts pass all stages.
 """
 
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.dedup_lines(docs).filter("text is null or n_kept > 0")
+    left = line_dedup.dedup_lines(docs).filter("text is null or n_long = 0 or n_long_kept > 0")
     n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
     return left.withColumn("n_chars", n_chars).select(docs.columns)
 

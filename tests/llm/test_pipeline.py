@@ -76,3 +76,11 @@ def test_near_dedup_takes_a_similarity_of_08(spark):
     frame = spark.createDataFrame(docs + far, "doc_id bigint, text string").repartition(4)
     left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()}
     assert left == {d for d, _ in docs if d % 10 == 0} | {d for d, _ in far}
+
+
+def test_copies_with_short_lines_leave_no_stubs(spark):
+    long = [" ".join(f"w{k}{i}" for i in range(12)) for k in range(5)]
+    texts = ["\n".join(["A title", "", long[0], long[1]]), "\n".join(["A title", "", long[0], long[1]]), "\n".join(["Other", long[1], long[2]]), "only\nshort lines", "only\nshort lines", "", None, long[0]]
+    frame = spark.createDataFrame([(d, t, len(t or "")) for d, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, frame, "").collect()}
+    assert left == {0: texts[0], 2: "Other\n" + long[2], 3: texts[3], 4: texts[4], 5: "", 6: None}

@@ -122,20 +122,26 @@ def one_word_apart(one: str, other: str):
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """The documents with repeated lines taken out of `text`, and n_lines, n_kept (0 for null texts)."""
+    """The documents with repeated lines taken out of `text`, and n_lines, n_kept (0 for null texts).
+
+    n_long and n_long_kept count only the lines of least_words words or more.
+    """
+    counted = ("n_lines", "n_kept", "n_long", "n_long_kept")
     shared_checkpoints(docs.sparkSession)
     texts = docs.select("doc_id", "text").filter("text is not null and doc_id is not null")
     firsts = first_lines(texts, least_words, near_words).checkpoint()
     gone = near_repeats(texts, firsts, near_words).checkpoint()
     kept = firsts.select("doc_id", "pos").join(gone, ["doc_id", "pos"], "left_anti")
     kept = kept.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("pos").alias("_kept"))
-    stays = f"(x, i) -> doc_id is null or size(filter(split(lower(x), '[\\t-\\r ]+'), w -> w <> '')) < {least_words} or array_contains(_kept, i)"
-    joined = docs.drop("n_lines", "n_kept").join(kept, F.col("doc_id") == F.col("_of"), "left").withColumn("_kept", F.coalesce("_kept", F.expr("array()")))
+    words = "size(filter(split(lower(x), '[\\t-\\r ]+'), w -> w <> ''))"
+    stays = f"(x, i) -> doc_id is null or {words} < {least_words} or array_contains(_kept, i)"
+    joined = docs.drop(*counted).join(kept, F.col("doc_id") == F.col("_of"), "left").withColumn("_kept", F.coalesce("_kept", F.expr("array()")))
     lines = joined.withColumn("_lines", F.split("text", "\n")).withColumn("_stay", F.expr(f"filter(_lines, {stays})"))
-    names = [x for x in docs.columns if x not in ("n_lines", "n_kept")]
+    lines = lines.withColumn("_long", F.expr(f"filter(_lines, x -> {words} >= {least_words})")).withColumn("_long_kept", F.when(F.col("doc_id").isNull(), F.col("_long")).otherwise(F.col("_kept")))
+    names = [x for x in docs.columns if x not in counted]
     text = F.array_join("_stay", "\n").alias("text")
-    counts = [F.coalesce(F.size(F.col(c)), F.lit(0)).cast("long").alias(n) for c, n in (("_lines", "n_lines"), ("_stay", "n_kept"))]
-    counts = [F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(c).alias(n) for c, n in zip(counts, ("n_lines", "n_kept"), strict=True)]
+    counts = [F.coalesce(F.size(F.col(c)), F.lit(0)).cast("long").alias(n) for c, n in (("_lines", "n_lines"), ("_stay", "n_kept"), ("_long", "n_long"), ("_long_kept", "n_long_kept"))]
+    counts = [F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(c).alias(n) for c, n in zip(counts, counted, strict=True)]
     return lines.select(*(text if x == "text" else F.col(f"`{x}`") for x in names), *counts)
 
 
