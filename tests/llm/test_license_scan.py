@@ -81,3 +81,22 @@ def test_empty_table_and_templates(spark):
     assert scan_licenses(docs, {"none": " . "}).count() == 0
     row = scan_licenses(docs).first()
     assert (row.license, row.first_word, row.last_word, row.coverage) == ("mit", 0, 4, 1.0)
+
+
+def test_foreign_words_inside_a_template(spark):
+    """As many as the density allows in one place, wherever that is, and a few more than that."""
+    words = [f"w{i}x" for i in range(100)]
+    docs, k = [], 0
+    for n, found in ((30, True), (50, True), (66, True), (67, False)):
+        for at in (10, 50, 90):
+            docs.append((k, " ".join(["qq"] * 40 + words[:at] + ["zz"] * n + words[at:] + ["qq"] * 40), found, n, at))
+            k += 1
+    rows = scan_licenses(spark.createDataFrame([d[:2] for d in docs], "doc_id bigint, text string"), {"long": " ".join(words)}).collect()
+    got = {r.doc_id: (r.first_word, r.last_word, r.n_matched) for r in rows}
+    for d, _, found, n, at in docs:
+        if found:
+            assert got[d] == (40, 139 + n, 100), (n, at)
+        elif at == 50:
+            assert got[d][2] < 100 if d in got else True
+        else:
+            assert got[d][2] == 90, (n, at)

@@ -10,8 +10,10 @@ to where the template has them.
 
 Where to align: at most n - ceil(cover * n) of a template's n words may be missing, so of any one word more than
 that one must be there. The template's words that are rarest in the document are taken for these, and each of their
-places gives a window that the whole template fits in with a quarter of its length to spare. Documents that lack
-too many of a template's words are passed over for it. Neither step loses a match. Of overlapping matches the one
+places gives two windows: one that the whole template fits in with a quarter of its length to spare, and one with as
+many words to spare on either side as `dense` lets stand between matched ones. Documents that lack too many of a
+template's words are passed over for it. Neither step leaves out a place. Matched words at the ends that make a match
+too thin are dropped as long as enough are left. Of overlapping matches the one
 with more matched words stays (then higher coverage, smaller place, smaller name).
 
 Null and empty texts and texts without words match nothing; templates without words are ignored; rows that repeat
@@ -127,14 +129,16 @@ class Templates:
 
     def windows(self, t: int, where: dict[int, list[int]], n: int) -> set[tuple[int, int]]:
         own = self.words[t]
-        spare = len(own) // 4 + 3
+        spares = (len(own) // 4 + 3, max(len(own) // 4 + 3, int(np.ceil(len(own) / self.dense)) - len(own)))
         rare = sorted(range(len(own)), key=lambda i: len(where.get(own[i], ())))[: len(own) - int(self.need[t]) + 1]
-        return {(max(0, p - i - spare), min(n, p - i + len(own) + spare)) for i in rare for p in where.get(own[i], ())}
+        return {(max(0, p - i - spare), min(n, p - i + len(own) + spare)) for spare in spares for i in rare for p in where.get(own[i], ())}
 
     def matches(self, t: int, windows, text: list[int]) -> list[tuple[int, float, int, int, str]]:
         own, found = self.words[t], []
         for a, b in windows:
             pairs = patience(own, text[a:b])
+            while len(pairs) > self.need[t] and len(pairs) < self.dense * (pairs[-1][1] - pairs[0][1] + 1):
+                pairs = pairs[1:] if pairs[1][1] - pairs[0][1] > pairs[-1][1] - pairs[-2][1] else pairs[:-1]
             if len(pairs) >= self.need[t]:
                 first, last = a + pairs[0][1], a + pairs[-1][1]
                 if len(pairs) >= self.dense * (last - first + 1):
