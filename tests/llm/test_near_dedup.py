@@ -114,3 +114,24 @@ def test_pairs_in_a_crowd_below_the_threshold(spark):
     assert all(got[d] in (d, d - d % 2) for d, _ in docs)
     missed = sum(got[d] == d for d, _ in docs if d % 2)
     assert missed <= 4
+
+
+def test_repeated_and_null_ids(spark):
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    docs = [(5, own(1)), (5, own(1)), (5, own(2)), (7, own(2) + " more"), (None, own(1)), (None, own(3)), (None, own(3)), (9, None), (9, None), (4, "a b"), (3, "a b c")]
+    frame = spark.createDataFrame([(*x, k, 0) for k, x in enumerate(docs)], "doc_id bigint, text string, place bigint, row int").repartition(3)
+    got = sorted(near_dedup.near_duplicates(frame).collect(), key=str)
+    want = [(5, 36, 5, True), (5, 36, 5, True), (5, 36, 5, True), (7, 37, 5, False), (None, 36, 5, False), (None, 36, None, True), (None, 36, None, True), (9, 0, 9, True), (9, 0, 9, True), (4, 1, 4, True), (3, 1, 3, True)]
+    assert got == sorted(want, key=str) or sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    rows = {r.place: r.kept for r in near_dedup.near_duplicates(frame, row="place").collect()}
+    assert rows == {0: True, 1: False, 2: True, 3: False, 4: False, 5: True, 6: False, 7: True, 8: True, 9: True, 10: True}
+
+
+def test_joining_a_group_makes_few_links():
+    import numpy as np
+
+    sets = [np.arange(k, 100 + k, dtype=np.uint64) for k in range(20)]
+    agreement = np.array([[max(0, 100 - abs(i - j)) / (100 + abs(i - j)) for j in range(20)] for i in range(20)])
+    links = near_dedup.join_group(list(range(20)), agreement, sets, 0.7, 85, 100)
+    assert len(links) == 19
+    assert near_dedup.join_group([3] * 20, agreement, sets, 0.7, 85, 100) == []

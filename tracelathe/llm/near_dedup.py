@@ -1,29 +1,33 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document's set holds its distinct shingles of 5 words (words are separated by blanks, A-Z lower-cased; fewer
-words make one shingle). Documents with equal sets are one class, which its smallest doc_id stands for. The
-classes are then branched by independent trees: at each level a node's documents part by their smallest shingle
-under one of the tree's hash functions. Two sets of similarity s stay together through d levels with probability
-s**d, so nodes of at most LEAF documents are compared exhaustively as soon as they appear, larger ones are
-branched up to DEPTH levels, and there are as many trees as make the chance of missing a pair at the threshold at
-most MISSED.
-
-What is still large after all levels is mostly one group of near copies. There every document is first compared
-with a few hubs per tree. After the components of the links found so far are known, the documents of large nodes
-with several components are branched again, by more and deeper trees, in which nodes of one component end at once
-and only pairs of different components are compared; its trees, too, miss a pair at the threshold with at most MISSED
-at their last level, which is nearer for lower thresholds. What is still large then is compared in full: documents
-outside the node's main component with the node's documents of other components. So pairs inside a connected component
-aren't made, and of those between components the two branchings miss at most 2 * MISSED at the threshold.
+words make one shingle). Documents with equal sets are one class. The classes are then branched by independent
+trees: at each level a node's classes part by their smallest shingle under one of the tree's hash functions. Two
+sets of similarity s stay together through d levels with probability s**d, so nodes of at most LEAF classes are
+compared exhaustively as soon as they appear, larger ones are branched up to DEPTH levels, and there are as many
+trees as make the chance of missing a pair at the threshold at most MISSED.
+
+Comparing happens inside a node and gives no pairs: a task has the sets of a node's classes, joins those that it
+finds linked, surest first, and passes over pairs that are joined already. So a node of n classes gives n - 1 links
+at most. A node that is still large after all levels is dealt into parts of about LEAF classes, and a few hubs of
+the node are members of every part. Trees are taken in batches; the components of the links found so far are known
+to the next one, in which nodes of one component end at once. So a group of copies is compared a few times, not in
+every tree.
+
+Large nodes that have several components after all batches are branched again, by more and deeper trees; its trees,
+too, miss a pair at the threshold with at most MISSED at their last level, which is nearer for lower thresholds. Where
+at most FEW classes of a node lie outside its main component, and in what is still large after the second branching,
+those classes meet all others of the node, in blocks of FEW. So pairs inside a connected component are not compared,
+and of those between components the two branchings miss at most 2 * MISSED at the threshold.
 
 Sketches (one byte each of FINE further smallest shingles) only decide which pairs of a node are worth a look: a pair
 goes on unless its estimated similarity is more than three standard deviations below the threshold. Links are
 confirmed on full sets.
 
 Defined cases: null and empty texts and texts without words have empty sets and are linked with nothing; equal
-texts are one class; the result has one row per input row, with ids as given (a doc_id that repeats is compared
-as one document per row); a row without id is a copy if its class has an id and else stands for itself (null
-component, kept); an empty table gives an empty result; other columns are ignored.
+texts are one class; texts may be of any length; the result has one row per input row, with ids as given (rows that
+repeat a doc_id are compared as one document each); a row without id is a copy if its group has an id and else stands
+for itself (null component, kept); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,15 +48,19 @@ MISSED = 0.003
 DEPTH = 4
 LEAF = 48
 HUBS = 2
-PARTS = 32
+#: Trees of the first batch; the rest is the second.
+FIRST_TREES = 2
 #: The second branching: its trees, the levels that its first nodes have, and its last level, at most each.
 TREES_2 = 42
 FIRST_2 = 6
 DEPTH_2 = 12
+#: Classes outside a node's main component that meet the rest of it in one block, and the rest's part in a task.
+FEW = 64
+BLOCK = 1024
 #: Bytes of a sketch at least.
 FINE = 192
-#: Ids of documents that are sent to every task at most; more are joined by shuffling.
-HELD_IDS = 2_000_000
+#: Ids (of 8 bytes) that are sent to every task at most; more are joined by shuffling.
+HELD_IDS = 1_000_000
 
 
 def shingle_sets(texts, size: int = SHINGLE) -> list[np.ndarray]:
@@ -100,168 +108,237 @@ def second_branching(similarity: float) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, shingle: int, coarse: int, fine_size: int) -> DataFrame:
+    """row, doc_id, n_shingles, two hashes of the set, and its smallest shingles; docs: row, doc_id, text."""
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(1), shingle)
+        sets = shingle_sets(batch.column(2), shingle)
         low = smallest(sets, coarse + fine_size)
         path, fine = low[:, :coarse], low[:, coarse:].astype(np.uint8)
-        marks = np.array([np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64) for x in sets]).reshape(-1, 2)
+        marks = set_marks(sets)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([x.tobytes() for x in path], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())],
-            names=["doc_id", "n_shingles", "high", "low", "path", "fine"],
+            [*batch.columns[:2], pa.array([len(x) for x in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([x.tobytes() for x in path], pa.binary()), pa.array([x.tobytes() for x in fine], pa.binary())],
+            names=["row", "doc_id", "n_shingles", "high", "low", "path", "fine"],
         )
 
-    return docs.mapInArrow(by_batch(work), "doc_id bigint, n_shingles bigint, high bigint, low bigint, path binary, fine binary")
-
+    return docs.mapInArrow(by_batch(work), "row bigint, doc_id bigint, n_shingles bigint, high bigint, low bigint, path binary, fine binary")
 
-def _leaf_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of each node of at most LEAF documents that lie in different components and whose sketches agree enough.
 
-    rows: node, doc_id, component, fine.
-    """
+def set_marks(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit hashes of each set."""
+    return np.array([np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64) for x in sets], np.int64).reshape(-1, 2)
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            node = held.column(0).to_numpy()
-            cut = int(np.searchsorted(node, node[-1])) if len(node) else 0  # the last node may go on in the next batch
-            if cut:
-                yield from pairs(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield from pairs(held)
-
-    def pairs(table):
-        node, doc, component = (table.column(c).to_numpy() for c in range(3))
-        fine = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(len(node), -1)
-        for d in range(1, LEAF):
-            same = node[:-d] == node[d:]
-            if not same.any():
-                break
-            i = np.flatnonzero(same & (component[:-d] != component[d:]))
-            i = i[(fine[i] == fine[i + d]).mean(axis=1) >= least]
-            if len(i):
-                a, b = np.minimum(doc[i], doc[i + d]), np.maximum(doc[i], doc[i + d])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return rows.select("node", "doc_id", "component", "fine").repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
+def _groups(batches):
+    """Tables of whole groups from batches that are sorted by their first column, the group."""
+    held = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        group = held.column(0).to_numpy()
+        cut = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last group may go on in the next batch
+        if cut:
+            yield held.slice(0, cut)
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
 
 
-def _agreeing(met: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of rows (a, b, mark, fine) whose sketches agree enough."""
+def _close(rows: DataFrame, least: float) -> DataFrame:
+    """The members (node, id, component, fine) of groups that have another member of another component whose sketch agrees enough."""
 
     def run(batches):
-        for batch in batches:
-            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
-            kept = pa.array((one == other).mean(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+        for table in _groups(batches):
+            node, component = table.column(0).to_numpy(), table.column(2).to_numpy()
+            fine = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(len(node), -1)
+            good, d = np.zeros(len(node), bool), 1
+            while (same := node[:-d] == node[d:]).any():
+                i = np.flatnonzero(same & (component[:-d] != component[d:]))
+                i = i[(fine[i] == fine[i + d]).mean(axis=1) >= least]
+                good[i] = good[i + d] = True
+                d += 1
+            if good.any():
+                yield from table.filter(pa.array(good)).combine_chunks().to_batches()
+
+    return rows.select("node", "id", "component", "fine").repartition("node").sortWithinPartitions("node").mapInArrow(run, "node bigint, id bigint, component bigint, fine binary")
+
+
+def join_group(component: list[int], agreement: np.ndarray, sets: list[np.ndarray], least: float, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (places of two members) that join the components of a group as far as its sets are linked; surest pairs first."""
+    label = {c: c for c in component}
+
+    def root(c):
+        while label[c] != c:
+            label[c] = c = label[label[c]]
+        return c
+
+    i, j = np.nonzero(np.triu(agreement >= least, 1))
+    out = []
+    for k in np.argsort(-agreement[i, j], kind="stable").tolist():
+        a, b = int(i[k]), int(j[k])
+        p, q = root(component[a]), root(component[b])
+        x, y = sets[a], sets[b]
+        if p != q and den * min(len(x), len(y)) >= num * max(len(x), len(y)):
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if den * common >= num * (len(x) + len(y) - common):
+                label[q] = p
+                out.append((a, b))
+    return out
+
 
-    return met.mapInArrow(run, "a bigint, b bigint")
+def _links(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, fine_size: int) -> DataFrame:
+    """Links (a, b) between classes of different components that share a group; groups: node, id, component."""
+    least = _least(num / den, fine_size)
+    close = _close(groups.join(classes.select("id", "fine"), "id"), least).transform(cut)
+    ids = close.select("id").distinct().transform(cut)
+    wanted = classes.select("id", "head", "high", "low").join(ids, "id", "left_semi").transform(cut)
+    heads = wanted.select("head").distinct()
+    heads = F.broadcast(heads) if wanted.count() <= HELD_IDS else heads
 
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(batch.column(0), shingle)
+        marks = set_marks(sets)
+        return pa.RecordBatch.from_arrays([pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([x.tobytes() for x in sets], pa.binary())], names=["h", "l", "members"])
 
-def _branch(docs: DataFrame, path: str, trees: int, first: int, depth: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes of at most LEAF documents, nodes that stay large): node, tree, doc_id, component.
+    texts = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi").select("text")
+    found = texts.mapInArrow(by_batch(work), "h bigint, l bigint, members binary")
+    sets = found.join(wanted, (F.col("h") == F.col("high")) & (F.col("l") == F.col("low"))).select(F.col("id").alias("of"), "members").dropDuplicates(["of"])
 
-    docs: doc_id, component, and the column `path` with `width` bytes per level of each tree. The first nodes are those
+    def judge(batches):
+        for table in _groups(batches):
+            node, ids = table.column(0).to_numpy(), table.column(1).to_pylist()
+            edges = [*np.flatnonzero(np.diff(node, prepend=node[0] - 1)).tolist(), len(node)]
+            component, fine, members = (table.column(c) for c in (2, 3, 4))
+            a, b = [], []
+            for c, e in zip(edges, edges[1:], strict=False):
+                bytes_ = np.frombuffer(b"".join(fine[c:e].to_pylist()), np.uint8).reshape(e - c, -1)
+                agreement = np.stack([(bytes_ == x).mean(axis=1) for x in bytes_])
+                own = [np.frombuffer(x.as_buffer(), U64) for x in members[c:e]]
+                for x, y in join_group(component[c:e].to_pylist(), agreement, own, least, num, den):
+                    a.append(ids[c + x])
+                    b.append(ids[c + y])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = close.join(sets, F.col("id") == F.col("of")).select("node", "id", "component", "fine", "members")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(judge, "a bigint, b bigint").transform(cut)
+
+
+def _branch(classes: DataFrame, path: str, trees: range, first: int, depth: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes of at most LEAF classes, nodes that stay large): node, tree, id, component; and count of the large ones.
+
+    classes: id, component, and the column `path` with `width` bytes per level of each tree. The first nodes are those
     of level `first`; nodes of one component end.
     """
-    each = F.expr(f"transform(sequence(0, {trees - 1}), t -> named_struct('tree', t, 'path', substring({path}, t * {width * depth} + 1, {width * depth})))")
-    rows = docs.select("doc_id", "component", F.explode(each).alias("x")).select("doc_id", "component", "x.tree", "x.path")
+    each = F.expr(f"transform(sequence({trees.start}, {trees.stop - 1}), t -> named_struct('tree', t, 'path', substring({path}, t * {width * depth} + 1, {width * depth})))")
+    rows = classes.select("id", "component", F.explode(each).alias("x")).select("id", "component", "x.tree", "x.path")
     rows = rows.withColumn("node", F.xxhash64("tree", F.expr(f"substring(path, 1, {width * first})")))
     leaves = None
     for level in range(first, depth + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.min("component").alias("low"), F.max("component").alias("high"))
         sizes = sizes.filter("low < high").select(F.col("node").alias("of"), "count").transform(cut)
         rows = rows.join(sizes, F.col("node") == F.col("of")).drop("of").transform(cut)
-        small = rows.filter(f"count <= {LEAF}").select("node", "tree", "doc_id", "component")
+        small = rows.filter(f"count <= {LEAF}").select("node", "tree", "id", "component")
         leaves = small if leaves is None else leaves.union(small)
-        rows = rows.filter(f"count > {LEAF}").drop("count")
+        rows = rows.filter(f"count > {LEAF}")
         if level < depth:
-            rows = rows.withColumn("node", F.xxhash64("node", F.expr(f"substring(path, {width * level + 1}, {width})")))
+            rows = rows.drop("count").withColumn("node", F.xxhash64("node", F.expr(f"substring(path, {width * level + 1}, {width})")))
             if not rows.limit(1).count():
+                rows = rows.withColumn("count", F.lit(0).cast("bigint"))
                 break
-    return leaves, rows.select("node", "tree", "doc_id", "component")
+    return leaves, rows.select("node", "tree", "id", "component", "count")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, part) whose full sets have den * intersection >= num * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().transform(cut)
-    wanted = F.broadcast(ids) if ids.count() <= HELD_IDS else ids
+def _dealt(large: DataFrame) -> DataFrame:
+    """Large nodes in parts of about LEAF classes, each with the node's hubs: node, id, component."""
+    parts = F.expr(f"int(ceil(count / {LEAF - HUBS}))")
+    one = large.select("node", "id", "component", parts.alias("parts"))
+    place = F.xxhash64("id", "node")
+    low = [F.min(F.struct(F.xxhash64("id", "node", F.lit(k)), "id", "component")).alias(f"hub{k}") for k in range(HUBS)]
+    hubs = one.groupBy("node").agg(F.first("parts").alias("parts"), *low)
+    hub = F.array_distinct(F.array(*(F.struct(f"hub{k}.id", f"hub{k}.component") for k in range(HUBS))))
+    hubs = hubs.select("node", "parts", F.explode(hub).alias("x")).select("node", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    members = one.select(F.xxhash64("node", F.pmod(place, F.col("parts")).cast("int")).alias("node"), "id", "component")
+    return members.union(hubs.select(F.xxhash64("node", "part").alias("node"), "x.id", "x.component")).distinct()
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1), shingle)], pa.binary())], names=["id", "members"])
 
-    sets = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(by_batch(work), "id bigint, members binary").transform(cut)
-    left = pairs.select("a", "part").distinct().join(sets, F.col("a") == F.col("id")).select("a", "part", F.col("members").alias("left"))
-    with_left = pairs.join(left, ["a", "part"])
-    both = with_left.join(sets, F.col("b") == F.col("id")).select("a", "b", "left", F.col("members").alias("right"))
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows with the components that are known now."""
+    return rows.drop("component").join(labels.select(F.col("id").alias("of"), "component"), F.col("id") == F.col("of"), "left").drop("of").withColumn("component", F.coalesce("component", "id"))
 
-    def judge(batches):
-        for batch in batches:
-            a, b = (x.to_numpy() for x in batch.columns[:2])
-            good = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if den * min(len(x), len(y)) >= num * max(len(x), len(y)):
-                    common = len(x) + len(y) - len(np.union1d(x, y))
-                    if den * common >= num * (len(x) + len(y) - common):
-                        good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(a[good], pa.int64()), pa.array(b[good], pa.int64())], names=["a", "b"])
-
-    return both.mapInArrow(judge, "a bigint, b bigint")
-
-
-def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", num: int = 85, den: int = 100, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and kept, for den * intersection >= num * union."""
-    docs = only(docs, doc_id=doc_id, text=text)
-    trees, (trees_2, depth_2) = trees_for(num / den, DEPTH), second_branching(num / den)
+
+def _mixed(large: DataFrame) -> DataFrame:
+    """The nodes of several components: node, id, component, main (the largest one), others (classes outside it)."""
+    counts = large.groupBy("node", "component").count()
+    main = counts.groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main"), (F.sum("count") - F.max("count")).alias("others"), F.sum("count").alias("size"))
+    main = main.filter("others > 0").withColumnRenamed("node", "of").transform(cut)
+    return large.select("node", "id", "component").join(main, F.col("node") == F.col("of")).drop("of").transform(cut)
+
+
+def _met(mixed: DataFrame) -> DataFrame:
+    """Groups in which every class outside a node's main component meets all classes of the node: node, id, component."""
+    own = F.pmod(F.xxhash64("id"), F.ceil(F.col("others") / FEW)).cast("int")
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("size") / BLOCK)).cast("int")
+    blocks = lambda n, size: F.sequence(F.lit(0), F.ceil(F.col(n) / size).cast("int") - 1)
+    few = mixed.filter("component <> main").select("node", "id", "component", own.alias("block"), F.explode(blocks("size", BLOCK)).alias("part"))
+    rest = mixed.select("node", "id", "component", F.explode(blocks("others", FEW)).alias("block"), part.alias("part"))
+    return few.union(rest).select(F.xxhash64("node", "block", "part").alias("node"), "id", "component").distinct()
+
+
+def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", num: int = 85, den: int = 100, shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and kept, for den * intersection >= num * union.
+
+    With `row`, a column that tells rows apart, the result has that column too, and exactly one row of each group is
+    kept: that with the smallest doc_id (null ids last), then the smallest row.
+    """
+    docs = only(docs, doc_id=doc_id, text=text) if row is None else only(docs, doc_id=doc_id, text=text, row=row)
+    similarity = num / den
+    trees, (trees_2, depth_2) = trees_for(similarity, DEPTH), second_branching(similarity)
     fine_size = max(FINE, trees_2 * depth_2)
-    marked = sketches(docs, shingle, trees * DEPTH, fine_size).transform(cut)
-    heads = marked.filter("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("head")).transform(cut)
-    classes = marked.join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "path", "fine")
-    fine = classes.select("doc_id", "fine")
-    leaves, large = _branch(classes.withColumn("component", F.col("doc_id")), "path", trees, 1, DEPTH, 4)
-    close = _leaf_pairs(leaves.join(fine, "doc_id"), _least(num / den, fine_size))
-    large = large.transform(cut)
-    hubs = None
-    for k in range(HUBS):
-        top = large.groupBy("node", "tree").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.col("tree") * HUBS + k)).alias("hub"))
-        hubs = top if hubs is None else hubs.union(top)
-    hubs = hubs.select(F.col("node").alias("of"), "hub").distinct().transform(cut)
-    stars = large.join(hubs, F.col("node") == F.col("of")).filter("hub <> doc_id").select("hub", "doc_id").distinct()
-    pairs = close.distinct().withColumn("part", F.lit(0)).union(stars.select("hub", "doc_id", F.expr(f"int(pmod(xxhash64(doc_id), {PARTS}))"))).transform(cut)
-    links = _confirm(pairs, docs, shingle, num, den).transform(cut)
-    labels = components(links)
-    rest = _between(large, labels, classes, num / den, trees_2, depth_2, fine_size)
-    if rest is not None:
-        links = links.union(_confirm(rest, docs, shingle, num, den).transform(cut))
-        labels = components(links)
-    named = heads.join(labels, F.col("head") == F.col("id"), "left").select(F.col("high").alias("h"), F.col("low").alias("l"), F.coalesce("component", "head").alias("component")).transform(cut)
-    out = marked.select("doc_id", "n_shingles", "high", "low").join(named, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("n_shingles") > 0), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"))
+    marked = sketches(docs.select(F.lit(0).cast("bigint").alias("row") if row is None else "row", "doc_id", "text"), shingle, trees * DEPTH, fine_size).transform(cut)
+    classes = marked.filter("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("head"), F.first("path").alias("path"), F.first("fine").alias("fine"))
+    classes = classes.withColumn("id", F.monotonically_increasing_id()).transform(cut)
+    find = lambda groups: _links(groups, classes, docs, shingle, num, den, fine_size)
+    labels = classes.select("id", F.col("id").alias("component")).limit(0)
+    links, crowds = [], []
+    for batch in (range(0, min(FIRST_TREES, trees)), range(min(FIRST_TREES, trees), trees)):
+        if len(batch):
+            leaves, large = _branch(_labelled(classes.select("id", "path"), labels), "path", batch, 1, DEPTH, 4)
+            crowds.append(large.transform(cut))
+            links.append(find(leaves.select("node", "id", "component").union(_dealt(crowds[-1]))))
+            labels = components(_all(links))
+    mixed = _mixed(_labelled(_all(crowds), labels))
+    hard = _labelled(mixed.filter(f"others > {FEW}").select("id").distinct(), labels).join(classes.select("id", "fine"), "id").transform(cut)
+    groups = _met(mixed.filter(f"others <= {FEW}"))
+    if hard.limit(1).count():
+        leaves, large = _branch(hard, "fine", range(trees_2), min(FIRST_2, depth_2), depth_2, 1)
+        large = large.transform(cut)
+        links.append(find(groups.union(leaves.select("node", "id", "component")).union(_dealt(large))))
+        labels = components(_all(links))
+        groups = _met(_mixed(_labelled(large, labels)))
+    groups = groups.transform(cut)
+    if groups.limit(1).count():
+        links.append(find(groups))
+        labels = components(_all(links))
+    named = _labelled(classes.select("id", "head", F.col("high").alias("h"), F.col("low").alias("l")), labels)
+    heads = named.groupBy(F.col("component").alias("of")).agg(F.min("head").alias("component_id"))
+    named = named.join(heads, F.col("component") == F.col("of")).select("h", "l", "component", "component_id").transform(cut)
+    out = marked.select("row", "doc_id", "n_shingles", "high", "low").join(named, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("n_shingles") > 0), "left")
+    component = F.coalesce("component_id", F.when(F.col("component").isNull(), F.col("doc_id")))
+    result = out.select("row", "doc_id", "n_shingles", "component", component.alias("component_id"))
+    if row is None:
+        kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull())
+        return result.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    stays = result.filter("component is not null").groupBy(F.col("component").alias("of")).agg(F.min(order).alias("first"))
+    kept = F.coalesce(F.col("first.row") == F.col("row"), F.lit(True))
+    return result.join(stays, F.col("component") == F.col("of"), "left").select(F.col("row").alias(row), "doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 def _least(similarity: float, coordinates: int) -> float:
     return max(0.0, similarity - 3.2 * (similarity * (1 - similarity) / coordinates) ** 0.5)
-
-
-def _between(large: DataFrame, labels: DataFrame, classes: DataFrame, similarity: float, trees: int, depth: int, fine_size: int) -> DataFrame | None:
-    """Pairs (a, b, part) of different components in large nodes that may be links; None: there are none."""
-    named = large.drop("component").join(labels, F.col("doc_id") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select(F.col("node").alias("of")).transform(cut)
-    hot = named.join(mixed, F.col("node") == F.col("of"), "left_semi").select("doc_id", "component").distinct().join(classes.select("doc_id", "fine"), "doc_id").transform(cut)
-    if not hot.limit(1).count():
-        return None
-    leaves, rest = _branch(hot, "fine", trees, min(FIRST_2, depth), depth, 1)
-    close = _leaf_pairs(leaves.join(hot.select("doc_id", "fine"), "doc_id"), _least(similarity, fine_size)).withColumn("part", F.lit(0))
-    counts = rest.groupBy("node", "component").count()
-    main = counts.groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main")).withColumnRenamed("node", "of").transform(cut)
-    open_nodes = rest.join(main, F.col("node") == F.col("of")).select("node", "doc_id", "component", "main").transform(cut)
-    few = open_nodes.filter("component <> main").select(F.col("node").alias("of"), F.col("doc_id").alias("a"), F.col("component").alias("other")).transform(cut)
-    met = few.join(open_nodes, F.col("node") == F.col("of")).filter("component <> other and (component = main or a < doc_id)").select("a", F.col("doc_id").alias("b")).distinct().transform(cut)
-    marks = hot.select("doc_id", "fine")
-    marked = met.join(marks.select(F.col("doc_id").alias("a"), F.col("fine").alias("mark")), "a").join(marks.withColumnRenamed("doc_id", "b"), "b").select("a", "b", "mark", "fine")
-    agreed = _agreeing(marked, _least(similarity, fine_size))
-    full = agreed.select("a", "b", F.expr(f"int(pmod(xxhash64(b), {PARTS}))").alias("part"))
-    return close.union(full).distinct().transform(cut)
