@@ -3,8 +3,8 @@
 A document's set holds its distinct shingles of 5 words (words are separated by blanks, A-Z lower-cased; fewer
 words make one shingle). Documents with equal sets are one class. The classes are then branched by independent
 trees: at each level a node's classes part by their smallest shingle under one of the tree's hash functions. Two
-sets of similarity s stay together through d levels with probability s**d, so nodes of at most LEAF classes are
-compared exhaustively as soon as they appear, larger ones are branched up to DEPTH levels, and there are as many
+sets of similarity s stay together through d levels with probability s**d, so from level FIRST on nodes of at most LEAF
+classes are compared exhaustively as soon as they appear, larger ones are branched up to DEPTH levels, and there are as many
 trees as make the chance of missing a pair at the threshold at most MISSED.
 
 Comparing happens inside a node and gives no pairs: a task has the sets of a node's classes, joins those that it
@@ -45,6 +45,8 @@ from tracelathe.llm.graph import components, cut
 
 SHINGLE = 5
 MISSED = 0.003
+#: The first branching: the level of its first nodes, and its last.
+FIRST = 2
 DEPTH = 4
 LEAF = 48
 HUBS = 2
@@ -301,7 +303,7 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", num: int = 85
     links, crowds = [], []
     for batch in (range(0, min(FIRST_TREES, trees)), range(min(FIRST_TREES, trees), trees)):
         if len(batch):
-            leaves, large = _branch(_labelled(classes.select("id", "path"), labels), "path", batch, 1, DEPTH, 4)
+            leaves, large = _branch(_labelled(classes.select("id", "path"), labels), "path", batch, min(FIRST, DEPTH), DEPTH, 4)
             crowds.append(large.transform(cut))
             links.append(find(leaves.select("node", "id", "component").union(_dealt(crowds[-1]))))
             labels = components(_all(links))
