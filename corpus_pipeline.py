@@ -1,14 +1,18 @@
 """The corpus pipeline: five stages, each reading what the one before has written as Parquet.
 
 A document goes if it is toxic, if line dedup takes all of its lines but short ones (documents that only have short
-lines stay), if it is a near duplicate (similarity 0.8) of a smaller doc_id, or if it is contaminated with benchmark passages. Line dedup changes `text` and `n_chars` of the others. The last
-stage returns the packed token ids. Null and empty texts pass all stages.
+lines stay), if it is a near duplicate (similarity 0.8) of a document that stays (of each group the one with the smallest
+doc_id does), or if it is contaminated with benchmark passages. Line dedup changes `text` and `n_chars` of the others. The
+last stage returns the packed token ids.
+
+Every stage filters rows in place, so a row's verdict doesn't depend on other rows that have its doc_id. Null and empty
+texts pass all stages. Rows without doc_id keep their lines and are judged like others elsewhere; of near copies the one with
+the smallest id stays, rows without id last. Rows that repeat id and text are one document for line dedup; near dedup keeps
+one of them. Texts may be of any length, other columns may have any names, and empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,19 +25,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.dedup_lines(docs).filter("text is null or n_long = 0 or n_long_kept > 0")
+    left = line_dedup.drop_repeated(docs)
     n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
-    return left.withColumn("n_chars", n_chars).select(docs.columns)
+    return left.withColumn("n_chars", n_chars) if "n_chars" in docs.columns else left
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_duplicates(docs, num=80).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return near_dedup.drop_near_copies(docs, num=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(docs, columns.read(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.drop_contaminated(docs, columns.read(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents of a data folder; what each writes goes to the checkpoint folder."""
-    graph.shared_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = graph.table_path(spark, "pipeline")
     docs = columns.read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

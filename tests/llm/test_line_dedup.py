@@ -1,6 +1,7 @@
 import random
 import re
 
+from tracelathe.llm import line_dedup
 from tracelathe.llm.line_dedup import dedup_lines
 
 
@@ -62,3 +63,30 @@ def test_empty_table(spark):
 def test_plan_has_no_python(spark):
     plan = dedup_lines(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_repeated_ids_null_ids_and_clashing_columns(spark):
+    long = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(5)]
+    docs = [(1, long[0] + "\nshort", 0), (1, long[0] + "\nshort", 1), (1, long[0] + "\n" + long[1], 2), (2, long[1], 3), (None, long[0], 4), (3, long[2] + " more", 5), (4, long[2], 6)]
+    names = ("rest", "kept", "lines", "long", "places", "stay", "mark", "_kept", "_of", "of_doc_id", "n_long", "of_mark", "pos")
+    frame = spark.createDataFrame([(*x, *range(len(names))) for x in docs], "doc_id bigint, text string, k int, " + ", ".join(f"{n} int" for n in names)).repartition(3)
+    rows = {r.k: r for r in dedup_lines(frame).collect()}
+    # Documents of one id stand in an order by their texts' hashes; of equal lines in them one stays.
+    assert rows[0].text == rows[1].text and {rows[0].text, rows[2].text} in ({docs[0][1], long[1]}, {"short", docs[2][1]})
+    assert [rows[k].text for k in range(3, 7)] == ["", long[0], docs[5][1], ""]
+    assert rows[0].rest == 0 and rows[0].n_long == 1 and rows[0].pos == len(names) - 1
+    left = line_dedup.drop_repeated(frame)
+    assert left.columns == frame.columns and {r.k for r in left.collect()} in ({0, 1, 2, 4, 5}, {2, 4, 5}) and {r.n_long for r in left.collect()} == {10}
+
+
+def test_documents_of_many_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HELD_BYTES", 0)
+    many = "\n".join(f"line {k % 3000} of a long text" if k % 5 else "-" for k in range(20_000))
+    rows = {r.doc_id: r for r in dedup_lines(spark.createDataFrame([(1, many), (2, many)], "doc_id bigint, text string")).collect()}
+    assert rows[1].n_lines == rows[2].n_lines == 20_000 and (rows[1].n_kept, rows[1].n_long_kept) == (4000 + 2400, 2400) and rows[2].n_kept == 4000
+
+
+def test_bounds_of_one_and_two_words(spark):
+    docs = [(1, "one two three\none two four\n\nalone"), (2, "alone\none three\nother words here\nTwo three")]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), 1, 2).collect()}
+    assert got == {1: "one two three\n\nalone", 2: "other words here"}

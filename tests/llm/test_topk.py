@@ -34,3 +34,9 @@ def test_equals_brute_force(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), 20, 20).count() == 0
+
+
+def test_repeated_ids_have_one_rank_each(spark):
+    rows = [(0, [2.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0]), (20, [0.0, 1.0]), (20, [1.0, 1.0, 1.0]), (3, [1.0, 1.0, 2.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), k=3, every=20).orderBy("query_id", "rank", "score").collect()]
+    assert got == [(0, 1, 2, 3 * 4096), (0, 2, 2, 3 * 4096), (0, 3, 1, 4096), (20, 1, 1, 4096), (20, 1, 3, 4 * 4096), (20, 2, 0, 0), (20, 3, 0, 0)]

@@ -8,12 +8,13 @@ both directions as far as the words agree; a run of 13 words or more is a hit. A
 window; documents are winnowed once more for every such length that occurs.
 
 If the benchmark's texts have at most `held_bytes` bytes in all, its fingerprints and words go to every task and
-one pass over the documents does it all. Else the fingerprints are joined by Spark, the item ids found are
-gathered per document, and only the texts of those items travel to it. Results are the same.
+one pass over the documents does it all. Else the fingerprints are joined by Spark, and each document meets the texts of the
+items found for it in portions of about SHELF bytes. Results are the same.
 
-Defined cases: null or empty texts and texts without words have no words, no hits and are not contaminated;
-null items and items without words have no windows; items that repeat count as often as they have ids; an empty
-benchmark contaminates nothing; documents without id are judged in the first way only. Other columns of the tables are ignored.
+Defined cases: null or empty texts and texts without words have no words, no hits and are not contaminated; texts may be of
+any length; null items, items without id and items without words have no windows; items that repeat count as often as they
+have ids; an empty benchmark contaminates nothing; every row is judged by itself, also rows without id and rows that repeat
+an id. Other columns of the tables are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +23,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelathe.llm.columns import ALNUM, LOWER, U64, by_batch, gram_hashes, only, run_hashes, text_bytes, word_runs
+from tracelathe.llm.graph import cut, numbered
 
 WINDOW = 13
 GRAM = 5
 HELD_BYTES = 8 << 20
+SHELF = 1 << 20
 
 
 def winnow(grams: np.ndarray, width: int) -> np.ndarray:
@@ -130,7 +134,7 @@ class Items:
 RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, item_ids array<bigint>, contaminated boolean"
 
 
-def _judge(ids: pa.Array, docs: Words, spans: dict[int, list[tuple[int, int, int]]]) -> pa.RecordBatch:
+def _judge(ids: pa.Array, docs: Words, spans: dict[int, list[tuple[int, int, int]]], names: dict[int, list[int]] | None = None) -> pa.RecordBatch:
     words = np.diff(docs.first)
     hit, items = np.zeros(len(words), np.int64), [[] for _ in words]
     for d, own in spans.items():
@@ -138,7 +142,7 @@ def _judge(ids: pa.Array, docs: Words, spans: dict[int, list[tuple[int, int, int
         for a, b, _ in own:
             marks[a - docs.first[d] : b - docs.first[d]] = True
         hit[d] = marks.sum()
-        items[d] = sorted({i for _, _, i in own}, key=str)
+        items[d] = sorted(names[d] if names else {i for _, _, i in own}, key=str)
     digests = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in items]
     return pa.RecordBatch.from_arrays(
         [
@@ -149,9 +153,13 @@ def _judge(ids: pa.Array, docs: Words, spans: dict[int, list[tuple[int, int, int
     )
 
 
-def _whole(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _held(spark, items: DataFrame):
     rows = items.collect()  # at most held_bytes of text
-    held = docs.sparkSession.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows]))
+    return spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows]))
+
+
+def _whole(docs: DataFrame, items: DataFrame) -> DataFrame:
+    held = _held(docs.sparkSession, items)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(batch.column(1))
@@ -160,14 +168,19 @@ def _whole(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.mapInArrow(by_batch(work), RESULT)
 
 
-def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, row: str) -> DataFrame:
+    """As RESULT, with the rows' numbers in front; docs: row, doc_id, text (a written table)."""
+    texts = items.select("text").distinct().withColumn("of", F.monotonically_increasing_id()).transform(cut)
+    named = items.join(texts, "text").select("item_id", "of").distinct()
+    shelves = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHELF))
+
     def item_prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = Items(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        own = Items(batch.column(1).to_pylist(), batch.column(0).to_pylist())
         ids = np.array(own.ids, np.int64)[own.words.text[own.places]]
         window = np.minimum(np.diff(own.words.first), WINDOW)[own.words.text[own.places]]
-        return pa.RecordBatch.from_arrays([pa.array(own.prints.view(np.int64)), pa.array(ids), pa.array(window.astype(np.int32))], names=["print", "item_id", "size"])
+        return pa.RecordBatch.from_arrays([pa.array(own.prints.view(np.int64)), pa.array(ids), pa.array(window.astype(np.int32))], names=["print", "of", "size"])
 
-    item_fp = items.mapInArrow(by_batch(item_prints), "print bigint, item_id bigint, size int").distinct()
+    item_fp = texts.mapInArrow(by_batch(item_prints), "print bigint, of bigint, size int").distinct().transform(cut)
     sizes = [r["size"] for r in item_fp.select("size").distinct().collect()]  # at most 13 numbers
 
     def doc_prints(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -175,28 +188,95 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
         parts = [words.prints(w) for w in sizes]
         at = np.concatenate([x[0] for x in parts]) if parts else np.zeros(0, np.int64)
         value = np.concatenate([x[1] for x in parts]) if parts else np.zeros(0, U64)
-        ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))[words.text[at]]
-        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids, pa.int64())], names=["print", "doc_id"])
+        rows = batch.column(0).to_numpy()[words.text[at]]
+        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(rows, pa.int64())], names=["print", "at"])
 
-    doc_fp = docs.filter("doc_id is not null").mapInArrow(by_batch(doc_prints), "print bigint, doc_id bigint")
-    pairs = doc_fp.join(item_fp.select("print", "item_id"), "print").select("doc_id", "item_id").distinct()
-    near = pairs.join(items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "text")).alias("near"))
+    prints = docs.select(F.col(row).alias("at"), "text").mapInArrow(by_batch(doc_prints), "print bigint, at bigint").distinct()
+    pairs = prints.join(item_fp.select("print", "of"), "print").select("at", "of").distinct()
+    shelf = F.pmod(F.xxhash64("of"), F.lit(shelves)).alias("shelf")
+    near = pairs.join(texts, "of").groupBy("at", shelf).agg(F.collect_list(F.struct("of", "text")).alias("near"))
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, spans = Words(batch.column(1)), {}
+        rows, spans, found = [], [], []
         for d, own in enumerate(batch.column(2).to_pylist()):
+            hits = Items([x["of"] for x in own], [x["text"] for x in own]).spans(Words(batch.column(1).slice(d, 1))).get(0, [])
+            if hits:
+                rows.append(batch.column(0)[d].as_py())
+                spans.append(np.array(sorted({(a, b) for a, b, _ in hits}), np.int64).tobytes())
+                found.append(sorted({i for _, _, i in hits}))
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["at", "spans", "found"])
+
+    met = docs.join(near, F.col(row) == F.col("at")).select("at", "text", "near")
+    hits = met.mapInArrow(by_batch(verify), "at bigint, spans binary, found array<bigint>").transform(cut)
+    ids = hits.select("at", F.explode("found").alias("of")).join(named, "of").groupBy("at").agg(F.collect_set("item_id").alias("ids"))
+    marks = hits.groupBy("at").agg(F.collect_list("spans").alias("spans")).join(ids, "at")
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, spans = Words(batch.column(2)), {}
+        for d, (own, names) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
             if own:
-                one = Words(batch.column(1).slice(d, 1))
-                for a, b, i in Items([x["item_id"] for x in own], [x["text"] for x in own]).spans(one).get(0, []):
-                    spans.setdefault(d, []).append((a + int(words.first[d]), b + int(words.first[d]), i))
-        return _judge(batch.column(0), words, spans)
+                first = int(words.first[d])
+                all_spans = [x for part in own for x in np.frombuffer(part, np.int64).reshape(-1, 2).tolist()]
+                spans[d] = [(a + first, b + first, None) for a, b in all_spans], names
+        out = _judge(batch.column(1), words, {d: x for d, (x, _) in spans.items()}, {d: names for d, (_, names) in spans.items()})
+        return pa.RecordBatch.from_arrays([batch.column(0), *out.columns], names=[row, *out.schema.names])
+
+    whole = docs.join(marks, F.col(row) == F.col("at"), "left").select(row, "doc_id", "text", "spans", "ids")
+    return whole.mapInArrow(by_batch(judge), f"`{row}` bigint, {RESULT}")
 
-    return docs.join(near, "doc_id", "left").select("doc_id", "text", "near").mapInArrow(by_batch(verify), RESULT)
+
+def _items(benchmark: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, int]:
+    items = only(benchmark, item_id=item_id, text=item_text).filter("text is not null and item_id is not null")
+    return items, items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text", held_bytes: int = HELD_BYTES) -> DataFrame:
     """One row per document: words, hit words, the items found (ids as sorted strings), and the verdict."""
     docs = only(docs, doc_id=doc_id, text=text)
-    items = only(benchmark, item_id=item_id, text=item_text).filter("text is not null and item_id is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return _whole(docs, items) if size <= held_bytes else _joined(docs, items)
+    items, size = _items(benchmark, item_id, item_text)
+    if size <= held_bytes:
+        return _whole(docs, items)
+    docs, row = numbered(docs)
+    return _joined(docs, items, row).drop(row)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text="text", item_id="item_id", item_text="text", held_bytes: int = HELD_BYTES) -> DataFrame:
+    """The rows, with all their columns, that aren't contaminated."""
+    items, size = _items(benchmark, item_id, item_text)
+    if size > held_bytes:
+        rows, row = numbered(docs)
+        named = rows.select(F.col(row), F.lit(None).cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+        return rows.join(_joined(named, items, row).filter("contaminated").select(row), row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    held = _held(docs.sparkSession, items)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(batch.schema.get_field_index(text))
+        words = Words(texts)
+        judged = _judge(pa.nulls(batch.num_rows, pa.int64()), words, held.value.spans(words))
+        return batch.filter(pc.invert(judged.column(judged.schema.get_field_index("contaminated"))))
+
+    return docs.mapInArrow(by_batch(work, text), docs.schema)
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+#: The same result in DuckDB: every window of every document against every window of every item.
+ORACLE = f"""
+WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[j:j + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), {WINDOW}) AS k, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS j FROM iw WHERE len(w) > 0) x
+), dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+places AS (
+  SELECT doc_id, k, j, array_to_string(w[j:j + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM dw, (SELECT DISTINCT k FROM windows) s WHERE len(w) >= k) x
+), hits AS (SELECT doc_id, j, k, item_id FROM places JOIN windows USING (k, g)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + k)) AS p FROM hits) x GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) x GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

@@ -8,13 +8,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_checkpoints(spark) -> None:
-    """Names a checkpoint folder where the session has none (tests); a cluster sets spark.checkpoint.dir."""
+_WRITTEN: list[str] = []
+
+
+def shared_checkpoints(spark) -> str:
+    """The session's checkpoint folder; where none is set (tests), one of its own: under the warehouse, or on a single machine a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master.startswith("local["):
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoints")
+        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return sc.getCheckpointDir()
+
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+def table_path(spark, kind: str = "table") -> str:
+    """A new path in the shared folder, which drop_tables deletes."""
+    _WRITTEN.append(f"{shared_checkpoints(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def drop_tables(spark) -> None:
+    """Deletes all intermediate tables written so far; call it when the results that rest on them have been used."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut(rows: DataFrame) -> DataFrame:
@@ -24,12 +45,19 @@ def cut(rows: DataFrame) -> DataFrame:
     that planning stalls.
     """
     spark = rows.sparkSession
-    shared_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = table_path(spark)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a table in the shared folder with a column that tells them apart, and that column's name, which no other has."""
+    name = "row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return cut(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that can be reached over links (a, b); ids without links don't appear.
 

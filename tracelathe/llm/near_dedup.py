@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelathe.llm.columns import LOWER, SOLID, U64, by_batch, gram_hashes, mix, only, run_hashes, text_bytes, word_runs
-from tracelathe.llm.graph import components, cut
+from tracelathe.llm.graph import components, cut, numbered
 
 SHINGLE = 5
 MISSED = 0.003
@@ -344,3 +344,27 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 def _least(similarity: float, coordinates: int) -> float:
     return max(0.0, similarity - 3.2 * (similarity * (1 - similarity) / coordinates) ** 0.5)
+
+
+def drop_near_copies(docs: DataFrame, doc_id="doc_id", text="text", **options) -> DataFrame:
+    """The rows, with all their columns, of which one stays for each group of near copies."""
+    rows, row = numbered(docs)
+    gone = near_duplicates(rows, doc_id, text, row=row, **options).filter("not kept").select(row)
+    return rows.join(gone, row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The same result in DuckDB: all pairs of documents that share a shingle, then everything that can be reached over links.
+ORACLE = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[j:j + {SHINGLE} - 1], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS j FROM words WHERE len(w) > 0) x
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept
+FROM lowest LEFT JOIN sizes USING (doc_id)
+"""

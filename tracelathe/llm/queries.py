@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelathe.llm.columns import read
+from tracelathe.llm.decontaminate import ORACLE as contamination_oracle
 from tracelathe.llm.line_dedup import ORACLE as line_oracle
+from tracelathe.llm.near_dedup import ORACLE as near_oracle
 from tracelathe.llm.topk import ORACLE as topk_oracle
 
 
@@ -19,7 +21,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelathe.llm.decontaminate import find_contamination
 
-    return find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracelathe.llm.topk import top_k
+    from tracelathe.llm.near_dedup import ORACLE as near_oracle
+from tracelathe.llm.topk import top_k
 
     return top_k(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -83,4 +86,4 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 #: Ranks, learned weights and alignments are beyond SQL; the tests hold those queries against brute force or the libraries.
-ORACLES = {"op7_line_dedup": line_oracle, "op9_topk": topk_oracle}
+ORACLES = {"op2_decontamination": contamination_oracle, "op7_line_dedup": line_oracle, "op8_near_dedup": near_oracle, "op9_topk": topk_oracle}

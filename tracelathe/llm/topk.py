@@ -1,18 +1,22 @@
 """Exact top-k search by columnar branch and bound.
 
 The query set is every row whose id is divisible by `every`; the candidates are all rows. Rows are packed into
-blocks in vertical layout (one line per dimension), queries into blocks of their own, and each pair of blocks meets
-once: blocks of candidates are dealt to the query blocks by key. A task takes the pairs of one query block one
-after the other and keeps each query's best k so far.
+blocks in vertical layout (one line per dimension), which are written once and dealt to parts of about PART_ROWS rows, 16
+parts at least. Queries are packed into blocks of their own; each block of queries goes to every part, and a task that holds a
+part's candidates takes the queries as they come, keeping each query's best k. So what is shuffled is the candidates once and the queries
+once for each part; the parts' results, k for each query, are ranked at the end.
 
 For a query, inner products are accumulated over one group of dimensions at a time. What the remaining dimensions
 can add lies within the product of the two vectors' remaining lengths (their remaining mass), so after each group
 candidates whose upper bound is below the k-th best score known, or below the k-th largest lower bound, are dropped
 and the survivors are compacted. Ties at the k-th score survive, so that the smaller id can be chosen.
 
+A part's blocks are met in order of their longest vector, and a block is passed over for a query whose bound it can't reach.
+
 Scores are inner products of integers floor(scale * component). Vectors that are null, empty or hold a null or a
-component that isn't finite take no part; vectors meet only those of their own length. Ids must be unique: a row is
-no candidate of a query with its id. Rows with null ids take no part. An empty table has an empty result. Integer
+component that isn't finite take no part; vectors meet only those of their own length. A row is no candidate of a query with
+its id. Rows that repeat an id count as candidates each; as a query the id counts once for each length, with the vector that is first in
+order. Rows with null ids take no part. An empty table has an empty result. Integer
 components of up to 2**31 and lengths whose products stay below 2**53 are exact. Other columns are ignored.
 """
 
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelathe.llm.columns import only
+from tracelathe.llm.graph import cut
 
 BLOCK = 8192
+PART_ROWS = 131_072
 QUERIES = 512
 GROUP = 8
 PARTS = 16
@@ -84,10 +90,12 @@ class Best:
         self.found = [np.zeros(0, np.int64) for _ in ids]
 
     def meet(self, ids: np.ndarray, columns: np.ndarray, rest: np.ndarray) -> None:
-        k = self.k
+        k, longest = self.k, rest[0].max()
         for q in range(len(self.ids)):
             score, query = self.score[q], self.columns[:, q]
             edge = score[-1] if len(score) == k else -np.inf
+            if self.rest[0, q] * longest < edge - 1e-6 * (1 + abs(edge)):
+                continue
             alive, part, total = None, columns, np.zeros(len(ids))
             for g, a in enumerate(range(0, len(columns), GROUP), 1):
                 total = total + query[a : a + GROUP] @ part[a : a + GROUP]
@@ -115,35 +123,42 @@ def top_k(rows: DataFrame, k: int, every: int, scale: float = 64.0, vec_id="vec_
     rows = rows.select("vec_id", F.expr("transform(vector, x -> double(x))").alias("vector")).filter(f"forall(vector, x -> {whole})")
     rows = rows.select("vec_id", F.expr(f"transform(vector, x -> floor({scale}D * x))").alias("vector"))
     values = rows.select("vec_id", F.expr("transform(vector, x -> double(x))").alias("values"))
-    queries = _pack(values.filter(f"vec_id % {every} = 0"), QUERIES).select("dims", F.col("ids").alias("query_ids"), F.col("columns").alias("query_columns"))
-    queries = queries.withColumn("block", F.monotonically_increasing_id())
-    candidates = _pack(values, BLOCK).withColumn("part", (F.monotonically_increasing_id() % PARTS).cast("int"))
-    # Every block of candidates goes to the query blocks of its dimensions; parts spread them over tasks.
-    targets = queries.select(F.col("dims").alias("of"), "block").groupBy("of").agg(F.collect_list("block").alias("targets"))
-    dealt = candidates.join(targets, F.col("dims") == F.col("of")).select("part", "ids", "columns", F.explode("targets").alias("block"))
-    spread = queries.select("block", "dims", "query_ids", "query_columns", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    values = values.transform(cut)
+    size = values.count()
+    parts = max(PARTS, -(-size // PART_ROWS))
+    candidates = _pack(values, min(BLOCK, max(256, size // (2 * parts)))).withColumn("part", F.pmod(F.xxhash64("ids", "dims"), F.lit(parts)).cast("int"))
+    asked = values.filter(f"vec_id % {every} = 0").groupBy("vec_id", F.size("values").alias("n")).agg(F.min("values").alias("values")).select("vec_id", "values")
+    queries = _pack(asked, QUERIES).transform(cut)
+    spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("asks"), "dims", "ids", "columns")
+    dealt = candidates.select("part", F.lit(0).alias("asks"), "dims", "ids", "columns").union(spread).repartition(parts, "part").sortWithinPartitions("part", "asks")
 
     def run(batches):
-        state: dict[int, Best] = {}
+        at, held, ordered = None, {}, False
         for batch in batches:
-            for block, dims, query_ids, query_columns, ids, columns in zip(*batch.columns, strict=True):
-                n = dims.as_py()
-                if block.as_py() not in state:
-                    own = np.frombuffer(query_columns.as_py()).reshape(n, -1)
-                    state[block.as_py()] = Best(np.frombuffer(query_ids.as_py(), np.int64), own, k)
-                held = np.frombuffer(columns.as_py()).reshape(n, -1)
-                state[block.as_py()].meet(np.frombuffer(ids.as_py(), np.int64), held, _rests(held, GROUP))
-        for best in state.values():
-            sizes = [len(x) for x in best.found]
-            if sum(sizes):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(best.ids, sizes)), pa.array(np.concatenate(best.found)), pa.array(np.concatenate(best.score).astype(np.int64))],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    pairs = dealt.join(spread, ["block", "part"]).select("block", "dims", "query_ids", "query_columns", "ids", "columns")
-    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            for part, asks, dims, ids, columns in zip(*batch.columns, strict=True):
+                part, n = part.as_py(), dims.as_py()
+                ids, columns = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(columns.as_py()).reshape(n, -1)
+                if part != at:
+                    at, held, ordered = part, {}, False
+                if not asks.as_py():
+                    held.setdefault(n, []).append((ids, columns, _rests(columns, GROUP)))
+                    continue
+                if not ordered:
+                    for blocks in held.values():
+                        blocks.sort(key=lambda x: -x[2][0].max())
+                    ordered = True
+                best = Best(ids, columns, k)
+                for block in held.get(n, ()):
+                    best.meet(*block)
+                sizes = [len(x) for x in best.found]
+                if sum(sizes):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(best.ids, sizes)), pa.array(np.repeat(n, sum(sizes)).astype(np.int32)), pa.array(np.concatenate(best.found)), pa.array(np.concatenate(best.score).astype(np.int64))],
+                        names=["query_id", "dims", "vec_id", "score"],
+                    )
+
+    found = dealt.mapInArrow(run, "query_id bigint, dims int, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id", "dims").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
