@@ -48,7 +48,7 @@ MISSED = 0.003
 #: The first branching: the level of its first nodes, and its last.
 FIRST = 2
 DEPTH = 4
-LEAF = 48
+LEAF = 256
 HUBS = 2
 #: Trees of the first batch; the rest is the second.
 FIRST_TREES = 2
@@ -57,7 +57,7 @@ TREES_2 = 42
 FIRST_2 = 6
 DEPTH_2 = 12
 #: Classes outside a node's main component that meet the rest of it in one block, and the rest's part in a task.
-FEW = 64
+FEW = 256
 BLOCK = 1024
 #: Bytes of a sketch at least.
 FINE = 192
@@ -189,11 +189,12 @@ def join_group(component: list[int], agreement: np.ndarray, sets: list[np.ndarra
 def _links(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, num: int, den: int, fine_size: int) -> DataFrame:
     """Links (a, b) between classes of different components that share a group; groups: node, id, component."""
     least = _least(num / den, fine_size)
-    close = _close(groups.join(classes.select("id", "fine"), "id"), least).transform(cut)
-    ids = close.select("id").distinct().transform(cut)
+    groups = groups.transform(cut)
+    members = _held(groups.select("id").distinct().transform(cut))
+    close = _close(groups.join(classes.select("id", "fine").join(members, "id", "left_semi"), "id"), least).transform(cut)
+    ids = _held(close.select("id").distinct().transform(cut))
     wanted = classes.select("id", "head", "high", "low").join(ids, "id", "left_semi").transform(cut)
-    heads = wanted.select("head").distinct()
-    heads = F.broadcast(heads) if wanted.count() <= HELD_IDS else heads
+    heads = _held(wanted.select("head").distinct().transform(cut))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(0), shingle)
@@ -262,9 +263,14 @@ def _dealt(large: DataFrame) -> DataFrame:
     return members.union(hubs.select(F.xxhash64("node", "part").alias("node"), "x.id", "x.component")).distinct()
 
 
+def _held(ids: DataFrame) -> DataFrame:
+    """A written table of one or two ids a row, to be broadcast if it has at most HELD_IDS rows."""
+    return F.broadcast(ids) if ids.count() <= HELD_IDS else ids
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows with the components that are known now."""
-    return rows.drop("component").join(labels.select(F.col("id").alias("of"), "component"), F.col("id") == F.col("of"), "left").drop("of").withColumn("component", F.coalesce("component", "id"))
+    return rows.drop("component").join(_held(labels.select(F.col("id").alias("of"), "component")), F.col("id") == F.col("of"), "left").drop("of").withColumn("component", F.coalesce("component", "id"))
 
 
 def _mixed(large: DataFrame) -> DataFrame:
