@@ -84,3 +84,38 @@ def test_copies_with_short_lines_leave_no_stubs(spark):
     frame = spark.createDataFrame([(d, t, len(t or "")) for d, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
     left = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, frame, "").collect()}
     assert left == {0: texts[0], 2: "Other\n" + long[2], 3: texts[3], 4: texts[4], 5: "", 6: None}
+
+
+def test_rows_are_judged_in_place(spark, tmp_path):
+    """Null and repeated ids, clashing columns and very long texts in all filtering stages."""
+    rng = random.Random(11)
+    own = lambda n: " ".join(f"{rng.randrange(10**9):x}" for _ in range(n))
+    passage, a, b, c = own(40), own(50), own(60), own(70)
+    long = "\n".join(own(30) for _ in range(3000))
+    rows = [(1, a), (1, passage), (1, b), (None, passage + " x"), (None, a + " tail"), (None, c), (2, c + " end"), (3, c), (4, None), (4, None), (5, ""), (6, long), (6, long), (None, None)]
+    extra = "component int, kept int, row int, row_ int, lines int, `rest` int, spans int, contaminated int, head int, high int"
+    frame = spark.createDataFrame([(d, t, k, *range(10)) for k, (d, t) in enumerate(rows)], "doc_id bigint, text string, k int, " + extra).repartition(4)
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    left = stage["near dedup"](spark, frame, str(tmp_path))
+    assert left.columns == frame.columns
+    # One row stays of (0, 4), (1, 3), (5, 6, 7) and (11, 12): that with the smallest id, rows without id last.
+    assert {r.k for r in left.collect()} == {0, 1, 2, 6, 8, 9, 10, 13} | ({11} & {r.k for r in left.collect()} or {12})
+    for held in (1 << 20, 0):
+        clean = corpus_pipeline.decontaminate.drop_contaminated(frame, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), held_bytes=held)
+        assert clean.columns == frame.columns and {r.k for r in clean.collect()} == set(range(14)) - {1, 3}
+    lines = stage["line dedup"](spark, frame, str(tmp_path))
+    kept = {r.k: r.text for r in lines.collect()}
+    assert lines.columns == frame.columns and {4, 5, 8, 9, 10, 13} <= set(kept) and kept[11] == kept[12] == long and kept[5] == c
+    assert 3 in kept and 7 not in kept
+
+
+def test_large_benchmarks_give_the_same_rows(spark):
+    from tracelathe.llm.decontaminate import find_contamination
+
+    words = [f"w{i}" for i in range(400)]
+    docs = [(None, " ".join(words[:20])), (1, " ".join(words[5:30])), (1, " ".join(words[100:105])), (1, " ".join(words[5:30])), (None, None), (2, "w200")]
+    items = [(1, " ".join(words[:60])), (2, " ".join(words[:60])), (3, "w200"), (None, " ".join(words[100:200])), (3, "w104")]
+    frame, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    one, other = (sorted(map(str, find_contamination(frame, bench, held_bytes=h).collect())) for h in (1 << 20, 0))
+    assert one == other and len(one) == len(docs) and sum("contaminated=True" in x for x in one) == 5

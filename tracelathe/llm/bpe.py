@@ -5,8 +5,8 @@ time through a minimal perfect hash over the vocabulary; the others are merged w
 over a linked list of bytes. A worker keeps what it has resolved in a table of bounded size, which changes the
 speed only.
 
-Texts may be null or empty (no tokens) and of any length; repeated rows are encoded each; an empty table gives
-an empty table. Other columns are kept as they are; the result columns replace columns of the same name.
+Texts may be null or empty (no tokens) and of any length; repeated rows and rows without id are encoded each; an empty
+table gives an empty table. Other columns are kept as they are; the result columns replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelathe.llm.columns import U64, by_batch, mix, run_hashes
+from tracelathe.llm.columns import U64, Kept, by_batch, mix, run_hashes
 from tracelathe.llm.pretokens import split_pattern, tiktoken_classes
 
-#: Resolved pre-tokens that a worker keeps at most.
-KEPT = 700_000
+#: Bytes of resolved pre-tokens that a worker keeps at most.
+KEPT_BYTES = 150 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -135,22 +135,21 @@ class Encoder:
         self.words = {i: b for b, i in self.ranks.items()}
         self.table = table or PerfectHash(list(self.ranks), list(self.ranks.values()))
         self.classes = tiktoken_classes() if classes is None else classes
-        self.known: dict[str, bytes] = {}
+        self.kept = Kept(KEPT_BYTES)
 
     def learn(self, new: list[str]) -> None:
         raw = [x.encode("utf-8", "replace") for x in new]
         for text, piece, i in zip(new, raw, self.table.find(raw).tolist(), strict=True):
             ids = [i] if i >= 0 and self.words[i] == piece else heap_merge(piece, self.ranks)
-            self.known[text] = pack("<%dI" % len(ids), *ids)
+            self.kept.add(text, pack("<%dI" % len(ids), *ids))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         tokens, at = split_pattern(texts, self.classes)
-        if len(self.known) > KEPT:
-            self.known.clear()
-        new = list(set(tokens).difference(self.known))
+        self.kept.trim()
+        new = list(set(tokens).difference(self.kept.table))
         if new:
             self.learn(new)
-        ids = list(map(self.known.__getitem__, tokens))
+        ids = list(map(self.kept.table.__getitem__, tokens))
         return [b"".join(ids[a:b]) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
     def decode(self, ids: bytes) -> bytes:

@@ -123,13 +123,38 @@ def by_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: st
     return run
 
 
+class Kept:
+    """What a worker has resolved, by text, in `table` (a dict): about `limit` bytes at most; long texts are forgotten after a batch."""
+
+    LONG = 256
+
+    def __init__(self, limit: int):
+        self.limit, self.size, self.long, self.table = limit, 0, [], {}
+
+    def add(self, text: str, packed: bytes) -> None:
+        self.table[text] = packed
+        self.size += 220 + len(text) + len(packed)
+        if len(text) > self.LONG:
+            self.long.append((text, packed))
+
+    def trim(self) -> None:
+        """Before a batch."""
+        for text, packed in self.long:
+            self.table.pop(text, None)
+            self.size -= 220 + len(text) + len(packed)
+        self.long.clear()
+        if self.size > self.limit:
+            self.table.clear()
+            self.size = 0
+
+
 def only(docs: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names (only(docs, doc_id="id")): others can't clash with results."""
     return docs.select(*(F.col(f"`{was}`").alias(name) for name, was in columns.items()))
 
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
-    """A table of the data folder; Arrow batches are kept small, as single texts can be long."""
+    """A table of the data folder for a query. Two of the session's settings are set: Arrow batches are kept small, as single texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

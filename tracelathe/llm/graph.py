@@ -38,15 +38,24 @@ def drop_tables(spark) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def cut(rows: DataFrame) -> DataFrame:
+#: Rows that a task has at least where a table's size is known; more tasks than that would be idle.
+TASK_ROWS = 50_000
+
+
+def tasks(rows: DataFrame, most: int, each: int = TASK_ROWS) -> DataFrame:
+    """The rows, at most `most` of them, in as many partitions as `each` rows to one make; never in more than before."""
+    return rows.coalesce(max(1, -(-most // each)))
+
+
+def cut(rows: DataFrame, most: int | None = None) -> DataFrame:
     """The rows as a table in the shared folder, read again: its plan ends there, and its size is known.
 
     Checkpoints keep the size that was estimated before; in loops of joins these estimates multiply into numbers so long
-    that planning stalls.
+    that planning stalls. `most`: a bound of the number of rows.
     """
     spark = rows.sparkSession
     path = table_path(spark)
-    rows.write.parquet(path)
+    (rows if most is None else tasks(rows, most)).write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -66,13 +75,14 @@ def components(links: DataFrame) -> DataFrame:
     exchange, and adaptive execution can split a hub's rows.
     """
     both = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")).filter("src <> dst").distinct().transform(cut)
-    labels = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("component")).transform(cut)
+    n = both.count()
+    labels = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("component")).transform(cut, n)
     while True:
-        sent = both.join(labels, both.src == labels.id).select(F.col("dst").alias("id"), "component")
-        low = labels.union(sent).groupBy("id").agg(F.min("component").alias("component")).transform(cut)
+        sent = both.join(labels, both.src == labels.id).select(F.col("dst").alias("id"), "component", F.lit(None).cast("bigint").alias("was"))
+        known = labels.withColumn("was", F.col("component"))
+        low = known.union(sent).groupBy("id").agg(F.min("component").alias("component"), F.max("was").alias("was")).transform(cut, n)
         of = low.select(F.col("id").alias("component"), F.col("component").alias("better"))
-        jumped = low.join(of, "component").select("id", F.col("better").alias("component")).transform(cut)
-        moved = jumped.join(labels.withColumnRenamed("component", "was"), "id").filter("component <> was").limit(1).count()
-        labels = jumped
-        if not moved:
+        jumped = low.join(of, "component").select("id", F.col("better").alias("component"), "was").transform(cut, n)
+        labels = jumped.select("id", "component")
+        if not jumped.filter("component <> was").limit(1).count():
             return labels

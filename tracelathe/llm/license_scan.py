@@ -166,10 +166,13 @@ class Templates:
 def best(found: list[tuple[int, float, int, int, str]]) -> list[tuple[int, float, int, int, str]]:
     """The matches left when each gives way to better ones that it overlaps, in order of place."""
     kept: list[tuple[int, float, int, int, str]] = []
+    firsts: list[int] = []
     for m in sorted(set(found), key=lambda m: (-m[0], -m[1], m[2], m[3], m[4])):
-        if all(m[3] < k[2] or m[2] > k[3] for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m[2])
+        k = bisect_left(firsts, m[2])  # matches kept don't overlap, so only the neighbours can be in the way
+        if (k == 0 or kept[k - 1][3] < m[2]) and (k == len(kept) or kept[k][2] > m[3]):
+            kept.insert(k, m)
+            firsts.insert(k, m[2])
+    return kept
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cover: float = COVER, dense: float = DENSE, doc_id="doc_id", text="text") -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelathe.llm.columns import LOWER, SOLID, U64, by_batch, gram_hashes, mix, only, run_hashes, text_bytes, word_runs
-from tracelathe.llm.graph import components, cut, numbered
+from tracelathe.llm.graph import components, cut, numbered, tasks
 
 SHINGLE = 5
 MISSED = 0.003
@@ -59,6 +59,8 @@ DEPTH_2 = 12
 #: Classes outside a node's main component that meet the rest of it in one block, and the rest's part in a task.
 FEW = 256
 BLOCK = 1024
+#: Members of groups that a task compares at least.
+GROUP_ROWS = 2000
 #: Bytes of a sketch at least.
 FINE = 192
 #: Ids (of 8 bytes) that are sent to every task at most; more are joined by shuffling.
@@ -144,7 +146,7 @@ def _groups(batches):
         yield held
 
 
-def _close(rows: DataFrame, least: float) -> DataFrame:
+def _close(rows: DataFrame, least: float, most: int) -> DataFrame:
     """The members (node, id, component, fine) of groups that have another member of another component whose sketch agrees enough."""
 
     def run(batches):
@@ -160,7 +162,8 @@ def _close(rows: DataFrame, least: float) -> DataFrame:
             if good.any():
                 yield from table.filter(pa.array(good)).combine_chunks().to_batches()
 
-    return rows.select("node", "id", "component", "fine").repartition("node").sortWithinPartitions("node").mapInArrow(run, "node bigint, id bigint, component bigint, fine binary")
+    dealt = tasks(rows.select("node", "id", "component", "fine").repartition("node"), most, GROUP_ROWS).sortWithinPartitions("node")
+    return dealt.mapInArrow(run, "node bigint, id bigint, component bigint, fine binary")
 
 
 def join_group(component: list[int], agreement: np.ndarray, sets: list[np.ndarray], least: float, num: int, den: int) -> list[tuple[int, int]]:
@@ -190,11 +193,14 @@ def _links(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int,
     """Links (a, b) between classes of different components that share a group; groups: node, id, component."""
     least = _least(num / den, fine_size)
     groups = groups.transform(cut)
-    members = _held(groups.select("id").distinct().transform(cut))
-    close = _close(groups.join(classes.select("id", "fine").join(members, "id", "left_semi"), "id"), least).transform(cut)
-    ids = _held(close.select("id").distinct().transform(cut))
-    wanted = classes.select("id", "head", "high", "low").join(ids, "id", "left_semi").transform(cut)
-    heads = _held(wanted.select("head").distinct().transform(cut))
+    n = groups.count()
+    members = _held(groups.select("id").distinct().transform(cut, n))
+    fine = classes.select("id", "fine").join(members, "id", "left_semi").transform(cut, n)
+    close = _close(groups.join(fine, "id"), least, n).transform(cut)
+    n = close.count()
+    ids = _held(close.select("id").distinct().transform(cut, n))
+    wanted = classes.select("id", "head", "high", "low").join(ids, "id", "left_semi").transform(cut, n)
+    heads = _held(wanted.select("head").distinct().transform(cut, n))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(0), shingle)
@@ -203,7 +209,8 @@ def _links(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int,
 
     texts = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("head")), "left_semi").select("text")
     found = texts.mapInArrow(by_batch(work), "h bigint, l bigint, members binary")
-    sets = found.join(wanted, (F.col("h") == F.col("high")) & (F.col("l") == F.col("low"))).select(F.col("id").alias("of"), "members").dropDuplicates(["of"])
+    sets = found.join(wanted, (F.col("h") == F.col("high")) & (F.col("l") == F.col("low"))).select(F.col("id").alias("of"), "members")
+    sets = tasks(sets.dropDuplicates(["of"]), n, GROUP_ROWS)
 
     def judge(batches):
         for table in _groups(batches):
@@ -222,7 +229,8 @@ def _links(groups: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int,
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rows = close.join(sets, F.col("id") == F.col("of")).select("node", "id", "component", "fine", "members")
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(judge, "a bigint, b bigint").transform(cut)
+    dealt = tasks(rows.repartition("node"), n, GROUP_ROWS).sortWithinPartitions("node")
+    return dealt.mapInArrow(judge, "a bigint, b bigint").transform(cut)
 
 
 def _branch(classes: DataFrame, path: str, trees: range, first: int, depth: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -234,17 +242,18 @@ def _branch(classes: DataFrame, path: str, trees: range, first: int, depth: int,
     each = F.expr(f"transform(sequence({trees.start}, {trees.stop - 1}), t -> named_struct('tree', t, 'path', substring({path}, t * {width * depth} + 1, {width * depth})))")
     rows = classes.select("id", "component", F.explode(each).alias("x")).select("id", "component", "x.tree", "x.path")
     rows = rows.withColumn("node", F.xxhash64("tree", F.expr(f"substring(path, 1, {width * first})")))
-    leaves = None
+    leaves, most = None, classes.count() * len(trees)
     for level in range(first, depth + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.min("component").alias("low"), F.max("component").alias("high"))
-        sizes = sizes.filter("low < high").select(F.col("node").alias("of"), "count").transform(cut)
-        rows = rows.join(sizes, F.col("node") == F.col("of")).drop("of").transform(cut)
+        sizes = sizes.filter("low < high").select(F.col("node").alias("of"), "count").transform(cut, most)
+        rows = rows.join(sizes, F.col("node") == F.col("of")).drop("of").transform(cut, most)
         small = rows.filter(f"count <= {LEAF}").select("node", "tree", "id", "component")
         leaves = small if leaves is None else leaves.union(small)
         rows = rows.filter(f"count > {LEAF}")
         if level < depth:
             rows = rows.drop("count").withColumn("node", F.xxhash64("node", F.expr(f"substring(path, {width * level + 1}, {width})")))
-            if not rows.limit(1).count():
+            most = rows.count()
+            if not most:
                 rows = rows.withColumn("count", F.lit(0).cast("bigint"))
                 break
     return leaves, rows.select("node", "tree", "id", "component", "count")
@@ -277,8 +286,9 @@ def _mixed(large: DataFrame) -> DataFrame:
     """The nodes of several components: node, id, component, main (the largest one), others (classes outside it)."""
     counts = large.groupBy("node", "component").count()
     main = counts.groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main"), (F.sum("count") - F.max("count")).alias("others"), F.sum("count").alias("size"))
-    main = main.filter("others > 0").withColumnRenamed("node", "of").transform(cut)
-    return large.select("node", "id", "component").join(main, F.col("node") == F.col("of")).drop("of").transform(cut)
+    n = large.count()
+    main = main.filter("others > 0").withColumnRenamed("node", "of").transform(cut, n)
+    return large.select("node", "id", "component").join(main, F.col("node") == F.col("of")).drop("of").transform(cut, n)
 
 
 def _met(mixed: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ table of counts, truncation to a budget and budget questions need no further enc
 
 Prefixes are those of the text as the library normalises it. Strings of special tokens in a text count as one
 token, as the library has it by default; prefixes that cut such a string are not offered. Null texts are empty;
-texts may be of any length; rows that repeat are counted each; other columns are ignored.
+texts may be of any length; rows that repeat and rows without id are counted each; an empty table has an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracelathe.llm.columns import by_batch, only
+from tracelathe.llm.columns import Kept, by_batch, only
 from tracelathe.llm.pretokens import split_pattern, tokenizers_classes
 
+#: Bytes of resolved words that a worker keeps at most.
+KEPT_BYTES = 170 << 20
+#: Decided borders that a worker keeps at most.
 KEPT = 800_000
 END = "</w>"
 
@@ -64,7 +68,7 @@ class PrefixCounter:
         self.tokens = {x: (inner.get(x, -1), final.get(x, -1)) for x in inner | final}
         self.longest = max(map(len, self.tokens))
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.kept = Kept(KEPT_BYTES)
 
     def apart(self, a: int, b: int) -> bool:
         """Whether merging leaves token a and then token b side by side: no merge crosses their border in time."""
@@ -126,11 +130,10 @@ class PrefixCounter:
 
     def tables(self, words: list[str]) -> list[bytes]:
         """The packed prefix counts of every word."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        for word in set(words).difference(self.known):
-            self.known[word] = self.prefixes(word)
-        return list(map(self.known.__getitem__, words))
+        self.kept.trim()
+        for word in set(words).difference(self.kept.table):
+            self.kept.add(word, self.prefixes(word))
+        return list(map(self.kept.table.__getitem__, words))
 
     def segments(self, text: str) -> list[str]:
         """The text, normalised, parted at the strings of special tokens."""

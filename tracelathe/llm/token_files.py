@@ -7,10 +7,10 @@ more than 60 bits is an escape: selector 0 and its place in a list of raw 64-bit
 A file is a little-endian sequence: magic "S8b1", block count (u32), id count (u64), escape count (u64), the first
 word of every block and the word count (u64 each), the words, the escapes. Files are the `data` column of a Parquet
 table in a folder that all executors share (Spark's writer commits a task's files only once, so lost executors
-leave nothing half written), beside the documents' ids and lengths and the file's place in the whole sequence.
+leave nothing half written), beside the documents' ids and lengths, as columns of their own, and the file's place in the whole sequence.
 
-Documents are dealt by ranges of doc_id and written in ascending order (rows with null ids first; equal ids in any
-order). Every document ends with id 0. Null and empty texts have that id only; an empty table writes no file. Texts
+Documents are dealt by ranges of doc_id and written in ascending order (rows with null ids first; equal ids in the order of
+a hash of their texts, so that a repeated id is no single range). Every document ends with id 0. Null and empty texts have that id only; an empty table writes no file. Texts
 may be of any length: a file holds whole documents, at least `file_ids` ids if there are as many. Other columns are
 ignored.
 """
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 import zlib
 
 import numpy as np
@@ -28,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracelathe.llm.columns import U64, only, pieces
-from tracelathe.llm.graph import shared_checkpoints
+from tracelathe.llm.columns import U64, Kept, only, pieces
+from tracelathe.llm.graph import table_path
 from tracelathe.llm.pretokens import split_pattern, tokenizers_classes
 
 BLOCK = 1024
@@ -136,7 +135,8 @@ def unpack_ids(data: bytes, begin: int = 0, end: int | None = None) -> np.ndarra
 class LibraryEncoder:
     """Ids as the tokenizers library gives them, each different pre-token being encoded by it once."""
 
-    KEPT = 350_000
+    #: Bytes of resolved pre-tokens that a worker keeps at most.
+    KEPT_BYTES = 80 << 20
 
     def __init__(self, path: str, classes: np.ndarray | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,7 +147,7 @@ class LibraryEncoder:
             spec = json.load(text)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.classes = tokenizers_classes() if classes is None else classes
-        self.known: dict[str, bytes] = {}
+        self.kept = Kept(self.KEPT_BYTES)
         # Byte-level models spell bytes as printable signs: those that are printable as they are, the rest from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -167,15 +167,14 @@ class LibraryEncoder:
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         tokens, at = split_pattern(texts, self.classes)
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        new = set(tokens).difference(self.known)
+        self.kept.trim()
+        new = set(tokens).difference(self.kept.table)
         if new:
             table = {ord(chr(b)): s for b, s in self.spell.items()}
             for x in new:
                 ids = [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(table))]
-                self.known[x] = np.array(ids, "<u4").tobytes()
-        ids = list(map(self.known.__getitem__, tokens))
+                self.kept.add(x, np.array(ids, "<u4").tobytes())
+        ids = list(map(self.kept.table.__getitem__, tokens))
         return [b"".join(ids[a:b]) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
 
@@ -225,7 +224,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id="doc_id
 
     long = pa.int64()
     schema = pa.schema([("part", long), ("number", long), ("before", long), ("n_ids", long), ("doc_ids", pa.list_(long)), ("lengths", pa.list_(long)), ("data", pa.binary())])
-    dealt = only(docs, doc_id=doc_id, text=text).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dealt = only(docs, doc_id=doc_id, text=text).withColumn("mark", F.xxhash64("text"))
+    dealt = dealt.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").drop("mark")
     dealt.mapInArrow(run, "part bigint, number bigint, before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, data binary").write.parquet(path)
 
 
@@ -233,7 +233,7 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFr
     """One row per document: doc_id, start (ids before it), n_tokens, ids_crc32, and `ids` (packed u32) if asked for."""
     files = spark.read.parquet(path)
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    # One row per partition of the writing job.
+    # One row per partition of the writing job, which bounds this table.
     starts = parts.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
     placed = files.join(F.broadcast(starts), F.col("part") == F.col("of")).select((F.col("ahead") + F.col("before")).alias("start"), "doc_ids", "lengths", "data")
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids
@@ -254,7 +254,6 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFr
 def token_file_report(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes the documents' files to the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
-    shared_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/token-files-{uuid.uuid4().hex}"
+    path = table_path(spark, "token-files")
     write_token_files(docs, path, tokenizer)
     return read_token_files(spark, path, ids=False)

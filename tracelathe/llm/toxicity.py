@@ -10,8 +10,8 @@ P(grade >= k) times the steps between grades; a severity of half the first grade
 The model is fitted on at most `sample_rows` labelled documents, those with the smallest hash of their id; each
 row of the table is then scored. Labels hold grades in ascending severity (0: none); of several labels of one
 document the largest counts, null labels are left out. With no labels, or one grade, every severity is that
-grade's (0 if there is none). Null and empty texts have no features. Rows that repeat are scored each. Other
-columns are ignored.
+grade's (0 if there is none). Null and empty texts have no features; texts may be of any length. Rows that repeat and rows
+without id are scored each; an empty table has an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
