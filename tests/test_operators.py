@@ -50,11 +50,50 @@ def test_reaggregation_and_routing_keep_totals(spark):
 def test_scalars(spark):
     row = spark.createDataFrame([("/tmp/x", "a(b)\t'c'", 1536)], "p string, s string, n bigint").select(
         scalars.hash16(F.col("p")).alias("h"), scalars.fix_str(F.col("s")).alias("f"), scalars.human_size(F.col("n")).alias("n"), scalars.human_size(F.lit(0)).alias("z"),
-        scalars.absolutize(F.lit("../b/./c"), F.lit("/x/a")).alias("a"), scalars.parent_dir(F.col("p")).alias("d"), scalars.exec_name(F.lit("/usr/bin/python3 -m /opt/run.py x")).alias("e"),
+        scalars.absolutize(F.lit("../b/./c"), F.lit("/x/a")).alias("a"), scalars.parent_dir(F.col("p")).alias("d"), scalars.exec_name(F.lit("/usr/bin/python3\0-m\0/opt/run.py\0x\0")).alias("e"),
         scalars.pid_of_file(F.lit("/t/app-123-host.pfw")).alias("pid"), F.to_json(scalars.event_families(F.lit("A:x, y;B:z"))).alias("fam"), scalars.rebase(F.lit(5_000_000), -10_000, "US").alias("r"), scalars.fs_name(F.lit(0xEF53)).alias("fs"),
     ).first()
-    assert (row.h, row.f, row.n, row.z, row.a, row.d, row.e, row.pid) == ("7a97ae4523f74db9", "a b   c ", "1.5KB", "NA", "/x/b/c", "/tmp", "run.py", 123)
-    assert row.fam == '[{"family":"A","events":["x","y"]},{"family":"B","events":["z"]}]' and row.r == 5000 and row.fs == "ext"
+    assert (row.h, row.f, row.n, row.z, row.a, row.d, row.e, row.pid) == ("7a97ae4523f74db9", "a b   c ", "2KB", "NA", "/x/b/c", "/tmp", "run.py", 123)
+    assert row.fam == '[{"family":"A","events":["x","y"]},{"family":"B","events":["z"]}]' and row.r == 5000 and row.fs == "ext4"
+
+
+def test_sizes_and_programs(spark):
+    sizes = {512: "512", 1023: "1020", 1005: "1000", 1536: "2KB", 1024: "1020", 1030: "1KB", 2**20: "1MB", 5 * 2**30: "5GB", 7 * 2**40: "7TB", 3 * 2**50: "3080TB", -2048: "-2KB", 0: "NA", None: "NA", 999: "999"}
+    rows = spark.createDataFrame([(k,) for k in sizes], "n bigint").select("n", scalars.human_size(F.col("n")).alias("x"))
+    human = lambda n: "NA" if not n else _human(n)
+
+    def _human(n):
+        n, k = float(f"{n:.3g}"), 0
+        while abs(n) >= 1024 and k < 4:
+            n, k = n / 1024, k + 1
+        return f"{n:.0f}" + ("", "KB", "MB", "GB", "TB")[k]
+
+    assert {r.n: r.x for r in rows.collect()} == {n: human(n) for n in sizes}
+    commands = {"a/b\0": "b", "env\0python3\0": "DEFAULT", "python\0-c\0from multiprocessing.x\0": "DEFAULT-spawn", "no end": "DEFAULT", "x\0y": "x"}
+    rows = spark.createDataFrame([(k,) for k in commands], "c string").select("c", scalars.exec_name(F.col("c")).alias("x"))
+    assert {r.c: r.x for r in rows.collect()} == commands
+
+
+def test_sweeps_by_bins_equal_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, i % 2, s, s + rng.choice([0, 0, 1, 5, 40, 300])) for i, s in ((i, rng.randrange(400)) for i in range(300))]
+    frame = spark.createDataFrame(rows, "id bigint, pid bigint, ts bigint, te bigint")
+    want = {a: n for a, p, s, e in rows if (n := sum(p == q and a != b and s < f and t < e for b, q, t, f in rows))}
+    for width in (7, 1000):
+        assert {r.id: r.degree for r in intervals.overlap_degrees(frame, ["pid"], width=width).collect()} == want
+        union = sorted((r.pid, r.s, r.e) for r in intervals.interval_union(frame, ["pid"], width=width).collect())
+        found = []
+        for p, s, e in sorted((p, s, e) for _, p, s, e in rows):
+            if found and found[-1][0] == p and s <= found[-1][2]:
+                found[-1] = (p, found[-1][1], max(e, found[-1][2]))
+            else:
+                found.append((p, s, e))
+        assert union == found
+    samples = spark.createDataFrame([(p, t, t * 10) for p in (0, 1) for t in range(5, 400, 37)], "pid bigint, ts bigint, v bigint")
+    got = {r.id: r.v for r in joins.asof_last(frame, samples, ["pid"], "v", width=11).collect()}
+    assert got == {i: max((t * 10 for t in range(5, 400, 37) if t <= s), default=None) for i, _, s, _ in rows}
 
 
 def test_three_first_samples(spark):

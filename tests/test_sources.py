@@ -26,13 +26,47 @@ def test_reads_both_framings_and_all_members(spark, trace):
     assert [(r.id, r.key, r.number) for r in numbers] == [(1, "size", 4096.0)]
 
 
-def test_members_are_partitions(spark, trace):
-    spark.dataSource.register(traces.GzipMembers)
-    rows = spark.read.format("gzip_members").load(str(trace / "b.pfw.gz"))
-    assert rows.rdd.getNumPartitions() == 2 and rows.count() == 2
-    (trace / "cut.gz").write_bytes((trace / "b.pfw.gz").read_bytes()[:-9])
+def test_members_are_cut_and_inflated_in_tasks(spark, trace):
+    members = traces.gzip_members(spark, str(trace / "b.pfw.gz"))
+    assert members.count() == 2 and {r.offset for r in members.collect()} == {0, members.filter("offset = 0").first()["size"]}
+    lines = traces.member_lines(members, 3)
+    assert traces.parse_events(lines).count() == 2
     with pytest.raises(ValueError):
-        traces.member_bounds(str(trace / "cut.gz"))
+        traces.member_bounds((trace / "b.pfw.gz").read_bytes()[:-9])
+
+
+def test_line_numbers_follow_the_files(spark, trace):
+    (trace / "n").mkdir()
+    for k in range(3):
+        (trace / "n" / f"{k}.txt").write_text("".join(f"{k} {i}\n" for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = traces.line_batches(traces.with_line_numbers(traces.read_lines(spark, str(trace / "n"))), 64).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 1500 and all(r.line == int(r.value.split()[1]) and r.batch == r.line - r.line % 64 for r in rows)
+
+
+def test_benchmark_tables(spark, trace):
+    (trace / "c.csv").write_text("# made\n mode , bw\nbase,1.5\ntrace,2\n")
+    rows = traces.read_benchmarks(spark, str(trace / "c.csv"), {"mode": "mode", "bw": "bandwidth"})
+    assert [(r.mode, r.bandwidth) for r in rows.orderBy("mode").collect()] == [("base", 1.5), ("trace", 2.0)]
+    utilities.write_summary(rows, str(trace / "sum"), ["mode"])
+    assert spark.read.option("header", True).csv(str(trace / "sum")).count() == 2
+
+
+def test_writers_round_trip(spark, trace):
+    events = traces.read_trace(spark, [str(trace / "a.pfw"), str(trace / "b.pfw.gz")]).drop("file")
+    utilities.write_rolled(events.select(F.lit("f").alias("file"), F.col("id").alias("line"), traces.json_line(events).alias("value")), str(trace / "rolled"), 1)
+    back = traces.parse_events(spark.read.text(str(trace / "rolled")))
+    assert {tuple(r) for r in back.withColumn("args", F.to_json("args")).select("id", "name", "ts", "dur", "args").collect()} == {tuple(r) for r in events.withColumn("args", F.to_json("args")).select("id", "name", "ts", "dur", "args").collect()}
+    arrays = utilities.viewer_arrays(events, 50).collect()
+    import json
+
+    shown = [e for r in arrays for e in json.loads(r.value)]
+    assert len(shown) == 3 and {e["ph"] for e in shown} == {"X"} and len(arrays) > 1
+    cut = traces.capped(spark.createDataFrame([("é" * 20,), ("ab",)], "value string"), 30).collect()
+    assert [(r.over_cap, len(r.value)) for r in cut] == [(True, 20), (False, 2)]
 
 
 def test_round_trip_and_checks(spark, trace):
@@ -61,7 +95,7 @@ def test_telemetry(spark):
     net = telemetry.net_dev(lines(spark, "Inter-| x\n lo: 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16\n eth0: 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16")).collect()
     assert [(r.interface, r.rx_bytes, r.tx_bytes) for r in net] == [("eth0", 1, 9)]
     power = spark.sql("""select parse_json('{"h":{"power_node_watts":1.5,"timestamp":9,"socket_0":{"power_gpu_watts":{"GPU_0":2,"s":"x"}}}}') as v""")
-    assert {(r.path, r.value) for r in telemetry.power_leaves(power).collect()} == {("power_node_watts", 1.5), ("socket_0/power_gpu_watts/GPU_0", 2.0)}
+    assert {(r.path, r.value) for r in telemetry.power_leaves(power).collect()} == {("power_node_watts", 1.5), ("socket_0.power_gpu_watts.GPU_0", 2.0)}
     mount = telemetry.mountinfo(lines(spark, r"36 35 98:0 / /mnt\040a rw,noatime shared:1 master:2 - ext4 /dev/sda rw")).first()
     assert (mount.point, mount.device, mount.fstype, mount.source) == ("/mnt a", "98:0", "ext4", "/dev/sda")
 
@@ -71,7 +105,7 @@ def test_adapters(spark):
     assert sorted((r.ts, r.dur) for r in adapters.pair_enter_leave(marks).collect()) == [(1, 3), (5, 0), (6, 3)]
     segments = spark.createDataFrame([(1, "h", 2, "read", 10, 0.5, 0.75)], "id bigint, hostname string, rank int, op string, length bigint, start_time double, end_time double")
     row = adapters.segments_to_events(segments, spark.createDataFrame([(1, "/f")], "id bigint, file string")).first()
-    assert (row.ts, row.dur, row.size, row.file) == (500_000, 250_000, 10, "/f")
+    assert (row.ts, row.dur, row.size, row.file) == (5_000_000, 2_500_000, 10, "/f") and (row.tid, row.phase) == (0, 2)
     records = spark.createDataFrame([(1, "read", 0, 0, 1, 3), (0, "x", 0, 0, 1, 2), (2, "MPI_Send", 0, 0, 1, 2)], "func_id int, name string, rank int, tid int, tstart bigint, tend bigint")
     assert adapters.recorder_to_events(records).count() == 1
     packed = spark.createDataFrame([(bytearray(struct.pack("<IIQQQBB", 1, 2, 3, 4, 5, 3, 1) * 2),)], "data binary")

@@ -44,15 +44,18 @@ def interval_width(milliseconds: int, units_per_second: int) -> int:
 
 
 def human_size(value: Column) -> Column:
-    """Three significant digits and a binary unit; NA for null and 0."""
+    """A size in whole numbers of its unit, from three significant digits; NA for null and 0; bytes have no unit, and TB is the last one."""
+    size = F.abs(value.cast("double"))
+    rounded = value.cast("double")
+    for k in range(3, 19):  # half to even, as the digits are cut off
+        rounded = F.when(size >= 10.0**k, F.bround(value.cast("decimal(38,6)"), 2 - k).cast("double")).otherwise(rounded)
+    for k in range(2, -4, -1):
+        rounded = F.when((size < 10.0 ** (k + 1)) & (size >= 10.0**k), F.bround(value.cast("decimal(38,6)"), 2 - k).cast("double")).otherwise(rounded)
     out = F.lit(None).cast("string")
-    for k, unit in enumerate(("B", "KB", "MB", "GB", "TB", "PB")):
-        scaled = value / float(1024**k)
-        digits = F.when(F.abs(scaled) >= 100, F.round(scaled, 0)).when(F.abs(scaled) >= 10, F.round(scaled, 1)).otherwise(F.round(scaled, 2))
-        text = F.regexp_replace(F.regexp_replace(digits.cast("decimal(20,2)").cast("string"), "0+$", ""), r"\.$", "")
-        out = F.when(F.abs(value) >= 1024**k, F.concat(text, F.lit(unit))).otherwise(out)
-    small = F.concat(F.regexp_replace(F.regexp_replace(F.round(value, 2).cast("decimal(20,2)").cast("string"), "0+$", ""), r"\.$", ""), F.lit("B"))
-    return F.when(value.isNull() | (value == 0), "NA").otherwise(F.coalesce(out, small))
+    for k, unit in enumerate(("", "KB", "MB", "GB", "TB")):
+        text = F.concat(F.bround(rounded / float(1024**k), 0).cast("decimal(38,0)").cast("string"), F.lit(unit))
+        out = text if not k else F.when(F.abs(rounded) >= 1024**k, text).otherwise(out)
+    return F.when(value.isNull() | (value == 0), "NA").otherwise(out)
 
 
 def hex_id(value: Column) -> Column:
@@ -74,10 +77,17 @@ def log_base(path: Column) -> Column:
     return F.regexp_replace(path, r"\.(pfw\.gz|pfw|gz)$", "")
 
 
-def exec_name(command: Column) -> Column:
-    """The program of a command line: the first word that is no option and no interpreter, without its folder."""
-    words = F.filter(F.split(F.trim(command), r"\s+"), lambda w: ~w.startswith("-") & ~w.rlike(r"(^|/)(python[0-9.]*|env)$") & (w != "multiprocessing") & (w != ""))
-    return F.element_at(F.split(F.coalesce(F.try_element_at(words, F.lit(1)), F.lit("")), "/"), -1)
+def exec_name(command: Column, separator: str = "\0") -> Column:
+    """The program of a command line, whose words end with a separator (NUL): the first base name that is no option and no interpreter.
+
+    Base names that contain python, env or multiprocessing are passed over. Where nothing is left: DEFAULT-spawn if the last word's
+    has multiprocessing in it, else DEFAULT.
+    """
+    words = F.split(command, f"[{separator}]")
+    names = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: F.element_at(F.split(w, "/"), -1))
+    own = F.filter(names, lambda n: ~n.startswith("-") & ~n.rlike("python|env|multiprocessing"))
+    last = F.coalesce(F.try_element_at(names, F.lit(-1)), F.lit(""))
+    return F.when(command.isNotNull(), F.coalesce(F.try_element_at(own, F.lit(1)), F.when(last.contains("multiprocessing"), "DEFAULT-spawn").otherwise("DEFAULT")))
 
 
 def pid_of_file(name: Column) -> Column:
@@ -119,14 +129,16 @@ def rebase(ns: Column, offset: int, unit: str) -> Column:
 
 #: Names of file systems by the number that statfs gives.
 FS_MAGIC = {
-    0xEF53: "ext", 0x58465342: "xfs", 0x9123683E: "btrfs", 0x01021994: "tmpfs", 0x6969: "nfs", 0x0BD00BD0: "lustre",
-    0x794C7630: "overlayfs", 0x65735546: "fuse", 0x9FA0: "proc", 0x62656572: "sysfs", 0x47504653: "gpfs", 0x19830326: "beegfs",
+    0x0BD00BD0: "lustre", 0x47504653: "gpfs", 0x19830326: "beegfs", 0x00C36400: "ceph", 0x6969: "nfs", 0xEF53: "ext4", 0x58465342: "xfs",
+    0x9123683E: "btrfs", 0x2FC12FC1: "zfs", 0x01021994: "tmpfs", 0x794C7630: "overlayfs", 0x73717368: "squashfs", 0x65735546: "fuse",
+    0x9FA0: "proc", 0x62656572: "sysfs", 0x6E667364: "nfsd", 0xFF534D42: "cifs",
 }
 
 
 def fs_name(magic: Column) -> Column:
+    """The name of a file system; unknown numbers as 0x and hex digits."""
     known = F.create_map(*(F.lit(x) for pair in FS_MAGIC.items() for x in pair))
-    return F.coalesce(F.try_element_at(known, magic.cast("bigint")), F.lit("unknown"))
+    return F.coalesce(F.try_element_at(known, magic.cast("bigint")), F.concat(F.lit("0x"), F.lower(F.hex(magic.cast("bigint")))))
 
 
 def percent_of(part: Column, total: Column) -> Column:

@@ -53,9 +53,9 @@ def shaped(rows: DataFrame, field: str = "dur") -> DataFrame:
     return rows.select(*kept, F.when(once, F.col(f"{field}_sum")).alias(field), *many)
 
 
-def aggregatable(cat: Column, kind: Column, external: tuple[int, ...] = ()) -> Column:
-    """Layers that may be folded: none of the tracer's own and of time series; extensions if they are registered."""
-    return ~kind.isin(*NEVER_AGGREGATED) & (cat != "dftracer") & ((kind < 128) | (kind.isin(*external) if external else F.lit(False)))
+def aggregatable(cat: Column, kind: Column, external: tuple[int, ...] = (), own: str | None = None) -> Column:
+    """Layers that may be folded: none of the tracer's own (layer 1, or the category `own`) and of time series; extensions if they are registered."""
+    return ~kind.isin(*NEVER_AGGREGATED) & (cat != own if own else F.lit(True)) & ((kind < 128) | (kind.isin(*external) if external else F.lit(False)))
 
 
 def selective_route(events: DataFrame, matches: Column, width: int, keys: list[str] = ()) -> DataFrame:

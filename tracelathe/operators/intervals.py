@@ -7,17 +7,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def interval_union(rows: DataFrame, keys: list[str], start: str = "ts", end: str = "te") -> DataFrame:
-    """Maximal intervals (keys, s, e) that the rows' closed intervals cover; touching ones join."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0)
-    island = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "_island").agg(F.min(start).alias("s"), F.max(end).alias("e")).drop("_island")
+def running(rows: DataFrame, keys: list[str], at: str, ties: list[str], sums: list[str], width: int | float) -> DataFrame:
+    """Adds for each column its running sum per key in the order of `at` and `ties` (`<column>_so_far`, with the row itself), and `next_at`.
 
-
-def overlap_times(rows: DataFrame, keys: list[str], io: Column, compute: Column, start: str = "ts", end: str = "te") -> DataFrame:
-    """Per key the time with I/O, with compute, with both, and with either alone: one sweep over the ends of intervals."""
+    Rows are swept per key and bin of `width`; what earlier bins add up to is one row per bin, summed in a table of bins and joined.
+    So a key's rows are spread over as many tasks as it has bins.
+    """
+    binned = rows.withColumn("_bin", F.floor(F.col(at) / width))
+    whole = binned.groupBy(*keys, "_bin").agg(*(F.sum(c).alias(f"_{c}") for c in sums), F.min(at).alias("_first"))
+    over = Window.partitionBy(*keys).orderBy("_bin")
+    before = [F.coalesce(F.sum(f"_{c}").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_{c}_before") for c in sums]
+    carried = whole.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_bin").alias("_of"), *before, F.lead("_first").over(over).alias("_next"))
+    own = Window.partitionBy(*keys, "_bin").orderBy(at, *ties)
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    swept = binned.select("*", *(F.sum(c).over(so_far).alias(f"_{c}_own") for c in sums), F.lead(at).over(own).alias("_lead"))
+    on = F.col("_bin") == F.col("_of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    joined = swept.join(carried, on)
+    return joined.select(*rows.columns, *((F.col(f"_{c}_own") + F.col(f"_{c}_before")).alias(f"{c}_so_far") for c in sums), F.coalesce("_lead", "_next").alias("next_at"))
+
+
+def interval_union(rows: DataFrame, keys: list[str], start: str = "ts", end: str = "te", width: int = 60_000_000) -> DataFrame:
+    """Maximal intervals (keys, s, e) that the rows' closed intervals cover; touching ones join. Swept by bins of `width`."""
+    ends = F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("step")))
+    marks = rows.select(*keys, F.explode(ends).alias("m")).select(*keys, "m.*").groupBy(*keys, "at", F.when(F.col("step") > 0, 0).otherwise(1).alias("kind")).agg(F.sum("step").alias("step"))
+    open_ = running(marks, keys, "at", ["kind"], ["step"], width)
+    edges = open_.withColumn("opens", F.when(F.col("step_so_far") == F.col("step"), 1).otherwise(0)).filter("opens = 1 and kind = 0 or step_so_far = 0")
+    edges = edges.withColumn("opens", F.when(F.col("kind") == 0, 1).otherwise(0)).select(*keys, "at", "kind", "opens")
+    island = running(edges, keys, "at", ["kind"], ["opens"], width)
+    return island.groupBy(*keys, "opens_so_far").agg(F.min("at").alias("s"), F.max("at").alias("e")).drop("opens_so_far")
+
+
+def overlap_times(rows: DataFrame, keys: list[str], io: Column, compute: Column, start: str = "ts", end: str = "te", width: int = 60_000_000) -> DataFrame:
+    """Per key the time with I/O, with compute, with both, and with either alone: one sweep over the ends of intervals, by bins of `width`."""
     marks = rows.select(
         *keys,
         F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("step")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("step")))).alias("m"),
@@ -25,14 +48,27 @@ def overlap_times(rows: DataFrame, keys: list[str], io: Column, compute: Column,
         compute.cast("int").alias("_compute"),
     ).select(*keys, "m.at", (F.col("m.step") * F.col("_io")).alias("io"), (F.col("m.step") * F.col("_compute")).alias("compute"))
     steps = marks.groupBy(*keys, "at").agg(F.sum("io").alias("io"), F.sum("compute").alias("compute"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    open_ = steps.select(*keys, F.sum("io").over(so_far).alias("io"), F.sum("compute").over(so_far).alias("compute"), (F.lead("at").over(order) - F.col("at")).alias("width"))
-    i, c = F.col("io") > 0, F.col("compute") > 0
-    total = lambda when, name: F.coalesce(F.sum(F.when(when, F.col("width"))), F.lit(0)).cast("bigint").alias(name)
+    open_ = running(steps, keys, "at", [], ["io", "compute"], width)
+    i, c, wide = F.col("io_so_far") > 0, F.col("compute_so_far") > 0, F.col("next_at") - F.col("at")
+    total = lambda when, name: F.coalesce(F.sum(F.when(when, wide)), F.lit(0)).cast("bigint").alias(name)
     return open_.groupBy(*keys).agg(total(i, "io_time"), total(c, "compute_time"), total(i & c, "both_time"), total(i & ~c, "only_io"), total(c & ~i, "only_compute"))
 
 
+def overlap_degrees(rows: DataFrame, keys: list[str], node: str = "id", start: str = "ts", end: str = "te", width: int = 60_000_000) -> DataFrame:
+    """(keys, id, degree): how many other rows overlap each one (more than touch), counted without making pairs; rows with none are left out.
+
+    Rows that start before my end, less those that end at or before my start; rows without length at one point don't meet.
+    """
+    s, e = F.col(start), F.col(end)
+    mark = lambda at, kind, ds, de, probe: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(ds).alias("starts"), F.lit(de).alias("ends"), F.lit(probe).alias("probe"))
+    marks = rows.select(*keys, node, (s == e).alias("_empty"), F.explode(F.array(mark(e, 0, 0, 1, 0), mark(s, 1, 0, 0, 1), mark(e, 1, 0, 0, 2), mark(s, 2, 1, 0, 0))).alias("m")).select(*keys, node, "_empty", "m.*")
+    seen = running(marks, keys, "at", ["kind"], ["starts", "ends"], width).filter("probe > 0")
+    counts = seen.groupBy(*keys, node, "_empty").agg(F.max(F.when(F.col("probe") == 2, F.col("starts_so_far"))).alias("_starts"), F.max(F.when(F.col("probe") == 1, F.col("ends_so_far"))).alias("_ends"), F.max(F.when(F.col("probe") == 1, F.col("at"))).alias("_at"))
+    points = rows.filter(s == e).groupBy(*keys, s.alias("_at")).agg(F.count(F.lit(1)).alias("_same"), F.lit(True).alias("_empty"))
+    degree = F.col("_starts") - F.col("_ends") + F.when(F.col("_empty"), F.coalesce("_same", F.lit(0))).otherwise(-1)
+    return counts.join(points, [*keys, "_at", "_empty"], "left").select(*keys, node, degree.cast("bigint").alias("degree")).filter("degree > 0")
+
+
 def _binned(rows: DataFrame, start: str, end: str, width: int, suffix: str) -> DataFrame:
     named = rows.select(*(F.col(c).alias(c + suffix) for c in rows.columns))
     first, last = (F.floor(F.col(c + suffix) / width) for c in (start, end))

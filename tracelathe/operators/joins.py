@@ -37,13 +37,21 @@ def longest_prefix(paths: DataFrame, mounts: DataFrame) -> DataFrame:
     return met.groupBy("path").agg(F.max_by("point", order).alias("mount"))
 
 
-def asof_last(events: DataFrame, samples: DataFrame, keys: list[str], value: str, at: str = "ts") -> DataFrame:
-    """Adds the last sample's value at or before each event, per key: one sort of both tables together."""
+def asof_last(events: DataFrame, samples: DataFrame, keys: list[str], value: str, at: str = "ts", width: int = 60_000_000) -> DataFrame:
+    """Adds the last sample's value at or before each event, per key: a sweep of both tables per bin of `width`.
+
+    What a bin begins with, the last sample of the bins before it, is one row per bin with samples, found in a table of bins.
+    """
     left = events.withColumn("_kind", F.lit(1)).withColumn("_value", F.lit(None).cast(samples.schema[value].dataType))
-    right = samples.select(*keys, at, F.lit(0).alias("_kind"), F.col(value).alias("_value"))
-    order = Window.partitionBy(*keys).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = left.unionByName(right, allowMissingColumns=True).withColumn(value, F.last("_value", ignorenulls=True).over(order))
-    return seen.filter("_kind = 1").drop("_kind", "_value")
+    right = samples.filter(F.col(value).isNotNull()).select(*keys, at, F.lit(0).alias("_kind"), F.col(value).alias("_value"))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_bin", F.floor(F.col(at) / width))
+    order = Window.partitionBy(*keys, "_bin").orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_own", F.last("_value", ignorenulls=True).over(order)).filter("_kind = 1")
+    ends = both.groupBy(*keys, "_bin").agg(F.max_by("_value", F.when(F.col("_kind") == 0, F.struct(F.col(at)))).alias("_end"))
+    over = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_bin", F.last("_end", ignorenulls=True).over(over).alias("_before"))
+    found = seen.join(carried, [*keys, "_bin"])
+    return found.select(*(F.col(c) for c in events.columns if c != value), F.coalesce("_own", "_before").alias(value))
 
 
 def multiset_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

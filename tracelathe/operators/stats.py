@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracelathe.operators.intervals import running
+
 
 def operation_summary(rows: DataFrame, key: str = "name", size: str = "size") -> DataFrame:
     """Per operation: time and count; sum, mean, median, extremes and quartiles of sizes (exact)."""
@@ -15,11 +17,17 @@ def operation_summary(rows: DataFrame, key: str = "name", size: str = "size") ->
     )
 
 
-def trimmed_mean(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """Mean and sample deviation of the values from index int((n-1)/4) to int(3(n-1)/4) in ascending order."""
-    w = Window.partitionBy(*keys)
-    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(value, order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    kept = placed.filter("_i >= (_n - 1) div 4 and _i <= 3 * (_n - 1) div 4")
+def trimmed_mean(rows: DataFrame, keys: list[str], value: str, order: str, width: float = 1.0) -> DataFrame:
+    """Mean and sample deviation of the values from index int((n-1)/4) to int(3(n-1)/4) in ascending order.
+
+    Places are counted per key and bin of values of `width`, so a key's rows are spread over as many tasks as it has bins.
+    """
+    n = rows.groupBy(*(F.col(k).alias(f"_n_{k}") for k in keys)).agg(F.count(value).alias("_n"))
+    placed = running(rows.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(1)), keys, value, [order], ["_one"], width).withColumn("_i", F.col("_one_so_far") - 1)
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_n_{k}"))
+    kept = placed.join(n, on).filter("_i >= (_n - 1) div 4 and _i <= 3 * (_n - 1) div 4")
     return kept.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(F.lit(1)).alias("n"))
 
 
@@ -55,3 +63,38 @@ def counter_delta(rows: DataFrame, series: list[str], value: str, first: str = "
     if first in ("cumulative", "zero_base"):
         return rows.withColumn(f"{value}_delta", F.coalesce(delta, F.col(value)))
     return rows.withColumn(f"{value}_delta", delta).filter(F.col(f"{value}_delta").isNotNull() | F.col(value).isNull())
+
+
+#: The order in which phases of the tracer's own work are shown.
+PHASE_ORDER = ("init", "capture", "serialize", "compress", "write", "finalize")
+
+
+def phase_profile(rows: DataFrame, events: str = "events") -> DataFrame:
+    """Per process, mode, phase and layer: calls, time, mean time, and time per event of the run (events: a column of the run's events)."""
+    sums = rows.groupBy("pid", "mode", "phase", "layer").agg(F.sum("count").alias("count"), F.sum("total_ns").alias("total_ns"), F.max(events).alias("run_events"))
+    return sums.select("pid", "mode", "phase", "layer", "count", "total_ns", F.try_divide(F.col("total_ns").cast("double"), F.col("count")).alias("avg_ns"), F.try_divide(F.col("total_ns").cast("double"), F.col("run_events")).alias("ns_per_event"))
+
+
+def phase_rank(phase, order: tuple[str, ...] = PHASE_ORDER):
+    """A phase's place in an order; unknown ones come last."""
+    known = F.create_map(*(F.lit(x) for k, p in enumerate(order) for x in (p, k)))
+    return F.coalesce(F.try_element_at(known, phase), F.lit(len(order)))
+
+
+def partitioned_quantile(rows: DataFrame, keys: list[str], part: str, value: str, q: float) -> DataFrame:
+    """The quantile of the parts' quantiles: an approximation that sums up parts first (part: a column that deals rows)."""
+    each = rows.groupBy(*keys, part).agg(F.percentile(value, q).alias("x"))
+    return each.groupBy(*keys).agg(F.percentile("x", q).alias("quantile"))
+
+
+def approximate_distinct(rows: DataFrame, keys: list[str], value: str, error: float = 0.02) -> DataFrame:
+    """About how many values differ, from one fixed-size sketch per group and task (error: relative standard deviation)."""
+    return rows.groupBy(*keys).agg(F.approx_count_distinct(value, error).alias("about"))
+
+
+def added_time(rows: DataFrame, keys: list[str], mode: str, base: str, value: str) -> DataFrame:
+    """Median of each mode with what it adds to the base mode's and their ratio, per key."""
+    medians = rows.groupBy(*keys, mode).agg(F.percentile(value, 0.5).alias("median"))
+    ground = medians.filter(F.col(mode) == base).select(*keys, F.col("median").alias("base"))
+    both = medians.join(ground, keys, "left")
+    return both.select(*keys, mode, "median", (F.col("median") - F.col("base")).alias("added"), F.try_divide("median", "base").alias("ratio"))

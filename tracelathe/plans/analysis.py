@@ -26,10 +26,11 @@ def with_analysis_columns(events: DataFrame, granularity: int, extra: dict[str,
     return events.withColumns(more | (extra or {}))
 
 
-def io_size(name: Column, ret: Column, image_size: Column | None = None) -> Column:
-    """Bytes of an operation: what reads and writes (not readdir) return, else the image's size."""
+def io_size(cat: Column, name: Column, ret: Column, image_size: Column | None = None) -> Column:
+    """Bytes of an operation: in layer POSIX what writes and reads (not readdir) return, in others the image's size."""
     moved = name.contains("write") | name.contains("read") & ~name.contains("readdir")
-    return F.when(moved, ret).otherwise(image_size if image_size is not None else F.lit(None).cast("bigint"))
+    image = image_size if image_size is not None else F.lit(None).cast("bigint")
+    return F.when(cat == "POSIX", F.when(moved, ret)).otherwise(image)
 
 
 class Analyzer:
@@ -68,11 +69,12 @@ def duration_of(events: DataFrame, name: str, cat: str | None = None) -> DataFra
     return own.groupBy("pid").agg(F.sum("dur").alias("d")).agg((F.max("d") / 1e6).alias("seconds"))
 
 
-def views(events: DataFrame) -> None:
-    """Temporary views slice, thread and thread_track for SQL in the trace viewer's terms."""
-    events.select("id", "name", "cat", "ts", "dur", F.col("tid").alias("track_id")).createOrReplaceTempView("slice")
-    events.select(F.col("tid").alias("utid"), "tid", "pid").distinct().createOrReplaceTempView("thread")
-    events.select(F.col("tid").alias("id"), F.col("tid").alias("utid")).distinct().createOrReplaceTempView("thread_track")
+def slice_sql(events: DataFrame, text: str) -> DataFrame:
+    """SQL in the trace viewer's terms; the text names its tables {slice}, {thread} and {thread_track}."""
+    slices = events.select("id", "name", "cat", "ts", "dur", F.col("tid").alias("track_id"))
+    threads = events.select(F.col("tid").alias("utid"), "tid", "pid").distinct()
+    tracks = events.select(F.col("tid").alias("id"), F.col("tid").alias("utid")).distinct()
+    return events.sparkSession.sql(text, slice=slices, thread=threads, thread_track=tracks)
 
 
 def processes(metadata: DataFrame) -> DataFrame:

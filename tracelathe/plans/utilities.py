@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tracelathe.functions.scalars import anonymize as user_replaced
 from tracelathe.functions.scalars import pid_of_file, strip_unprintable
-from tracelathe.sources.traces import event_lines
+from tracelathe.sources.traces import event_lines, json_line, viewer_events, write_trace
 
 
 def merge(*traces: DataFrame) -> DataFrame:
@@ -59,6 +59,32 @@ def recompress(lines: DataFrame, path: str) -> None:
 
 def viewer_file(events: DataFrame, path: str) -> None:
     """A folder of JSON lines in the viewer's format, which reads them without the enclosing array."""
-    from tracelathe.sources.traces import viewer_events, write_trace
-
     write_trace(viewer_events(events), path)
+
+
+def viewer_arrays(events: DataFrame, chunk_bytes: int = 64 << 20, group: str = "pid") -> DataFrame:
+    """(group, chunk, value): whole JSON arrays in the viewer's format, each of about chunk_bytes of a group's events in order of time."""
+    shown = viewer_events(events)
+    lines = split(shown.select(group, "ts", "id", json_line(shown).alias("value")).withColumn("order", F.struct("ts", "id")), chunk_bytes, group, "order")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("order", "value"))), lambda x: x["value"])
+    return lines.groupBy(group, "chunk").agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("value"))
+
+
+def write_rolled(lines: DataFrame, path: str, megabytes: int, group: str = "file", order: str = "line") -> None:
+    """One folder per group and chunk of so many MB; lines are whole."""
+    split(lines, megabytes << 20, group, order).select(group, "chunk", "value").write.partitionBy(group, "chunk").option("compression", "gzip").text(path)
+
+
+def write_summary(rows: DataFrame, path: str, order: list[str]) -> None:
+    """A table of a few groups as one CSV file with a header."""
+    rows.orderBy(*order).coalesce(1).write.option("header", True).csv(path)
+
+
+def preview(events: DataFrame, n: int = 10, last: bool = False) -> DataFrame:
+    """The first or last n events by time."""
+    return events.orderBy(F.desc("ts") if last else F.asc("ts"), F.desc("id") if last else F.asc("id")).limit(n)
+
+
+def sampled(events: DataFrame, one_in: int, by: str = "id") -> DataFrame:
+    """Every event whose id's hash is divisible by `one_in`: the same ones on every run and partitioning."""
+    return events.filter(F.conv(F.substring(F.md5(F.col(by).cast("string").cast("binary")), 1, 6), 16, 10).cast("bigint") % one_in == 0)

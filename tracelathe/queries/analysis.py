@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tracelathe.operators import intervals, joins, stats, validate
 from tracelathe.plans.analysis import Analyzer, duration_of, with_analysis_columns
+from tracelathe.plans.analysis import slice_sql as viewer_sql
+from tracelathe.plans.analysis import slice_sql as viewer_sql
 from tracelathe.queries.events import HOUR
 from tracelathe.queries.tables import sql, table, trace
 
@@ -27,7 +29,7 @@ _ISLANDS = "m AS (SELECT *, max(te) OVER (PARTITION BY pid ORDER BY ts, te ROWS
 
 @query("interval_union", sql("SELECT pid, min(ts) AS s, max(te) AS e FROM g GROUP BY pid, i", _ISLANDS))
 def interval_union(spark, d):
-    return intervals.interval_union(trace(spark, d), ["pid"])
+    return intervals.interval_union(trace(spark, d), ["pid"], width=HOUR)
 
 
 _SWEEP = """
@@ -40,12 +42,12 @@ _TOTALS = ", ".join(f"CAST(coalesce(sum(width) FILTER ({w}), 0) AS BIGINT) AS {n
 
 @query("overlap_times", sql(f"SELECT pid, {_TOTALS} FROM opened GROUP BY pid", _SWEEP))
 def overlap_times(spark, d):
-    return intervals.overlap_times(trace(spark, d), ["pid"], F.col("cat") == "POSIX", F.col("cat") == "COMPUTE")
+    return intervals.overlap_times(trace(spark, d), ["pid"], F.col("cat") == "POSIX", F.col("cat") == "COMPUTE", width=HOUR)
 
 
 @query("overlap_degree", sql("SELECT id, count(*) AS degree FROM (SELECT unnest([a.id, b.id]) AS id FROM e a JOIN e b ON a.pid = b.pid AND a.id < b.id AND a.ts < b.te AND b.ts < a.te) GROUP BY id"))
 def overlap_degree(spark, d):
-    return intervals.degrees(intervals.overlap_edges(trace(spark, d), HOUR, ["pid"]))
+    return intervals.overlap_degrees(trace(spark, d), ["pid"], width=HOUR).select("id", "degree")
 
 
 @query("region_containment", sql("SELECT id, region FROM (SELECT x.id, r.id AS region, row_number() OVER (PARTITION BY x.id ORDER BY r.ts, r.id) AS n FROM e x JOIN e r ON x.pid = r.pid AND x.ts >= r.ts AND x.te <= r.te AND x.cat = 'POSIX' AND r.cat = 'COMPUTE') WHERE n = 1"))
@@ -163,9 +165,9 @@ def multiset_diff(spark, d):
     return joins.multiset_difference(t.filter("pid < 4"), t.filter("pid >= 4"), ["name", "size"])
 
 
-@query("set_missing", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_missing", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def set_missing(spark, d):
-    return validate.missing_keys(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    return validate.missing_keys(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")))
 
 
 @query("set_intersect", sql("SELECT tid FROM e WHERE name = 'click' INTERSECT SELECT tid FROM e WHERE name = 'error'"))
@@ -187,11 +189,11 @@ def trace_equivalence(spark, d):
     return found.select("cat", "name", F.col("args").cast("bigint").alias("size"), "n_left", "n_right")
 
 
-@query("finalized_processes", sql("SELECT id FROM e WHERE tid IN (SELECT tid FROM e GROUP BY tid HAVING count(*) >= 5)"))
+@query("finalized_processes", sql("SELECT id FROM e WHERE tid IN (SELECT tid FROM e GROUP BY tid HAVING count(*) >= 60)"))
 def finalized_processes(spark, d):
     t = trace(spark, d).drop("pid").withColumnRenamed("tid", "pid").withColumn("num_events", F.lit(None).cast("bigint"))
     ends = t.groupBy("pid").agg(F.count(F.lit(1)).alias("num_events")).withColumn("name", F.lit("end"))
-    return validate.finalized(t.unionByName(ends, allowMissingColumns=True)).filter("id is not null").select("id")
+    return validate.finalized(t.unionByName(ends, allowMissingColumns=True), 60).filter("id is not null").select("id")
 
 
 @query("iqr_mean", sql("SELECT name, avg(dur) AS mean, stddev_samp(dur) AS sd, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY dur, id) - 1 AS i, count(*) OVER (PARTITION BY name) AS c FROM e) WHERE i >= (c - 1) // 4 AND i <= 3 * (c - 1) // 4 GROUP BY name"))
@@ -238,8 +240,4 @@ def last_write_wins(spark, d):
 
 @query("slice_sql", sql("SELECT t.pid, count(*) AS n FROM e s JOIN (SELECT DISTINCT tid, pid FROM e) t ON s.tid = t.tid WHERE s.name LIKE '%ie%' GROUP BY t.pid"))
 def slice_sql(spark, d):
-    from tracelathe.plans.analysis import views
-
-    views(trace(spark, d))
-    return spark.sql("SELECT t.pid, count(*) AS n FROM slice s JOIN thread_track k ON s.track_id = k.id JOIN thread t ON k.utid = t.utid WHERE s.name LIKE '%ie%' GROUP BY t.pid")
-
+    return viewer_sql(trace(spark, d), "SELECT t.pid, count(*) AS n FROM {slice} s JOIN {thread_track} k ON s.track_id = k.id JOIN {thread} t ON k.utid = t.utid WHERE s.name LIKE '%ie%' GROUP BY t.pid")

@@ -40,11 +40,11 @@ _selected("rule_like_prefix", "name LIKE 'p*'", "name LIKE 'p%'")
 _selected("rule_and_or_precedence", "name == 'click' OR name == 'view' AND dur < 300000000", "(name = 'click' OR name = 'view') AND dur < 300000000")
 _selected("rule_sql_precedence", "name == 'click' OR name == 'view' AND dur < 300000000", "name = 'click' OR (name = 'view' AND dur < 300000000)", "sql")
 _selected("rule_not_remainder", "NOT cat == 'POSIX' AND dur < 300000000", "NOT (cat = 'POSIX' AND dur < 300000000)")
-_selected("rule_type_mismatch", "NOT dur > 1.5", "true")
-_selected("rule_text_number", "name != 5", "false")
-_selected("rule_tag_text", "tags.size == '7'", "false")
+_selected("rule_type_mismatch", "dur > 1.5 OR cat == 'POSIX'", "cat = 'POSIX'")
+_selected("rule_text_number", "name != 5 OR name == 'click'", "name = 'click'")
+_selected("rule_tag_text", "tags.size == '7' OR name == 'view'", "name = 'view'")
 _selected("rule_tag_like", "tags.size LIKE '1*'", "CAST(size AS VARCHAR) LIKE '1%'")
-_selected("rule_missing_tag", "tags.other == ''", "true")
+_selected("rule_missing_tag", "tags.other == '' AND name == 'click'", "name = 'click'")
 _selected("rule_unparsed", "just words", "true")
 
 
@@ -53,9 +53,9 @@ def rule_incl_excl(spark, d):
     return trace(spark, d).filter(rules.should_aggregate(["cat == 'POSIX'", "name LIKE 'p*'"], ["dur < 100000000"], fields())).select("id")
 
 
-@query("rule_excl_only", sql("SELECT id FROM e WHERE false"))
+@query("rule_excl_only", sql("SELECT id, false AS folded, dur < 100000000 AS excluded FROM e"))
 def rule_excl_only(spark, d):
-    return trace(spark, d).filter(rules.should_aggregate([], ["dur < 100000000"], fields())).select("id")
+    return trace(spark, d).select("id", rules.should_aggregate([], ["dur < 100000000"], fields()).alias("folded"), rules.rule("dur < 100000000", fields()).alias("excluded"))
 
 
 @query("min_duration", sql("SELECT id, dur FROM e WHERE dur >= 400000000 OR type = 1"))
@@ -63,9 +63,10 @@ def min_duration(spark, d):
     return aggregate.min_duration(trace(spark, d), 400_000_000_000).select("id", "dur")
 
 
-@query("layer_gate", sql("SELECT id FROM e WHERE type NOT IN (1, 7, 11, 12, 13) AND cat <> 'dftracer' AND type < 128"))
+@query("layer_gate", sql("SELECT id FROM (SELECT id, [1, 3, 7, 6, 12, 128, 130, 2][id % 8 + 1] AS kind FROM e) x WHERE kind NOT IN (1, 7, 11, 12, 13) AND (kind < 128 OR kind = 130)"))
 def layer_gate(spark, d):
-    return trace(spark, d).filter(aggregate.aggregatable(F.col("cat"), F.col("type"))).select("id")
+    kind = F.element_at(F.array(*(F.lit(k) for k in (1, 3, 7, 6, 12, 128, 130, 2))), (F.col("id") % 8 + 1).cast("int"))
+    return trace(spark, d).filter(aggregate.aggregatable(F.col("cat"), kind, (130,))).select("id")
 
 
 _FOLD = "count(*) AS dft_cnt, CAST(sum(dur) AS BIGINT) AS dur_sum, min(dur) AS dur_min, max(dur) AS dur_max"
@@ -164,18 +165,18 @@ _delta("counter_delta_net", "cumulative", "SELECT id, user_id AS tid, coalesce(d
 _delta("counter_delta_papi", "zero_base", "SELECT id, user_id AS tid, dur - coalesce(b, 0) AS dur_delta FROM w")
 
 
-@query("frozen_counters", sql("SELECT tid, name, count(size) AS samples FROM e GROUP BY tid, name HAVING count(size) > 1 AND min(size) = max(size)"))
+@query("frozen_counters", sql("SELECT tid, name, count(v) AS samples FROM (SELECT *, CASE WHEN tid % 3 = 0 THEN 7 ELSE size END AS v FROM e) x GROUP BY tid, name HAVING count(v) > 1 AND min(v) = max(v)"))
 def frozen_counters(spark, d):
     from tracelathe.operators.stats import frozen
 
-    return frozen(trace(spark, d), ["tid", "name"], "size")
+    return frozen(trace(spark, d).withColumn("v", F.when(F.col("tid") % 3 == 0, 7).otherwise(F.col("size"))), ["tid", "name"], "v")
 
 
-@query("series_presence", sql("SELECT tid, count(size) AS samples, count(DISTINCT size) AS distinct_values FROM e GROUP BY tid HAVING count(size) < 8 OR (count(size) > 1 AND count(DISTINCT size) = 1)"))
+@query("series_presence", sql("SELECT tid, count(size) AS samples, count(DISTINCT size) AS distinct_values FROM e GROUP BY tid HAVING count(size) < 60 OR (count(size) > 1 AND count(DISTINCT size) = 1)"))
 def series_presence(spark, d):
     from tracelathe.operators.validate import series_presence as check
 
-    return check(trace(spark, d), ["tid"], "size", 8)
+    return check(trace(spark, d), ["tid"], "size", 60)
 
 
 @query("cpu_pct", sql("SELECT pid, name, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY pid) AS pct FROM e GROUP BY pid, name"))

@@ -40,17 +40,11 @@ _column("hex_id", "orders", "o_orderkey", "o_custkey", scalars.hex_id, "lpad(low
 _column("perfetto_ph", "events", "event_id", "event_id", lambda c: phase_letter(c % 4 + 1), "['X', 'C', 'C', 'M'][event_id % 4 + 1]")
 _column("parent_dir", "pages", "page_id", "url", scalars.parent_dir, "CASE WHEN contains(url, '/') THEN CASE WHEN regexp_replace(url, '/[^/]*$', '') = '' THEN '/' ELSE regexp_replace(url, '/[^/]*$', '') END END")
 _column("interval_floor", "orders", "o_orderkey", "o_orderkey", lambda c: scalars.interval_floor(c, 96), "o_orderkey // 96 * 96")
-_column("power_family", "part", "p_partkey", "p_type", lambda c: telemetry.power_family(F.concat(F.lit("power_"), F.element_at(F.array(F.lit("gpu"), F.lit("socket"), F.lit("mem"), F.lit("node"), F.lit("fan")), (F.col("p_partkey") % 5 + 1).cast("int")), F.lit("_watts"))), "['gpu', 'cpu', 'memory', 'node', 'other'][p_partkey % 5 + 1]")
 
 
-@query("human_size", "SELECT o_orderkey, CASE WHEN v IS NULL OR v = 0 THEN 'NA' ELSE CAST(v AS VARCHAR) || 'B' END AS x FROM (SELECT o_orderkey, CAST(o_orderkey % 1024 AS BIGINT) AS v FROM orders)")
-def human_size(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", scalars.human_size(F.col("o_orderkey") % 1024).alias("x"))
-
-
-@query("split_list", "SELECT doc_id, list_aggregate(list_distinct_keep, 'string_agg', '+') AS x FROM (SELECT doc_id, list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_position(l, l[i]) = i THEN l[i] END), lambda y: y IS NOT NULL) AS list_distinct_keep FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(substr(text, 1, 200), '[,;]'), lambda y: trim(y, ' ')), lambda y: y <> '') AS l FROM documents))")
+@query("split_list", "SELECT doc_id, list_aggregate(list_distinct_keep, 'string_agg', '+') AS x FROM (SELECT doc_id, list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_position(l, l[i]) = i THEN l[i] END), lambda y: y IS NOT NULL) AS list_distinct_keep FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,;]'), lambda y: trim(y, ' ')), lambda y: y <> '') AS l FROM documents))")
 def split_list(spark, d):
-    made = F.array_join(scalars.split_list(F.substring("text", 1, 200)), "+")
+    made = F.array_join(scalars.split_list(F.col("text")), "+")
     return table(spark, d, "documents").select("doc_id", F.when(made != "", made).alias("x"))
 
 
@@ -59,17 +53,23 @@ def path_trie(spark, d):
     return table(spark, d, "pages").filter(rules.path_traced(F.col("url"), ["https://", "https://www"])).select("page_id")
 
 
-@query("absolutize", "SELECT page_id, '/' || replace(replace(url, 'https://', 'https:/'), 'http://', 'http:/') AS x FROM (SELECT page_id, rtrim(url, '/') AS url FROM pages) WHERE url NOT LIKE '%/.%' AND url NOT LIKE '%//%//%' AND url LIKE 'http%'")
+_RELATIVE = ("/a/b", "c/./d", "../x//y", "./..", "/../z/", "", "p/q/../../../r")
+_ABSOLUTE = ("/a/b", "/w/c/d", "/x/y", "/", "/z", "/w", "/r")
+
+
+@query("absolutize", f"SELECT page_id, {list(_ABSOLUTE)}[page_id % {len(_ABSOLUTE)} + 1] || '' AS x FROM pages")
 def absolutize(spark, d):
-    urls = table(spark, d, "pages").select("page_id", F.rtrim("url", F.lit("/")).alias("url")).filter("url not like '%/.%' and url not like '%//%//%' and url like 'http%'")
-    return urls.select("page_id", scalars.absolutize(F.col("url"), F.lit("")).alias("x"))
+    path = F.element_at(F.array(*(F.lit(p) for p in _RELATIVE)), (F.col("page_id") % len(_RELATIVE) + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", scalars.absolutize(path, F.lit("/w")).alias("x"))
 
 
-@query("prefix_mount", "WITH m AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+', 0) AS point FROM pages UNION SELECT 'https:' UNION SELECT '/'), p AS (SELECT DISTINCT url AS path FROM pages) SELECT path, point AS mount FROM (SELECT path, point, row_number() OVER (PARTITION BY path ORDER BY length(point) DESC) AS n FROM p JOIN m ON point = path OR starts_with(path, point || '/') OR (point = '/' AND starts_with(path, '/'))) WHERE n = 1")
+@query("prefix_mount", "WITH p AS (SELECT DISTINCT url AS path, length(url) % 2 AS dev FROM pages), m AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+', 0) AS point, length(url) % 2 AS mount_dev FROM pages UNION SELECT 'https:', 0 UNION SELECT 'https:', 1 UNION SELECT '/', 0) SELECT path, point AS mount FROM (SELECT path, point, row_number() OVER (PARTITION BY path ORDER BY CAST(dev = mount_dev AS INTEGER) DESC, length(point) DESC) AS n FROM p JOIN m ON point = path OR starts_with(path, point || '/') OR (point = '/' AND starts_with(path, '/'))) WHERE n = 1")
 def prefix_mount(spark, d):
-    urls = table(spark, d, "pages").select(F.col("url").alias("path"), F.lit(1).alias("dev")).distinct()
-    points = urls.select(F.regexp_extract("path", "^https?://[^/]+", 0).alias("point")).union(urls.sparkSession.createDataFrame([("https:",), ("/",)], "point string")).distinct()
-    return joins.longest_prefix(urls, points.select("point", F.lit(1).alias("mount_dev"), F.lit(0).alias("ord")))
+    dev = (F.length("path") % 2).cast("int")
+    urls = table(spark, d, "pages").select(F.col("url").alias("path")).distinct().select("path", dev.alias("dev"))
+    own = urls.select(F.regexp_extract("path", "^https?://[^/]+", 0).alias("point"), F.col("dev").alias("mount_dev")).distinct()
+    points = own.union(spark.createDataFrame([("https:", 0), ("https:", 1), ("/", 0)], "point string, mount_dev int"))
+    return joins.longest_prefix(urls, points.withColumn("ord", F.lit(0)))
 
 
 def _lines(spark, d):
@@ -91,9 +91,9 @@ def event_count(spark, d):
     return utilities.event_count(_lines(spark, d))
 
 
-@query("validate_lines", "SELECT event_type AS file, count(*) FILTER (length(props) > 8) AS events, count(*) FILTER (length(props) > 8) AS good, 0 AS bad FROM events GROUP BY event_type")
+@query("validate_lines", "SELECT event_type AS file, count(*) FILTER (length(props) > 8) AS events, count(*) FILTER (length(props) > 8 AND event_id % 5 > 0) AS good, count(*) FILTER (length(props) > 8 AND event_id % 5 = 0) AS bad FROM events GROUP BY event_type")
 def validate_lines(spark, d):
-    return validate.line_check(table(spark, d, "events").select(F.col("event_type").alias("file"), F.col("props").alias("value")))
+    return validate.line_check(table(spark, d, "events").select(F.col("event_type").alias("file"), F.when(F.col("event_id") % 5 == 0, F.regexp_replace("props", "[}]", "]")).otherwise(F.col("props")).alias("value")))
 
 
 @query("duplicates", "SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")

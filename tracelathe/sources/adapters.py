@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def segments_to_events(segments: DataFrame, names: DataFrame, factor: float = 1e6) -> DataFrame:
-    """I/O segments (id, hostname, rank, op, length, start_time, end_time in seconds) and file names (id, file) as events."""
-    start, end = (F.round(F.col(c) * factor).cast("bigint") for c in ("start_time", "end_time"))
-    return segments.join(names, "id", "left").select(F.col("op").alias("name"), F.lit("POSIX").alias("cat"), F.col("rank").alias("pid"), F.col("rank").alias("tid"), start.alias("ts"), (end - start).alias("dur"), F.col("length").alias("size"), "hostname", "file")
+def segments_to_events(segments: DataFrame, names: DataFrame, factor: float = 10e6) -> DataFrame:
+    """I/O segments (id, hostname, rank, op, length, start_time, end_time in seconds) and file names (id, file) as events of phase 2.
+
+    Times are cut off, not rounded, after multiplication. The default factor is that of the analyses that these rows are compared with;
+    1e6 gives microseconds.
+    """
+    start, end = ((F.col(c) * factor).cast("bigint") for c in ("start_time", "end_time"))
+    head = [F.col("op").alias("name"), F.lit("POSIX").alias("cat"), F.col("rank").alias("pid"), F.lit(0).cast("bigint").alias("tid"), F.lit(2).alias("phase")]
+    return segments.join(names, "id", "left").select(*head, start.alias("ts"), (end - start).alias("dur"), F.col("length").alias("size"), "hostname", "file")
 
 
 def pair_enter_leave(marks: DataFrame) -> DataFrame:

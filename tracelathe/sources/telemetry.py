@@ -52,30 +52,48 @@ def net_dev(lines: DataFrame) -> DataFrame:
     return rows.select("file", "interface", *(F.element_at("w", i).try_cast("bigint").alias(k) for k, i in names.items())).filter("rx_bytes is not null")
 
 
-def power_leaves(readings: DataFrame, depth: int = 6) -> DataFrame:
-    """(path, value) of the finite numbers in nested power readings (column v: VARIANT); `timestamp` is left out.
+def power_leaves(readings: DataFrame, depth: int = 32) -> DataFrame:
+    """(path, value) of the finite numbers in nested power readings (column v: VARIANT); keys named `timestamp` are left out.
 
-    Each level is one variant_explode; levels are bounded by `depth`, and the first one, the host, is stripped.
+    A path joins the keys, and places in arrays, by dots, without the first level, the host. Each level is one explode; numbers
+    deeper than `depth` levels are not readings.
     """
-    spark = readings.sparkSession
-    level = readings.select(F.lit("").alias("path"), "v")
-    found = None
-    for k in range(depth):
-        level.createOrReplaceTempView(f"_level_{k}")
-        level = spark.sql(f"select concat(l.path, '/', e.key) as path, e.value as v, e.key as k from _level_{k} l, lateral variant_explode(l.v) e")
-        leaves = level.filter("k <> 'timestamp' and schema_of_variant(v) not in ('STRING', 'BOOLEAN', 'VOID')").select("path", F.expr("try_variant_get(v, '$', 'double')").alias("value")).filter("value is not null and not isnan(value) and abs(value) < double('infinity')")
-        found = leaves if found is None else found.union(leaves)
-        level = level.filter("schema_of_variant(v) like 'OBJECT%'").select("path", "v")
-    return found.select(F.regexp_replace("path", "^/[^/]+/", "").alias("path"), "value")
-
-
-def power_family(key: Column) -> Column:
-    """The family of a power reading by its name; `node` for totals, `other` for the rest."""
-    found = F.lower(F.regexp_extract(key, r"power_([a-zA-Z]+)_?[a-zA-Z_]*watts", 1))
-    return (
-        F.when(found.isin("gpu", "accelerator"), "gpu").when(found.isin("cpu", "socket", "core"), "cpu").when(found.isin("mem", "memory", "dram"), "memory")
-        .when(found.isin("net", "network", "nic"), "network").when(found.isin("node", "total"), "node").otherwise("other")
-    )
+    kind = "schema_of_variant(v)"
+    step = f"""
+      case when {kind} like 'OBJECT%' then transform(filter(map_entries(cast(v as map<string, variant>)), e -> e.key <> 'timestamp'), e -> named_struct('keys', array_append(keys, e.key), 'v', e.value))
+           when {kind} like 'ARRAY%' then transform(cast(v as array<variant>), (x, i) -> named_struct('keys', array_append(keys, cast(i as string)), 'v', x))
+           else array(named_struct('keys', keys, 'v', v)) end"""
+    level = readings.select(F.expr("cast(array() as array<string>)").alias("keys"), "v")
+    for _ in range(depth):
+        level = level.select(F.explode(F.expr(step)).alias("x")).select("x.*")
+    leaves = level.filter(f"{kind} not in ('STRING', 'BOOLEAN', 'VOID') and {kind} not like 'OBJECT%' and {kind} not like 'ARRAY%'")
+    leaves = leaves.select(F.array_join(F.slice("keys", 2, 1000), ".").alias("path"), F.expr("try_variant_get(v, '$', 'double')").alias("value"))
+    return leaves.filter("value is not null and not isnan(value) and abs(value) < double('infinity')")
+
+
+#: Spellings of the families of power readings.
+FAMILIES = {"cpu": "cpu", "cpus": "cpu", "gpu": "gpu", "gpus": "gpu", "mem": "memory", "memory": "memory", "net": "network", "network": "network", "node": "node"}
+_WATTS = "^power_(.+)_watts$"
+
+
+def _family(word: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in FAMILIES.items() for x in pair)), word)
+
+
+def power_family(path: Column) -> Column:
+    """The family of a reading: that of its first power_<family>_watts segment (any name counts), else the first word that names a device, else `other`."""
+    segments = F.filter(F.split(path, r"\."), lambda s: s.rlike(_WATTS))
+    named = F.regexp_extract(F.try_element_at(segments, F.lit(1)), _WATTS, 1)
+    words = F.filter(F.split(path, "[._]"), lambda w: _family(w).isNotNull())
+    return F.coalesce(_family(named), named, _family(F.try_element_at(words, F.lit(1))), F.lit("other"))
+
+
+def power_reading(path: Column) -> Column:
+    """A reading's name in its family: its path without the first power_<family>_watts segment; `total` if nothing is left."""
+    segments = F.split(path, r"\.")
+    at = F.array_position(F.transform(segments, lambda s: s.rlike(_WATTS)), True).cast("int")
+    rest = F.when(at > 0, F.concat(F.slice(segments, 1, F.greatest(at - 1, F.lit(0))), F.slice(segments, at + 1, F.size(segments)))).otherwise(segments)
+    return F.coalesce(F.nullif(F.array_join(rest, "."), F.lit("")), F.lit("total"))
 
 
 def mountinfo(lines: DataFrame) -> DataFrame:

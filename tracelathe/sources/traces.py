@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
 
 from tracelathe.schema import phase_code, phase_letter
 
@@ -43,68 +43,111 @@ def read_trace(spark: SparkSession, path: str | list[str], extra: dict[str, Colu
 
 def variant_numbers(events: DataFrame) -> DataFrame:
     """One row per event and numeric argument: id, key, number (open argument sets in long form)."""
-    events.createOrReplaceTempView("_numbers_of")
-    return events.sparkSession.sql("select e.id, a.key, try_variant_get(a.value, '$', 'double') as number from _numbers_of e, lateral variant_explode(e.args) a").filter("number is not null")
-
-
-class GzipMembers(DataSource):
-    """Gzip files of many members, one partition per member: (file, offset, size, value)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "gzip_members"
-
-    def schema(self) -> str:
-        return "file string, offset bigint, size bigint, value string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return MemberReader(self.options["path"].split(","))
-
-
-class Member(InputPartition):
-    def __init__(self, file: str, offset: int, size: int):
-        self.file, self.offset, self.size = file, offset, size
-
-
-def member_bounds(path: str, step: int = 1 << 20) -> list[tuple[int, int]]:
-    """Offset and size of every member, found by inflating the file once in bounded memory."""
-    found, start, at = [], 0, 0
-    inflate = zlib.decompressobj(31)
-    with open(path, "rb") as file:
-        rest = b""
-        while data := rest or file.read(step):
-            rest = b""
-            inflate.decompress(data)
-            at += len(data)
-            if inflate.eof:
-                rest = inflate.unused_data
-                at -= len(rest)
-                found.append((start, at - start))
-                start, inflate = at, zlib.decompressobj(31)
-    if at > start:
-        raise ValueError(f"{path}: its last member is cut off")
+    entries = F.expr("case when schema_of_variant(args) like 'OBJECT%' then map_entries(cast(args as map<string, variant>)) end")
+    rows = events.select("id", F.explode(entries).alias("a"))
+    return rows.select("id", "a.key", F.expr("try_variant_get(a.value, '$', 'double')").alias("number")).filter("number is not null")
+
+
+def member_bounds(data: bytes) -> list[tuple[int, int]]:
+    """Offset and size of every gzip member; a cut-off last one is an error."""
+    found, start, view = [], 0, memoryview(data)
+    while start < len(data):
+        inflate, at = zlib.decompressobj(31), start
+        while not inflate.eof and at < len(data):
+            part = view[at : at + (1 << 20)]
+            inflate.decompress(part)
+            at += len(part)
+        if not inflate.eof:
+            raise ValueError("the last gzip member is cut off")
+        at -= len(inflate.unused_data)
+        found.append((start, at - start))
+        start = at
     return found
 
 
-class MemberReader(DataSourceReader):
-    def __init__(self, files: list[str]):
-        self.files = files
+def gzip_members(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, offset, size, data): the members of gzip files, still compressed; read and cut in tasks, one per file of up to 2 GB."""
 
-    def partitions(self) -> list[Member]:
-        return [Member(f, a, n) for f in self.files for a, n in member_bounds(f)]
+    def run(batches):
+        for batch in batches:
+            for file, content in zip(*batch.columns, strict=True):
+                data = content.as_py()
+                for offset, size in member_bounds(data):
+                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()]), pa.array([offset]), pa.array([size]), pa.array([data[offset : offset + size]], pa.binary())], names=["file", "offset", "size", "data"])
 
-    def read(self, partition: Member) -> Iterator[tuple]:
-        with open(partition.file, "rb") as file:
-            file.seek(partition.offset)
-            data = zlib.decompress(file.read(partition.size), 31)
-        for line in data.decode("utf-8", "replace").splitlines():
-            yield partition.file, partition.offset, partition.size, line
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, offset bigint, size bigint, data binary")
 
 
-def json_line(events: DataFrame) -> Column:
-    """Events as JSON in the order of the head columns; columns that are null are left out."""
-    names = [c for c in ("id", "name", "cat", "type", "pid", "tid", "ts", "dur", "ph", "args") if c in events.columns]
-    return F.to_json(F.struct(*names))
+def member_lines(members: DataFrame, parts: int | None = None) -> DataFrame:
+    """(file, offset, value): the lines of members, which are dealt anew over tasks by size of the session's shuffles or `parts`."""
+
+    def run(batches):
+        for batch in batches:
+            for file, offset, data in zip(*batch.columns, strict=True):
+                lines = zlib.decompress(data.as_py(), 31).decode("utf-8", "replace").splitlines()
+                yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * len(lines), pa.string()), pa.array([offset.as_py()] * len(lines), pa.int64()), pa.array(lines, pa.string())], names=["file", "offset", "value"])
+
+    dealt = members.select("file", "offset", "data")
+    dealt = dealt.repartition(parts, "file", "offset") if parts else dealt.repartition("file", "offset")
+    return dealt.mapInArrow(run, "file string, offset bigint, value string")
+
+
+def with_line_numbers(lines: DataFrame) -> DataFrame:
+    """Adds `line`, from 0 in each file in the order of reading: partitions are counted first, so no file is sorted in one task."""
+    rows = lines.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.expr("shiftright(_id, 33)"))
+    counts = rows.groupBy(F.col("file").alias("_file"), F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
+    found = rows.join(counts, (F.col("file") == F.col("_file")) & (F.col("_part") == F.col("_of")))
+    return found.select(*lines.columns, (F.col("_id") - F.col("_first") + F.col("_before")).alias("line"))
+
+
+def line_batches(lines: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """Adds `batch`, the first line of the range of `size` lines that a line is in; lines: with `line`."""
+    return lines.withColumn("batch", (F.col("line") - F.pmod(F.col("line"), F.lit(size))).cast("bigint"))
+
+
+HEAD_ORDER = ("id", "name", "cat", "type", "pid", "tid", "ts", "dur", "ph")
+SERIES_ORDER = ("name", "cat", "type", "ts", "ph", "pid", "tid")
+
+
+def _line(rows: DataFrame, head: tuple[str, ...], args: list[str]) -> Column:
+    """A record: its head columns in order, then `args` (a column, or made of the columns named); nulls are left out."""
+    own = [F.col("args")] if "args" in rows.columns and not args else [F.struct(*(F.col(f"`{c}`") for c in args)).alias("args")] if args else []
+    return F.to_json(F.struct(*(c for c in head if c in rows.columns), *own))
+
+
+def json_line(events: DataFrame, args: list[str] = ()) -> Column:
+    """Complete events as JSON; columns beyond the head are written if `args` names them."""
+    return _line(events, HEAD_ORDER, list(args))
+
+
+def series_line(rows: DataFrame, args: list[str] = ()) -> Column:
+    """Counters (ph 2) and folded rows (ph 3) as JSON: no id and no dur in the head."""
+    return _line(rows, SERIES_ORDER, list(args))
+
+
+def aggregated_line(rows: DataFrame, keys: list[str] = (), values: list[str] = ()) -> Column:
+    """Rows of interval_aggregate as JSON: keys, dft_cnt, and each field by its name if folded once, else with _sum, _min and _max."""
+    once = F.col("dft_cnt") == 1
+    args = [F.col(k) for k in keys] + [F.col("dft_cnt")]
+    for field in ("dur", *values):
+        args.append(F.when(once, F.col(f"{field}_sum")).alias(field))
+        args += [F.when(~once, F.col(f"{field}_{n}")).alias(f"{field}_{n}") for n in ("sum", "min", "max")]
+    head = [F.col("name"), F.col("cat"), F.col("type"), F.col("interval").alias("ts"), F.lit(3).alias("ph"), *([F.col("pid")] if "pid" in rows.columns else []), F.col("tid")]
+    return F.to_json(F.struct(*head, F.struct(*args).alias("args")))
+
+
+def metadata_line(rows: DataFrame, cat: str, fields: list[str] = ("key", "value")) -> Column:
+    """Metadata (ph 4) as JSON: (record, type, pid, tid, hhash, key, value) as name and value, or a record of other fields."""
+    own = [F.col("key").alias("name"), F.col("value")] if list(fields) == ["key", "value"] else [F.col(f) for f in fields]
+    return F.to_json(F.struct(F.col("record").alias("name"), F.lit(cat).alias("cat"), "type", "pid", "tid", F.lit(4).alias("ph"), F.struct("hhash", *own).alias("args")))
+
+
+def write_lines(lines: DataFrame, path: str, compress: bool = True) -> None:
+    writer = lines.select("value").write
+    (writer.option("compression", "gzip") if compress else writer).text(path)
 
 
 def write_trace(events: DataFrame, path: str, compress: bool = True, lines_per_file: int = 0) -> None:
@@ -119,11 +162,19 @@ def drop_small_traces(events: DataFrame, least: int = 5) -> DataFrame:
     return events.join(enough, "pid", "left_semi")
 
 
-def long_lines(lines: DataFrame, cap: int = 16384) -> DataFrame:
-    """Flags lines over the format's cap; they are not cut."""
-    return lines.withColumn("over_cap", F.octet_length("value") > cap)
+def capped(lines: DataFrame, cap: int = 16384) -> DataFrame:
+    """Cuts lines of more bytes than the format's cap to as many characters, and flags them."""
+    over = F.octet_length("value") > cap
+    return lines.withColumn("over_cap", over).withColumn("value", F.when(over, F.left("value", F.lit(cap))).otherwise(F.col("value")))
 
 
 def viewer_events(events: DataFrame) -> DataFrame:
     """Events in the viewer's format: phase letters in place of codes."""
     return events.withColumn("ph", phase_letter(F.col("ph")))
+
+
+def read_benchmarks(spark: SparkSession, path: str | list[str], columns: dict[str, str]) -> DataFrame:
+    """Benchmark results as CSV with a header: the columns named (was: new name), numbers where every value is one; `#` lines are comments."""
+    rows = spark.read.option("header", True).option("inferSchema", True).option("comment", "#").csv(path)
+    trimmed = {c.strip(): c for c in rows.columns}
+    return rows.select(*(F.col(f"`{trimmed[was]}`").alias(new) for was, new in columns.items()))
