@@ -46,7 +46,7 @@ from tracelathe.llm.graph import components, cut, numbered, tasks
 SHINGLE = 5
 MISSED = 0.003
 #: The first branching: the level of its first nodes, and its last.
-FIRST = 2
+FIRST = 3
 DEPTH = 4
 LEAF = 256
 HUBS = 2
