@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from tracelathe.llm import toxicity
 from tracelathe.llm.toxicity import fit, rate_toxicity, score, text_features, train
 from tracelathe.llm.columns import U64
 import pyarrow as pa
@@ -56,3 +57,42 @@ def test_nulls_one_grade_and_empty_tables(spark):
 def test_features_are_distinct_words():
     doc, words = text_features(pa.array(["A a b", None, "b-c b"]))
     assert doc.tolist() == [0, 0, 2, 2] and len(set(words.tolist())) == 3
+
+
+def test_severity_is_the_sum_over_thresholds(spark):
+    """Every severity recomputed word by word from the model's weights and thresholds."""
+    import math
+    import random
+    import re
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    mild, bad = ["meh", "boo", "hmm"], ["vile", "awful", "Ünschön"]
+    plain = [f"w{i}" for i in range(40)]
+    docs = []
+    for d in range(400):
+        grade = d % 3
+        words = [rng.choice(plain) for _ in range(20)] + [rng.choice(mild) for _ in range(2 * (grade == 1))] + [rng.choice(bad) for _ in range(2 * (grade == 2))]
+        rng.shuffle(words)
+        docs.append((d, ", ".join(words).upper() if d % 7 == 0 else " ".join(words), grade))
+    docs += [(900, None, None), (901, "", None), (902, "vile " * 5000, None), (None, "awful", None)]
+    frame = spark.createDataFrame([(d, t) for d, t, _ in docs], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(d, g) for d, _, g in docs if g is not None], "doc_id bigint, toxic int")
+    model = toxicity.train(frame, labels)
+    assert len(model.thresholds) == 2 and list(model.grades) == [0, 1, 2]
+    weight = {h: w for h, w in zip(model.words.tolist(), model.weights.tolist())}
+    hashes = {}
+
+    def severity(text):
+        words = {re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")}
+        for w in words:
+            hashes.setdefault(w, toxicity.text_features(pa.array([w]))[1].tolist()[0])
+        score = sum(weight.get(hashes[w], 0.0) for w in words)
+        return sum(1 / (1 + math.exp(theta - score)) for theta in model.thresholds)
+
+    got = toxicity.score(frame, model).collect()
+    texts = {d: t for d, t, _ in docs}
+    assert len(got) == len(docs)
+    for r in got:
+        assert abs(r.severity - severity(texts[r.doc_id])) < 1e-9 and r.rejected == (r.severity >= 0.5)
