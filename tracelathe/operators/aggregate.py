@@ -45,6 +45,32 @@ def aggregate_open_args(events: DataFrame, width: int, roles: ArgRoles | None =
     return folded.groupBy(*BUCKET, "interval", "keys").agg(count.alias("dft_cnt"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("values"))
 
 
+def aggregate_typed_args(events: DataFrame, width: int, roles: ArgRoles | None = None, mixed: str = "first", order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """One row per interval, key and argument: its kind (integer, number or text), count, sum, min and max (text is only counted).
+
+    `args` is a map of strings. An argument whose kind changes keeps that of its first row in `order`: with `first`, rows of other
+    kinds are left out; with `cast`, numbers of another kind are cast to it. Kinds are folded apart, so one shuffle of partial sums does.
+    """
+    roles = roles or ArgRoles()
+    entries = F.map_entries(F.coalesce("args", F.create_map().cast("map<string,string>")))
+    is_number = lambda e: e["value"].try_cast("double").isNotNull()
+    is_key = lambda e: roles.is_key(e["key"], is_number(e)) & ~(~is_number(e) & e["key"].isin(*roles.values))
+    keyed = F.to_json(F.map_from_entries(F.array_sort(F.filter(entries, is_key))))
+    at = events.select(*BUCKET, interval_floor(F.col("ts"), width).alias("interval"), keyed.alias("keys"), F.struct(*order).alias("_at"), F.explode(F.filter(entries, lambda e: ~is_key(e))).alias("e"))
+    whole, number = F.col("e.value").try_cast("bigint"), F.col("e.value").try_cast("double")
+    kind = F.when(whole.isNotNull(), "integer").when(number.isNotNull(), "number").otherwise("text")
+    rows = at.select(*BUCKET, "interval", "keys", "e.key", kind.alias("kind"), number.alias("x"), F.when(F.abs(number) < 9e18, number.cast("bigint")).alias("w"), "_at")
+    group = [*BUCKET, "interval", "keys", "key"]
+    folded = rows.groupBy(*group, "kind").agg(F.min("_at").alias("_at"), F.count(F.lit(1)).alias("count"), *(f(c).alias(f"{c}_{n}") for c in "xw" for n, f in (("sum", F.sum), ("min", F.min), ("max", F.max))))
+    first = F.min(F.struct("_at", "kind"))["kind"].alias("first")
+    kinds = F.collect_list(F.struct("kind", "count", "x_sum", "x_min", "x_max", "w_sum", "w_min", "w_max")).alias("all")  # three at most
+    one = folded.groupBy(*group).agg(first, kinds)
+    fits = F.col("x.kind") == F.col("first") if mixed == "first" else (F.col("x.kind") == F.col("first")) | (F.col("x.kind") != "text") & (F.col("first") != "text")
+    parts = one.select(*group, "first", F.explode("all").alias("x")).filter(fits)
+    value = lambda n: F.when(F.col("first") == "integer", F.col(f"x.w_{n}").cast("double")).when(F.col("first") == "number", F.col(f"x.x_{n}"))
+    return parts.groupBy(*group, F.col("first").alias("kind")).agg(F.sum("x.count").alias("count"), F.sum(value("sum")).alias("sum"), F.min(value("min")).alias("min"), F.max(value("max")).alias("max"))
+
+
 def shaped(rows: DataFrame, field: str = "dur") -> DataFrame:
     """As written to traces: a field folded once keeps its name, others have _sum, _min and _max."""
     once = F.col("dft_cnt") == 1

@@ -316,3 +316,23 @@ def tail_events(spark, d):
 @query("sample_events", sql("SELECT id FROM e WHERE CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 6) AS BIGINT) % 10 = 0"))
 def sample_events(spark, d):
     return utilities.sampled(trace(spark, d), 10).select("id")
+
+
+_MIXED = """x AS (SELECT cat, name, tid, id, ts, ts // {w} * {w} AS i, CASE id % 3 WHEN 0 THEN 'integer' WHEN 1 THEN 'number' ELSE 'text' END AS kind, CASE id % 3 WHEN 0 THEN CAST(size AS DOUBLE) WHEN 1 THEN size + 0.5 END AS v FROM e WHERE size IS NOT NULL),
+k AS (SELECT cat, name, tid, i, arg_min(kind, (ts, id)) AS first FROM x GROUP BY ALL)""".format(w=24 * HOUR)
+
+
+def _mixed(spark, d, mixed):
+    value = F.when(F.col("id") % 3 == 0, F.col("size").cast("string")).when(F.col("id") % 3 == 1, F.concat(F.col("size").cast("string"), F.lit(".5"))).otherwise(F.concat(F.lit("s"), F.col("size").cast("string")))
+    rows = trace(spark, d).filter("size is not null").withColumn("args", F.create_map(F.lit("size"), value))
+    return aggregate.aggregate_typed_args(rows, 24 * HOUR, mixed=mixed, order=("ts", "id")).select("cat", "name", "tid", "interval", "key", "kind", "count", "sum", "min", "max")
+
+
+@query("mixed_args_first", sql("SELECT x.cat, x.name, x.tid, x.i AS \"interval\", 'size' AS key, first AS kind, count(*) AS count, sum(v) AS sum, min(v) AS min, max(v) AS max FROM x JOIN k USING (cat, name, tid, i) WHERE kind = first GROUP BY ALL", _MIXED))
+def mixed_args_first(spark, d):
+    return _mixed(spark, d, "first")
+
+
+@query("mixed_args_cast", sql("SELECT x.cat, x.name, x.tid, x.i AS \"interval\", 'size' AS key, first AS kind, count(*) AS count, sum(CASE WHEN first = 'integer' THEN trunc(v) ELSE v END) AS sum, min(CASE WHEN first = 'integer' THEN trunc(v) ELSE v END) AS min, max(CASE WHEN first = 'integer' THEN trunc(v) ELSE v END) AS max FROM x JOIN k USING (cat, name, tid, i) WHERE kind = first OR (kind <> 'text' AND first <> 'text') GROUP BY ALL", _MIXED))
+def mixed_args_cast(spark, d):
+    return _mixed(spark, d, "cast")
