@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelathe.operators import aggregate, rules
-from tracelathe.queries.tables import sql, trace
+from tracelathe.queries.tables import sql, table, trace
 from tracelathe.schema import layer_name, phase_letter
 
 QUERIES, ORACLES = {}, {}
@@ -210,22 +210,40 @@ def session(spark, d):
 
 @query("stream_tumbling", sql(f"SELECT ts // {24 * HOUR} * {24 * HOUR} AS \"interval\", cat, name, {_FOLD} FROM e GROUP BY ALL"))
 def stream_tumbling(spark, d):
-    """The events read as a stream of files, folded batch by batch into the checkpoint folder, merged."""
-    import tempfile
+    """The events as a stream of three files whose times overlap, folded batch by batch into the checkpoint folder, and merged: most rows of
+    the later files are late, and become second rows of their intervals."""
     import uuid
 
-    from tracelathe.streaming.tumbling import fold_batches, reaggregated
+    from tracelathe.streaming.tumbling import fold_batches, reaggregated, shared_folder
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    path = f"{base}/stream-{uuid.uuid4().hex}"
-    whole = spark.read.parquet(f"{d}/events.parquet")
-    stream = spark.readStream.schema(whole.schema).option("pathGlobFilter", "*").parquet(f"{d}/events.parquet*")
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     io = F.col("event_type").isin("click", "view", "error")
-    events = stream.select(F.col("ts").cast("timestamp").alias("at"), F.when(io, "POSIX").otherwise("COMPUTE").alias("cat"), F.col("event_type").alias("name"), F.round(F.col("value") * 1e7).cast("bigint").alias("dur"))
-    fold_batches(events, 24 * HOUR, f"{path}/rows", f"{path}/state").awaitTermination()
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), F.when(io, "POSIX").otherwise("COMPUTE").alias("cat"), F.col("event_type").alias("name"), F.round(F.col("value") * 1e7).cast("bigint").alias("dur"), (F.col("event_id") % 3).alias("part"))
+    events.repartition("part").write.partitionBy("part").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.drop("part").schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    fold_batches(stream, 24 * HOUR, f"{path}/rows", f"{path}/state").awaitTermination()
     return reaggregated(spark.read.parquet(f"{path}/rows"))
 
 
+@query("stream_end_marks", sql("SELECT pid, name, count(*) AS dft_cnt, CAST(sum(dur) AS BIGINT) AS dur_sum, min(dur) AS dur_min, max(dur) AS dur_max FROM e WHERE pid < 6 GROUP BY pid, name"))
+def stream_end_marks(spark, d):
+    """Processes 0 to 5 end in the last file of a stream of three; the others haven't ended, so nothing of them is given out."""
+    import uuid
+
+    from tracelathe.streaming.lanes import fold_until_end
+    from tracelathe.streaming.tumbling import shared_folder
+
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = trace(spark, d).select("pid", "name", "dur", (F.col("id") % 2).alias("part"))
+    ends = spark.range(6).select(F.col("id").alias("pid"), F.lit("end").alias("name"), F.lit(0).cast("bigint").alias("dur"), F.lit(2).cast("bigint").alias("part"))
+    for part, rows in enumerate((events.filter("part = 0"), events.filter("part = 1"), ends)):
+        rows.drop("part").repartition(1 if part == 2 else 2, "pid").write.parquet(f"{path}/in/{part}")
+    stream = spark.readStream.schema(events.drop("part").schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    query = fold_until_end(stream).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/rows")
+
+
 @query("cube_layers", sql("SELECT cat, name, count(*) AS n FROM e GROUP BY CUBE (cat, name)"))
 def cube_layers(spark, d):
     return trace(spark, d).cube("cat", "name").agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark) -> str:
+    """A folder that all executors share: the session's checkpoint folder, else one under the warehouse (on a single machine a temporary one)."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and spark.sparkContext.master.startswith("local["):
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="checkpoints")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+
+
 def tumbling(events: DataFrame, width: str, late: str = "0 seconds", keys: tuple[str, ...] = ("cat", "name")) -> DataFrame:
     """Rows per interval and key of a stream (or a table) with a timestamp column `at`.
 
