@@ -132,7 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", doc_id="doc_
 
     rows = chosen.mapInArrow(by_batch(work), "grade int, words binary").toArrow()  # at most sample_rows texts' hashes
     found = [np.frombuffer(x.as_buffer(), U64) for x in rows.column("words")]
-    return fit(rows.column("grade").to_numpy(), found, **options)
+    model = fit(rows.column("grade").to_numpy(), found, **options)
+    del rows, found
+    pa.default_memory_pool().release_unused()  # the driver goes on with other work
+    return model
 
 
 def score(docs: DataFrame, model: Ordinal, doc_id="doc_id", text="text") -> DataFrame:
