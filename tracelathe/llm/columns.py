@@ -26,6 +26,9 @@ LOWER[65:91] += 32
 #: Bytes of words made of letters, digits and everything outside ASCII.
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
+#: Bytes of words made of letters and everything outside ASCII.
+LETTERS = ALNUM.copy()
+LETTERS[48:58] = False
 #: Bytes of words that only blanks (0x20, 0x09 to 0x0D) separate.
 SOLID = np.ones(256, bool)
 SOLID[[9, 10, 11, 12, 13, 32]] = False
@@ -82,6 +85,16 @@ def word_runs(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.n
     return np.flatnonzero(begin), np.flatnonzero(end)
 
 
+def coded_words(texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of a batch, with A-Z lower-cased: which text each is in, its code, and the distinct words by code."""
+    data, at = text_bytes(texts)
+    data = LOWER[data]
+    begin, end = word_runs(data, at, table)
+    ends = np.concatenate(([0], np.cumsum(end - begin))).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(ends), pa.py_buffer(data[table[data]])).dictionary_encode()
+    return np.searchsorted(at, begin, "right") - 1, words.indices.to_numpy(), words.dictionary
+
+
 def run_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run's bytes (not empty)."""
     total = np.zeros(len(data) + 1, U64)

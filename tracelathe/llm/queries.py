@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracelathe.llm.columns import read
 from tracelathe.llm.decontaminate import ORACLE as contamination_oracle
+from tracelathe.llm.divergence import ORACLE as divergence_oracle
+from tracelathe.llm.lexical import ORACLE as lexical_oracle
 from tracelathe.llm.line_dedup import ORACLE as line_oracle
 from tracelathe.llm.near_dedup import ORACLE as near_oracle
+from tracelathe.llm.sharding import ORACLE as sharding_oracle
 from tracelathe.llm.topk import ORACLE as topk_oracle
 
 
@@ -72,6 +75,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelathe.llm.divergence import audit
+
+    return audit(read(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelathe.llm.lexical import search
+
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelathe.llm.sharding import assign
+
+    return assign(read(spark, sf_dir, "documents"), shards=8)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -83,6 +104,17 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_topk": op9_topk,
     "op10_token_counts": op10_token_counts,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_sharding": op13_sharding,
 }
 #: Ranks, learned weights and alignments are beyond SQL; the tests hold those queries against brute force or the libraries.
-ORACLES = {"op2_decontamination": contamination_oracle, "op7_line_dedup": line_oracle, "op8_near_dedup": near_oracle, "op9_topk": topk_oracle}
+ORACLES = {
+    "op2_decontamination": contamination_oracle,
+    "op7_line_dedup": line_oracle,
+    "op8_near_dedup": near_oracle,
+    "op9_topk": topk_oracle,
+    "op11_source_divergence": divergence_oracle,
+    "op12_lexical_search": lexical_oracle,
+    "op13_sharding": sharding_oracle,
+}
