@@ -121,17 +121,3 @@ def test_late_rows_are_merged(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "rows"))
     assert rows.count() == 3
     assert {(r.interval // 60_000_000, r.dft_cnt, r.dur_sum) for r in tumbling.reaggregated(rows).collect()} == {(0, 2, 4), (1, 1, 2)}
-
-
-def test_state_is_given_out_at_the_end_mark(spark, tmp_path):
-    from tracelathe.streaming.lanes import fold_until_end
-
-    schema = "pid bigint, name string, dur bigint"
-    parts = [[(1, "read", 5), (2, "read", 7)], [(1, "read", 3), (1, "end", 0), (2, "write", 1)], [(2, "end", 0), (1, "read", 9)], [(1, "end", 0)]]
-    for k, rows in enumerate(parts):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = fold_until_end(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted(map(tuple, rows)) == [(1, "read", 1, 9, 9, 9), (1, "read", 2, 8, 3, 5), (2, "read", 1, 7, 7, 7), (2, "write", 1, 1, 1, 1)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelathe.functions.scalars import hash16, under
+from tracelathe.operators.bins import bin_width
 
 
 def dictionary(rows: DataFrame, column: str) -> DataFrame:
@@ -37,21 +38,32 @@ def longest_prefix(paths: DataFrame, mounts: DataFrame) -> DataFrame:
     return met.groupBy("path").agg(F.max_by("point", order).alias("mount"))
 
 
-def asof_last(events: DataFrame, samples: DataFrame, keys: list[str], value: str, at: str = "ts", width: int = 60_000_000) -> DataFrame:
-    """Adds the last sample's value at or before each event, per key: a sweep of both tables per bin of `width`.
+def same_keys(keys: list[str]) -> Column:
+    """Equality of keys with those of a table whose columns are named `_of_<key>`; nulls are equal."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return on
 
-    What a bin begins with, the last sample of the bins before it, is one row per bin with samples, found in a table of bins.
+
+def asof_last(events: DataFrame, samples: DataFrame, keys: list[str], value: str, at: str = "ts", width: int | None = None) -> DataFrame:
+    """Every event with the last sample's value at or before it, per key (null keys are a key): a sweep of both tables per bin of `width`.
+
+    Events without a time, and those before all samples, have null. Samples without time or value take no part. What a bin begins
+    with, the last sample of the bins before it, is one row per bin, found in a table of bins; the width follows from the events' range
+    and count if it isn't given.
     """
+    width = width or bin_width(events, at)
     left = events.withColumn("_kind", F.lit(1)).withColumn("_value", F.lit(None).cast(samples.schema[value].dataType))
-    right = samples.filter(F.col(value).isNotNull()).select(*keys, at, F.lit(0).alias("_kind"), F.col(value).alias("_value"))
+    right = samples.filter(F.col(value).isNotNull() & F.col(at).isNotNull()).select(*keys, at, F.lit(0).alias("_kind"), F.col(value).alias("_value"))
     both = left.unionByName(right, allowMissingColumns=True).withColumn("_bin", F.floor(F.col(at) / width))
     order = Window.partitionBy(*keys, "_bin").orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_own", F.last("_value", ignorenulls=True).over(order)).filter("_kind = 1")
     ends = both.groupBy(*keys, "_bin").agg(F.max_by("_value", F.when(F.col("_kind") == 0, F.struct(F.col(at)))).alias("_end"))
     over = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, "_bin", F.last("_end", ignorenulls=True).over(over).alias("_before"))
-    found = seen.join(carried, [*keys, "_bin"])
-    return found.select(*(F.col(c) for c in events.columns if c != value), F.coalesce("_own", "_before").alias(value))
+    carried = ends.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_bin").alias("_of__bin"), F.last("_end", ignorenulls=True).over(over).alias("_before"))
+    found = seen.join(carried, same_keys([*keys, "_bin"]))
+    return found.select(*(F.col(c) for c in events.columns if c != value), F.when(F.col(at).isNotNull(), F.coalesce("_own", "_before")).alias(value))
 
 
 def multiset_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

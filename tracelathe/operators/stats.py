@@ -6,34 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracelathe.operators.intervals import running
+from tracelathe.operators.selection import null_safe, quantiles, trimmed
+
+
+def _with_quantiles(sums: DataFrame, rows: DataFrame, keys: list[str], value: str, names: dict[str, float]) -> DataFrame:
+    """Adds exact quantiles, selected in a distributed way, to a table of groups; null for groups without values."""
+    found = quantiles(rows, keys, value, names)
+    right = found.select(*(F.col(k).alias(f"_of_{k}") for k in keys), *names)
+    return sums.join(right, null_safe([F.col(k) for k in keys], [F.col(f"_of_{k}") for k in keys]), "left").drop(*(f"_of_{k}" for k in keys))
 
 
 def operation_summary(rows: DataFrame, key: str = "name", size: str = "size") -> DataFrame:
     """Per operation: time and count; sum, mean, median, extremes and quartiles of sizes (exact)."""
-    return rows.groupBy(key).agg(
-        F.sum("dur").alias("dur_sum"), F.count("dur").alias("dur_count"), F.sum(size).alias("size_sum"), F.avg(size).alias("size_mean"), F.percentile(size, 0.5).alias("size_median"),
-        F.min(size).alias("size_min"), F.max(size).alias("size_max"), F.percentile(size, 0.25).alias("size_p25"), F.percentile(size, 0.75).alias("size_p75"),
+    sums = rows.groupBy(key).agg(
+        F.sum("dur").alias("dur_sum"), F.count("dur").alias("dur_count"), F.sum(size).alias("size_sum"), F.avg(size).alias("size_mean"), F.min(size).alias("size_min"), F.max(size).alias("size_max"),
     )
+    whole = _with_quantiles(sums, rows, [key], size, {"size_median": 0.5, "size_p25": 0.25, "size_p75": 0.75})
+    return whole.select(key, "dur_sum", "dur_count", "size_sum", "size_mean", "size_median", "size_min", "size_max", "size_p25", "size_p75")
+
 
+def transfer_table(rows: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Per group the number of transfers and the sum, mean, median and extremes of their sizes."""
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size_sum"), F.avg(size).alias("size_mean"), F.min(size).alias("size_min"), F.max(size).alias("size_max"))
+    return _with_quantiles(sums, rows, keys, size, {"size_median": 0.5})
 
-def trimmed_mean(rows: DataFrame, keys: list[str], value: str, order: str, width: float = 1.0) -> DataFrame:
-    """Mean and sample deviation of the values from index int((n-1)/4) to int(3(n-1)/4) in ascending order.
 
-    Places are counted per key and bin of values of `width`, so a key's rows are spread over as many tasks as it has bins.
-    """
-    n = rows.groupBy(*(F.col(k).alias(f"_n_{k}") for k in keys)).agg(F.count(value).alias("_n"))
-    placed = running(rows.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(1)), keys, value, [order], ["_one"], width).withColumn("_i", F.col("_one_so_far") - 1)
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_n_{k}"))
-    kept = placed.join(n, on).filter("_i >= (_n - 1) div 4 and _i <= 3 * (_n - 1) div 4")
-    return kept.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(F.lit(1)).alias("n"))
+def trimmed_mean(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean and sample deviation of the values from index int((n-1)/4) to int(3(n-1)/4) in ascending order, and their number; exact."""
+    return trimmed(rows, keys, value)
 
 
 def variation(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Population deviation over median; null for a median of 0."""
-    return rows.groupBy(*keys).agg(F.try_divide(F.stddev_pop(value), F.percentile(value, 0.5)).alias("cv"))
+    sums = rows.groupBy(*keys).agg(F.stddev_pop(value).alias("_sd"))
+    return _with_quantiles(sums, rows, keys, value, {"_median": 0.5}).select(*keys, F.try_divide("_sd", "_median").alias("cv"))
 
 
 def weighted_average(rows: DataFrame, keys: list[str], total: str, count: str) -> DataFrame:
@@ -41,7 +47,8 @@ def weighted_average(rows: DataFrame, keys: list[str], total: str, count: str) -
 
 
 def repetitions(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"))
+    sums = rows.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    return _with_quantiles(sums, rows, keys, value, {"median": 0.5})
 
 
 def per_event(rows: DataFrame, keys: list[str], all_runs: list[str], total: str, rep: str) -> DataFrame:
@@ -83,8 +90,7 @@ def phase_rank(phase, order: tuple[str, ...] = PHASE_ORDER):
 
 def partitioned_quantile(rows: DataFrame, keys: list[str], part: str, value: str, q: float) -> DataFrame:
     """The quantile of the parts' quantiles: an approximation that sums up parts first (part: a column that deals rows)."""
-    each = rows.groupBy(*keys, part).agg(F.percentile(value, q).alias("x"))
-    return each.groupBy(*keys).agg(F.percentile("x", q).alias("quantile"))
+    return quantiles(quantiles(rows, [*keys, part], value, {"x": q}), keys, "x", {"quantile": q})
 
 
 def approximate_distinct(rows: DataFrame, keys: list[str], value: str, error: float = 0.02) -> DataFrame:
@@ -94,7 +100,7 @@ def approximate_distinct(rows: DataFrame, keys: list[str], value: str, error: fl
 
 def added_time(rows: DataFrame, keys: list[str], mode: str, base: str, value: str) -> DataFrame:
     """Median of each mode with what it adds to the base mode's and their ratio, per key."""
-    medians = rows.groupBy(*keys, mode).agg(F.percentile(value, 0.5).alias("median"))
+    medians = quantiles(rows, [*keys, mode], value, {"median": 0.5})
     ground = medians.filter(F.col(mode) == base).select(*keys, F.col("median").alias("base"))
     both = medians.join(ground, keys, "left")
     return both.select(*keys, mode, "median", (F.col("median") - F.col("base")).alias("added"), F.try_divide("median", "base").alias("ratio"))

@@ -6,23 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelathe.operators.aggregate import calls
-from tracelathe.operators.joins import multiset_difference
-
-#: Fixed patterns: what differs between two runs of one program, and what stands in its place.
-SCRUBS = ((r"0x[0-9a-fA-F]+", "ADDR"), (r"/tmp/[A-Za-z0-9_.-]+", "TMP"), (r"\b[0-9a-f]{16}\b", "HASH"), (r"\b[0-9]{9,}\b", "NUM"))
-
-
-def scrub(text: Column) -> Column:
-    for pattern, by in SCRUBS:
-        text = F.regexp_replace(text, pattern, by)
-    return text
-
-
-def equivalent(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Differences between two traces as multisets of scrubbed (cat, name, args); aggregated rows count for their calls."""
-    ready = lambda df: df.select("cat", "name", scrub(F.col("args")).alias("args"))
-    return multiset_difference(ready(left), ready(right), ["cat", "name", "args"])
-
 
 def total_calls(rows: DataFrame) -> DataFrame:
     """Calls per operation, however they were recorded; equal for equivalent traces."""

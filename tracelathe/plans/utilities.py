@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tracelathe.functions.scalars import anonymize as user_replaced
 from tracelathe.functions.scalars import pid_of_file, strip_unprintable
+from tracelathe.operators.bins import bin_width
+from tracelathe.operators.intervals import running
 from tracelathe.sources.traces import event_lines, json_line, viewer_events, write_trace
 
 
@@ -19,20 +20,28 @@ def merge(*traces: DataFrame) -> DataFrame:
     return event_lines(whole)
 
 
-def split(lines: DataFrame, chunk_bytes: int, group: str = "file", order: str = "line") -> DataFrame:
-    """Adds `chunk`: a group's lines in order, cut where their bytes (with line feeds) pass multiples of chunk_bytes; nothing is lost or doubled."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    size = F.octet_length("value") + 1
-    return lines.withColumn("chunk", F.floor((F.sum(size).over(w) - size) / chunk_bytes).cast("bigint"))
+#: Lines of one block; a file's blocks are summed in tasks of their own, and a table of blocks has what comes before each.
+BLOCK_LINES = 1 << 16
 
 
-def compact(lines: DataFrame, lines_per_file: int, group: str = "file", order: str = "line") -> DataFrame:
-    """Adds `part`: a group's lines in order, so many a part."""
-    return lines.withColumn("part", F.expr(f"cast((row_number() over (partition by `{group}` order by `{order}`) - 1) div {lines_per_file} as bigint)"))
+def split(lines: DataFrame, chunk_bytes: int, group: str = "file", order: str = "line", ties: tuple[str, ...] = (), width: int | float = BLOCK_LINES) -> DataFrame:
+    """Adds `chunk`: a group's lines in order, cut where their bytes (with line feeds) pass multiples of chunk_bytes; nothing is lost or doubled.
+
+    Bytes are added up per block of `width` in the unit of `order`, so a file of any size is spread over tasks.
+    """
+    placed = running(lines.withColumn("_size", F.octet_length("value") + 1), [group], order, list(ties), ["_size"], width)
+    return placed.select(*lines.columns, F.floor((F.col("_size_so_far") - F.col("_size")) / chunk_bytes).cast("bigint").alias("chunk"))
+
+
+def compact(lines: DataFrame, lines_per_file: int, group: str = "file", order: str = "line", ties: tuple[str, ...] = (), width: int | float = BLOCK_LINES) -> DataFrame:
+    """Adds `part`: a group's lines in order, so many a part; counted by blocks, as in `split`."""
+    placed = running(lines.withColumn("_one", F.lit(1)), [group], order, list(ties), ["_one"], width)
+    return placed.select(*lines.columns, F.call_function("div", F.col("_one_so_far") - 1, F.lit(lines_per_file)).alias("part"))
 
 
 def compact_by_pid(lines: DataFrame, lines_per_file: int, order: str = "line") -> DataFrame:
-    return compact(lines.withColumn("pid", pid_of_file(F.col("file"))), lines_per_file, "pid", order)
+    """The lines of one process's files, by the pid in their names, so many a part, in the order of lines and files."""
+    return compact(lines.withColumn("pid", pid_of_file(F.col("file"))), lines_per_file, "pid", order, ("file",))
 
 
 def event_count(lines: DataFrame) -> DataFrame:
@@ -65,14 +74,14 @@ def viewer_file(events: DataFrame, path: str) -> None:
 def viewer_arrays(events: DataFrame, chunk_bytes: int = 64 << 20, group: str = "pid") -> DataFrame:
     """(group, chunk, value): whole JSON arrays in the viewer's format, each of about chunk_bytes of a group's events in order of time."""
     shown = viewer_events(events)
-    lines = split(shown.select(group, "ts", "id", json_line(shown).alias("value")).withColumn("order", F.struct("ts", "id")), chunk_bytes, group, "order")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("order", "value"))), lambda x: x["value"])
+    lines = split(shown.select(group, "ts", "id", json_line(shown).alias("value")), chunk_bytes, group, "ts", ("id",), bin_width(events, "ts"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "value"))), lambda x: x["value"])
     return lines.groupBy(group, "chunk").agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("value"))
 
 
-def write_rolled(lines: DataFrame, path: str, megabytes: int, group: str = "file", order: str = "line") -> None:
+def write_rolled(lines: DataFrame, path: str, megabytes: float, group: str = "file", order: str = "line") -> None:
     """One folder per group and chunk of so many MB; lines are whole."""
-    split(lines, megabytes << 20, group, order).select(group, "chunk", "value").write.partitionBy(group, "chunk").option("compression", "gzip").text(path)
+    split(lines, int(megabytes * (1 << 20)), group, order).select(group, "chunk", "value").write.partitionBy(group, "chunk").option("compression", "gzip").text(path)
 
 
 def write_summary(rows: DataFrame, path: str, order: list[str]) -> None:

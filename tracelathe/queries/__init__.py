@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, with the SQL that each equals."""
 
-from tracelathe.queries import analysis, events, records, tables_queries
+from tracelathe.queries import analysis, events, features, records, tables_queries
 
-QUERIES = events.QUERIES | analysis.QUERIES | tables_queries.QUERIES | records.QUERIES
-ORACLES = events.ORACLES | analysis.ORACLES | tables_queries.ORACLES | records.ORACLES
+QUERIES = events.QUERIES | analysis.QUERIES | tables_queries.QUERIES | records.QUERIES | features.QUERIES
+ORACLES = events.ORACLES | analysis.ORACLES | tables_queries.ORACLES | records.ORACLES | features.ORACLES

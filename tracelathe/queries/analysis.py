@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tracelathe.operators import intervals, joins, stats, validate
 from tracelathe.plans.analysis import Analyzer, duration_of, with_analysis_columns
 from tracelathe.plans.analysis import slice_sql as viewer_sql
-from tracelathe.plans.analysis import slice_sql as viewer_sql
 from tracelathe.queries.events import HOUR
 from tracelathe.queries.tables import sql, table, trace
 
@@ -29,7 +28,7 @@ _ISLANDS = "m AS (SELECT *, max(te) OVER (PARTITION BY pid ORDER BY ts, te ROWS
 
 @query("interval_union", sql("SELECT pid, min(ts) AS s, max(te) AS e FROM g GROUP BY pid, i", _ISLANDS))
 def interval_union(spark, d):
-    return intervals.interval_union(trace(spark, d), ["pid"], width=HOUR)
+    return intervals.interval_union(trace(spark, d), ["pid"])
 
 
 _SWEEP = """
@@ -42,19 +41,19 @@ _TOTALS = ", ".join(f"CAST(coalesce(sum(width) FILTER ({w}), 0) AS BIGINT) AS {n
 
 @query("overlap_times", sql(f"SELECT pid, {_TOTALS} FROM opened GROUP BY pid", _SWEEP))
 def overlap_times(spark, d):
-    return intervals.overlap_times(trace(spark, d), ["pid"], F.col("cat") == "POSIX", F.col("cat") == "COMPUTE", width=HOUR)
+    return intervals.overlap_times(trace(spark, d), ["pid"], F.col("cat") == "POSIX", F.col("cat") == "COMPUTE")
 
 
 @query("overlap_degree", sql("SELECT id, count(*) AS degree FROM (SELECT unnest([a.id, b.id]) AS id FROM e a JOIN e b ON a.pid = b.pid AND a.id < b.id AND a.ts < b.te AND b.ts < a.te) GROUP BY id"))
 def overlap_degree(spark, d):
-    return intervals.overlap_degrees(trace(spark, d), ["pid"], width=HOUR).select("id", "degree")
+    return intervals.overlap_degrees(trace(spark, d), ["pid"]).select("id", "degree")
 
 
 @query("region_containment", sql("SELECT id, region FROM (SELECT x.id, r.id AS region, row_number() OVER (PARTITION BY x.id ORDER BY r.ts, r.id) AS n FROM e x JOIN e r ON x.pid = r.pid AND x.ts >= r.ts AND x.te <= r.te AND x.cat = 'POSIX' AND r.cat = 'COMPUTE') WHERE n = 1"))
 def region_containment(spark, d):
     t = trace(spark, d)
     regions = t.filter("cat = 'COMPUTE'").select("pid", F.col("id").alias("region"), F.col("ts").alias("rs"), F.col("te").alias("re"))
-    return intervals.contained_in(t.filter("cat = 'POSIX'"), regions, HOUR, ["pid"]).select("id", "region")
+    return intervals.contained_in(t.filter("cat = 'POSIX'"), regions, ["pid"]).select("id", "region")
 
 
 @query("int_ranges", sql("SELECT name, min(tid) AS low, max(tid) AS high, count(*) AS n FROM (SELECT name, tid, tid - row_number() OVER (PARTITION BY name ORDER BY tid) AS i FROM (SELECT DISTINCT name, tid FROM e)) GROUP BY name, i"))
@@ -74,7 +73,7 @@ def op_summary(spark, d):
 
 @query("transfer_table", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS size_sum, avg(l_quantity) AS size_mean, median(l_quantity) AS size_median, min(l_quantity) AS size_min, max(l_quantity) AS size_max FROM lineitem GROUP BY ALL")
 def transfer_table(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("size_sum"), F.avg("l_quantity").alias("size_mean"), F.percentile("l_quantity", 0.5).alias("size_median"), F.min("l_quantity").alias("size_min"), F.max("l_quantity").alias("size_max"))
+    return stats.transfer_table(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
 
 
 @query("time_range_view", sql(f"SELECT CAST(floor(te / 2 / {HOUR}) AS BIGINT) AS trange, count(*) AS count, CAST(sum(dur) AS BIGINT) AS time, CAST(coalesce(sum(size), 0) AS BIGINT) AS data_size FROM e GROUP BY ALL"))
@@ -182,13 +181,6 @@ def multiset_except(spark, d):
     return t.filter("pid < 4").drop("pid").exceptAll(t.filter("pid >= 4").drop("pid"))
 
 
-@query("trace_equivalence", sql("SELECT cat, name, size, n_left, n_right FROM (SELECT cat, name, size, count(*) FILTER (pid < 4) AS n_left, count(*) FILTER (pid >= 4) AS n_right FROM e GROUP BY ALL) WHERE n_left <> n_right"))
-def trace_equivalence(spark, d):
-    t = trace(spark, d).withColumn("args", F.col("size").cast("string"))
-    found = validate.equivalent(t.filter("pid < 4"), t.filter("pid >= 4"))
-    return found.select("cat", "name", F.col("args").cast("bigint").alias("size"), "n_left", "n_right")
-
-
 @query("finalized_processes", sql("SELECT id FROM e WHERE tid IN (SELECT tid FROM e GROUP BY tid HAVING count(*) >= 60)"))
 def finalized_processes(spark, d):
     t = trace(spark, d).drop("pid").withColumnRenamed("tid", "pid").withColumn("num_events", F.lit(None).cast("bigint"))
@@ -198,7 +190,7 @@ def finalized_processes(spark, d):
 
 @query("iqr_mean", sql("SELECT name, avg(dur) AS mean, stddev_samp(dur) AS sd, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY dur, id) - 1 AS i, count(*) OVER (PARTITION BY name) AS c FROM e) WHERE i >= (c - 1) // 4 AND i <= 3 * (c - 1) // 4 GROUP BY name"))
 def iqr_mean(spark, d):
-    return stats.trimmed_mean(trace(spark, d), ["name"], "dur", "id")
+    return stats.trimmed_mean(trace(spark, d), ["name"], "dur")
 
 
 @query("cv_median", sql("SELECT name, stddev_pop(dur) / median(dur) AS cv FROM e GROUP BY name"))

@@ -212,11 +212,10 @@ def session(spark, d):
 def stream_tumbling(spark, d):
     """The events as a stream of three files whose times overlap, folded batch by batch into the checkpoint folder, and merged: most rows of
     the later files are late, and become second rows of their intervals."""
-    import uuid
+    from tracelathe.operators.written import new_path
+    from tracelathe.streaming.tumbling import fold_batches, reaggregated
 
-    from tracelathe.streaming.tumbling import fold_batches, reaggregated, shared_folder
-
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = new_path(spark, "stream")
     io = F.col("event_type").isin("click", "view", "error")
     events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), F.when(io, "POSIX").otherwise("COMPUTE").alias("cat"), F.col("event_type").alias("name"), F.round(F.col("value") * 1e7).cast("bigint").alias("dur"), (F.col("event_id") % 3).alias("part"))
     events.repartition("part").write.partitionBy("part").parquet(f"{path}/in")
@@ -227,21 +226,22 @@ def stream_tumbling(spark, d):
 
 @query("stream_end_marks", sql("SELECT pid, name, count(*) AS dft_cnt, CAST(sum(dur) AS BIGINT) AS dur_sum, min(dur) AS dur_min, max(dur) AS dur_max FROM e WHERE pid < 6 GROUP BY pid, name"))
 def stream_end_marks(spark, d):
-    """Processes 0 to 5 end in the last file of a stream of three; the others haven't ended, so nothing of them is given out."""
-    import uuid
-
-    from tracelathe.streaming.lanes import fold_until_end
-    from tracelathe.streaming.tumbling import shared_folder
-
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    events = trace(spark, d).select("pid", "name", "dur", (F.col("id") % 2).alias("part"))
-    ends = spark.range(6).select(F.col("id").alias("pid"), F.lit("end").alias("name"), F.lit(0).cast("bigint").alias("dur"), F.lit(2).cast("bigint").alias("part"))
-    for part, rows in enumerate((events.filter("part = 0"), events.filter("part = 1"), ends)):
-        rows.drop("part").repartition(1 if part == 2 else 2, "pid").write.parquet(f"{path}/in/{part}")
-    stream = spark.readStream.schema(events.drop("part").schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
-    query = fold_until_end(stream).writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{path}/rows")
+    """Processes 0 to 5 end in the last file but one of a stream; the others haven't ended, so nothing of them is given out."""
+    from tracelathe.operators.written import new_path
+    from tracelathe.streaming.lanes import FOLDED, fold_lanes, use_rocksdb
+
+    use_rocksdb(spark)
+    path = new_path(spark, "stream")
+    events = trace(spark, d).select("pid", "tid", "name", "dur", F.timestamp_micros("ts").alias("at"), (F.col("id") % 2).alias("part"))
+    last = events.agg(F.max("at").alias("at"))
+    mark = lambda pid, name, after: last.select(pid.cast("bigint").alias("pid"), F.lit(0).cast("bigint").alias("tid"), F.lit(name).alias("name"), F.lit(0).cast("bigint").alias("dur"), (F.col("at") + F.expr(f"interval {after}")).alias("at"))
+    ends, later = mark(F.explode(F.sequence(F.lit(0), F.lit(5))), "end", "0 days"), mark(F.lit(-1), "later", "40 days")
+    for part, rows in enumerate((events.filter("part = 0").drop("part"), events.filter("part = 1").drop("part"), ends, later)):
+        rows.repartition(1).write.parquet(f"{path}/in/{part}")
+    stream = spark.readStream.schema(events.drop("part").schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    fold_lanes(stream, 1000, "35 days").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(FOLDED).parquet(f"{path}/rows")
+    return rows.groupBy("pid", "name").agg(F.sum("dft_cnt").alias("dft_cnt"), F.sum("dur_sum").alias("dur_sum"), F.min("dur_min").alias("dur_min"), F.max("dur_max").alias("dur_max"))
 
 
 @query("cube_layers", sql("SELECT cat, name, count(*) AS n FROM e GROUP BY CUBE (cat, name)"))

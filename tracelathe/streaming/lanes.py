@@ -1,40 +1,82 @@
-"""State per process that is given out when its end mark arrives."""
+"""State per lane, (pid, tid), that is given out some time after its process has ended.
+
+A process's lanes are a map in the state store, one entry per thread and operation, so a batch touches only the entries that it changes, and a process
+with many lanes is never one value. An end mark sets a timer two flush intervals ahead in event time; until then late rows are folded in. When the
+watermark passes the timer, the process's rows are given out and its state goes. Processes that fall silent without an end mark are given out after `idle`, if that
+is set. The store is RocksDB, so state may exceed memory; timers and entries are in the checkpoint, so a stream that stops goes on from there.
+"""
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-FOLDED = "pid bigint, name string, dft_cnt bigint, dur_sum bigint, dur_min bigint, dur_max bigint"
+FOLDED = "pid bigint, tid bigint, name string, dft_cnt bigint, dur_sum bigint, dur_min bigint, dur_max bigint"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def fold_until_end(events: DataFrame, end: str = "end") -> DataFrame:
-    """Streaming: count, sum, least and greatest dur per process and name, given out once the process's `end` record is there.
+class Lanes(StatefulProcessor):
+    """Folds (tid, name, dur) of a process; `at_ms` is a row's time in milliseconds."""
 
-    events: pid, name, dur. The state of a process is one row per name that it has used; rows after an end start anew, so a late row
-    comes as a second one, to be merged by re-aggregation. Rows in the same batch as the end count before it.
-    """
+    def __init__(self, end: str, flush_ms: int, idle_ms: int | None, ttl_ms: int | None):
+        self.end, self.flush_ms, self.idle_ms, self.ttl_ms = end, flush_ms, idle_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.folded = handle.getMapState("folded", "tid bigint, name string", "n bigint, total bigint, low bigint, high bigint", self.ttl_ms)
+        self.ended = handle.getValueState("ended", "at_ms bigint", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest, mark = None, None
+        for frame in rows:
+            latest = max(int(frame["at_ms"].max()), latest if latest is not None else -(1 << 62))
+            ends = frame[frame["name"] == self.end]
+            if len(ends):
+                mark = max(int(ends["at_ms"].max()), mark if mark is not None else -(1 << 62))
+            sums = frame[frame["name"] != self.end].groupby(["tid", "name"])["dur"].agg(["count", "sum", "min", "max"])
+            for (tid, name), n, total, low, high in sums.itertuples():
+                lane, new = (int(tid), name), (int(n), int(total), int(low), int(high))
+                if self.folded.containsKey(lane):
+                    old = self.folded.getValue(lane)
+                    new = (old[0] + new[0], old[1] + new[1], min(old[2], new[2]), max(old[3], new[3]))
+                self.folded.updateValue(lane, new)
+        if mark is not None:
+            self._timer(mark + 2 * self.flush_ms)
+            self.ended.update((mark,))
+        elif self.idle_ms is not None and latest is not None and not self.ended.exists():
+            self._timer(latest + self.idle_ms)
+        return iter(())
+
+    def _timer(self, at: int) -> None:
+        for was in list(self.handle.listTimers()):
+            self.handle.deleteTimer(was)
+        self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = sorted((int(lane[0]), lane[1], *map(int, value)) for lane, value in self.folded.iterator())
+        self.folded.clear()
+        self.ended.clear()
+        if rows:
+            yield pd.DataFrame([(int(key[0]), *r) for r in rows], columns=["pid", "tid", "name", "dft_cnt", "dur_sum", "dur_min", "dur_max"])
 
-    def run(key, frames, state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else {}
-        ended = False
-        for frame in frames:
-            ended = ended or bool((frame["name"] == end).any())
-            sums = frame[frame["name"] != end].groupby("name")["dur"].agg(["count", "sum", "min", "max"])
-            for name, n, total, low, high in sums.itertuples():
-                was = held.get(name)
-                new = [int(n), int(total), int(low), int(high)]
-                held[name] = new if was is None else [was[0] + new[0], was[1] + new[1], min(was[2], new[2]), max(was[3], new[3])]
-        if not ended:
-            state.update((json.dumps(held),))
-            return
-        if state.exists:
-            state.remove()
-        if held:
-            yield pd.DataFrame([(key[0], name, *x) for name, x in sorted(held.items())], columns=["pid", "name", "dft_cnt", "dur_sum", "dur_min", "dur_max"])
-
-    rows = events.select("pid", "name", "dur").groupBy("pid")
-    return rows.applyInPandasWithState(run, FOLDED, "held string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Sets the session's store of streaming state, which timed state needs; call it before the stream starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def fold_lanes(events: DataFrame, flush_ms: int, late: str = "0 seconds", end: str = "end", idle_ms: int | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """Streaming: count, sum, least and greatest dur per (pid, tid, name), given out once the watermark is two flush intervals past the process's `end` record.
+
+    events: pid, tid, name, dur and the timestamp `at`; rows without pid, name or time are left out, those without tid or dur have 0. Rows later than
+    `late` behind the stream are dropped by Spark. Rows after a process was given out start anew, as second rows for `reaggregated`.
+    """
+    rows = events.withWatermark("at", late).filter("pid is not null and name is not null and at is not null").select("pid", F.coalesce("tid", F.lit(0)).alias("tid"), "name", F.coalesce("dur", F.lit(0)).alias("dur"), F.unix_millis("at").alias("at_ms"), "at")
+    return rows.groupBy("pid").transformWithStateInPandas(statefulProcessor=Lanes(end, flush_ms, idle_ms, ttl_ms), outputStructType=FOLDED, outputMode="Append", timeMode="EventTime")
