@@ -68,11 +68,11 @@ def _weighted(batch: pa.RecordBatch):
         many = starts[owner[a:b] + 1] - starts[owner[a:b]]
         held_by = np.repeat(np.arange(a, b), many)
         entry = np.arange(len(held_by)) - np.repeat(np.cumsum(many) - many, many) + starts[owner[held_by]]
-        keys, inverse = np.unique(group[held_by] * size + codes[entry], return_inverse=True)
+        keys, inverse = np.unique(codes[entry] * len(groups) + group[held_by], return_inverse=True)  # a term's groups stand together
         count, docs = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         np.add.at(count, inverse, tf[entry] * times[held_by])
         np.add.at(docs, inverse, times[held_by])
-        g, c = np.divmod(keys, size)
+        c, g = np.divmod(keys, len(groups))
         first = pa.array(example[g])
         yield pa.table({"lang": langs.take(first), "source": source.take(first), "term": words.take(pa.array(c)), "count": count, "docs": docs})
 
@@ -104,7 +104,8 @@ def term_counts(texts: DataFrame) -> DataFrame:
             yield from _merged(held).to_batches(max_chunksize=1 << 16)
 
     sums = texts.mapInArrow(run, "lang string, source string, term string, count bigint, docs bigint")
-    sums = sums.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    # One exchange serves both sums; of a term it gets a row for each source and task at most a few times.
+    sums = sums.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     return sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "count")).alias("held"))
 
 
