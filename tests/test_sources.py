@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracelathe.operators.validate import line_check
 from tracelathe.plans import utilities
 from tracelathe.sources import adapters, telemetry, traces
+from tracelathe.sources.members import member_lines
 from tracelathe.streaming import tumbling
 
 
@@ -26,13 +27,10 @@ def test_reads_both_framings_and_all_members(spark, trace):
     assert [(r.id, r.key, r.number) for r in numbers] == [(1, "size", 4096.0)]
 
 
-def test_members_are_cut_and_inflated_in_tasks(spark, trace):
-    members = traces.gzip_members(spark, str(trace / "b.pfw.gz"))
-    assert members.count() == 2 and {r.offset for r in members.collect()} == {0, members.filter("offset = 0").first()["size"]}
-    lines = traces.member_lines(members, 3)
+def test_members_are_inflated_in_tasks(spark, trace):
+    lines = member_lines(spark, str(trace / "b.pfw.gz"), 40)
+    assert len({r.offset for r in lines.collect()}) == 2
     assert traces.parse_events(lines).count() == 2
-    with pytest.raises(ValueError):
-        traces.member_bounds((trace / "b.pfw.gz").read_bytes()[:-9])
 
 
 def test_line_numbers_follow_the_files(spark, trace):
@@ -65,8 +63,10 @@ def test_writers_round_trip(spark, trace):
 
     shown = [e for r in arrays for e in json.loads(r.value)]
     assert len(shown) == 3 and {e["ph"] for e in shown} == {"X"} and len(arrays) > 1
-    cut = traces.capped(spark.createDataFrame([("é" * 20,), ("ab",)], "value string"), 30).collect()
-    assert [(r.over_cap, len(r.value)) for r in cut] == [(True, 20), (False, 2)]
+    texts = ["é" * 20, "ab", "é" * 15, "x" + "é" * 20, "a" * 28 + "€uro", "a" * 27 + "😀😀", "z" * 31, None]
+    cut = traces.capped(spark.createDataFrame([(x,) for x in texts], "value string").coalesce(1), 30).collect()
+    bytes_cut = [None if x is None else x.encode()[:30].decode(errors="ignore") for x in texts]
+    assert [r.value for r in cut] == bytes_cut and [r.over_cap for r in cut] == [None if x is None else len(x.encode()) > 30 for x in texts]
 
 
 def test_round_trip_and_checks(spark, trace):

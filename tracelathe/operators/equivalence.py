@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelathe.operators.written import written
+
 #: Fixed values of the trace format: arguments that differ between any two runs, those that hold addresses, records of hashes,
 #: calls that make up names, calls that return the id of another process, and the errno of an operation in progress.
 VOLATILE_ARGS = ("date", "ppid", "log_file", "pc_mode", "capacity")
@@ -81,16 +83,16 @@ def _hash_table(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def scrubbed(rows: DataFrame) -> DataFrame:
     """Adds `args_scrubbed` to marked rows (side and the columns above), without polls."""
     ids = rows.select("side", F.explode(F.array(F.col("pid").cast("string"), F.col("tid").cast("string"))).alias("text")).filter("text is not null").distinct()
+    ids = written(ids)
     window = rows.filter("ts is not null").groupBy("side").agg((F.min("ts") - MARGIN_US).alias("first"), (F.max(F.col("ts") + F.coalesce("dur", F.lit(0))) + MARGIN_US).alias("last"))
     polls = rows.filter(is_poll(rows)).groupBy("side", "pid").agg(F.count(F.lit(1)).alias("polls"))
     kept = rows.filter(~is_poll(rows)).withColumn("row", F.monotonically_increasing_id())
-    from tracelathe.operators.written import written
-
     kept = written(kept)
     flat = kept.select("side", "row", "name", "pid", F.explode(F.expr(leaves("try_parse_json(args)"))).alias("leaf"))
     kind = F.expr("schema_of_variant(leaf.value)")
     # What a value looks like in JSON tells texts from numbers; `text` is the value itself.
     values = flat.select("side", "row", "name", "pid", "leaf.path", "leaf.key", kind.alias("kind"), F.to_json("leaf.value").alias("json"), F.expr("try_variant_get(leaf.value, '$', 'string')").alias("text"))
+    values = written(values)
     distinct = values.filter("kind in ('STRING', 'BIGINT')").select("side", "kind", "text").distinct()
     plain = without_ids(distinct.filter("kind = 'STRING'").select("side", "text"), ids)
     whole = ids.select("side", "text", F.lit(True).alias("is_id"))
@@ -123,7 +125,7 @@ def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     folds or polls unequally), process and thread (how many).
     """
     rows = _marked(left, right)
-    ready = scrubbed(rows)
+    ready = written(scrubbed(rows))
     folded = ready.filter("ph = 3").select("name", "cat").distinct().withColumn("folded", F.lit(True))
     same = F.col("name").eqNullSafe(F.col("f_name")) & F.col("cat").eqNullSafe(F.col("f_cat"))
     ready = ready.join(folded.select(F.col("name").alias("f_name"), F.col("cat").alias("f_cat"), "folded"), same, "left").drop("f_name", "f_cat")

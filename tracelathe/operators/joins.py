@@ -85,3 +85,13 @@ def with_baseline(rows: DataFrame, keys: list[str], value: str, is_base: Column)
 def lineage_edges(records: DataFrame) -> DataFrame:
     """(subject, relation, object) of records with id and relations, a map of lists."""
     return records.select(F.col("id").alias("subject"), F.explode("relations").alias("relation", "objects")).select("subject", "relation", F.explode("objects").alias("object"))
+
+
+def correlated(records: DataFrame, calls: DataFrame, keys: list[str], by: str = "correlation_id") -> DataFrame:
+    """Device records with the call that caused them, by its number within a process (keys): call_id, call_name, and `wait`, from the call's start to the record's.
+
+    records: keys, by, id, name, ts, dur; calls: keys, by, id, name, ts. Records without a call stay, with nulls; a null number has no call.
+    """
+    made = calls.filter(F.col(by).isNotNull()).select(*keys, by, F.col("id").alias("call_id"), F.col("name").alias("call_name"), F.col("ts").alias("_call_ts"))
+    met = records.join(made, [*keys, by], "left")
+    return met.select(*records.columns, "call_id", "call_name", (F.col("ts") - F.col("_call_ts")).alias("wait"))

@@ -100,16 +100,19 @@ def rule(text: str, fields: Mapping[str, tuple[Column, str]], mode: str = "compa
     return F.lit(True)
 
 
-def satisfies(rules: list[str], fields, mode: str = "compat") -> Column:
+def satisfies(rules: list[str], fields, mode: str = "compat", guard: bool = True) -> Column:
     """Whether any of the rules holds."""
-    return reduce(lambda a, b: a | b, (rule(x, fields, mode) for x in rules), F.lit(False))
+    return reduce(lambda a, b: a | b, (rule(x, fields, mode, guard) for x in rules)) if rules else F.lit(False)
 
 
-def should_aggregate(include: list[str], exclude: list[str], fields, mode: str = "compat", full: bool = False) -> Column:
-    """No rules: everything. Else what is included and not excluded; only exclusions leave nothing. Full mode ignores rules."""
+def should_aggregate(include: list[str], exclude: list[str], fields, mode: str = "compat", full: bool = False, guard: bool = True) -> Column:
+    """No rules: everything. Else what is included and not excluded; only exclusions leave nothing. Full mode ignores rules.
+
+    As a filter, `guard=False` leaves the included part to the scan (see `rule`); what is excluded stands under NOT and keeps its guard.
+    """
     if full or not (include or exclude):
         return F.lit(True)
-    return satisfies(include, fields, mode) & ~satisfies(exclude, fields, mode)
+    return satisfies(include, fields, mode, guard) & ~satisfies(exclude, fields, mode)
 
 
 def load_rules(text: str) -> tuple[list[str], list[str]]:

@@ -49,9 +49,10 @@ def quantile(q: float) -> Column:
     return F.kll_sketch_get_quantile_bigint("values", F.lit(q))
 
 
-def quantile_bounds(q: float, k: int = QUANTILE_K) -> tuple[Column, Column]:
-    """Two values of the sketch between which the exact quantile lies, by the sketch's error."""
-    error = quantile_error(k)
+def quantile_bounds(q: float, k: int = QUANTILE_K, least: int | None = None) -> tuple[Column, Column]:
+    """Two values of the sketch between which the exact quantile lies, by the sketch's error; least: the smallest count of a group, as an
+    interpolated quantile may lie two places off."""
+    error = quantile_error(k) + (2 / least if least else 0)
     return quantile(max(0.0, q - error)), quantile(min(1.0, q + error))
 
 

@@ -63,10 +63,21 @@ class Analyzer:
         return view.withColumn("avg_xfer", F.coalesce(F.try_divide(F.col("data_size_sum").cast("double"), F.col("data_count_sum")), F.lit(0.0)))
 
 
-def duration_of(events: DataFrame, name: str, cat: str | None = None) -> DataFrame:
-    """The longest of the processes' total times in an operation, in seconds."""
+def entities_by_phase(events: DataFrame, columns: tuple[str, ...], phase: str = "phase") -> DataFrame:
+    """(phase, entity, value): each different value of each column by phase, as rows, so lists may be of any length; nulls are none."""
+    kinds = F.array(*(F.struct(F.lit(c).alias("entity"), F.col(c).cast("string").alias("value")) for c in columns))
+    return events.select(phase, F.explode(kinds).alias("x")).select(phase, "x.*").filter("value is not null").distinct()
+
+
+def entity_counts(events: DataFrame, columns: tuple[str, ...], phase: str = "phase") -> DataFrame:
+    """How many different values each column has, by phase."""
+    return events.groupBy(phase).agg(*(F.countDistinct(c).alias(c) for c in columns))
+
+
+def duration_of(events: DataFrame, name: str, cat: str | None = None, keys: tuple[str, ...] = ("pid",)) -> DataFrame:
+    """The longest of the processes' total times in an operation, in seconds; keys: what tells processes apart."""
     own = events.filter(F.col("name") == name) if cat is None else events.filter((F.col("name") == name) & (F.col("cat") == cat))
-    return own.groupBy("pid").agg(F.sum("dur").alias("d")).agg((F.max("d") / 1e6).alias("seconds"))
+    return own.groupBy(*keys).agg(F.sum("dur").alias("d")).agg((F.max("d") / 1e6).alias("seconds"))
 
 
 def slice_sql(events: DataFrame, text: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelathe.operators.written import written
+
 #: Fixed values of the trace format: the columns of each level's own hash, and the numbers in a mount's capacity.
 OWN_HASH = {"mount": "mhash", "dir": "dhash", "file": "fhash"}
 CAPACITY = ("total_bytes", "free_bytes", "avail_bytes", "total_inodes", "free_inodes")
@@ -58,7 +60,7 @@ def problems(records: DataFrame, names: DataFrame, keys: tuple[str, ...] = ("pid
     """
     keys = list(keys)
     own = F.coalesce(*(F.when(F.col("level") == level, F.col(c)) for level, c in OWN_HASH.items()))
-    rows = records.withColumn("id", own)
+    rows = written(records.withColumn("id", own))
     none = F.lit(None).cast("string").alias("id")
     wrong = rows.filter(~F.coalesce(F.col("level").isin(*OWN_HASH), F.lit(False))).select(*keys, "level", none, F.lit("level").alias("problem"))
     known = rows.filter(F.col("level").isin(*OWN_HASH))

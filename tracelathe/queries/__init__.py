@@ -1,6 +1,7 @@
 """Named queries over the driver's tables, with the SQL that each equals."""
 
-from tracelathe.queries import analysis, events, features, records, tables_queries
+from tracelathe.queries import analysis, checks, events, features, records, tables_queries
 
-QUERIES = events.QUERIES | analysis.QUERIES | tables_queries.QUERIES | records.QUERIES | features.QUERIES
-ORACLES = events.ORACLES | analysis.ORACLES | tables_queries.ORACLES | records.ORACLES | features.ORACLES
+_PARTS = (events, analysis, tables_queries, records, features, checks)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: text for part in _PARTS for name, text in part.ORACLES.items()}

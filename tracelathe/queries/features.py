@@ -36,13 +36,14 @@ def sketch_quantiles(spark, d):
     """Sketches per day and part of the trace, written and merged per name: the exact quantile's rank in the sketch is within its error."""
     t = trace(spark, d)
     parts = written(sketches.sketched(t.withColumn("day", F.floor(F.col("ts") / DAY)).withColumn("part", F.col("id") % 3), ["name", "day", "part"], "dur"))
-    whole = sketches.merged(parts, ["name"])
+    whole = written(sketches.merged(parts, ["name"]))
     qs = (0.25, 0.5, 0.9)
     exact = selection.quantiles(t, ["name"], "dur", {f"q{k}": q for k, q in enumerate(qs)}).join(whole, "name")
+    least = whole.agg(F.min(F.kll_sketch_get_n_bigint("values"))).first()[0]
     cases = []
     for k, q in enumerate(qs):
-        low, high = sketches.quantile_bounds(q)
-        cases.append(F.struct(F.lit(q).alias("q"), F.col(f"q{k}").alias("exact"), F.col(f"q{k}").between(low, high + 1).alias("within")))  # between two values
+        low, high = sketches.quantile_bounds(q, least=least)
+        cases.append(F.struct(F.lit(q).alias("q"), F.col(f"q{k}").alias("exact"), F.col(f"q{k}").between(low, high).alias("within")))
     return exact.select("name", F.explode(F.array(*cases)).alias("x")).select("name", "x.*")
 
 

@@ -115,15 +115,15 @@ def meminfo(spark, d):
     return telemetry.meminfo(_lines(table(spark, d, "part"), "p_partkey", "concat('MemTotal: ', p_partkey, ' kB')", "if(p_partkey % 3 > 0, concat('MemAvailable:   ', p_size, ' kB'), 'HugePages: none')"))
 
 
-@query("diskstats", "SELECT CAST(p_partkey AS VARCHAR) AS file, 'sda' AS device, p_partkey AS reads, CAST(p_size AS BIGINT) * 512 AS read_bytes, p_partkey + 1 AS writes, (p_partkey + 2) * 512 AS write_bytes FROM part")
+@query("diskstats", "SELECT CAST(p_partkey AS VARCHAR) AS file, 'sda' AS device, p_partkey AS reads, CAST(p_size AS BIGINT) * 512 AS read_bytes, p_partkey + 1 AS writes, (p_partkey + 2) * 512 AS write_bytes, CAST(p_size AS BIGINT) AS ios_in_progress FROM part")
 def diskstats(spark, d):
-    return telemetry.diskstats(_lines(table(spark, d, "part"), "p_partkey", "concat('   8       0 sda ', p_partkey, ' 0 ', p_size, ' 0 ', p_partkey + 1, ' 0 ', p_partkey + 2, ' 0 0 0 0')", "'   7 0 loop0 1 0 1 0 1 0 1 0 0 0 0'", "'   1 0 ram0 1 0 1 0 1 0 1 0 0 0 0'", "'   8 1 sdb 1'"))
+    return telemetry.diskstats(_lines(table(spark, d, "part"), "p_partkey", "concat('   8       0 sda ', p_partkey, ' 0 ', p_size, ' 0 ', p_partkey + 1, ' 0 ', p_partkey + 2, ' 0 ', p_size, ' 0 0')", "'   7 0 loop0 1 0 1 0 1 0 1 0 0 0 0'", "'   1 0 ram0 1 0 1 0 1 0 1 0 0 0 0'", "'   8 1 sdb 1'"))
 
 
-@query("net_dev", "SELECT CAST(p_partkey AS VARCHAR) AS file, 'eth0' AS interface, p_partkey AS rx_bytes, CAST(1 AS BIGINT) AS rx_packets, CAST(p_size AS BIGINT) AS tx_bytes, CAST(12 AS BIGINT) AS tx_dropped FROM part")
+@query("net_dev", "SELECT CAST(p_partkey AS VARCHAR) AS file, 'eth0' AS interface, p_partkey AS rx_bytes, CAST(1 AS BIGINT) AS rx_packets, CAST(p_size AS BIGINT) AS tx_bytes, CAST(12 AS BIGINT) AS tx_dropped, p_partkey + 7 AS collisions FROM part")
 def net_dev(spark, d):
-    found = telemetry.net_dev(_lines(table(spark, d, "part"), "p_partkey", "'Inter-|   Receive'", "concat('  eth0: ', p_partkey, ' 1 2 3 4 5 6 7 ', p_size, ' 10 11 12 13 14 15 16')", "'    lo: 1 1 2 3 4 5 6 7 9 10 11 12 13 14 15 16'"))
-    return found.select("file", "interface", "rx_bytes", "rx_packets", "tx_bytes", "tx_dropped")
+    found = telemetry.net_dev(_lines(table(spark, d, "part"), "p_partkey", "'Inter-|   Receive'", "concat('  eth0: ', p_partkey, ' 1 2 3 4 5 6 7 ', p_size, ' 10 11 12 13 ', p_partkey + 7, ' 15 16')", "'    lo: 1 1 2 3 4 5 6 7 9 10 11 12 13 14 15 16'"))
+    return found.select("file", "interface", "rx_bytes", "rx_packets", "tx_bytes", "tx_dropped", "collisions")
 
 
 @query("power_leaves", "SELECT 'power_node_watts' AS path, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT 'socket_0.power_gpu_watts.GPU_0', p_partkey FROM part UNION ALL SELECT 'list.0', 1.5 FROM part UNION ALL SELECT 'list.2.a', p_size FROM part UNION ALL SELECT 'd.d.d.d.d.d.d.d.d', p_partkey FROM part")
@@ -204,7 +204,7 @@ def custom_values(spark, d):
 ends AS (SELECT pid, string_agg(key || '=' || value, ',' ORDER BY key) AS vals FROM last GROUP BY pid)
 SELECT h.*, vals FROM (SELECT pid, CAST(max(pid % 64) FILTER (record = 'PR') AS BIGINT) AS rank, min(value) FILTER (record = 'HH') AS hhash, min(ts) FILTER (record = 'start') AS "start", max(ts) FILTER (record = 'end') AS "end" FROM m GROUP BY pid) h LEFT JOIN ends USING (pid)""")
 def process_table(spark, d):
-    rows = metadata.process_table(records(spark, d))
+    rows = metadata.process_table(records(spark, d), ["pid"])
     pairs = F.array_join(F.transform(F.map_entries("values"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
     return rows.select("pid", "rank", "hhash", "start", "end", pairs.alias("vals"))
 
@@ -257,7 +257,10 @@ def lineage_check(spark, d):
     return metadata.lineage_problems(t.filter("cat = 'POSIX'").select(F.col("tid").cast("string").alias("id")), edges, t.select(F.col("name").alias("type")))
 
 
-@query("capped_lines", "SELECT doc_id AS file, strlen(text) > 4096 AS over_cap, CASE WHEN text IS NOT NULL THEN md5(CASE WHEN strlen(text) > 4096 THEN left(text, 4096) ELSE text END) END AS value FROM documents")
+@query("capped_lines", """
+WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
+cut AS (SELECT r, max(n) AS n FROM d, range(1024, 4097) x(n) WHERE strlen(text) > 4096 AND strlen(left(text, n)) <= 4096 GROUP BY r)
+SELECT doc_id AS file, strlen(text) > 4096 AS over_cap, CASE WHEN text IS NOT NULL THEN md5(CASE WHEN n IS NULL THEN text ELSE left(text, n) END) END AS value FROM d LEFT JOIN cut USING (r)""")
 def capped_lines(spark, d):
     return traces.capped(table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("value")), 4096).select("file", "over_cap", F.md5(F.col("value").cast("binary")).alias("value"))
 
@@ -270,12 +273,6 @@ def viewer_arrays(spark, d):
     return utilities.viewer_arrays(trace(spark, d), 20_000).select("pid", "chunk", F.md5(F.col("value").cast("binary")).alias("value"))
 
 
-@query("line_ranges", "SELECT conv_id AS file, turn AS line, turn - turn % 2 AS batch FROM conversations")
-def line_ranges(spark, d):
-    lines = table(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("line"))
-    return traces.line_batches(lines, 2)
-
-
 _RUNS = "SELECT pid, cat AS mode, name AS phase, CAST(type AS VARCHAR) AS layer, count(*) AS count, CAST(sum(dur) AS BIGINT) AS total_ns FROM e GROUP BY ALL"
 
 
@@ -291,11 +288,11 @@ def partitioned_quantile(spark, d):
     return stats.partitioned_quantile(trace(spark, d), ["name"], "pid", "dur", 0.9)
 
 
-@query("approximate_distinct", sql("SELECT name, true AS near FROM e GROUP BY name"))
+@query("approximate_distinct", sql("SELECT name, count(DISTINCT tid) AS exact, true AS near FROM e GROUP BY name"))
 def approximate_distinct(spark, d):
     t = trace(spark, d)
     about, exact = stats.approximate_distinct(t, ["name"], "tid"), t.groupBy("name").agg(F.countDistinct("tid").alias("exact"))
-    return about.join(exact, "name").select("name", (F.abs(F.col("about") - F.col("exact")) <= 0.1 * F.col("exact") + 1).alias("near"))
+    return about.join(exact, "name").select("name", "exact", (F.abs(F.col("about") - F.col("exact")) <= 0.1 * F.col("exact") + 1).alias("near"))
 
 
 @query("added_time", sql("SELECT pid, name AS mode, median, median - base AS added, median / base AS ratio FROM (SELECT pid, name, median(dur) AS median FROM e GROUP BY ALL) x LEFT JOIN (SELECT pid, median(dur) AS base FROM e WHERE name = 'click' GROUP BY pid) b USING (pid)"))

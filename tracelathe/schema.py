@@ -33,6 +33,22 @@ def layer_name(code: Column, extra: dict[int, str] | None = None) -> Column:
     return F.coalesce(F.try_element_at(known, code.cast("int")), F.when(code >= 128, "EXTERNAL").otherwise("UNKNOWN"))
 
 
+def layer_set(mask: Column) -> Column:
+    """The names of the layers whose bits a process's mask of used layers has set, in the order of codes."""
+    return F.transform(F.filter(F.array(*(F.struct(F.lit(c).alias("c"), F.lit(n).alias("n")) for c, n in sorted(LAYERS.items()))), lambda x: F.call_function("getbit", mask, x["c"]) == 1), lambda x: x["n"])
+
+
+def layer_mask(code: Column) -> Column:
+    """The bit of a layer, to be joined by bit_or."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), code.cast("int"))
+
+
+def used_names(used: Column) -> Column:
+    """The names in the JSON of an end record's `used`, e.g. {"MPI":1,"torch":1}: layers and what extensions have reported; sorted."""
+    entries = F.map_entries(F.from_json(used, "map<string,int>"))
+    return F.array_sort(F.transform(F.filter(entries, lambda e: e["value"] > 0), lambda e: e["key"]))
+
+
 def phase_letter(code: Column) -> Column:
     return F.coalesce(F.try_element_at(code_map(PHASE_LETTERS), code.cast("int")), F.lit("X"))
 

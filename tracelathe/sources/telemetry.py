@@ -37,18 +37,18 @@ def meminfo(lines: DataFrame) -> DataFrame:
 
 
 def diskstats(lines: DataFrame) -> DataFrame:
-    """(file, device, reads, read_bytes, writes, write_bytes); loop and ram devices are left out."""
+    """(file, device, reads, read_bytes, writes, write_bytes, ios_in_progress); loop and ram devices are left out."""
     w = F.split(F.trim("value"), r"\s+")
     n = lambda i: F.try_element_at("w", F.lit(i)).try_cast("bigint")
     rows = lines.select("file", w.alias("w")).filter("size(w) >= 14")
     device = F.element_at("w", 3)
-    return rows.filter(~device.contains("loop") & ~device.contains("ram")).select("file", device.alias("device"), n(4).alias("reads"), (n(6) * 512).alias("read_bytes"), n(8).alias("writes"), (n(10) * 512).alias("write_bytes"))
+    return rows.filter(~device.contains("loop") & ~device.contains("ram")).select("file", device.alias("device"), n(4).alias("reads"), (n(6) * 512).alias("read_bytes"), n(8).alias("writes"), (n(10) * 512).alias("write_bytes"), n(12).alias("ios_in_progress"))
 
 
 def net_dev(lines: DataFrame) -> DataFrame:
-    """(file, interface, rx_bytes, rx_packets, rx_errors, rx_dropped, tx_bytes, tx_packets, tx_errors, tx_dropped) without lo."""
+    """(file, interface, rx_bytes, rx_packets, rx_errors, rx_dropped, tx_bytes, tx_packets, tx_errors, tx_dropped, collisions) without lo."""
     rows = lines.select("file", F.trim(F.element_at(F.split("value", ":"), 1)).alias("interface"), F.split(F.trim(F.try_element_at(F.split("value", ":"), F.lit(2))), r"\s+").alias("w")).filter("size(w) >= 16 and interface <> 'lo'")
-    names = {"rx_bytes": 1, "rx_packets": 2, "rx_errors": 3, "rx_dropped": 4, "tx_bytes": 9, "tx_packets": 10, "tx_errors": 11, "tx_dropped": 12}
+    names = {"rx_bytes": 1, "rx_packets": 2, "rx_errors": 3, "rx_dropped": 4, "tx_bytes": 9, "tx_packets": 10, "tx_errors": 11, "tx_dropped": 12, "collisions": 14}
     return rows.select("file", "interface", *(F.element_at("w", i).try_cast("bigint").alias(k) for k, i in names.items())).filter("rx_bytes is not null")
 
 

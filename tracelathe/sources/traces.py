@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracelathe.operators.written import written
 from tracelathe.schema import phase_code, phase_letter
 
 
@@ -48,54 +46,12 @@ def variant_numbers(events: DataFrame) -> DataFrame:
     return rows.select("id", "a.key", F.expr("try_variant_get(a.value, '$', 'double')").alias("number")).filter("number is not null")
 
 
-def member_bounds(data: bytes) -> list[tuple[int, int]]:
-    """Offset and size of every gzip member; a cut-off last one is an error."""
-    found, start, view = [], 0, memoryview(data)
-    while start < len(data):
-        inflate, at = zlib.decompressobj(31), start
-        while not inflate.eof and at < len(data):
-            part = view[at : at + (1 << 20)]
-            inflate.decompress(part)
-            at += len(part)
-        if not inflate.eof:
-            raise ValueError("the last gzip member is cut off")
-        at -= len(inflate.unused_data)
-        found.append((start, at - start))
-        start = at
-    return found
-
-
-def gzip_members(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, offset, size, data): the members of gzip files, still compressed; read and cut in tasks, one per file of up to 2 GB."""
-
-    def run(batches):
-        for batch in batches:
-            for file, content in zip(*batch.columns, strict=True):
-                data = content.as_py()
-                for offset, size in member_bounds(data):
-                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()]), pa.array([offset]), pa.array([size]), pa.array([data[offset : offset + size]], pa.binary())], names=["file", "offset", "size", "data"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, offset bigint, size bigint, data binary")
-
-
-def member_lines(members: DataFrame, parts: int | None = None) -> DataFrame:
-    """(file, offset, value): the lines of members, which are dealt anew over tasks by size of the session's shuffles or `parts`."""
-
-    def run(batches):
-        for batch in batches:
-            for file, offset, data in zip(*batch.columns, strict=True):
-                lines = zlib.decompress(data.as_py(), 31).decode("utf-8", "replace").splitlines()
-                yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * len(lines), pa.string()), pa.array([offset.as_py()] * len(lines), pa.int64()), pa.array(lines, pa.string())], names=["file", "offset", "value"])
-
-    dealt = members.select("file", "offset", "data")
-    dealt = dealt.repartition(parts, "file", "offset") if parts else dealt.repartition("file", "offset")
-    return dealt.mapInArrow(run, "file string, offset bigint, value string")
-
-
 def with_line_numbers(lines: DataFrame) -> DataFrame:
-    """Adds `line`, from 0 in each file in the order of reading: partitions are counted first, so no file is sorted in one task."""
-    rows = lines.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.expr("shiftright(_id, 33)"))
+    """Adds `line`, from 0 in each file in the order of reading: partitions are counted first, so no file is sorted in one task.
+
+    The lines are written once with their places, so counts and lines agree whatever is read or computed again.
+    """
+    rows = written(lines.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.expr("shiftright(_id, 33)"))
     counts = rows.groupBy(F.col("file").alias("_file"), F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
@@ -156,16 +112,27 @@ def write_trace(events: DataFrame, path: str, compress: bool = True, lines_per_f
     (writer.option("compression", "gzip") if compress else writer).text(path)
 
 
-def drop_small_traces(events: DataFrame, least: int = 5) -> DataFrame:
-    """Without the processes that have fewer events."""
-    enough = events.groupBy("pid").count().filter(F.col("count") >= least).select("pid")
-    return events.join(enough, "pid", "left_semi")
+def drop_small_traces(events: DataFrame, least: int = 5, keys: tuple[str, ...] = ("pid",)) -> DataFrame:
+    """Without the processes that have fewer events; keys: what tells processes apart."""
+    enough = events.groupBy(*keys).count().filter(F.col("count") >= least).select(*keys)
+    return events.join(enough, list(keys), "left_semi")
 
 
 def capped(lines: DataFrame, cap: int = 16384) -> DataFrame:
-    """Cuts lines of more bytes than the format's cap to as many characters, and flags them."""
+    """Cuts lines of more bytes than the format's cap to it, back to the start of a character that would be torn, and flags them."""
     over = F.octet_length("value") > cap
-    return lines.withColumn("over_cap", over).withColumn("value", F.when(over, F.left("value", F.lit(cap))).otherwise(F.col("value")))
+    data = F.col("value").cast("binary")
+    goes_on = lambda i: F.hex(F.substring(data, i, 1)).between("80", "BF")  # noqa: E731  the byte goes on a character
+    keep = F.when(~goes_on(cap + 1), cap).when(~goes_on(cap), cap - 1).when(~goes_on(cap - 1), cap - 2).otherwise(cap - 3)
+    cut = F.decode(F.substring(data, F.lit(1), keep), "utf-8")
+    return lines.withColumn("over_cap", over).withColumn("value", F.when(F.col("over_cap"), cut).otherwise(F.col("value")))
+
+
+def without_metadata(events: DataFrame) -> DataFrame:
+    """Events as a trace without metadata holds them: of their arguments (args: VARIANT) only `relations` stay, as JSON text; null without."""
+    relations = F.expr("variant_get(args, '$.relations', 'variant')")
+    kept = F.concat(F.lit('{"relations":'), F.to_json(relations), F.lit("}"))
+    return events.withColumn("args", F.when(relations.isNotNull(), kept))
 
 
 def viewer_events(events: DataFrame) -> DataFrame:
