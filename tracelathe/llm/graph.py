@@ -12,15 +12,10 @@ _WRITTEN: list[str] = []
 
 
 def shared_checkpoints(spark) -> str:
-    """The session's checkpoint folder; where none is set (tests), one of its own: under the warehouse, or on a single machine a temporary one."""
+    """The session's checkpoint folder; where none is set (tests), one under the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and sc.master.startswith("local["):
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoints")
-        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return sc.getCheckpointDir()
 
 

@@ -14,9 +14,9 @@ and the survivors are compacted. Ties at the k-th score survive, so that the sma
 A part's blocks are met in order of their longest vector, and a block is passed over for a query whose bound it can't reach.
 
 Scores are inner products of integers floor(scale * component). Vectors that are null, empty or hold a null or a
-component that isn't finite take no part; vectors meet only those of their own length. A row is no candidate of a query with
-its id. Rows that repeat an id count as candidates each; as a query the id counts once for each length, with the vector that is first in
-order. Rows with null ids take no part. An empty table has an empty result. Integer
+component that isn't finite take no part; vectors meet only those of their own length. A row is no candidate of its own query, by
+the row and not by its id: rows that repeat an id are candidates of each other, and queries each, so their ids have several rows of each
+rank. Rows with null ids take no part. An empty table has an empty result. Integer
 components of up to 2**31 and lengths whose products stay below 2**53 are exact. Other columns are ignored.
 """
 
@@ -40,37 +40,38 @@ PARTS = 16
 
 
 def _pack(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks (dims, ids, columns) of at most `size` vectors in vertical layout; rows: vec_id, values."""
+    """Blocks (dims, ids, rows, columns) of at most `size` vectors in vertical layout; rows: vec_id, row, values."""
 
     def run(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            ids, numbers, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(length)
             for n in np.unique(length).tolist():
                 own = np.flatnonzero(length == n)
                 own_values = flat[(ends[own] - n)[:, None] + np.arange(n)]
-                have = held.setdefault(n, [[], [], 0])
+                have = held.setdefault(n, [[], [], [], 0])
                 have[0].append(ids[own])
-                have[1].append(own_values)
-                have[2] += len(own)
-                if have[2] >= size:
+                have[1].append(numbers[own])
+                have[2].append(own_values)
+                have[3] += len(own)
+                if have[3] >= size:
                     yield from blocks(n, held.pop(n))
         for n, have in held.items():
             yield from blocks(n, have)
 
     def blocks(n, have):
-        ids, values = np.concatenate(have[0]), np.concatenate(have[1])
+        ids, numbers, values = (np.concatenate(x) for x in have[:3])
         for a in range(0, len(ids), size):
             part = values[a : a + size]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([n], pa.int32()), pa.array([ids[a : a + size].tobytes()]), pa.array([np.ascontiguousarray(part.T).tobytes()])],
-                names=["dims", "ids", "columns"],
+                [pa.array([n], pa.int32()), pa.array([ids[a : a + size].tobytes()]), pa.array([numbers[a : a + size].tobytes()]), pa.array([np.ascontiguousarray(part.T).tobytes()])],
+                names=["dims", "ids", "rows", "columns"],
             )
 
-    return rows.mapInArrow(run, "dims int, ids binary, columns binary")
+    return rows.mapInArrow(run, "dims int, ids binary, rows binary, columns binary")
 
 
 def _rests(columns: np.ndarray, group: int) -> np.ndarray:
@@ -83,13 +84,13 @@ def _rests(columns: np.ndarray, group: int) -> np.ndarray:
 class Best:
     """The best k of a block of queries so far."""
 
-    def __init__(self, ids: np.ndarray, columns: np.ndarray, k: int):
-        self.ids, self.columns, self.k = ids, columns, k
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, columns: np.ndarray, k: int):
+        self.ids, self.rows, self.columns, self.k = ids, rows, columns, k
         self.rest = _rests(columns, GROUP)
         self.score = [np.zeros(0) for _ in ids]
         self.found = [np.zeros(0, np.int64) for _ in ids]
 
-    def meet(self, ids: np.ndarray, columns: np.ndarray, rest: np.ndarray) -> None:
+    def meet(self, ids: np.ndarray, rows: np.ndarray, columns: np.ndarray, rest: np.ndarray) -> None:
         k, longest = self.k, rest[0].max()
         for q in range(len(self.ids)):
             score, query = self.score[q], self.columns[:, q]
@@ -109,8 +110,8 @@ class Best:
                     stay = np.flatnonzero(good)
                     alive = stay if alive is None else alive[stay]
                     total, part = total[stay], part[:, stay]
-            names = ids if alive is None else ids[alive]
-            other = (names != self.ids[q]) & (total >= edge - 1e-6 * (1 + abs(edge)))
+            names, own = (ids, rows) if alive is None else (ids[alive], rows[alive])
+            other = (own != self.rows[q]) & (total >= edge - 1e-6 * (1 + abs(edge)))
             total, names = np.concatenate((score, total[other])), np.concatenate((self.found[q], names[other]))
             order = np.lexsort((names, -total))[:k]
             self.score[q], self.found[q] = total[order], names[order]
@@ -122,58 +123,57 @@ def top_k(rows: DataFrame, k: int, every: int, scale: float = 64.0, vec_id="vec_
     whole = "x is not null and not isnan(x) and abs(x) < double('infinity')"
     rows = rows.select("vec_id", F.expr("transform(vector, x -> double(x))").alias("vector")).filter(f"forall(vector, x -> {whole})")
     rows = rows.select("vec_id", F.expr(f"transform(vector, x -> floor({scale}D * x))").alias("vector"))
-    values = rows.select("vec_id", F.expr("transform(vector, x -> double(x))").alias("values"))
+    values = rows.select("vec_id", F.monotonically_increasing_id().alias("row"), F.expr("transform(vector, x -> double(x))").alias("values"))
     values = values.transform(cut)
     size = values.count()
     parts = max(PARTS, -(-size // PART_ROWS))
     candidates = _pack(values, min(BLOCK, max(256, size // (2 * parts)))).withColumn("part", F.pmod(F.xxhash64("ids", "dims"), F.lit(parts)).cast("int"))
-    asked = values.filter(f"vec_id % {every} = 0").groupBy("vec_id", F.size("values").alias("n")).agg(F.min("values").alias("values")).select("vec_id", "values")
-    queries = _pack(asked, QUERIES).transform(cut)
-    spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("asks"), "dims", "ids", "columns")
-    dealt = candidates.select("part", F.lit(0).alias("asks"), "dims", "ids", "columns").union(spread).repartition(parts, "part").sortWithinPartitions("part", "asks")
+    queries = _pack(values.filter(f"vec_id % {every} = 0"), QUERIES).transform(cut)
+    spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("asks"), "dims", "ids", "rows", "columns")
+    dealt = candidates.select("part", F.lit(0).alias("asks"), "dims", "ids", "rows", "columns").union(spread).repartition(parts, "part").sortWithinPartitions("part", "asks")
 
     def run(batches):
         at, held, ordered = None, {}, False
         for batch in batches:
-            for part, asks, dims, ids, columns in zip(*batch.columns, strict=True):
+            for part, asks, dims, ids, numbers, columns in zip(*batch.columns, strict=True):
                 part, n = part.as_py(), dims.as_py()
-                ids, columns = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(columns.as_py()).reshape(n, -1)
+                ids, numbers, columns = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(numbers.as_py(), np.int64), np.frombuffer(columns.as_py()).reshape(n, -1)
                 if part != at:
                     at, held, ordered = part, {}, False
                 if not asks.as_py():
-                    held.setdefault(n, []).append((ids, columns, _rests(columns, GROUP)))
+                    held.setdefault(n, []).append((ids, numbers, columns, _rests(columns, GROUP)))
                     continue
                 if not ordered:
                     for blocks in held.values():
-                        blocks.sort(key=lambda x: -x[2][0].max())
+                        blocks.sort(key=lambda x: -x[3][0].max())
                     ordered = True
-                best = Best(ids, columns, k)
+                best = Best(ids, numbers, columns, k)
                 for block in held.get(n, ()):
                     best.meet(*block)
                 sizes = [len(x) for x in best.found]
                 if sum(sizes):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(best.ids, sizes)), pa.array(np.repeat(n, sum(sizes)).astype(np.int32)), pa.array(np.concatenate(best.found)), pa.array(np.concatenate(best.score).astype(np.int64))],
-                        names=["query_id", "dims", "vec_id", "score"],
+                        [pa.array(np.repeat(best.ids, sizes)), pa.array(np.repeat(best.rows, sizes)), pa.array(np.concatenate(best.found)), pa.array(np.concatenate(best.score).astype(np.int64))],
+                        names=["query_id", "query_row", "vec_id", "score"],
                     )
 
-    found = dealt.mapInArrow(run, "query_id bigint, dims int, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id", "dims").orderBy(F.desc("score"), "vec_id"))
+    found = dealt.mapInArrow(run, "query_id bigint, query_row bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 #: The same result in DuckDB.
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e)
   WHERE q.vec_id % 20 = 0
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
