@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelathe.operators.aggregate import calls
+from tracelathe.operators.intervals import contained_in
 from tracelathe.operators.written import written
 
 def total_calls(rows: DataFrame) -> DataFrame:
@@ -131,3 +132,15 @@ def stress_problems(events: DataFrame, names: DataFrame, expected: DataFrame, si
     if uses is not None:
         found = found.union(used.filter("path is not null").groupBy("path").agg(F.sum("n").alias("n")).filter(F.col("n") != uses).select(F.lit("uses").alias("problem"), F.col("path").alias("id"), "n"))
     return found
+
+
+def device_problems(records: DataFrame, regions: DataFrame, categories: list[str], keys: list[str]) -> DataFrame:
+    """(problem, id) of device records (keys, id, cat, ts, dur): a category that never occurs, negative times, and records that no region (keys, region, rs, re) holds."""
+    spark = records.sparkSession
+    wanted = spark.createDataFrame([(c,) for c in categories], "cat string")
+    absent = wanted.join(records.select("cat").distinct(), "cat", "left_anti").select(F.lit("missing category").alias("problem"), F.col("cat").alias("id"))
+    wrong = records.filter("ts < 0 or dur < 0 or ts is null or dur is null").select(F.lit("time").alias("problem"), F.col("id").cast("string"))
+    timed = records.filter("ts >= 0 and dur >= 0").withColumn("te", F.col("ts") + F.col("dur"))
+    held = contained_in(timed, regions, keys).select("id")
+    outside = timed.join(held, "id", "left_anti").select(F.lit("outside every region").alias("problem"), F.col("id").cast("string"))
+    return absent.union(wrong).union(outside)

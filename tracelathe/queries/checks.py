@@ -12,7 +12,7 @@ from tracelathe.queries.events import HOUR
 from tracelathe.queries.records import RECORDS, records
 from tracelathe.queries.tables import sql, table, trace
 from tracelathe.schema import LAYERS, layer_mask, layer_set, to_unit, used_names
-from tracelathe.sources import members, traces
+from tracelathe.sources import collectors, members, traces
 
 QUERIES, ORACLES = {}, {}
 DAY = 24 * HOUR
@@ -330,3 +330,34 @@ def log_names(spark, d):
 def counter_families(spark, d):
     text = F.expr("concat('CPU:', p_partkey, ', b,', p_partkey, ';nothing;L', p_size, ':x,')")
     return table(spark, d, "part").select("p_partkey", F.explode(scalars.event_families(text)).alias("f")).select("p_partkey", "f.family", "f.events")
+
+
+@query("device_checks", sql("""
+SELECT 'missing category' AS problem, 'memcpy' AS id UNION ALL SELECT 'time', CAST(id AS VARCHAR) FROM e WHERE cat = 'COMPUTE' AND id % 40 = 0
+UNION ALL SELECT 'outside every region', CAST(x.id AS VARCHAR) FROM e x WHERE x.cat = 'COMPUTE' AND x.id % 40 > 0 AND NOT EXISTS (SELECT 1 FROM e r WHERE r.cat = 'POSIX' AND r.pid = x.pid AND r.ts <= x.ts AND r.ts + 3600000000 >= x.te)"""))
+def device_checks(spark, d):
+    """Device records in the regions of their process, each an hour from a call; one category never occurs."""
+    t = trace(spark, d)
+    records = t.filter("cat = 'COMPUTE'").withColumn("dur", F.when(F.col("id") % 40 == 0, -1).otherwise(F.col("dur")))
+    regions = t.filter("cat = 'POSIX'").select("pid", F.col("id").alias("region"), F.col("ts").alias("rs"), (F.col("ts") + 3_600_000_000).alias("re"))
+    return validate.device_problems(records.select("pid", "id", "cat", "ts", "dur"), regions, ["COMPUTE", "memcpy"], ["pid"])
+
+
+def _load(lines):
+    """A collector of the user's own: /proc/loadavg."""
+    words = F.split("value", " ")
+    return lines.select("file", F.lit("load").alias("name"), words[0].cast("double").alias("one"), words[1].cast("double").alias("five"))
+
+
+@query("collected", """
+SELECT collector, file, series, field, CAST(value AS DOUBLE) AS value FROM (
+  SELECT 'io' AS collector, CAST(p_partkey AS VARCHAR) AS file, 'sda' AS series, unnest(['reads', 'read_bytes', 'writes', 'write_bytes', 'ios_in_progress']) AS field, unnest([p_partkey, p_size * 512, p_partkey + 1, (p_partkey + 2) * 512, p_size]) AS value FROM part
+  UNION ALL SELECT 'load', CAST(p_partkey AS VARCHAR), 'load', unnest(['one', 'five']), unnest([p_size + 0.5, p_partkey]) FROM part
+  UNION ALL SELECT 'exposition', NULL, 'gpu_power.card="' || p_partkey || '"', 'value', p_size FROM part) x""")
+def collected(spark, d):
+    """Numbers of two built-in collectors and of a registered one, from lines of all."""
+    collectors.register("load", _load, ("name",))
+    texts = {"io": "concat('   8       0 sda ', p_partkey, ' 0 ', p_size, ' 0 ', p_partkey + 1, ' 0 ', p_partkey + 2, ' 0 ', p_size, ' 0 0')", "load": "concat(p_size, '.5 ', p_partkey, ' 1 2/3 4')", "exposition": "concat('gpu_power{card=\"', p_partkey, '\"} ', p_size)"}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("collector"), F.expr(t).alias("value")) for k, t in texts.items()))).alias("x")
+    lines = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file"), each).select("x.collector", "file", "x.value")
+    return collectors.collect(lines, ["io", "load", "exposition"])

@@ -49,18 +49,22 @@ def _choice_sql(column, values):
     return f"[{', '.join(repr(v) for v in values)}][{column} % {len(values)} + 1]"
 
 
-@query("exec_name", f"SELECT p_partkey, {_choice_sql('p_partkey', _PICKED)} AS x FROM part")
+@query("exec_name", f"SELECT p_partkey, {_choice_sql('p_partkey', _PICKED)} AS x, replace(p_name, ' ', '_') AS own FROM part")
 def exec_name(spark, d):
-    return table(spark, d, "part").select("p_partkey", scalars.exec_name(_choice("p_partkey", _COMMANDS), "|").alias("x"))
+    """Programs of fixed command lines, and of lines made of parts' names behind interpreters and options."""
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    behind = F.concat(_choice("p_partkey", ("", "env|", "/usr/bin/python3|-m|", "python|-u|-O|")), F.lit("/opt/x"), F.col("p_size").cast("string"), F.lit("/"), name, F.lit("|--size="), F.col("p_size").cast("string"), F.lit("|"))
+    return table(spark, d, "part").select("p_partkey", scalars.exec_name(_choice("p_partkey", _COMMANDS), "|").alias("x"), scalars.exec_name(behind, "|").alias("own"))
 
 
 _MAGICS = (0x0BD00BD0, 0x47504653, 0x19830326, 0x00C36400, 0x6969, 0xEF53, 0x58465342, 0x9123683E, 0x2FC12FC1, 0x01021994, 0x794C7630, 0x73717368, 0x65735546, 0x9FA0, 0x62656572, 0x6E667364, 0xFF534D42, 0xABC)
 _FS = ("lustre", "gpfs", "beegfs", "ceph", "nfs", "ext4", "xfs", "btrfs", "zfs", "tmpfs", "overlayfs", "squashfs", "fuse", "proc", "sysfs", "nfsd", "cifs", "0xabc")
 
 
-@query("fs_name", f"SELECT c_custkey, {_choice_sql('c_custkey', _FS)} AS x FROM customer")
+@query("fs_name", f"SELECT c_custkey, {_choice_sql('c_custkey', _FS)} AS x, '0x' || lower(to_hex(c_custkey * 1000003 + 1)) AS unknown FROM customer")
 def fs_name(spark, d):
-    return table(spark, d, "customer").select("c_custkey", scalars.fs_name(_choice("c_custkey", _MAGICS)).alias("x"))
+    """Names of known numbers, and of unknown ones that customers' keys make."""
+    return table(spark, d, "customer").select("c_custkey", scalars.fs_name(_choice("c_custkey", _MAGICS)).alias("x"), scalars.fs_name(F.col("c_custkey") * 1_000_003 + 1).alias("unknown"))
 
 
 _PATHS = ("power_node_watts", "socket_0.power_gpus_watts.GPU_0", "socket_1.power_mem_watts", "power_dram_watts.x", "num_gpus_per_socket", "net.rate", "fan.speed", "socket_0.power_cpu_watts", "a.power__watts")
@@ -68,10 +72,12 @@ _FAMILY = ("node", "gpu", "memory", "dram", "gpu", "network", "other", "cpu", "o
 _READING = ("total", "socket_0.GPU_0", "socket_1", "x", "num_gpus_per_socket", "net.rate", "fan.speed", "socket_0", "a.power__watts")
 
 
-@query("power_family", f"SELECT p_partkey, {_choice_sql('p_partkey', _FAMILY)} AS family, {_choice_sql('p_partkey', _READING)} AS reading FROM part")
+@query("power_family", f"SELECT p_partkey, {_choice_sql('p_partkey', _FAMILY)} AS family, {_choice_sql('p_partkey', _READING)} AS reading, 'own' || p_size AS own_family, 'socket_' || p_partkey || '.part_' || p_size AS own_reading FROM part")
 def power_family(spark, d):
+    """Families and readings of fixed paths, and of paths with families that parts' sizes make."""
     path = _choice("p_partkey", _PATHS)
-    return table(spark, d, "part").select("p_partkey", telemetry.power_family(path).alias("family"), telemetry.power_reading(path).alias("reading"))
+    own = F.expr("concat('socket_', p_partkey, '.power_own', p_size, '_watts.part_', p_size)")
+    return table(spark, d, "part").select("p_partkey", telemetry.power_family(path).alias("family"), telemetry.power_reading(path).alias("reading"), telemetry.power_family(own).alias("own_family"), telemetry.power_reading(own).alias("own_reading"))
 
 
 @query("io_size", sql("SELECT id, CASE WHEN cat = 'POSIX' THEN CASE WHEN op = 'write' OR op = 'read' THEN size END ELSE size + 1 END AS bytes FROM (SELECT *, ['write', 'read', 'readdir', 'stat'][id % 4 + 1] AS op FROM e) x"))

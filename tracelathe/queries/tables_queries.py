@@ -57,10 +57,12 @@ _RELATIVE = ("/a/b", "c/./d", "../x//y", "./..", "/../z/", "", "p/q/../../../r")
 _ABSOLUTE = ("/a/b", "/w/c/d", "/x/y", "/", "/z", "/w", "/r")
 
 
-@query("absolutize", f"SELECT page_id, {list(_ABSOLUTE)}[page_id % {len(_ABSOLUTE)} + 1] || '' AS x FROM pages")
+@query("absolutize", f"SELECT page_id, {list(_ABSOLUTE)}[page_id % {len(_ABSOLUTE)} + 1] || '' AS x, '/w' || page_id % 3 || '/y/' || page_id || '.log' AS own FROM pages")
 def absolutize(spark, d):
+    """Fixed paths, and paths made of pages' numbers."""
     path = F.element_at(F.array(*(F.lit(p) for p in _RELATIVE)), (F.col("page_id") % len(_RELATIVE) + 1).cast("int"))
-    return table(spark, d, "pages").select("page_id", scalars.absolutize(path, F.lit("/w")).alias("x"))
+    own, cwd = F.expr("concat('a', page_id, '/../y//./', page_id, '.log')"), F.concat(F.lit("/w"), (F.col("page_id") % 3).cast("string"))
+    return table(spark, d, "pages").select("page_id", scalars.absolutize(path, F.lit("/w")).alias("x"), scalars.absolutize(own, cwd).alias("own"))
 
 
 @query("prefix_mount", "WITH p AS (SELECT DISTINCT url AS path, length(url) % 2 AS dev FROM pages), m AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+', 0) AS point, length(url) % 2 AS mount_dev FROM pages UNION SELECT 'https:', 0 UNION SELECT 'https:', 1 UNION SELECT '/', 0) SELECT path, point AS mount FROM (SELECT path, point, row_number() OVER (PARTITION BY path ORDER BY CAST(dev = mount_dev AS INTEGER) DESC, length(point) DESC) AS n FROM p JOIN m ON point = path OR starts_with(path, point || '/') OR (point = '/' AND starts_with(path, '/'))) WHERE n = 1")
