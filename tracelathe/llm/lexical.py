@@ -33,6 +33,8 @@ BLOCK_BYTES = 4 << 20
 #: Terms in a stretch of the vocabulary, and items in a matrix: 2**16 x 10**6 x TERMS is below 2**53.
 TERMS = 1024
 ITEMS = 1024
+#: Matrices of weights that a worker keeps; others are made again for each tile.
+HELD = 16
 TILE = "docs bigint, terms bigint, ids binary, named binary, lengths binary, starts binary, codes binary, counts binary"
 
 
@@ -90,7 +92,7 @@ class Items:
         self.held: dict[tuple[int, int], np.ndarray] = {}
 
     def matrix(self, a: int, t: int) -> np.ndarray:
-        """Weights of the items from a on by the terms from t on; up to 64 of these are kept."""
+        """Weights of the items from a on by the terms from t on; up to HELD of these, of 8 MB at most, are kept."""
         found = self.held.get((a, t))
         if found is None:
             b = min(a + ITEMS, len(self.rows))
@@ -99,7 +101,7 @@ class Items:
             own = (codes >= t) & (codes < t + TERMS)
             found = np.zeros((b - a, min(TERMS, len(self.weights) - t)))
             found[item[own], codes[own] - t] = self.weights[codes[own]]
-            if len(self.held) < 64:
+            if len(self.held) < HELD:
                 self.held[a, t] = found
         return found
 
