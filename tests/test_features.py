@@ -151,8 +151,7 @@ def test_index_reads_fewer_bytes(spark, tmp_path):
         list(reader.pushFilters([indexed.GreaterThanOrEqual(("ts",), 1500), indexed.LessThan(("ts",), 1600)]))
         read = sum(b.bytes for b in reader.partitions())
         assert 0 < read < 0.1 * sum(b.bytes for b in indexed.IndexedReader({"index": path}).partitions())
-        plan = indexed.read_indexed(spark, path).filter("ts >= 1500 and ts < 1600")
-        assert plan.rdd.getNumPartitions() < indexed.read_indexed(spark, path).rdd.getNumPartitions() / 5
+        assert len(reader.partitions()) == 1  # neighbouring blocks are one stretch
 
 
 def test_loader_columns_follow_the_types(spark):

@@ -134,9 +134,10 @@ def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     events = ready.filter("folded is null").select("side", F.lit("event").alias("part"), "name", "cat", text(F.coalesce(F.col("type").cast("string"), F.lit("-")), F.coalesce(F.col("ph").cast("string"), F.lit("-")), "args_scrubbed").alias("args"), F.lit(1).cast("bigint").alias("n"))
     totals = ready.filter("folded").select("side", F.lit("calls").alias("part"), "name", "cat", F.lit("").alias("args"), calls.cast("bigint").alias("n"))
     none = F.lit(None).cast("string")
-    polls = rows.agg(*(F.count_if(is_poll(rows) & (F.col("side") == s)).alias(s) for s in ("left", "right"))).filter("left = right")
-    whole = polls.crossJoin(folded.limit(1).groupBy().agg(F.count(F.lit(1)).alias("n")).filter("n = 0")).select(F.lit(True).alias("compare"))  # one row or none
-    numbers = ready.filter("id is not null and ph <> 3").join(F.broadcast(whole)).select("side", F.lit("id").alias("part"), none.alias("name"), none.alias("cat"), F.col("id").cast("string").alias("args"), F.lit(1).cast("bigint").alias("n"))
+    polls = rows.agg(*(F.count_if(is_poll(rows) & (F.col("side") == s)).alias(s) for s in ("left", "right"))).first()
+    # Ids number the events that were written out, so they follow what was folded, and they number the polls.
+    numbers = ready.filter("id is not null").select("side", F.lit("id").alias("part"), none.alias("name"), none.alias("cat"), F.col("id").cast("string").alias("args"), F.lit(1).cast("bigint").alias("n"))
+    numbers = numbers if polls[0] == polls[1] and folded.isEmpty() else numbers.limit(0)
     many = [
         rows.select("side", *c).distinct().groupBy("side").agg(F.count(F.lit(1)).alias("n")).select("side", F.lit(part).alias("part"), none.alias("name"), none.alias("cat"), F.lit("").alias("args"), "n")
         for part, c in (("process", ["pid"]), ("thread", ["pid", "tid"]))

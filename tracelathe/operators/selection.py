@@ -63,8 +63,9 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, quantiles: li
     state = _joined(inside, asked, held)
     right = below.select(*(F.col(k).alias(f"_of{k}") for k in held), "below")
     state = state.join(right, null_safe([F.col(k) for k in held], [F.col(f"_of{k}") for k in held]), "left").select(*held, "n", "r0", "r1", F.coalesce("below", F.lit(0)).alias("below"), "v", "c")
-    last = None
-    while True:
+    last, most_rows = None, groups.agg(F.max("n")).first()[0] or 0
+    # A bracket holds at most 10 / accuracy of a group, or a group of at most `accuracy` rows.
+    while accuracy > limit or 10 * most_rows > limit * accuracy:
         most = state.groupBy(*held).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0]
         if most is None or most <= limit or most == last:
             break

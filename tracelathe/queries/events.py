@@ -235,8 +235,8 @@ def stream_end_marks(spark, d):
     events = trace(spark, d).select("pid", "tid", "name", "dur", F.timestamp_micros("ts").alias("at"), (F.col("id") % 2).alias("part"))
     last = events.agg(F.max("at").alias("at"))
     none = F.lit(0).cast("bigint")
-    mark = lambda pids, name, after: last.crossJoin(pids).select(F.col("id").alias("pid"), none.alias("tid"), F.lit(name).alias("name"), none.alias("dur"), (F.col("at") + F.expr(f"interval {after}")).alias("at"))
-    ends, later = mark(spark.range(6), "end", "0 days"), mark(spark.range(-1, 0), "later", "40 days")
+    mark = lambda first, past, name, after: last.select("at", F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(past).cast("bigint"))).alias("pid")).select("pid", none.alias("tid"), F.lit(name).alias("name"), none.alias("dur"), (F.col("at") + F.expr(f"interval {after}")).alias("at"))
+    ends, later = mark(0, 5, "end", "0 days"), mark(-1, -1, "later", "40 days")
     for part, rows in enumerate((events.filter("part = 0").drop("part"), events.filter("part = 1").drop("part"), ends, later)):
         rows.repartition(1).write.parquet(f"{path}/in/{part}")
     stream = spark.readStream.schema(events.drop("part").schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")

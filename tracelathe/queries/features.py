@@ -150,7 +150,7 @@ def stream_lanes(spark, d):
     t = trace(spark, d).select("pid", "tid", "name", "dur", F.timestamp_micros("ts").alias("at"))
     hold = F.pmod(F.xxhash64("at", "tid"), F.lit(10))
     last = t.agg(F.max("at").alias("at"))
-    marks = last.crossJoin(spark.range(6).select(F.col("id").alias("pid"))).select("pid", F.lit(0).cast("bigint").alias("tid"), F.lit("end").alias("name"), F.lit(0).cast("bigint").alias("dur"), "at")
+    marks = last.select("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("pid")).select("pid", F.lit(0).cast("bigint").alias("tid"), F.lit("end").alias("name"), F.lit(0).cast("bigint").alias("dur"), "at")
     later = last.select(F.lit(-1).cast("bigint").alias("pid"), F.lit(0).cast("bigint").alias("tid"), F.lit("late").alias("name"), F.lit(0).cast("bigint").alias("dur"), (F.col("at") + F.expr("interval 40 days")).alias("at"))
     stream, path = _stream_input(spark, [t.filter(hold < 4), t.filter((hold >= 4) & (hold < 9)).union(marks), t.filter(hold == 9), later])
     query = fold_lanes(stream, flush_ms=3_600_000, late="35 days").writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(availableNow=True).start()

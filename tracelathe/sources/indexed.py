@@ -2,8 +2,9 @@
 
 The index is a table with a row per block of a plain file's lines: file, first byte, bytes, first line, lines, and the extremes of ts and id. It is built
 in one pass over ranges of files, by as many tasks. `spark.read.format("traced")` takes it as an option; filters on ts and id reach its
-reader, which chooses blocks by their extremes and reads these by seek. Every filter is checked on the rows again, so blocks only have to be
-enough. Gzip traces are indexed by their members (`sources.members`), which are read whole.
+reader, which chooses blocks by their extremes and reads these by seek, neighbours in one stretch of up to TASK bytes. Every filter is checked on
+the rows again, so blocks only have to be enough. The driver holds the index rows of the chosen blocks (one per MB of trace), so a whole trace is better
+read by `sources.traces`. Gzip traces are cut at their members (`sources.members`), which are read whole.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tracelathe.sources.traces import parse_events
 BLOCK = 1 << 20
 RANGE = 64 << 20
 CHUNK = 4 << 20
+#: Bytes of neighbouring blocks that one task reads.
+TASK = 32 << 20
 SCHEMA = "file string, line bigint, id bigint, ts bigint, value string"
 
 
@@ -129,7 +132,14 @@ class IndexedReader(DataSourceReader):
             one = ds.field(f"max_{name}") >= edge if over else ds.field(f"min_{name}") <= edge
             where = one if where is None else where & one
         index = _arrow_dataset(self.index).to_table(columns=["file", "first_byte", "bytes", "first_line"], filter=where)
-        return [Block(**row) for row in sorted(index.to_pylist(), key=lambda r: (r["file"], r["first_byte"]))]
+        chosen: list[Block] = []
+        for row in index.sort_by([("file", "ascending"), ("first_byte", "ascending")]).to_pylist():
+            last = chosen[-1] if chosen else None
+            if last and last.file == row["file"] and last.first_byte + last.bytes == row["first_byte"] and last.bytes < TASK:
+                last.bytes += row["bytes"]
+            else:
+                chosen.append(Block(**row))
+        return chosen
 
     def read(self, partition: Block):
         with open_file(partition.file) as file:
