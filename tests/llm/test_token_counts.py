@@ -38,6 +38,14 @@ def test_counts_equal_library(spark, library):
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((texts[r.doc_id] or "").encode()), n > 20), texts[r.doc_id]
 
 
+def test_runs_of_one_sign(library):
+    """Of equal merges in a run the left one comes first."""
+    signs = "hoprsz-)~—=!é"
+    texts = [a + c * n + b for c in signs for n in range(1, 12) for a in ("", "r", "s", "-") for b in ("", "b", "g", ">", "/")]
+    own = PrefixCounter(PATH)
+    assert [n for n, _ in own.answer(texts, 20)] == [size(library, x) for x in texts]
+
+
 def test_every_prefix(spark, library):
     texts = [x for x in some_texts() if x is None or len(x) < 200 and "|" not in x]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")

@@ -80,8 +80,8 @@ class PrefixCounter:
             # The younger of the two was made last; before that its part at the border stood there.
             if a >= singles and (a > b or b < singles):
                 limit, a = a, halves[a][1]
-            elif b >= singles:
-                limit, b = b, halves[b][0]
+            elif b >= singles:  # of equal merges the left one comes first, so one across the border precedes b's own
+                limit, b = b + 1, halves[b][0]
             else:
                 return True
 
