@@ -69,6 +69,9 @@ def test_sizes_and_programs(spark):
         return f"{n:.0f}" + ("", "KB", "MB", "GB", "TB")[k]
 
     assert {r.n: r.x for r in rows.collect()} == {n: human(n) for n in sizes}
+    large = [10**18 + 1, 12355 * 10**15, 219_600_000_000_000_000_000, -(10**22), 7 * 10**30]
+    rows = spark.createDataFrame([(str(k),) for k in large], "n string").select("n", scalars.human_size(F.col("n").cast("decimal(38,0)")).alias("x"))
+    assert {int(r.n): r.x for r in rows.collect()} == {n: human(n) for n in large}
     commands = {"a/b\0": "b", "env\0python3\0": "DEFAULT", "python\0-c\0from multiprocessing.x\0": "DEFAULT-spawn", "no end": "DEFAULT", "x\0y": "x"}
     rows = spark.createDataFrame([(k,) for k in commands], "c string").select("c", scalars.exec_name(F.col("c")).alias("x"))
     assert {r.c: r.x for r in rows.collect()} == commands

@@ -43,19 +43,34 @@ def interval_width(milliseconds: int, units_per_second: int) -> int:
     return max(1, milliseconds * units_per_second // 1000)
 
 
+def _let(value: Column, of) -> Column:
+    """of(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def human_size(value: Column) -> Column:
-    """A size in whole numbers of its unit, from three significant digits; NA for null and 0; bytes have no unit, and TB is the last one."""
-    size = F.abs(value.cast("double"))
-    rounded = value.cast("double")
-    for k in range(3, 19):  # half to even, as the digits are cut off
-        rounded = F.when(size >= 10.0**k, F.bround(value.cast("decimal(38,6)"), 2 - k).cast("double")).otherwise(rounded)
-    for k in range(2, -4, -1):
-        rounded = F.when((size < 10.0 ** (k + 1)) & (size >= 10.0**k), F.bround(value.cast("decimal(38,6)"), 2 - k).cast("double")).otherwise(rounded)
-    out = F.lit(None).cast("string")
-    for k, unit in enumerate(("", "KB", "MB", "GB", "TB")):
-        text = F.concat(F.bround(rounded / float(1024**k), 0).cast("decimal(38,0)").cast("string"), F.lit(unit))
-        out = text if not k else F.when(F.abs(rounded) >= 1024**k, text).otherwise(out)
-    return F.when(value.isNull() | (value == 0), "NA").otherwise(out)
+    """A size (below 10**31) in whole numbers of its unit, from three significant digits; NA for null and 0; bytes have no unit, and TB is the last one."""
+
+    def rounded(digits: Column) -> Column:  # in millionths
+        first, rest = F.coalesce(F.substring(digits, 1, 3).try_cast("int"), F.lit(0)), F.substring(digits, 4, 38)
+        half = F.rpad(F.lit("5"), F.length(rest), F.lit("0"))
+        up = (rest > half) | (rest == half) & (rest != "") & (first % 2 == 1)  # half to even, as the digits are cut off
+        power = F.greatest(F.length(digits) - 3, F.lit(0)) - 6
+        return F.concat((first + up.cast("int")).cast("string"), F.lit("E"), power.cast("string")).cast("double")
+
+    def shown(size: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for k, unit in enumerate(("", "KB", "MB", "GB", "TB")):
+            text = F.concat(F.rint(size / float(1024**k)).cast("bigint").cast("string"), F.lit(unit))
+            out = text if not k else F.when(size >= 1024**k, text).otherwise(out)
+        return out
+
+    def text(v: Column) -> Column:
+        digits = F.ltrim(F.replace(F.abs(v).cast("string"), F.lit("."), F.lit("")), F.lit("0"))
+        size = _let(_let(digits, rounded), shown)
+        return F.when(v.isNull() | (v == 0), "NA").otherwise(F.when((v < 0) & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size))
+
+    return _let(value.cast("decimal(38,6)"), text)
 
 
 def hex_id(value: Column) -> Column:

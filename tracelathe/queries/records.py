@@ -34,7 +34,9 @@ r AS (SELECT *, CAST(format('{{:.3g}}', CAST(v AS DOUBLE)) AS DOUBLE) AS x FROM
 SELECT l_orderkey, l_linenumber, CASE WHEN v IS NULL OR v = 0 THEN 'NA' WHEN x >= 1099511627776 THEN format('{{:.0f}}', x / 1099511627776) || 'TB' WHEN x >= 1073741824 THEN format('{{:.0f}}', x / 1073741824) || 'GB'
   WHEN x >= 1048576 THEN format('{{:.0f}}', x / 1048576) || 'MB' WHEN x >= 1024 THEN format('{{:.0f}}', x / 1024) || 'KB' ELSE format('{{:.0f}}', x) END AS x FROM r""")
 def human_size(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.human_size(F.expr(_SIZE)).alias("x"))
+    """The products are decimals: those of large tables' keys are beyond a bigint."""
+    size = _SIZE.replace("l_orderkey *", "CAST(l_orderkey AS DECIMAL(38, 0)) *")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.human_size(F.expr(size)).alias("x"))
 
 
 _COMMANDS = ("/usr/bin/python3.9|-m|/opt/app/run|x|", "env|/bin/sh|-c|", "python|-c|from multiprocessing.spawn import main|", "python3|-u|", "/a/b/ior|-a|POSIX|", "solver|", "/x/pyenv/bin/train|/y/work.py|", "")
