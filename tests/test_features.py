@@ -41,6 +41,14 @@ def test_selection_equals_sorting(spark):
             assert sd is None if n == 1 else sd == pytest.approx(statistics.stdev(inner), rel=1e-6, abs=1e-6)
 
 
+def test_full_sketches_are_counted(spark):
+    """Of four groups one fills its sketch; nulls are no values, but a group."""
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, F.when(F.col("id") % 3 > 0, "large")).otherwise(F.when(F.col("id") < 3015, "small").otherwise("edge")).alias("k"), (F.col("id") % 3).alias("part"), F.when(F.col("id") % 7 > 0, F.col("id") % 1900).alias("v"))
+    parts = sketches.sketched(rows, ["k", "part"], distinct="v", log2=9)
+    got = sketches.exact_distinct(written(sketches.merged(parts, ["k"], log2=9)), rows, ["k"], "v", 9)
+    assert {(r.k, r.exact) for r in got.collect()} == {(r.k, r.n) for r in rows.groupBy("k").agg(F.countDistinct("v").alias("n")).collect()}
+
+
 def test_selection_of_a_large_group_is_bounded(spark, monkeypatch):
     """A million different values of one group: what is sorted at last, and every written table, holds a bounded number."""
     sizes = []

@@ -7,6 +7,8 @@ have seen, partial sketches meet before the shuffle, and merging loses nothing a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +60,16 @@ def quantile_bounds(q: float, k: int = QUANTILE_K, least: int | None = None) ->
 
 def distinct_count() -> Column:
     return F.theta_sketch_estimate("kinds")
+
+
+def exact_distinct(whole: DataFrame, rows: DataFrame, keys: list[str], distinct: str, log2: int = DISTINCT_LOG2) -> DataFrame:
+    """Adds `exact` to merged sketches (`whole`: keys, `kinds`; written): the number of different values of `distinct` in `rows`, of which they were made.
+
+    Below the sketch's size it is the sketch's count; a sketch that has left values out says at least that size, and its group is counted in the rows.
+    """
+    full = F.theta_sketch_estimate("kinds") >= 2**log2
+    large = whole.filter(full).select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    kinds = rows.join(F.broadcast(large), same, "left_semi").select(*keys, F.col(distinct).alias("_x")).distinct()  # a large group has many rows, so they are few
+    counts = kinds.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count("_x").alias("_n"))
+    return whole.join(counts, same, "left").select(*whole.columns, F.coalesce("_n", distinct_count().cast("bigint")).alias("exact"))
