@@ -45,6 +45,14 @@ def test_line_numbers_follow_the_files(spark, trace):
     assert len(rows) == 1500 and all(r.line == int(r.value.split()[1]) and r.batch == r.line - r.line % 64 for r in rows)
 
 
+def test_line_numbers_go_on_through_files(spark, trace):
+    (trace / "m").mkdir()
+    for k in range(3):
+        (trace / "m" / f"{k}.txt").write_text("".join(f"{k * 500 + i}\n" for i in range(500)))
+    rows = traces.with_line_numbers(traces.read_lines(spark, str(trace / "m")).repartition(1).sortWithinPartitions("file", F.col("value").cast("int")), through=True).collect()
+    assert len(rows) == 1500 and all(r.line == int(r.value) for r in rows)
+
+
 def test_benchmark_tables(spark, trace):
     (trace / "c.csv").write_text("# made\n mode , bw\nbase,1.5\ntrace,2\n")
     rows = traces.read_benchmarks(spark, str(trace / "c.csv"), {"mode": "mode", "bw": "bandwidth"})
@@ -96,6 +104,11 @@ def test_telemetry(spark):
     assert [(r.interface, r.rx_bytes, r.tx_bytes) for r in net] == [("eth0", 1, 9)]
     power = spark.sql("""select parse_json('{"h":{"power_node_watts":1.5,"timestamp":9,"socket_0":{"power_gpu_watts":{"GPU_0":2,"s":"x"}}}}') as v""")
     assert {(r.path, r.value) for r in telemetry.power_leaves(power).collect()} == {("power_node_watts", 1.5), ("socket_0.power_gpu_watts.GPU_0", 2.0)}
+    text = """{"h":{"a":[1,{"b":[2,[]]},"x",null,true],"e":{},"t":{"timestamp":3,"d":{"d":4}}},"timestamp":5,"n":6.5}"""
+    nested = spark.createDataFrame([(text,), (None,), ("7",)], "x string").select(F.expr("parse_json(x)").alias("v"))
+    assert sorted((r.path, r.value) for r in telemetry.power_leaves(nested).collect()) == [("", 6.5), ("", 7.0), ("a.0", 1.0), ("a.1.b.0", 2.0), ("t.d.d", 4.0)]
+    assert sorted(r.path for r in telemetry.power_leaves(nested, 3).collect()) == ["", "", "a.0"]
+    assert telemetry.power_leaves(nested)._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # no copies of leaves at each level
     mount = telemetry.mountinfo(lines(spark, r"36 35 98:0 / /mnt\040a rw,noatime shared:1 master:2 - ext4 /dev/sda rw")).first()
     assert (mount.point, mount.device, mount.fstype, mount.source) == ("/mnt a", "98:0", "ext4", "/dev/sda")
 

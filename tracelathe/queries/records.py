@@ -9,7 +9,7 @@ from tracelathe.operators import aggregate, stats
 from tracelathe.plans import metadata, utilities
 from tracelathe.plans.analysis import io_size
 from tracelathe.queries.events import HOUR
-from tracelathe.queries.tables import sql, table, trace
+from tracelathe.queries.tables import spread, sql, table, trace
 from tracelathe.sources import adapters, telemetry, traces
 
 QUERIES, ORACLES = {}, {}
@@ -138,7 +138,7 @@ def net_dev(spark, d):
 def power_leaves(spark, d):
     deep = "concat('{\"d\":{\"d\":{\"d\":{\"d\":{\"d\":{\"d\":{\"d\":{\"d\":{\"d\":', p_partkey, '}}}}}}}}}')"
     text = f"concat('{{\"h', p_partkey, '\":{{\"timestamp\":1,\"power_node_watts\":', p_size, ',\"socket_0\":{{\"name\":\"x\",\"power_gpu_watts\":{{\"GPU_0\":', p_partkey, '}}}},\"list\":[1.5,\"x\",{{\"a\":', p_size, '}}],', substring({deep}, 2), '}}')"
-    return telemetry.power_leaves(table(spark, d, "part").select(F.expr(f"try_parse_json({text})").alias("v")))
+    return telemetry.power_leaves(spread(table(spark, d, "part")).select(F.expr(f"try_parse_json({text})").alias("v")))
 
 
 @query("mountinfo", r"SELECT '/p/my dir' || p_partkey AS point, '0:' || p_size AS device, 'nfs' AS fstype, 'srv:/x' AS source, CAST(p_partkey AS INTEGER) AS ord FROM part")

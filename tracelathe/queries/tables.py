@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt to all cores: tables of few bytes come in few partitions, however much is made of each row."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as events of a trace: clicks, views and errors are I/O, the rest is computing."""
     e = table(spark, sf_dir, "events")

@@ -55,18 +55,20 @@ def net_dev(lines: DataFrame) -> DataFrame:
 def power_leaves(readings: DataFrame, depth: int = 32) -> DataFrame:
     """(path, value) of the finite numbers in nested power readings (column v: VARIANT); keys named `timestamp` are left out.
 
-    A path joins the keys, and places in arrays, by dots, without the first level, the host. Each level is one explode; numbers
-    deeper than `depth` levels are not readings.
+    A path joins the keys, and places in arrays, by dots, without the first level, the host. Each level is one pass over a reading's open
+    nodes, as many as it has levels; numbers deeper than `depth` levels are not readings.
     """
-    kind = "schema_of_variant(v)"
+    node = lambda keys, v, closed="false": f"named_struct('keys', {keys}, 'v', {v}, 'closed', {closed})"
     step = f"""
-      case when {kind} like 'OBJECT%' then transform(filter(map_entries(cast(v as map<string, variant>)), e -> e.key <> 'timestamp'), e -> named_struct('keys', array_append(keys, e.key), 'v', e.value))
-           when {kind} like 'ARRAY%' then transform(cast(v as array<variant>), (x, i) -> named_struct('keys', array_append(keys, cast(i as string)), 'v', x))
-           else array(named_struct('keys', keys, 'v', v)) end"""
-    level = readings.select(F.expr("cast(array() as array<string>)").alias("keys"), "v")
-    for _ in range(depth):
-        level = level.select(F.explode(F.expr(step)).alias("x")).select("x.*")
-    leaves = level.filter(f"{kind} not in ('STRING', 'BOOLEAN', 'VOID') and {kind} not like 'OBJECT%' and {kind} not like 'ARRAY%'")
+      coalesce(case when n.closed then array(n) end,
+        transform(filter(map_entries(try_variant_get(n.v, '$', 'map<string, variant>')), e -> e.key <> 'timestamp'), e -> {node("array_append(n.keys, e.key)", "e.value")}),
+        transform(try_variant_get(n.v, '$', 'array<variant>'), (x, i) -> {node("array_append(n.keys, cast(i as string))", "x")}),
+        array({node("n.keys", "n.v", "true")}))"""
+    nodes = f"""
+      aggregate(sequence(1, {depth + 1}), array({node("cast(array() as array<string>)", "v")}),
+        (nodes, level) -> case when exists(nodes, n -> not n.closed) then flatten(transform(nodes, n -> {step})) else nodes end)"""
+    level = readings.select(F.explode(F.expr(nodes)).alias("x")).select("x.*").filter("closed")
+    leaves = level.filter("schema_of_variant(v) not in ('STRING', 'BOOLEAN', 'VOID')")
     leaves = leaves.select(F.array_join(F.slice("keys", 2, 1000), ".").alias("path"), F.expr("try_variant_get(v, '$', 'double')").alias("value"))
     return leaves.filter("value is not null and not isnan(value) and abs(value) < double('infinity')")
 
