@@ -10,7 +10,7 @@ from tracelathe.operators.written import new_path
 from tracelathe.plans import analysis, metadata, utilities
 from tracelathe.queries.events import HOUR
 from tracelathe.queries.records import RECORDS, records
-from tracelathe.queries.tables import sql, table, trace
+from tracelathe.queries.tables import spread, sql, table, trace
 from tracelathe.schema import LAYERS, layer_mask, layer_set, to_unit, used_names
 from tracelathe.sources import collectors, members, traces
 
@@ -213,16 +213,16 @@ def read_gzip_members(spark, d):
 def read_split_members(spark, d):
     """The same by the reader that cuts files at members, with ranges of 32 KB."""
     path, t = new_path(spark, "members"), trace(spark, d)
-    members.write_members(t.repartition(2).select(traces.json_line(t.drop("te", "size")).alias("value")), path, 200).count()
+    members.write_members(spread(t).select(traces.json_line(t.drop("te", "size")).alias("value")), path, 200).count()
     return _events(traces.parse_events(members.member_lines(spark, f"{path}/*.gz", 32 << 10)))
 
 
 @query("line_ranges", sql("SELECT id // 1000 AS batch, min(id) AS low, max(id) AS high, count(*) AS n FROM e GROUP BY 1"))
 def line_ranges(spark, d):
-    """A written file's lines numbered and read by ranges of 1,000 lines."""
+    """A written trace's lines, in files in order of ids, numbered through all of them and read by ranges of 1,000 lines."""
     path, t = new_path(spark, "lines"), trace(spark, d)
-    t.repartition(1).sortWithinPartitions("id").select(traces.json_line(t.drop("te", "size")).alias("value")).write.text(path)
-    rows = traces.line_batches(traces.with_line_numbers(traces.read_lines(spark, path)), 1000)
+    t.repartitionByRange("id").sortWithinPartitions("id").select(traces.json_line(t.drop("te", "size")).alias("value")).write.text(path)
+    rows = traces.line_batches(traces.with_line_numbers(traces.read_lines(spark, path), through=True), 1000)
     events = rows.withColumn("id", F.get_json_object("value", "$.id").cast("bigint"))
     return events.groupBy((F.col("batch") / 1000).cast("bigint").alias("batch")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
 

@@ -46,16 +46,19 @@ def variant_numbers(events: DataFrame) -> DataFrame:
     return rows.select("id", "a.key", F.expr("try_variant_get(a.value, '$', 'double')").alias("number")).filter("number is not null")
 
 
-def with_line_numbers(lines: DataFrame) -> DataFrame:
+def with_line_numbers(lines: DataFrame, through: bool = False) -> DataFrame:
     """Adds `line`, from 0 in each file in the order of reading: partitions are counted first, so no file is sorted in one task.
 
+    through: from 0 in the first file, through all files in the order of their names.
+
     The lines are written once with their places, so counts and lines agree whatever is read or computed again.
     """
     rows = written(lines.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.expr("shiftright(_id, 33)"))
     counts = rows.groupBy(F.col("file").alias("_file"), F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1))
+    order = Window.partitionBy(F.lit(0)).orderBy("_file", "_of") if through else Window.partitionBy("_file").orderBy("_of")  # a row for each split of a file
+    before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
-    found = rows.join(counts, (F.col("file") == F.col("_file")) & (F.col("_part") == F.col("_of")))
+    found = rows.join(F.broadcast(counts), (F.col("file") == F.col("_file")) & (F.col("_part") == F.col("_of")))
     return found.select(*lines.columns, (F.col("_id") - F.col("_first") + F.col("_before")).alias("line"))
 
 
