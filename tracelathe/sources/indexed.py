@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from pyspark.sql.window import Window
 
 from tracelathe.operators.written import written
-from tracelathe.sources.members import file_ranges, located, open_file
+from tracelathe.sources.members import dealt, file_ranges, located, open_file
 from tracelathe.sources.traces import parse_events
 
 #: Bytes of lines in a block of the index, and of a range that one task indexes.
@@ -71,7 +71,7 @@ def lines_at(spark: SparkSession, path: str | list[str], size: int = RANGE) -> D
                         if not part:
                             break
 
-    ranges = file_ranges(spark, path, size).repartition("file", "first")
+    ranges = dealt(file_ranges(spark, path, size), size)
     rows = ranges.mapInArrow(run, "file string, offset bigint, value binary")
     return rows.select("file", "offset", F.octet_length("value").alias("bytes"), F.decode("value", "utf-8").alias("value"))
 

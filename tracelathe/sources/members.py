@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 from tracelathe.operators.written import written
 
 CHUNK = 1 << 20
+#: Bytes that are read of a member at first, as many are small; then twice as many, up to CHUNK.
+FIRST = 16 << 10
 #: Bytes of a file that one task looks through.
 RANGE = 64 << 20
 #: Fixed value: how a gzip member with deflated content begins.
@@ -52,6 +54,13 @@ def file_ranges(spark: SparkSession, path: str | list[str], size: int = RANGE) -
     return files.select("file", "length", starts).withColumn("past", F.least(F.col("first") + size, "length"))
 
 
+def dealt(ranges: DataFrame, size: int) -> DataFrame:
+    """The ranges over as many tasks as keep all cores busy, none with more than about RANGE bytes; Spark joins partitions of so few bytes unless it is given a number."""
+    many = ranges.count()
+    tasks = max(4 * ranges.sparkSession.sparkContext.defaultParallelism, many * size // RANGE + 1)
+    return ranges.repartition(max(1, min(many, tasks)))
+
+
 class Inflated:
     """A member's text in pieces: iterate, then read `end`, the offset past it; None if it is cut off or broken."""
 
@@ -59,11 +68,12 @@ class Inflated:
         self.file, self.offset, self.length, self.end = file, offset, length, None
 
     def __iter__(self):
-        inflate, at = zlib.decompressobj(31), self.offset
+        inflate, at, step = zlib.decompressobj(31), self.offset, FIRST
         self.file.seek(at)
         try:
             while not inflate.eof:
-                part = self.file.read(min(CHUNK, self.length - at))
+                part = self.file.read(min(step, self.length - at))
+                step = min(2 * step, CHUNK)
                 if not part:
                     rest = inflate.decompress(b"", CHUNK)  # text that is still held back
                     if not rest:
@@ -142,7 +152,7 @@ def member_lines(spark: SparkSession, path: str | list[str], size: int = RANGE)
                         yield batch_of(row["file"], offset, first, held)
 
     ranges = file_ranges(spark, path, size)
-    return ranges.repartition("file", "first").mapInArrow(run, "file string, offset bigint, line bigint, value string")
+    return dealt(ranges, size).mapInArrow(run, "file string, offset bigint, line bigint, value string")
 
 
 def members(spark: SparkSession, path: str | list[str], size: int = RANGE) -> DataFrame:
@@ -160,7 +170,7 @@ def members(spark: SparkSession, path: str | list[str], size: int = RANGE) -> Da
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["file", "offset", "size", "raw_size", "lines", "whole_last_line"])
 
     ranges = file_ranges(spark, path, size)
-    good = written(ranges.repartition("file", "first").mapInArrow(run, "file string, offset bigint, size bigint, raw_size bigint, lines bigint, whole_last_line boolean"))
+    good = written(dealt(ranges, size).mapInArrow(run, "file string, offset bigint, size bigint, raw_size bigint, lines bigint, whole_last_line boolean"))
     order = Window.partitionBy("file").orderBy("offset")
     ends = good.select("file", "offset", (F.col("offset") + F.col("size")).alias("past")).union(ranges.select("file", F.lit(-1).cast("bigint"), F.lit(0).cast("bigint")).distinct())
     length = ranges.select("file", "length").distinct().withColumnRenamed("file", "_file")
