@@ -119,6 +119,15 @@ def test_written_tables_are_dropped(spark):
         spark.read.parquet(path)
 
 
+def test_ranges_are_dealt_to_many_tasks(spark, tmp_path):
+    """Rows that name ranges have few bytes, so Spark would join their partitions and one task would read every file."""
+    (tmp_path / "a.gz").write_bytes(b"".join(gzip.compress(f"{k} {'x' * 50}\n".encode()) for k in range(400)))
+    (tmp_path / "b.txt").write_text("".join(f"{k} {'x' * 50}\n" for k in range(400)))
+    for lines in (members.member_lines(spark, str(tmp_path / "a.gz"), 1000), indexed.lines_at(spark, str(tmp_path / "b.txt"), 1000)):
+        got = lines.withColumn("task", F.spark_partition_id()).collect()
+        assert len(got) == 400 and len({r.task for r in got}) > 8
+
+
 @pytest.mark.parametrize("size", [1 << 26, 900])
 def test_members_of_damaged_files(spark, tmp_path, size):
     rng = random.Random(2)
@@ -205,6 +214,15 @@ def test_lanes_take_late_rows_and_go_on_from_their_checkpoint(spark, tmp_path):
     assert lane_rows(spark, path, [(4, [(3, 1, "x", 1, 1300)])]) == got  # process 2 hasn't ended
 
 
+def test_a_process_with_many_lanes_is_many_parts(spark, tmp_path):
+    """More batches than a part keeps apart; the lanes of one process are dealt to several states, the end mark to all."""
+    lanes.use_rocksdb(spark)
+    batches = [(k, [(1, 100 + tid, f"n{tid % 2}", tid + k, 1000 + k) for tid in range(40)]) for k in range(lanes.ELEMENTS + 2)]
+    got = lane_rows(spark, str(tmp_path), [*batches, (98, [(1, 0, "end", None, 1020)]), (99, [(3, 1, "x", 1, 1300)])])
+    many = len(batches)
+    assert got == [(1, 100 + tid, f"n{tid % 2}", many, many * tid + sum(range(many)), tid, tid + many - 1) for tid in range(40)]
+
+
 def test_windows_come_out_when_later_ones_open(spark, tmp_path):
     schema = "at timestamp, name string, dur bigint, closing boolean"
 
