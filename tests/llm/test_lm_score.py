@@ -192,3 +192,51 @@ def test_words_are_spelled_as_the_library_does():
         assert items[at[i] : at[i + 1]].tolist() == np.frombuffer(speller.spell(own.word(i)), "<u4").tolist(), own.word(i)
     items, at = speller.spell_all(lm_score.Slice(pa.array([None], pa.large_string())))
     assert items.tolist() == [speller.end] and at.tolist() == [0, 1]
+
+
+def test_every_learned_place_is_trained_on(monkeypatch):
+    import pyarrow as pa
+
+    own_speller = lm_score.speller(PATH)
+    own = lm_score.Spelled.of(pa.array([t for _, t in corpus()[:300]], pa.large_string()), own_speller)
+    learned = np.arange(len(own.at) - 1) % 7 != 2
+    counts = np.bincount(own.items, minlength=own_speller.items)
+    model = lm_score.Model(counts, counts, len(own.tokens), own.size, 1)
+    seen = []
+
+    def step(self, state, seen_items, tails, wanted, rate, scored_from=0):
+        seen.append((self is model.context, wanted[:, scored_from:].ravel()))
+        return 0.0
+
+    monkeypatch.setattr(Attention, "step", step)
+    model.fit(own, learned, np.random.default_rng(0), 1e-3, lm_score.TRAIN_SHARE)
+    tokens = own.tokens[np.repeat(learned, np.diff(own.at))]
+    words = [own.items[own.item_at[i] : own.item_at[i + 1]] for i in range(own.size + 1)]
+    firsts = Counter(int(model.first.number[words[i][0]]) for i in tokens)
+    rests = Counter(int(model.rest.number[x]) for i in np.unique(tokens) for x in words[i][1:])
+    for context, wanted in ((True, firsts), (False, rests)):
+        found = Counter(np.concatenate([x for c, x in seen if c is context]).tolist())
+        assert not wanted - found
+
+
+def test_gradients_of_the_places_that_are_learned_from():
+    net = Attention(7, width=4, window=5, tails=3)
+    rng = np.random.default_rng(0)
+    for k in net.NAMES:
+        setattr(net, k, getattr(net, k).astype(np.float64) + 0.2 * rng.standard_normal(getattr(net, k).shape))
+    seen, tails, wanted = rng.integers(0, 8, (3, 5)), rng.integers(0, 4, (3, 5)), rng.integers(0, 7, (3, 5))
+    loss, g, rows = net.gradients(seen, tails, wanted, 2)
+    assert loss == pytest.approx(-net.log_probabilities(seen, tails, wanted)[:, 2:].mean())
+    for k, (at, x) in rows.items():
+        g[k] = np.zeros(getattr(net, k).shape)
+        g[k][at] = x
+    for k in ("embed", "qkv", "pair", "own", "tail"):
+        array = getattr(net, k)
+        for at in np.ndindex(array.shape):
+            was = array[at]
+            array[at] = was + 1e-3
+            up = net.gradients(seen, tails, wanted, 2)[0]
+            array[at] = was - 1e-3
+            down = net.gradients(seen, tails, wanted, 2)[0]
+            array[at] = was
+            assert abs((up - down) / 2e-3 - g[k][at]) < 1e-4, k

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 
 F32 = np.float32
+#: Rows whose scores of all symbols are held at once, few enough to stay in a core's cache.
+BLOCK = 1024
 
 
 class Attention:
@@ -53,7 +55,8 @@ class Attention:
             setattr(self, k, weights[at : at + was.size].reshape(was.shape).astype(F32))
             at += was.size
 
-    def _forward(self, seen: np.ndarray, tails: np.ndarray | None, scored_from: int = 0) -> dict:
+    def _hidden(self, seen: np.ndarray, tails: np.ndarray | None, scored_from: int = 0) -> dict:
+        """What the layers find at every place, and from scored_from on what the symbols are predicted by (z)."""
         n, t = seen.shape
         d, scale = self.width, self.width**-0.5
         symbols = self.symbol_of[seen]
@@ -69,9 +72,23 @@ class Attention:
         y = (x + (o.reshape(-1, d) @ self.out).reshape(n, t, d))[:, scored_from:].reshape(-1, d)
         m = y @ self.hide + self.hide_bias
         z = y + np.maximum(m, 0) @ self.show
-        logits = z @ self.head
-        logits += self.pair[symbols[:, scored_from:].reshape(-1)]
-        return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "y": y, "m": m, "z": z, "logits": logits}
+        return {"x": x, "q": q, "k": k, "v": v, "a": a, "o": o, "y": y, "m": m, "z": z, "symbols": symbols[:, scored_from:].reshape(-1)}
+
+    def _forward(self, seen: np.ndarray, tails: np.ndarray | None, scored_from: int = 0) -> dict:
+        s = self._hidden(seen, tails, scored_from)
+        return s | {"logits": s["z"] @ self.head + self.pair[s["symbols"]]}
+
+    def _scores(self, z: np.ndarray, symbols: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """Every symbol's score (60 at most) by rows, BLOCK of them at a time, in an array that is used again."""
+        room, more = np.empty((2, min(BLOCK, len(z)), self.size), z.dtype)
+        for a in range(0, len(z), BLOCK):
+            rows = slice(a, min(a + BLOCK, len(z)))
+            n = rows.stop - a
+            logits = np.matmul(z[rows], self.head, out=room[:n])
+            logits += np.take(self.pair, symbols[rows], axis=0, out=more[:n], mode="clip")
+            if logits.max() > 60:
+                np.minimum(logits, logits.dtype.type(60), out=logits)
+            yield rows, logits
 
     def _inside(self, z: np.ndarray, flat: np.ndarray):
         """For every symbol of several items: the rows that want one of them, and their probabilities of each."""
@@ -91,12 +108,12 @@ class Attention:
 
     def log_probabilities(self, seen: np.ndarray, tails: np.ndarray | None, wanted: np.ndarray, scored_from: int = 0) -> np.ndarray:
         """Natural logarithms for the wanted items at the places from scored_from on; all windows x places."""
-        s = self._forward(seen, tails, scored_from)
+        s = self._hidden(seen, tails, scored_from)
         flat = wanted[:, scored_from:].reshape(-1)
-        logits = np.minimum(s["logits"], F32(60), out=s["logits"])
-        found = np.take_along_axis(logits, self.symbol_of[flat][:, None], axis=1)[:, 0]
-        np.exp(logits, out=logits)
-        found -= np.log(logits.sum(axis=1))
+        symbols, found, ones = self.symbol_of[flat], np.empty(len(flat), s["z"].dtype), np.ones(self.size, s["z"].dtype)
+        for own, logits in self._scores(s["z"], s["symbols"]):
+            right = logits[np.arange(len(logits)), symbols[own]]
+            found[own] = right - np.log(np.exp(logits, out=logits) @ ones)
         for rows, p in self._inside(s["z"], flat):
             found[rows] += np.log(np.maximum(p[np.arange(len(rows)), flat[rows] - self.first[self.symbol_of[flat[rows[0]]]]], 1e-30))
         return found.reshape(len(seen), -1)
@@ -132,38 +149,44 @@ class Attention:
                 out[index] = found
         return out
 
-    def gradients(self, seen: np.ndarray, tails: np.ndarray | None, wanted: np.ndarray) -> tuple[float, dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
-        """The mean loss, its gradients by the dense weights, and by the others' rows; all windows x places."""
+    def gradients(self, seen: np.ndarray, tails: np.ndarray | None, wanted: np.ndarray, scored_from: int = 0) -> tuple[float, dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
+        """The mean loss at the places from scored_from on, its gradients by the dense weights, and by the others' rows; all windows x places."""
         n, t = seen.shape
         d = self.width
-        s = self._forward(seen, tails)
-        p = s["logits"]
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        rows, flat = np.arange(n * t), wanted.reshape(-1)
-        symbols, seen_symbols = self.symbol_of[flat], self.symbol_of[seen.reshape(-1)]
-        loss = float(-np.log(np.maximum(p[rows, symbols], 1e-30)).mean())
-        p[rows, symbols] -= 1
-        p /= n * t
-        g = {"head": s["z"].T @ p, "pair": np.zeros_like(self.pair)}
-        at, sums = _by_row(seen_symbols, p)
-        g["pair"][at] = sums
-        dz = p @ self.head.T
+        s = self._hidden(seen, tails, scored_from)
+        flat = wanted[:, scored_from:].reshape(-1)
+        count = len(flat)
+        # Rows in order of the symbol seen, so that each one's sum is that of neighbours.
+        order = np.argsort(s["symbols"], kind="stable")
+        z, symbols, seen_symbols = s["z"][order], self.symbol_of[flat[order]], s["symbols"][order]
+        g = {"head": np.zeros_like(self.head), "pair": np.zeros_like(self.pair)}
+        loss, dz, ones = 0.0, np.empty_like(s["z"]), np.ones(self.size, z.dtype)
+        for own, p in self._scores(z, seen_symbols):
+            np.exp(p, out=p)
+            p *= (1 / (count * (p @ ones)))[:, None]
+            hit = (np.arange(len(p)), symbols[own])
+            loss -= float(np.log(np.maximum(p[hit] * count, 1e-30)).sum()) / count
+            p[hit] -= 1 / count
+            g["head"] += z[own].T @ p
+            first = np.flatnonzero(np.diff(seen_symbols[own], prepend=-1))
+            g["pair"][seen_symbols[own][first]] += np.add.reduceat(p, first)
+            dz[order[own]] = p @ self.head.T
         inner = []
         for own, q in self._inside(s["z"], flat):
             symbol = self.symbol_of[flat[own[0]]]
             a, b = self.first[symbol], self.first[symbol + 1]
             hit = (np.arange(len(own)), flat[own] - a)
-            loss -= float(np.log(np.maximum(q[hit], 1e-30)).sum()) / (n * t)
+            loss -= float(np.log(np.maximum(q[hit], 1e-30)).sum()) / count
             q[hit] -= 1
-            q /= n * t
+            q /= count
             inner.append((np.arange(a, b), q.T @ s["z"][own]))
             dz[own] += q @ self.inner[a:b]
         g["show"] = np.maximum(s["m"], 0).T @ dz
         dm = dz @ self.show.T * (s["m"] > 0)
         g["hide"], g["hide_bias"] = s["y"].T @ dm, dm.sum(0)
-        dy = dz + dm @ self.hide.T
+        dy = np.zeros((n, t, d), dz.dtype)
+        dy[:, scored_from:] = (dz + dm @ self.hide.T).reshape(n, -1, d)
+        dy = dy.reshape(-1, d)
         g["out"] = s["o"].reshape(-1, d).T @ dy
         do = (dy @ self.out.T).reshape(n, t, d)
         da = do @ s["v"].transpose(0, 2, 1)
@@ -176,9 +199,10 @@ class Attention:
         g["place"][:t] = dx.sum(0)
         dx = dx.reshape(-1, d)
         g["embed"] = np.zeros_like(self.embed)
-        at, sums = _by_row(seen_symbols, dx)
-        g["embed"][at] = sums
-        by_row = {"own": _by_row(seen.reshape(-1), dx)}
+        at, sums = _by_row(seen.reshape(-1), dx)
+        by_row = {"own": (at, sums)}
+        first = np.flatnonzero(np.diff(self.symbol_of[at], prepend=-1))  # items are in order of their symbols
+        g["embed"][self.symbol_of[at[first]]] = np.add.reduceat(sums, first)
         if tails is not None:
             by_row["tail"] = _by_row(tails.reshape(-1), dx)
         if inner:
@@ -193,19 +217,19 @@ class Attention:
         shares = (counts + weight * single / single.sum()) / (counts.sum(axis=1, keepdims=True) + weight)
         self.pair = np.log(shares).astype(F32)
 
-    def batches(self, at: np.ndarray, rng, share: float, batch: int) -> list[tuple[np.ndarray, int]]:
-        """A share of all windows (at least one), in batches of about `batch` places and one size, shuffled."""
+    def batches(self, at: np.ndarray, rng, share: float, batch: int) -> list[tuple[np.ndarray, int, int]]:
+        """A share of all windows (at least one), in batches of about `batch` places and one size, shuffled; with the place that each is learned from on."""
         out = []
-        for starts, t, _ in self.windows(at):
+        for starts, t, done in self.windows(at):
             chosen = starts[rng.random(len(starts)) < share]
             chosen = rng.permutation(chosen if len(chosen) else starts[:1])
             rows = max(1, batch // t)
-            out += [(chosen[c : c + rows], t) for c in range(0, len(chosen), rows)]
+            out += [(chosen[c : c + rows], t, 0 if done is None else self.overlap) for c in range(0, len(chosen), rows)]
         return [out[i] for i in rng.permutation(len(out))]
 
-    def step(self, state: dict, seen: np.ndarray, tails: np.ndarray | None, wanted: np.ndarray, rate: float) -> float:
+    def step(self, state: dict, seen: np.ndarray, tails: np.ndarray | None, wanted: np.ndarray, rate: float, scored_from: int = 0) -> float:
         """One step of Adam for the dense weights and of Adagrad for rows; the loss."""
-        loss, g, by_row = self.gradients(seen, tails, wanted)
+        loss, g, by_row = self.gradients(seen, tails, wanted, scored_from)
         count = state["count"] = state.get("count", 0) + 1
         for k, x in g.items():
             mean, square = state.get(k) or (np.zeros_like(x), np.zeros_like(x))
@@ -220,13 +244,16 @@ class Attention:
         return loss
 
     def fit(self, seen: np.ndarray, tails: np.ndarray | None, wanted: np.ndarray, at: np.ndarray, rng, rate: float, share: float = 1.0, batch: int = 4096, steps: int | None = None, state: dict | None = None) -> list[float]:
-        """Steps over a share of the windows; with `steps`, that many, going over the windows as often as needed. The losses."""
+        """Steps over a share of the windows; with `steps`, that many, going over the windows as often as needed. The losses.
+
+        Each place is learned from in the window that scores it, so a share of 1 goes over every place.
+        """
         losses, state = [], {} if state is None else state
         while len(wanted) and (not losses or steps and len(losses) < steps):
-            for starts, t in self.batches(at, rng, share, batch):
+            for starts, t, scored_from in self.batches(at, rng, share, batch):
                 index = starts[:, None] + np.arange(t)
                 now = rate if not steps else rate * min(1, (len(losses) + 1) / 30) * max(0.05, 1 - len(losses) / steps)
-                losses.append(self.step(state, seen[index], None if tails is None else tails[index], wanted[index], now * len(starts) * t / batch if len(starts) * t < batch else now))
+                losses.append(self.step(state, seen[index], None if tails is None else tails[index], wanted[index], now * len(starts) * t / batch if len(starts) * t < batch else now, scored_from))
                 if steps and len(losses) >= steps:
                     break
         return losses

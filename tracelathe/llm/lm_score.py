@@ -17,8 +17,8 @@ word being another item than the same id inside a word, so that spellings end th
 
 So this is a distribution over all words, also unknown ones. Both models predict over all items of the rank file by a
 softmax over classes and one inside a class. They are trained in numpy: from a start on slices of the corpus of about SLICE bytes
-together (START_STEPS steps), every task trains on a share (`train_share`) of the windows of each of its slices, and the tasks' changes are averaged,
-weighted by the windows they saw. Counts cover all learned tokens.
+together (START_STEPS steps), every task trains on all windows of the learned texts of each of its slices (a caller may ask for a share of them,
+`train_share`), and the tasks' changes are averaged, weighted by the windows they saw. Counts cover all learned tokens.
 
 `base_score` is what word counts alone give: the sum of log10((c + 1) / (N + V + 1)) over a text's tokens; c: the
 token's count, N: all tokens, V: distinct tokens, in learned texts. It gives every unknown word the whole mass of one unknown word.
@@ -56,7 +56,7 @@ SLICE = 4 << 20
 BUCKET = 16 << 20
 OWN, OWN_AFTER = 0.15, 100
 SYMBOLS, SHARED = 160, 32
-TRAIN_SHARE = 0.125
+TRAIN_SHARE = 1.0
 START_STEPS, START_RATE, RATE = 800, 2e-2, 1.5e-3
 #: Slices that the start looks for its text in.
 START_SLICES = 64
