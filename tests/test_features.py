@@ -282,6 +282,20 @@ def test_equivalence_by_the_traces_own_facts(spark):
     assert said([]) and equivalence.differences(frame([]), frame([])).count() == 0
 
 
+def test_equivalence_makes_its_input_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    frame = lambda rows: spark.createDataFrame(rows, EVENT).coalesce(1).mapInArrow(counted, EVENT)
+    one, other = run_of(4711, 4712, 10**12, "00aa00aa00aa00aa", "/d/4711.x"), run_of(50005, 50006, 3 * 10**12, "1111222233334444", "/d/50005.x", n=4)
+    assert equivalence.differences(frame(one), frame(other)).count() == 2
+    assert made.value == len(one) + len(other)
+
+
 def test_nested_records_without_faults_and_of_wrong_types(spark):
     cap = dict.fromkeys(filesystem.CAPACITY, 1)
     good = [

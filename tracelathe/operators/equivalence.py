@@ -2,7 +2,7 @@
 
 Rows: id, name, cat, type, ph, pid, tid, ts, dur, args (JSON text of an object; null: none). Of each trace are taken the set of its pids and tids,
 the table of its hash records, the names that calls made up at random, its time window, and its polls. Argument values meet these
-tables in joins: values repeat, so distinct texts are joined, not events.
+tables in joins: texts repeat, so distinct ones are scrubbed, not events; numbers only meet the ids.
 
 - Values that are one of the trace's ids, and runs of digits in texts that are, become ID.
 - Texts that are a recorded hash become the kind of record and the (scrubbed) name that the hash stands for; names made up at random become TEMP in their directory.
@@ -34,10 +34,10 @@ MARGIN_US = 60_000_000
 LEVELS = 4
 
 
-def leaves(of: str, path: str = "''", level: int = 0) -> str:
-    """SQL: array of (path, key, value) of an object's values, objects inside it included."""
+def leaves(of: str, path: str, level: int = 1) -> str:
+    """SQL: array of (path, key, value, kind) of an object's values, objects inside it included."""
     e = f"e{level}"
-    own = f"array(named_struct('path', concat({path}, {e}.key), 'key', {e}.key, 'value', {e}.value))"
+    own = f"array(named_struct('path', concat({path}, {e}.key), 'key', {e}.key, 'value', {e}.value, 'kind', schema_of_variant({e}.value)))"
     if level + 1 < LEVELS:
         inner = leaves(f"{e}.value", f"concat({path}, {e}.key, '.')", level + 1)
         own = f"case when {e}.key in ({', '.join(map(repr, ADDRESS_ARGS))}) then {own} when schema_of_variant({e}.value) like 'OBJECT%' then {inner} else {own} end"
@@ -45,6 +45,20 @@ def leaves(of: str, path: str = "''", level: int = 0) -> str:
     return f"flatten(transform({kept}, {e} -> {own}))"
 
 
+def values_of(rows: DataFrame) -> DataFrame:
+    """(side, row, name, pid, path, key, kind, text, json): the values in the rows' arguments; json only of those that are no texts and no whole numbers."""
+    parsed = rows.select("side", "row", "name", "pid", F.try_parse_json("args").alias("object"))
+    # Few values are objects, so only these are taken apart by functions on arrays. Elements of an array have no key.
+    top = parsed.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("object").outer())).filter(F.col("key").isNotNull() & ~F.col("key").isin(*VOLATILE_ARGS))
+    top = top.select("side", "row", "name", "pid", "key", "value", F.schema_of_variant("value").alias("kind"))
+    is_object = F.col("kind").startswith("OBJECT") & ~F.col("key").isin(*ADDRESS_ARGS)
+    own = F.array(F.struct(F.col("key").alias("path"), "key", "value", "kind"))
+    every = top.select("side", "row", "name", "pid", F.explode(F.when(is_object, F.expr(leaves("value", "concat(key, '.')"))).otherwise(own)).alias("leaf")).select("side", "row", "name", "pid", "leaf.*")
+    # What a value looks like in JSON tells texts from numbers; `text` is the value itself.
+    json = F.when(~F.col("kind").isin("STRING", "BIGINT"), F.to_json("value")).alias("json")
+    return every.select("side", "row", "name", "pid", "path", "key", "kind", F.expr("try_variant_get(value, '$', 'string')").alias("text"), json)
+
+
 def is_poll(rows: DataFrame) -> Column:
     """Calls whose number depends on how soon the system finishes something."""
     return (F.col("name") == "aio_suspend") | (F.col("name") == "aio_error") & F.coalesce(F.get_json_object("args", "$.ret") == str(EINPROGRESS), F.lit(False))
@@ -81,36 +95,36 @@ def _hash_table(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def scrubbed(rows: DataFrame) -> DataFrame:
-    """Adds `args_scrubbed` to marked rows (side and the columns above), without polls."""
+    """Adds `args_scrubbed` to marked rows (side, row: a number of its own, and the columns above), without polls."""
     ids = rows.select("side", F.explode(F.array(F.col("pid").cast("string"), F.col("tid").cast("string"))).alias("text")).filter("text is not null").distinct()
     ids = written(ids)
     window = rows.filter("ts is not null").groupBy("side").agg((F.min("ts") - MARGIN_US).alias("first"), (F.max(F.col("ts") + F.coalesce("dur", F.lit(0))) + MARGIN_US).alias("last"))
+    window = F.broadcast(written(window))  # a row for each side
     polls = rows.filter(is_poll(rows)).groupBy("side", "pid").agg(F.count(F.lit(1)).alias("polls"))
-    kept = rows.filter(~is_poll(rows)).withColumn("row", F.monotonically_increasing_id())
-    kept = written(kept)
-    flat = kept.select("side", "row", "name", "pid", F.explode(F.expr(leaves("try_parse_json(args)"))).alias("leaf"))
-    kind = F.expr("schema_of_variant(leaf.value)")
-    # What a value looks like in JSON tells texts from numbers; `text` is the value itself.
-    values = flat.select("side", "row", "name", "pid", "leaf.path", "leaf.key", kind.alias("kind"), F.to_json("leaf.value").alias("json"), F.expr("try_variant_get(leaf.value, '$', 'string')").alias("text"))
-    values = written(values)
-    distinct = values.filter("kind in ('STRING', 'BIGINT')").select("side", "kind", "text").distinct()
-    plain = without_ids(distinct.filter("kind = 'STRING'").select("side", "text"), ids)
+    kept = rows.filter(~is_poll(rows))
+    values = written(values_of(kept))
+    texts = values.filter((F.col("kind") == "STRING") & ~F.col("key").isin(*ADDRESS_ARGS)).select("side", "text").distinct()
     whole = ids.select("side", "text", F.lit(True).alias("is_id"))
+    facts = texts.join(whole, ["side", "text"], "left").join(_hash_table(rows, ids), ["side", "text"], "left").join(without_ids(texts, ids), ["side", "text"], "left").join(window, "side", "left")
     number = F.expr("case when text rlike '^-?[0-9]+$' then try_cast(text as bigint) end")
-    facts = distinct.join(whole, ["side", "text"], "left").join(_hash_table(rows, ids), ["side", "text"], "left").join(plain, ["side", "text"], "left").join(F.broadcast(window), "side", "left")  # window: a row for each side
-    is_time = F.coalesce(number.between(F.col("first"), F.col("last")), F.lit(False)) & ((F.col("kind") == "BIGINT") | ~F.col("text").startswith("-"))
-    shown = F.when(F.col("is_id"), F.lit('"ID"')).when((F.col("kind") == "STRING") & F.col("name").isNotNull(), _quoted("name")).when(is_time, F.lit('"TS"')).when(F.col("kind") == "STRING", _quoted("plain"))
-    facts = facts.select("side", "kind", "text", shown.alias("shown"))
+    is_time = F.coalesce(number.between(F.col("first"), F.col("last")), F.lit(False))
+    shown = F.when(F.col("is_id"), F.lit('"ID"')).when(F.col("name").isNotNull(), _quoted("name")).when(is_time & ~F.col("text").startswith("-"), F.lit('"TS"')).otherwise(_quoted("plain"))
+    facts = facts.select("side", F.lit("STRING").alias("kind"), "text", shown.alias("known"))
+    # Written, so that their size is known and values need not be moved to meet few.
+    facts = written(facts.union(whole.select("side", F.lit("BIGINT"), "text", F.lit('"ID"'))))
+    is_time = F.coalesce((F.col("kind") == "BIGINT") & F.expr("try_cast(text as bigint)").between(F.col("first"), F.col("last")), F.lit(False))
+    shown = F.coalesce("known", F.when(is_time, F.lit('"TS"')))
     of_process = reduce(lambda a, b: a | b, ((F.col("name") == n) & (F.col("path") == k) for n, k in PROCESS_ARGS))
-    said = values.join(facts, ["side", "kind", "text"], "left").join(polls, ["side", "pid"], "left")
+    said = values.join(facts, ["side", "kind", "text"], "left").join(window, "side", "left").withColumn("shown", shown).join(polls, ["side", "pid"], "left")
     less = (F.col("text").cast("bigint") - F.coalesce("polls", F.lit(0))).cast("string")
     value = (
         F.when(F.col("key").isin(*ADDRESS_ARGS), F.lit('"ADDR"'))
         .when((F.col("name") == "end") & (F.col("path") == "num_events") & (F.col("kind") == "BIGINT") & F.coalesce(F.col("shown") != '"ID"', F.lit(True)) & F.coalesce(F.col("shown") != '"TS"', F.lit(True)), less)
         .when(of_process & (F.col("text") != "-1"), F.lit('"ID"'))
-        .otherwise(F.coalesce("shown", "json"))
+        .otherwise(F.coalesce("shown", "json", "text"))
     )
-    made = said.groupBy("side", "row").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.to_json(F.struct(F.col("path").alias("p"))), F.lit(":"), value))), ",").alias("args_scrubbed"))
+    path = F.when(F.col("path").rlike("^[A-Za-z0-9_.-]*$"), F.concat(F.lit('{"p":"'), "path", F.lit('"}'))).otherwise(F.to_json(F.struct(F.col("path").alias("p"))))
+    made = said.groupBy("side", "row").agg(F.array_join(F.array_sort(F.collect_list(F.concat(path, F.lit(":"), value))), ",").alias("args_scrubbed"))
     return kept.join(made, ["side", "row"], "left").withColumn("args_scrubbed", F.coalesce("args_scrubbed", F.lit("")))
 
 
@@ -124,7 +138,9 @@ def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     Parts: event (scrubbed; args starts with type and phase), calls (totals of operations that either trace folds), id (only if neither
     folds or polls unequally), process and thread (how many).
     """
+    # Made once, dealt to all cores, as a few small files hold much work, and numbered.
     rows = _marked(left, right)
+    rows = written(rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism).withColumn("row", F.monotonically_increasing_id()))
     ready = written(scrubbed(rows))
     folded = ready.filter("ph = 3").select("name", "cat").distinct().withColumn("folded", F.lit(True))
     same = F.col("name").eqNullSafe(F.col("f_name")) & F.col("cat").eqNullSafe(F.col("f_cat"))
