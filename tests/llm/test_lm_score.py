@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -240,3 +241,26 @@ def test_gradients_of_the_places_that_are_learned_from():
             down = net.gradients(seen, tails, wanted, 2)[0]
             array[at] = was
             assert abs((up - down) / 2e-3 - g[k][at]) < 1e-4, k
+
+
+def test_steps_use_their_arrays_again():
+    """The moments of a step are updated where they are, not copied at every step."""
+    net = Attention(6, width=4, window=5)
+    seen, state = np.random.default_rng(3).integers(0, 6, (3, 5)), {}
+    net.step(state, seen, None, seen, 1e-2)
+    held = {k: state[k] for k in net.DENSE}
+    for _ in range(3):
+        net.step(state, seen, None, seen, 1e-2)
+    assert all(state[k][i] is held[k][i] for k in net.DENSE for i in (0, 1))
+    assert (state["head"][1] > 0).any()
+
+
+def test_distinct_words_are_gathered_as_lines():
+    texts = pa.array(["One two\tone \xa0x two", None, "", "caf\xe9 \U0001f600 end", " "])
+    own = lm_score.Slice(texts)
+    assert own.lines().split(b"\n") == [own.word(i) for i in range(len(own.words))]
+    assert sorted(own.lines().decode().split("\n")) == sorted({"one", "two", "\xa0x", "caf\xe9", "\U0001f600", "end"})
+    assert lm_score.Slice(pa.array(["", None], pa.string())).lines() == b""
+    speller = lm_score.speller(PATH)
+    items, at = speller.spell_all(own)
+    assert [items[a:b].astype("<u4").tobytes() for a, b in zip(at[:-2], at[1:-1], strict=True)] == [speller.spell(own.word(i)) for i in range(len(own.words))]

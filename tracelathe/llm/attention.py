@@ -60,14 +60,18 @@ class Attention:
         n, t = seen.shape
         d, scale = self.width, self.width**-0.5
         symbols = self.symbol_of[seen]
-        x = self.embed[symbols] + self.own[seen] + self.place[:t]
+        x = self.embed.take(symbols, axis=0)
+        x += self.own.take(seen, axis=0)
+        x += self.place[:t]
         if tails is not None:
-            x += self.tail[tails]
+            x += self.tail.take(tails, axis=0)
         q, k, v = np.split((x.reshape(-1, d) @ self.qkv).reshape(n, t, 3 * d), 3, axis=2)
-        a = np.minimum(q @ k.transpose(0, 2, 1) * x.dtype.type(scale), x.dtype.type(30))
+        a = q @ k.transpose(0, 2, 1)
+        a *= x.dtype.type(scale)
+        np.minimum(a, x.dtype.type(30), out=a)
         np.exp(a, out=a)
         a *= np.tril(np.ones((t, t), a.dtype))
-        a /= a.sum(axis=2, keepdims=True)
+        a *= (1 / (a @ np.ones(t, a.dtype)))[:, :, None]
         o = a @ v
         y = (x + (o.reshape(-1, d) @ self.out).reshape(n, t, d))[:, scored_from:].reshape(-1, d)
         m = y @ self.hide + self.hide_bias
@@ -94,16 +98,17 @@ class Attention:
         """For every symbol of several items: the rows that want one of them, and their probabilities of each."""
         rows = np.flatnonzero(self.chosen[flat])
         symbols = self.symbol_of[flat[rows]]
-        order = np.argsort(symbols, kind="stable")
+        order = _order(symbols, self.size)
         rows, symbols = rows[order], symbols[order]
         cuts = [*np.flatnonzero(np.diff(symbols, prepend=-1)).tolist(), len(rows)]
         for c, e in zip(cuts, cuts[1:], strict=False):
             a, b = self.first[symbols[c]], self.first[symbols[c] + 1]
             own = rows[c:e]
-            p = z[own] @ self.inner[a:b].T + self.shares[a:b]
+            p = z.take(own, axis=0) @ self.inner[a:b].T
+            p += self.shares[a:b]
             p -= p.max(axis=1, keepdims=True)
             np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
+            p *= (1 / (p @ np.ones(b - a, p.dtype)))[:, None]
             yield own, p
 
     def log_probabilities(self, seen: np.ndarray, tails: np.ndarray | None, wanted: np.ndarray, scored_from: int = 0) -> np.ndarray:
@@ -157,30 +162,35 @@ class Attention:
         flat = wanted[:, scored_from:].reshape(-1)
         count = len(flat)
         # Rows in order of the symbol seen, so that each one's sum is that of neighbours.
-        order = np.argsort(s["symbols"], kind="stable")
-        z, symbols, seen_symbols = s["z"][order], self.symbol_of[flat[order]], s["symbols"][order]
+        order = _order(s["symbols"], self.size)
+        z, symbols, seen_symbols = s["z"].take(order, axis=0), self.symbol_of[flat[order]], s["symbols"][order]
         g = {"head": np.zeros_like(self.head), "pair": np.zeros_like(self.pair)}
         loss, dz, ones = 0.0, np.empty_like(s["z"]), np.ones(self.size, z.dtype)
         for own, p in self._scores(z, seen_symbols):
             np.exp(p, out=p)
-            p *= (1 / (count * (p @ ones)))[:, None]
+            total = p @ ones
+            weight = 1 / (count * total)  # a row's gradient is p x weight, less 1 / count for what was wanted
             hit = (np.arange(len(p)), symbols[own])
-            loss -= float(np.log(np.maximum(p[hit] * count, 1e-30)).sum()) / count
-            p[hit] -= 1 / count
-            g["head"] += z[own].T @ p
-            first = np.flatnonzero(np.diff(seen_symbols[own], prepend=-1))
-            g["pair"][seen_symbols[own][first]] += np.add.reduceat(p, first)
-            dz[order[own]] = p @ self.head.T
-        inner = []
+            loss -= float(np.log(np.maximum(p[hit] / total, 1e-30)).sum()) / count
+            p[hit] -= total
+            g["head"] += (z[own] * weight[:, None]).T @ p
+            here = seen_symbols[own]
+            first = np.flatnonzero(np.diff(here, prepend=-1))
+            for symbol, a, b in zip(here[first].tolist(), first.tolist(), [*first[1:].tolist(), len(here)], strict=True):
+                g["pair"][symbol] += weight[a:b] @ p[a:b]
+            dz[order[own]] = (p @ self.head.T) * weight[:, None]
+        inner, right, part = [], [], 1 / count
         for own, q in self._inside(s["z"], flat):
             symbol = self.symbol_of[flat[own[0]]]
             a, b = self.first[symbol], self.first[symbol + 1]
             hit = (np.arange(len(own)), flat[own] - a)
-            loss -= float(np.log(np.maximum(q[hit], 1e-30)).sum()) / count
+            right.append(q[hit])
             q[hit] -= 1
-            q /= count
-            inner.append((np.arange(a, b), q.T @ s["z"][own]))
+            q *= q.dtype.type(part)
+            inner.append((np.arange(a, b), q.T @ s["z"].take(own, axis=0)))
             dz[own] += q @ self.inner[a:b]
+        if right:
+            loss -= float(np.log(np.maximum(np.concatenate(right), 1e-30)).sum()) / count
         g["show"] = np.maximum(s["m"], 0).T @ dz
         dm = dz @ self.show.T * (s["m"] > 0)
         g["hide"], g["hide_bias"] = s["y"].T @ dm, dm.sum(0)
@@ -189,9 +199,11 @@ class Attention:
         dy = dy.reshape(-1, d)
         g["out"] = s["o"].reshape(-1, d).T @ dy
         do = (dy @ self.out.T).reshape(n, t, d)
-        da = do @ s["v"].transpose(0, 2, 1)
+        ds = do @ s["v"].transpose(0, 2, 1)
         dv = s["a"].transpose(0, 2, 1) @ do
-        ds = s["a"] * (da - (da * s["a"]).sum(axis=2, keepdims=True)) * da.dtype.type(d**-0.5)
+        ds -= np.einsum("ntd,ntd->nt", do, s["o"])[:, :, None]  # what a row's gradients by its shares sum to, weighted by them
+        ds *= s["a"]
+        ds *= ds.dtype.type(d**-0.5)
         dqkv = np.concatenate((ds @ s["k"], ds.transpose(0, 2, 1) @ s["q"], dv), axis=2).reshape(-1, 3 * d)
         g["qkv"] = s["x"].reshape(-1, d).T @ dqkv
         dx = (dy + dqkv @ self.qkv.T).reshape(n, t, d)
@@ -199,12 +211,12 @@ class Attention:
         g["place"][:t] = dx.sum(0)
         dx = dx.reshape(-1, d)
         g["embed"] = np.zeros_like(self.embed)
-        at, sums = _by_row(seen.reshape(-1), dx)
+        at, sums = _by_row(seen.reshape(-1), dx, len(self.own))
         by_row = {"own": (at, sums)}
         first = np.flatnonzero(np.diff(self.symbol_of[at], prepend=-1))  # items are in order of their symbols
         g["embed"][self.symbol_of[at[first]]] = np.add.reduceat(sums, first)
         if tails is not None:
-            by_row["tail"] = _by_row(tails.reshape(-1), dx)
+            by_row["tail"] = _by_row(tails.reshape(-1), dx, len(self.tail))
         if inner:
             by_row["inner"] = (np.concatenate([x[0] for x in inner]), np.concatenate([x[1] for x in inner]))
         return loss, g, by_row
@@ -232,10 +244,18 @@ class Attention:
         loss, g, by_row = self.gradients(seen, tails, wanted, scored_from)
         count = state["count"] = state.get("count", 0) + 1
         for k, x in g.items():
-            mean, square = state.get(k) or (np.zeros_like(x), np.zeros_like(x))
-            mean, square = state[k] = (0.9 * mean + 0.1 * x, 0.99 * square + 0.01 * x * x)
-            change = rate * (mean / (1 - 0.9**count)) / (np.sqrt(square / (1 - 0.99**count)) + 1e-8)
-            setattr(self, k, getattr(self, k) - change.astype(F32))
+            if k not in state:
+                state[k] = (np.zeros_like(x), np.zeros_like(x))
+            mean, square = state[k]
+            mean *= 0.9
+            mean += 0.1 * x
+            square *= 0.99
+            square += 0.01 * x * x
+            change = np.sqrt(square / (1 - 0.99**count))
+            change += 1e-8
+            np.divide(mean, change, out=change)
+            change *= rate / (1 - 0.9**count)
+            setattr(self, k, getattr(self, k) - change.astype(F32, copy=False))
         for k, (rows, x) in by_row.items():
             if k not in state:
                 state[k] = np.full(len(getattr(self, k)), 1e-9)
@@ -259,8 +279,14 @@ class Attention:
         return losses
 
 
-def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows and the sums of their values."""
-    order = np.argsort(rows, kind="stable")
-    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    return rows[order[first]], np.add.reduceat(values[order], first)
+def _order(numbers: np.ndarray, below: int) -> np.ndarray:
+    """The stable order of numbers of less than `below`; numpy sorts narrow ones by their digits."""
+    return np.argsort(numbers.astype(np.uint16) if below <= 1 << 16 else numbers, kind="stable")
+
+
+def _by_row(rows: np.ndarray, values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows (numbers of less than `below`) and the sums of their values."""
+    order = _order(rows, below)
+    rows = rows[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    return rows[first], np.add.reduceat(values.take(order, axis=0), first)

@@ -97,11 +97,11 @@ class Speller:
         Words are encoded together, one a line: no match of the pattern crosses a line feed, as words have no white space; the few with
         white space of other kinds are spelled one by one.
         """
-        words = [own.word(i) for i in range(len(own.words))]
-        text = b"\n".join(words).decode("utf-8", "replace")
-        odd = {i: np.frombuffer(self.spell(w), "<u4") for i, w in enumerate(words) if ODD.search(w.decode("utf-8", "replace"))} if ODD.search(text) else {}
+        words = len(own.words)
+        text = own.lines().decode("utf-8", "replace")
+        odd = {i: np.frombuffer(self.spell(own.word(i)), "<u4") for i, w in enumerate(text.split("\n")) if ODD.search(w)} if ODD.search(text) else {}
         if odd:
-            text = b"\n".join(b"x" if i in odd else w for i, w in enumerate(words)).decode("utf-8", "replace")
+            text = "\n".join("x" if i in odd else w for i, w in enumerate(text.split("\n")))
         ids = np.array(self.library.encode_ordinary(text), np.int64)
         breaks = np.flatnonzero(ids == self.line_feed)
         sizes = np.diff(np.concatenate(([-1], breaks, [len(ids)]))) - 1 if words else np.zeros(0, np.int64)
@@ -143,6 +143,14 @@ class Slice:
         k = self.first[i]
         return self.data[self.begin[k] : self.end[k]].tobytes()
 
+    def lines(self) -> bytes:
+        """The distinct words, a line feed between any two."""
+        begin, size = self.begin[self.first], (self.end - self.begin)[self.first] + 1
+        at = np.cumsum(size)
+        out = np.append(self.data, np.uint8(10))[np.arange(at[-1] if len(at) else 0) + np.repeat(begin - (at - size), size)]
+        out[at - 1] = 10
+        return out[:-1].tobytes()
+
 
 class Spelled:
     """A slice as items: the numbers of its words, text by text (each text's begin at `at`), and the items of each distinct word (from `item_at`); the last word is the end."""
