@@ -72,3 +72,34 @@ def test_cut_is_the_longest_prefix(library):
 
 def test_empty_table(spark):
     assert count_tokens(spark.createDataFrame([], "doc_id bigint, text string"), PATH).count() == 0
+
+
+def test_only_cut_words_get_prefix_tables(library, monkeypatch):
+    """Whole words are counted without the ends of their prefixes; a word that a budget cuts has them all."""
+    own, asked = PrefixCounter(PATH), []
+    prefixes = own.prefixes
+    monkeypatch.setattr(own, "prefixes", lambda word: asked.append(word) or prefixes(word))
+    texts = ["the antidisestablishmentarianism of éléphants", "we'll go"]
+    assert own.answer(texts, 3) == [(size(library, x), max(k for k in range(len(x) + 1) if size(library, x[:k]) <= 3)) for x in texts]
+    assert asked == ["antidisestablishmentarianism"]
+
+
+def test_totals_are_those_of_the_longest_prefixes():
+    own, rng = PrefixCounter(PATH), random.Random(2)
+    words = list({"".join(rng.choice("abertionsé中'-~") for _ in range(rng.randint(1, 14))) for _ in range(3000)})
+    words += ["tion", "tiontion", "tiontionti", "t", "'re", "'ll", "h" * 3000]
+    assert own.totals(words) == [own.prefixes(w)[-4:] for w in words]
+    assert own.totals(words) == own.totals(words[::-1])[::-1]
+
+
+def test_normalized_as_the_library_does(library):
+    own, rng = PrefixCounter(PATH), random.Random(4)
+    signs = [*map(chr, range(128)), *"\x85\xa0   　̧́ͅéÀΣςİﬁ가가中\U0001f600Åक़"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 12)))
+        assert own.normalize(text) == library.normalizer.normalize_str(text), ascii(text)
+    asked = []
+    own.library = lambda text: asked.append(text) or library.normalizer.normalize_str(text)
+    own.runs.clear()
+    assert own.normalize("Plain  TEXT\n") == "plain text "
+    assert own.normalize("CAFÉ ole") == "caf\xe9 ole" and asked == ["É"]

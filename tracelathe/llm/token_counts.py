@@ -5,7 +5,8 @@ every different word a dynamic program over its bytes finds the last token of ea
 there follows the encoding of what precedes it exactly if the merges leave the pair (its last token, t) as it is.
 One such t exists, and counts follow. As a word's end changes its last token, each place has two answers: inside a
 longer word, which the next places build on, and as the word's end, which is the count of the prefix. With the
-table of counts, truncation to a budget and budget questions need no further encoding.
+table of counts, truncation to a budget and budget questions need no further encoding. Counts of whole texts ask for
+the second answer at words' ends only; all of them are worked out for the word that a budget cuts.
 
 Prefixes are those of the text as the library normalises it. Strings of special tokens in a text count as one
 token, as the library has it by default; prefixes that cut such a string are not offered. Null texts are empty;
@@ -16,6 +17,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,12 @@ KEPT_BYTES = 170 << 20
 #: Decided borders that a worker keeps at most.
 KEPT = 800_000
 END = "</w>"
+#: The normalizer whose work on ASCII is done here, and the blanks that it changes.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+BLANKS = re.compile("[\t-\r ]{2,}|[\t-\r]")
+#: Signs beyond ASCII with the ASCII sign before them, which they may be composed with; shorter runs than RUN are kept.
+BEYOND = re.compile("([\x00-\x7f]?[^\x00-\x7f]+)")
+RUN = 32
 
 
 class PrefixCounter:
@@ -41,7 +49,8 @@ class PrefixCounter:
             spec = json.load(text)
         if spec["model"]["type"] != "BPE" or spec["model"].get("end_of_word_suffix") != END:
             raise ValueError("a BPE file with word ends is needed")
-        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
+        self.library = Tokenizer.from_file(path).normalizer.normalize_str
+        self.usual, self.runs = spec["normalizer"] == NORMALIZER, {}
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.classes = tokenizers_classes() if classes is None else classes
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -70,6 +79,27 @@ class PrefixCounter:
         self.fits: dict[int, bool] = {}
         self.kept = Kept(KEPT_BYTES)
 
+    def normalize(self, text: str) -> str:
+        """The text as the library normalizes it, which is asked for signs beyond ASCII only: no ASCII sign is composed with what precedes it."""
+        if not self.usual:
+            return self.library(text)
+        if text.isascii():
+            return BLANKS.sub(" ", text).lower()
+        parts, runs = BEYOND.split(text), self.runs
+        if len(runs) > KEPT >> 3:
+            runs.clear()
+        for i, x in enumerate(parts):
+            if i & 1:
+                known = runs.get(x)
+                if known is None:
+                    known = self.library(x)
+                    if len(x) < RUN:
+                        runs[x] = known
+                parts[i] = known
+            else:
+                parts[i] = x.lower()
+        return BLANKS.sub(" ", "".join(parts))  # blanks of both kinds may meet
+
     def apart(self, a: int, b: int) -> bool:
         """Whether merging leaves token a and then token b side by side: no merge crosses their border in time."""
         made, halves, singles = self.made.get, self.halves, self.singles
@@ -125,15 +155,56 @@ class PrefixCounter:
     def total(self, word: str) -> int:
         return int(np.frombuffer(self.prefixes(word), "<u4")[-1])
 
+    def totals(self, words: list[str]) -> list[bytes]:
+        """Token counts (packed u32) of whole words, without those of their prefixes: only a word's own end is asked for.
+
+        What precedes a place decides its last token inside a word, so words in order share the places of what they begin with alike.
+        """
+        longest, token, fits, fit = self.longest, self.tokens.get, self.fits, self._fit
+        order = sorted(range(len(words)), key=words.__getitem__)
+        out = [b""] * len(words)
+        before, last, count = "", [-1], [0]
+        for k in order:
+            text = words[k].encode().decode("latin-1").translate(self.spell)
+            n, same = len(text), 0
+            most = min(n, len(before)) - 1  # the last place of the word before has no token inside
+            while same < most and text[same] == before[same]:
+                same += 1
+            del last[same + 1 :], count[same + 1 :]
+            for j in range(same + 1, n):
+                t, c = -1, 0
+                for i in range(j - longest if j > longest else 0, j):
+                    found = token(text[i:j])
+                    if found is None or found[0] < 0:
+                        continue
+                    if i:
+                        known = fits.get(last[i] << 20 | found[0])
+                        if known is None:
+                            known = fit(last[i], found[0], fits)
+                        if not known:
+                            continue
+                    t, c = found[0], count[i] + 1
+                    break
+                last.append(t)
+                count.append(c)
+            for i in range(n - longest if n > longest else 0, n):
+                found = token(text[i:])
+                if found is not None and found[1] >= 0 and (not i or fits.get(last[i] << 20 | found[1]) or fit(last[i], found[1], fits)):
+                    out[k] = (count[i] + 1).to_bytes(4, "little")
+                    break
+            before = text
+        return out
+
     def words(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         return split_pattern(texts, self.classes, spaced=False)
 
-    def tables(self, words: list[str]) -> list[bytes]:
-        """The packed prefix counts of every word."""
+    def counts(self, words: list[str]) -> np.ndarray:
+        """The tokens of every word."""
         self.kept.trim()
-        for word in set(words).difference(self.kept.table):
-            self.kept.add(word, self.prefixes(word))
-        return list(map(self.kept.table.__getitem__, words))
+        new = list(set(words).difference(self.kept.table))
+        for word, packed in zip(new, self.totals(new), strict=True):
+            self.kept.add(word, packed)
+        return np.frombuffer(b"".join(map(self.kept.table.__getitem__, words)), "<u4").astype(np.int64)
 
     def segments(self, text: str) -> list[str]:
         """The text, normalised, parted at the strings of special tokens."""
@@ -146,11 +217,12 @@ class PrefixCounter:
         """Token counts of the prefixes of 0, 1, 2, ... characters of a normalised text without special strings."""
         words, _ = self.words([text])
         out, at, before = np.zeros(len(text) + 1, np.int64), 0, 0
-        for word, counts in zip(words, self.tables(words), strict=True):
+        own = {word: np.frombuffer(self.prefixes(word), "<u4") for word in set(words)}
+        for word in words:
             begin = text.index(word, at)
             out[at + 1 : begin + 1] = before
             at = begin + len(word)
-            out[begin + 1 : at + 1] = before + np.frombuffer(counts, "<u4")
+            out[begin + 1 : at + 1] = before + own[word]
             before = int(out[at])
         out[at + 1 :] = before
         return out
@@ -160,9 +232,7 @@ class PrefixCounter:
         segments = [self.segments(x) for x in texts]
         flat = [x for own in segments for x in own]
         words, at = self.words(flat)
-        tables = self.tables(words)
-        sizes = np.array([len(x) >> 2 for x in tables], np.int64)
-        totals = np.array([int.from_bytes(x[-4:], "little") for x in tables], np.int64)
+        totals = self.counts(words)
         out, k = [], 0
         for own in segments:
             n, cut, done, chars = 0, 0, False, 0
@@ -184,7 +254,7 @@ class PrefixCounter:
                         for word in words[a : a + over + 1]:
                             found = segment.index(word, place)
                             place = found + len(word)
-                        inside = np.frombuffer(tables[a + over], "<u4") + (int(ends[over - 1]) if over else n)
+                        inside = np.frombuffer(self.prefixes(words[a + over]), "<u4") + (int(ends[over - 1]) if over else n)
                         good = np.flatnonzero(inside <= limit)
                         cut = begin + (found + int(good[-1]) + 1 if len(good) else found)
                 n = int(ends[-1]) if b > a else n
