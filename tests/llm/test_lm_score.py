@@ -264,3 +264,61 @@ def test_distinct_words_are_gathered_as_lines():
     speller = lm_score.speller(PATH)
     items, at = speller.spell_all(own)
     assert [items[a:b].astype("<u4").tobytes() for a, b in zip(at[:-2], at[1:-1], strict=True)] == [speller.spell(own.word(i)) for i in range(len(own.words))]
+
+
+def test_common_beginnings_are_worked_out_once(monkeypatch):
+    """Sequences that begin alike share their places; the scores are those of each sequence by itself."""
+    rng = np.random.default_rng(4)
+    net = Attention(9, width=4, window=6, overlap=2, symbol_of=np.array([0, 1, 2, 3, 4, 5, 6, 6, 6, 7, 7, 8]), shares=np.log(np.full(12, 0.3)))
+    for k in net.NAMES:
+        setattr(net, k, getattr(net, k) + 0.3 * rng.standard_normal(getattr(net, k).shape).astype(np.float32))
+    starts = [[1, 2, 3], [1, 2], [4], [8, 9, 10, 11, 3, 2], [8, 9, 10]]
+    lists = [starts[int(rng.integers(5))] for _ in range(300)] + [[], [5] * 6, [5] * 20, [3, 1] * 7]
+    seen, at = np.concatenate(lists).astype(np.int64), np.cumsum([0, *map(len, lists)])
+    wanted = rng.integers(0, 12, len(seen))
+    expected = net.score(seen, None, wanted, at)
+    rows, found = [], Attention._found
+    monkeypatch.setattr(Attention, "_found", lambda self, z, *more: rows.append(len(z)) or found(self, z, *more))
+    assert net.score_alike(seen, wanted, at) == pytest.approx(expected, abs=1e-5)
+    # 3 + 1 + 6 + 6 beginnings of short sequences; the windows of the two long ones (20 and 14 places) are scored as ever.
+    assert sum(rows) <= 3 + 1 + 6 + 6 + 80 < len(seen) / 8
+    assert len(net.score_alike(seen[:0], wanted[:0], np.zeros(1, np.int64))) == 0
+
+
+def test_words_of_earlier_slices_are_neither_spelled_nor_scored_again(monkeypatch):
+    own_speller = lm_score.Speller(PATH)
+    texts = [t for _, t in corpus()[:300]] + ["Foreign\xa0words " + "x" * 300]
+    batches = [pa.array(x, pa.large_string()) for x in (texts, [*texts[50:], "newer words \U0001f600", None], [])]
+    fresh = [lm_score.Spelled.of(b, lm_score.Speller(PATH)) for b in batches]
+    asked, spell_new = [], lm_score.Speller.spell_new
+    monkeypatch.setattr(lm_score.Speller, "spell_new", lambda self, own, which: asked.append(len(which)) or spell_new(self, own, which))
+    spelled = [lm_score.Spelled.of(b, own_speller) for b in batches]
+    for a, b in zip(fresh, spelled, strict=True):
+        assert all((getattr(a, k) == getattr(b, k)).all() for k in ("at", "tokens", "items", "item_at"))
+    assert asked[0] == spelled[0].size and asked[1] < 10 and asked[2] == 0  # the long word isn't kept
+    counts = np.bincount(spelled[0].items, minlength=own_speller.items)
+    model = lm_score.Model(counts, counts, len(spelled[0].tokens), spelled[0].size, 1)
+    kept, scored, word_scores = lm_score.Kept(scores=(np.float64,)), [], lm_score.Model.word_scores
+    monkeypatch.setattr(lm_score.Model, "word_scores", lambda self, items, at: scored.append(len(at) - 1) or word_scores(self, items, at))
+    for own in spelled:
+        assert model.kept_word_scores(own, own.hashes(), kept) == pytest.approx(word_scores(model, own.items, own.item_at), abs=1e-5)
+    assert scored[0] == spelled[0].size and sum(scored[1:]) < 10
+
+
+def test_words_that_need_one_row_of_what_is_kept(monkeypatch):
+    monkeypatch.setattr(lm_score, "KEPT", 4)
+    kept = lm_score.Kept(scores=(np.float64,))
+    words = np.array([1, 5, 9, 2, 6, 3], np.uint64)
+    kept.put(words, words * 10.0)
+    known, scores = kept.get(words)
+    assert known.sum() == 3 and (scores == words[known] * 10.0).all()
+    assert not kept.get(np.array([0, 4, 8], np.uint64))[0].any()
+
+
+def test_places_that_are_only_seen_do_not_look_back():
+    """In a later window the first places are seen by others only: they ask for no shares."""
+    net = Attention(7, width=4, window=5, tails=3)
+    seen = np.random.default_rng(0).integers(0, 8, (3, 5))
+    s = net._hidden(seen, seen % 3, 2)
+    assert s["a"].shape == (3, 3, 5) and s["z"].shape == (9, 4)
+    assert s["z"] == pytest.approx(net._hidden(seen, seen % 3)["z"].reshape(3, 5, 4)[:, 2:].reshape(-1, 4), abs=1e-5)

@@ -66,12 +66,35 @@ EPOCHS, START_BATCH, BATCH = 6, 1024, 4096
 HOT_SLICES, HOT_COUNT, HOT_WORDS = 16, 8, 32_768
 #: Parts that the models' weights are summed in.
 SHARDS = 16
+#: Words (a power of two) whose spellings and scores a process keeps from slice to slice, and the most items of a spelling that is kept.
+KEPT, KEPT_ITEMS = 1 << 20, 6
 
 
 #: White space of the pattern that words can hold.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
+class Kept:
+    """What is known of words by their hashes (distinct ones), in a table of KEPT rows; a word that needs another's row takes it."""
+
+    def __init__(self, **columns):
+        self.keys = np.zeros(KEPT, U64)
+        self.columns = {k: np.zeros((KEPT, *shape), kind) for k, (kind, *shape) in columns.items()}
+
+    def get(self, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Which words are known, and the columns of those."""
+        row = (words & U64(KEPT - 1)).astype(np.int64)
+        known = (self.keys[row] == words) & (words > 0)
+        return known, *(x[row[known]] for x in self.columns.values())
+
+    def put(self, words: np.ndarray, *values: np.ndarray) -> None:
+        row = (words & U64(KEPT - 1)).astype(np.int64)
+        self.keys[row] = words
+        stays = self.keys[row] == words
+        for x, own in zip(self.columns.values(), values, strict=True):
+            x[row[stays]] = own[stays]
+
+
 class Speller:
     """Spells words as items: twice the subword id, plus one for a word's last id; the end is an item of its own."""
 
@@ -84,6 +107,7 @@ class Speller:
         self.end = 2 * (max(ranks.values()) + 1)
         self.items = self.end + 1
         self.line_feed = ranks[b"\n"]
+        self.kept = Kept(sizes=(np.uint8,), items=(np.uint32, KEPT_ITEMS))
 
     def spell(self, word: bytes) -> bytes:
         """One word's items, packed."""
@@ -92,19 +116,41 @@ class Speller:
         return ids.astype("<u4").tobytes()
 
     def spell_all(self, own: Slice) -> tuple[np.ndarray, np.ndarray]:
-        """The items of a slice's distinct words in one array, and where each word's begin (one more at the end); the last word is the end.
+        """The items of a slice's distinct words in one array, and where each word's begin (one more at the end); the last word is the end."""
+        known, known_sizes, known_items = self.kept.get(own.words)
+        new = np.flatnonzero(~known)
+        items, new_sizes = self.spell_new(own, new)
+        sizes = np.empty(len(own.words), np.int64)
+        sizes[known], sizes[new] = known_sizes, new_sizes
+        at = np.concatenate(([0], np.cumsum(np.append(sizes, 1))))
+        out = np.full(at[-1], self.end, np.int64)
+        new_at = np.cumsum(new_sizes) - new_sizes
+        out[np.repeat(at[new] - new_at, new_sizes) + np.arange(len(items))] = items
+        places = np.arange(KEPT_ITEMS)
+        inside = places < known_sizes[:, None]
+        out[(at[:-2][known][:, None] + places)[inside]] = known_items[inside]
+        few = new_sizes <= KEPT_ITEMS
+        kept = np.zeros((int(few.sum()), KEPT_ITEMS), np.uint32)
+        inside = places < new_sizes[few][:, None]
+        kept[inside] = items[(new_at[few][:, None] + places)[inside]]
+        self.kept.put(own.words[new[few]], new_sizes[few], kept)
+        return out, at
+
+    def spell_new(self, own: Slice, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items of these words, one word after the other, and how many each has.
 
         Words are encoded together, one a line: no match of the pattern crosses a line feed, as words have no white space; the few with
         white space of other kinds are spelled one by one.
         """
-        words = len(own.words)
-        text = own.lines().decode("utf-8", "replace")
-        odd = {i: np.frombuffer(self.spell(own.word(i)), "<u4") for i, w in enumerate(text.split("\n")) if ODD.search(w)} if ODD.search(text) else {}
+        if not len(which):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        text = own.lines(which).decode("utf-8", "replace")
+        odd = {i: np.frombuffer(self.spell(own.word(which[i])), "<u4") for i, w in enumerate(text.split("\n")) if ODD.search(w)} if ODD.search(text) else {}
         if odd:
             text = "\n".join("x" if i in odd else w for i, w in enumerate(text.split("\n")))
         ids = np.array(self.library.encode_ordinary(text), np.int64)
         breaks = np.flatnonzero(ids == self.line_feed)
-        sizes = np.diff(np.concatenate(([-1], breaks, [len(ids)]))) - 1 if words else np.zeros(0, np.int64)
+        sizes = np.diff(np.concatenate(([-1], breaks, [len(ids)]))) - 1
         items = 2 * ids[ids != self.line_feed]
         items[np.cumsum(sizes) - 1] += 1
         if odd:
@@ -112,7 +158,7 @@ class Speller:
             for i, x in odd.items():
                 parts[i] = x.astype(np.int64)
             sizes, items = np.array([len(x) for x in parts]), np.concatenate(parts)
-        return np.append(items, self.end), np.concatenate(([0], np.cumsum(np.append(sizes, 1))))
+        return items, sizes
 
 
 _SPELLERS: dict[str, Speller] = {}
@@ -143,9 +189,10 @@ class Slice:
         k = self.first[i]
         return self.data[self.begin[k] : self.end[k]].tobytes()
 
-    def lines(self) -> bytes:
-        """The distinct words, a line feed between any two."""
-        begin, size = self.begin[self.first], (self.end - self.begin)[self.first] + 1
+    def lines(self, which=slice(None)) -> bytes:
+        """The distinct words (all, or those of these numbers), a line feed between any two."""
+        first = self.first[which]
+        begin, size = self.begin[first], self.end[first] - self.begin[first] + 1
         at = np.cumsum(size)
         out = np.append(self.data, np.uint8(10))[np.arange(at[-1] if len(at) else 0) + np.repeat(begin - (at - size), size)]
         out[at - 1] = 10
@@ -267,7 +314,7 @@ class Model:
 
     def __init__(self, firsts: np.ndarray, rests: np.ndarray, n: int, v: int, ones: int):
         self.n, self.v = n, v
-        self.firsts = firsts
+        self.firsts, self.rests = firsts, rests
         last = np.arange(len(firsts)) % 2 == 1
         last[-1:] = True  # the end
         self.last = last
@@ -327,23 +374,33 @@ class Model:
         self.spelling.fit(seen, None, wanted, rest_at, rng, rate, share, START_BATCH if steps else BATCH, most(len(wanted)), states[1])
         return len(losses)
 
+    def kept_word_scores(self, own: Spelled, words: np.ndarray, kept: Kept) -> np.ndarray:
+        """As word_scores, for all words of a slice (of these hashes, and the end); those that are kept aren't worked out again."""
+        known, scores = kept.get(words)
+        out, new = np.zeros(len(words) + 1), np.flatnonzero(~known)
+        out[:-1][known] = scores
+        if len(new):
+            out[new] = self.word_scores(*_chosen(own.items, own.item_at, new))
+            kept.put(words[new], out[new])
+        return out
+
     def word_scores(self, items: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log probability of each word's items after its first."""
         seen, wanted, rest_at = self.spelling_rows(items, at)
         if not len(wanted):
             return np.zeros(len(at) - 1)
-        found = self.spelling.score(self.rest.number[seen], None, self.rest.number[wanted], rest_at).astype(float) + self.rest.inside[wanted]
+        found = self.spelling.score_alike(self.rest.number[seen], self.rest.number[wanted], rest_at).astype(float) + self.rest.inside[wanted]
         total = np.concatenate(([0.0], np.cumsum(found)))
         return total[rest_at[1:]] - total[rest_at[:-1]]
 
-    def scores(self, own: Spelled, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of every token; counts: the distinct words' in learned texts."""
+    def scores(self, own: Spelled, counts: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of every token; counts: the distinct words' in learned texts; inside: their word_scores, if known."""
         seen, tails, wanted = self.context_rows(own)
         first = own.items[own.item_at[:-1]]
         known = self.context.score(seen, tails, wanted, own.at).astype(float) + self.first.inside[first][own.tokens]
         alone, total = self.last[first], self.firsts[first]
         e = np.where(alone, 0.0, np.where(total > 0, self.escape, 1.0))
-        word = np.where(alone, 0.0, np.logaddexp(np.log(np.maximum((1 - e) * counts / np.maximum(total, 1), 1e-300)), np.log(np.maximum(e, 1e-300)) + self.word_scores(own.items, own.item_at)))
+        word = np.where(alone, 0.0, np.logaddexp(np.log(np.maximum((1 - e) * counts / np.maximum(total, 1), 1e-300)), np.log(np.maximum(e, 1e-300)) + (self.word_scores(own.items, own.item_at) if inside is None else inside)))
         place, before = own.earlier()
         mine = OWN * place / (place + OWN_AFTER)
         model = known + word[own.tokens] + np.log(1 - mine)
@@ -595,11 +652,24 @@ def score_texts(docs: DataFrame, ranks_path: str, train_share: float = TRAIN_SHA
     return score_slices(*learn_corpus(docs, ranks_path, train_share, **options))
 
 
+_KEPT_SCORES: dict[str, Kept] = {}
+
+
+def kept_scores(model: str) -> Kept:
+    """This process's table of word scores under the model of that name; the table of another model goes."""
+    if model not in _KEPT_SCORES:
+        _KEPT_SCORES.clear()
+        _KEPT_SCORES[model] = Kept(scores=(np.float64,))
+    return _KEPT_SCORES[model]
+
+
 def score_slices(slices: DataFrame, counts: DataFrame, buckets: int, hot: np.ndarray, often: np.ndarray, model: Model) -> DataFrame:
     held_model = slices.sparkSession.sparkContext.broadcast((model, hot, often))  # of fixed size
+    name = hashlib.blake2b(model.weights().tobytes() + model.firsts.tobytes() + model.rests.tobytes()).hexdigest()
 
     def run(batches):
         model, hot, often = held_model.value
+        kept = kept_scores(name)
         for batch in batches:
             for doc_ids, held, own_counts, *columns in zip(*batch.columns, strict=True):
                 own = Spelled.read(*columns)
@@ -614,7 +684,7 @@ def score_slices(slices: DataFrame, counts: DataFrame, buckets: int, hot: np.nda
                 where = {b: order[x:y] for b, x, y in zip(full.tolist(), cuts, cuts[1:], strict=False)}
                 for part in own_counts.as_py() or ():
                     c[other[where[part["bucket"]]]] = np.frombuffer(part["counts"], np.int64)
-                score = model.scores(own, c)
+                score = model.scores(own, c, model.kept_word_scores(own, words, kept))
                 c = c[own.tokens]
                 base = np.log10((c + 1) / (model.n + model.v + 1))
                 known, base, score = (np.add.reduceat(x, own.at[:-1]) for x in ((c > 0).astype(np.int64), base, score))
