@@ -1,5 +1,6 @@
 """Selection, sketches, sweeps, member and indexed sources, streams, equivalence, packed blocks and nested checks."""
 
+import glob
 import gzip
 import json
 import random
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelathe.operators import equivalence, intervals, joins, selection, sketches
-from tracelathe.operators.written import drop_written, new_path, written
+from tracelathe.operators.written import drop_written, new_path, shared_folder, written
 from tracelathe.plans import filesystem, utilities
 from tracelathe.sources import indexed, loaders, members, packed
 from tracelathe.streaming import lanes, tumbling
@@ -296,6 +297,20 @@ def test_equivalence_makes_its_input_once(spark):
     assert made.value == len(one) + len(other)
 
 
+def test_equivalence_in_slices_leaves_only_its_result(spark):
+    frame = lambda rows: spark.createDataFrame(rows, EVENT)
+    folders = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    exchanges = lambda: {f for folder in folders for f in glob.glob(f"{folder}/*/shuffle_*")}
+    tables = lambda: set(glob.glob(f"{shared_folder(spark)}/*"))
+    one, other = run_of(4711, 4712, 10**12, "00aa00aa00aa00aa", "/d/4711.x"), run_of(50005, 50006, 3 * 10**12, "1111222233334444", "/d/50005.x", n=4)
+    old_exchanges, old_tables = exchanges(), tables()
+    found = equivalence.differences(frame(one), frame(other))
+    assert not exchanges() - old_exchanges and len(tables() - old_tables) == 1
+    rows = sorted(map(tuple, found.collect()))
+    assert len(rows) == 2 and sorted(map(tuple, equivalence.differences(frame(one), frame(other), slice_bytes=1).collect())) == rows
+    assert len(tables() - old_tables) == 2
+
+
 def test_nested_records_without_faults_and_of_wrong_types(spark):
     cap = dict.fromkeys(filesystem.CAPACITY, 1)
     good = [
