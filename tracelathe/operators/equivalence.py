@@ -37,29 +37,25 @@ SLICE_BYTES = 256 << 20
 SLICE_ROWS = 1 << 20
 
 
-def leaves(of: str, path: str, level: int = 1) -> str:
-    """SQL: array of (path, key, value, kind) of an object's values, objects inside it included."""
-    e = f"e{level}"
-    own = f"array(named_struct('path', concat({path}, {e}.key), 'key', {e}.key, 'value', {e}.value, 'kind', schema_of_variant({e}.value)))"
-    if level + 1 < LEVELS:
-        inner = leaves(f"{e}.value", f"concat({path}, {e}.key, '.')", level + 1)
-        own = f"case when {e}.key in ({', '.join(map(repr, ADDRESS_ARGS))}) then {own} when schema_of_variant({e}.value) like 'OBJECT%' then {inner} else {own} end"
-    kept = f"filter(map_entries(try_variant_get({of}, '$', 'map<string, variant>')), {e} -> {e}.key not in ({', '.join(map(repr, VOLATILE_ARGS))}))"
-    return f"flatten(transform({kept}, {e} -> {own}))"
-
-
 def values_of(rows: DataFrame) -> DataFrame:
-    """(side, row, name, pid, path, key, kind, text, json): the values in the rows' arguments; json only of those that are no texts and no whole numbers."""
-    parsed = rows.select("side", "row", "name", "pid", F.try_parse_json("args").alias("object"))
-    # Few values are objects, so only these are taken apart by functions on arrays. Elements of an array have no key.
-    top = parsed.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("object").outer())).filter(F.col("key").isNotNull() & ~F.col("key").isin(*VOLATILE_ARGS))
-    top = top.select("side", "row", "name", "pid", "key", "value", F.schema_of_variant("value").alias("kind"))
-    is_object = F.col("kind").startswith("OBJECT") & ~F.col("key").isin(*ADDRESS_ARGS)
-    own = F.array(F.struct(F.col("key").alias("path"), "key", "value", "kind"))
-    every = top.select("side", "row", "name", "pid", F.explode(F.when(is_object, F.expr(leaves("value", "concat(key, '.')"))).otherwise(own)).alias("leaf")).select("side", "row", "name", "pid", "leaf.*")
+    """(side, row, name, pid, path, key, kind, text, json): the values in the rows' arguments, objects taken apart; json only of those that are no texts and no whole numbers."""
+    own = ("side", "row", "name", "pid")
+    parsed = rows.select(*own, F.try_parse_json("args").alias("object"))
+    explode = rows.sparkSession.tvf
+    # Elements of an array have no key.
+    every = parsed.lateralJoin(explode.variant_explode(F.col("object").outer())).filter(F.col("key").isNotNull() & ~F.col("key").isin(*VOLATILE_ARGS))
+    every = every.select(*own, F.col("key").alias("path"), "key", "value", F.schema_of_variant("value").alias("kind"))
+    # By joins, level by level: functions on arrays take twice as long.
+    for _ in range(LEVELS - 1):
+        is_object = F.col("kind").startswith("OBJECT") & ~F.col("key").isin(*ADDRESS_ARGS)
+        every = every.select(*own, "path", "kind", F.col("key").alias("of"), F.col("value").alias("whole"), is_object.alias("is_object"))
+        every = every.lateralJoin(explode.variant_explode_outer(F.when(F.col("is_object"), F.col("whole")).outer()))
+        every = every.filter(~F.col("is_object") | F.col("key").isNotNull() & ~F.col("key").isin(*VOLATILE_ARGS))
+        either = lambda inner, same: F.when(F.col("is_object"), inner).otherwise(F.col(same))
+        every = every.select(*own, either(F.concat("path", F.lit("."), "key"), "path").alias("path"), either(F.col("key"), "of").alias("key"), either(F.col("value"), "whole").alias("value"), either(F.schema_of_variant("value"), "kind").alias("kind"))
     # What a value looks like in JSON tells texts from numbers; `text` is the value itself.
     json = F.when(~F.col("kind").isin("STRING", "BIGINT"), F.to_json("value")).alias("json")
-    return every.select("side", "row", "name", "pid", "path", "key", "kind", F.expr("try_variant_get(value, '$', 'string')").alias("text"), json)
+    return every.select(*own, "path", "key", "kind", F.expr("try_variant_get(value, '$', 'string')").alias("text"), json)
 
 
 def is_poll(rows: DataFrame) -> Column:
