@@ -56,7 +56,8 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
     for name in paths:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-        _PATHS[spark].remove(name)
+        if name in _PATHS.get(spark, []):
+            _PATHS[spark].remove(name)
     paths.clear()
 
 
